@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, token_counts
+from . import fingerprints, quality, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = toxicity.fit(docs, labels, usable=~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score(docs, weights).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -19,9 +26,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op9_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op5_quality, op9_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
