@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, quality, token_counts, toxicity
+from . import fingerprints, quality, sentence_spans, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +34,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op5_quality, op9_fingerprints)}
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_spans.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.withColumnsRenamed({"_n": "n_sentences", "_gone": "n_removed", "_bytes": "n_removed_bytes"})
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op5_quality, op9_fingerprints, op10_sentence_spans)}
 ORACLE_SQL: dict[str, str] = {}
