@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, quality, sentence_spans, token_counts, toxicity
+from . import fingerprints, quality, sentence_spans, suffix_index, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir))
 
 
+def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_index.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("_kept")).alias("n_removed"), F.size("_removed").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_documents(spark, sf_dir))
 
@@ -39,5 +45,5 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"_n": "n_sentences", "_gone": "n_removed", "_bytes": "n_removed_bytes"})
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op5_quality, op9_fingerprints, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op5_quality, op7_suffix_index, op9_fingerprints, op10_sentence_spans)}
 ORACLE_SQL: dict[str, str] = {}
