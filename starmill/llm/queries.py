@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, quality, sentence_spans, suffix_index, token_counts, toxicity
+from . import fingerprints, minhash_forest, quality, sentence_spans, suffix_index, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer)
 
 
+def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(_documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir))
 
@@ -45,5 +49,5 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"_n": "n_sentences", "_gone": "n_removed", "_bytes": "n_removed_bytes"})
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op5_quality, op7_suffix_index, op9_fingerprints, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_minhash_forest, op5_quality, op7_suffix_index, op9_fingerprints, op10_sentence_spans)}
 ORACLE_SQL: dict[str, str] = {}
