@@ -294,3 +294,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.when(F.col("n") > 0, F.when(F.col("component") != _NO_ID, F.col("component"))).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its group, with all their columns."""
+    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")

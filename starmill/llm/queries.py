@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, minhash_forest, quality, sentence_spans, suffix_index, token_counts, toxicity
+from . import fingerprints, line_dedup, minhash_forest, mixing, quality, sentence_spans, suffix_index, tiling, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
     return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer)
 
 
+def op3_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(_documents(spark, sf_dir))
 
@@ -34,12 +38,22 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.withColumnsRenamed({"_lines": "n_lines", "_gone": "n_removed"})
+
+
 def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_index.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return found.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("_kept")).alias("n_removed"), F.size("_removed").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
+    return found.select("doc_id", "source", "lang", *(F.col(f"_{c}").alias(c) for c in ("topic", "tokens", "weight", "probability", "sampled")))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(_documents(spark, sf_dir))
 
@@ -49,5 +63,5 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"_n": "n_sentences", "_gone": "n_removed", "_bytes": "n_removed_bytes"})
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_minhash_forest, op5_quality, op7_suffix_index, op9_fingerprints, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_tiling, op4_minhash_forest, op5_quality, op6_line_dedup, op7_suffix_index, op8_mixing, op9_fingerprints, op10_sentence_spans)}
 ORACLE_SQL: dict[str, str] = {}
