@@ -8,12 +8,13 @@
   a hot region spreads over many tasks.
 * **Adaptive depth.** A region of up to ``REGION`` classes is compared whole; a larger one is divided by
   further coordinates until its parts are that small, and each class in it is also compared with those
-  that follow it in sorted order, its neighbours of longest common prefix.
-* Comparison inside a region is by signature: ``AGREE`` of ``HASHES`` coordinates, about five
+  around it in sorted order, its neighbours of longest common prefix.
+* In a first turn regions are compared by signature: ``AGREE`` of ``HASHES`` coordinates, about five
   standard deviations below what a pair at the threshold has.  A region returns a spanning
-  forest of its candidates, not its pairs.  They are verified on full sets and joined to
-  components; a second turn returns the candidates between different components, which are verified
-  likewise.
+  forest of its candidates, not its pairs; they are verified on full sets and joined to
+  components.  In a second turn the regions that still hold several components get the full sets
+  of their classes and return a spanning forest of the links between components.  Neither turn returns more
+  edges than it has rows.
 * Two classes at similarity 0.75 share a region of a tree with probability 0.56, so all
   sixteen trees miss them with probability 2e-6.
 
@@ -94,15 +95,16 @@ def _region_keys(sig: np.ndarray) -> np.ndarray:
     return tn.mix64(out * np.uint64(TREES) + np.arange(TREES, dtype=np.uint64))
 
 
-def _tree_rows(classes: DataFrame, store: Store) -> DataFrame:
-    """key, deep (further coordinates, sortable), rep, n, comp, sig of each class in each tree where its region holds more than one class."""
+def _tree_rows(classes: DataFrame, shared_regions: str, payload: str) -> DataFrame:
+    """key, deep (further coordinates, sortable), rep, n, comp, payload of each class in each tree, for the regions that satisfy shared_regions
+    (an expression over n classes, comps from lo to hi)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_region_keys(_signatures(batch.column(0))).view(np.int64).ravel())], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(_region_keys(_signatures(batch.column(0))).view(np.int64).ravel()), batch.column(1).take(pa.array(np.repeat(np.arange(batch.num_rows), TREES)))], names=["key", "comp"])
 
-    shared_keys = classes.select("sig").mapInArrow(keys, "key long").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    shared = classes.sparkSession.sparkContext.broadcast(bit_filter(shared_keys, "key"))
+    wanted = classes.select("sig", "comp").mapInArrow(keys, "key long, comp long").groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(shared_regions).select("key")
+    shared = classes.sparkSession.sparkContext.broadcast(bit_filter(wanted, "key"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,79 +112,106 @@ def _tree_rows(classes: DataFrame, store: Store) -> DataFrame:
             key = _region_keys(sig)
             at, tree = np.nonzero(may_hold(shared.value, key.ravel()).reshape(key.shape))
             deep = np.take_along_axis(sig[at], _ORDER[tree][:, LEAST:], axis=1).astype(">u2")
-            short = (sig[at] & 255).astype(np.uint8)
             take = pa.array(at)
+            load = batch.column(4).take(take) if payload != "sig" else pa.array([x.tobytes() for x in (sig[at] & 255).astype(np.uint8)], type=pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[at, tree].view(np.int64)), pa.array([x.tobytes() for x in deep], type=pa.binary()), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array([x.tobytes() for x in short], type=pa.binary())],
-                names=["key", "deep", "rep", "n", "comp", "sig"],
+                [pa.array(key[at, tree].view(np.int64)), pa.array([x.tobytes() for x in deep], type=pa.binary()), *(batch.column(i).take(take) for i in range(3)), load],
+                names=["key", "deep", "rep", "n", "comp", "load"],
             )
 
-    return classes.select("rep", "n", "comp", "sig").mapInArrow(rows, "key long, deep binary, rep long, n long, comp long, sig binary")
+    return classes.select("rep", "n", "comp", "sig", F.col(payload).alias("load")).mapInArrow(rows, "key long, deep binary, rep long, n long, comp long, load binary")
 
 
-def _alike(n: np.ndarray, sig: np.ndarray, i: slice | np.ndarray, j: slice | np.ndarray) -> np.ndarray:
-    """Agreeing coordinates of rows i x j, 0 where sizes alone rule the pair out."""
-    agree = np.zeros((len(n[i]), len(n[j])), np.int16)
-    left, right = sig[i], sig[j]
-    for lo in range(0, len(left), 64):
-        agree[lo : lo + 64] = (left[lo : lo + 64, None, :] == right[None, :, :]).sum(2, dtype=np.int16)
-    p, q = n[i][:, None], n[j][None, :]
-    agree[DENOMINATOR * np.minimum(p, q) < NUMERATOR * np.maximum(p, q)] = 0
+def _agreement(n: np.ndarray, load: list[bytes]) -> np.ndarray:
+    """Agreeing coordinates of all pairs, 0 where sizes alone rule the pair out."""
+    sig = np.frombuffer(b"".join(load), np.uint8).reshape(-1, HASHES)
+    agree = np.zeros((len(n), len(n)), np.int16)
+    for lo in range(0, len(n), 64):
+        agree[lo : lo + 64] = (sig[lo : lo + 64, None, :] == sig[None, :, :]).sum(2, dtype=np.int16)
+    agree[DENOMINATOR * np.minimum(n[:, None], n[None, :]) < NUMERATOR * np.maximum(n[:, None], n[None, :])] = 0
     return agree
 
 
-def _spanning(agree: np.ndarray) -> list[tuple[int, int]]:
-    """Greatest spanning forest of the pairs that agree enough, grown node by node."""
-    m = len(agree)
-    best, source = agree[0].copy(), np.zeros(m, np.int64)
+def _values(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def _similar(n: np.ndarray, load: list[bytes]) -> np.ndarray:
+    """Whether each pair of full sets reaches the threshold: products of their incidence over the shingles that two or more have."""
+    sets = [_values(x) for x in load]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1
+    live = count[shingle] > 1
+    shingle, owner = rank[shingle[live]], owner[live]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    width = 1 << 13
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], owner[order]
+    for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
+        a, b = np.searchsorted(shingle, (lo, lo + width))
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[a:b], shingle[a:b] - lo] = 1
+        common += part @ part.T
+    size = np.array([len(x) for x in sets])
+    common = np.rint(common).astype(np.int64)
+    return DENOMINATOR * common >= NUMERATOR * (size[:, None] + size[None, :] - common)
+
+
+def _spanning(score: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Greatest spanning forest of the pairs of at least that score, grown node by node."""
+    m = len(score)
+    best, source = score[0].copy(), np.zeros(m, np.int64)
     best[0] = -1
     edges = []
     for _ in range(m - 1):
         u = int(best.argmax())
-        if best[u] >= AGREE:
+        if best[u] >= least:
             edges.append((int(source[u]), u))
-        row = agree[u]
+        row = score[u]
         better = (row > best) & (best >= 0)
         best[better], source[better] = row[better], u
         best[u] = -1
     return edges
 
 
-def _compare(rep: np.ndarray, n: np.ndarray, comp: np.ndarray, deep: list[bytes], sig: np.ndarray, second: bool, out: list[tuple[int, int]]) -> None:
-    """Candidate pairs of one sorted region (or the part of it that a task holds)."""
+def _compare(rep: np.ndarray, n: np.ndarray, comp: np.ndarray, deep: list[bytes], load: list[bytes], exact: bool, out: list[tuple[int, int]]) -> None:
+    """Edges of one sorted region (or the part of it that a task holds): a spanning forest of its likely pairs, or, exact, of its links between components."""
     m = len(rep)
-    if m < 2 or second and (comp == comp[0]).all():
+    if m < 2 or exact and (comp == comp[0]).all():
         return
     if m <= REGION:
-        agree = _alike(n, sig, slice(None), slice(None))
-        if second:
-            i, j = np.nonzero(np.triu(agree >= AGREE, 1) & (comp[:, None] != comp[None, :]))
-            out += zip(rep[i].tolist(), rep[j].tolist(), strict=True)
+        if exact:
+            # classes of one component count as linked already
+            score = np.where(comp[:, None] == comp[None, :], 2, _similar(n, load).astype(np.int8)).astype(np.int8)
+            edges = [(i, j) for i, j in _spanning(score, 1) if comp[i] != comp[j]]
         else:
+            agree = _agreement(n, load)
             np.fill_diagonal(agree, 0)
-            out += ((int(rep[i]), int(rep[j])) for i, j in _spanning(agree))
+            edges = _spanning(agree, AGREE)
+        out += ((int(rep[i]), int(rep[j])) for i, j in edges)
         return
-    for step in range(1, NEXT + 1):
-        p, q = n[:-step], n[step:]
-        ok = ((sig[:-step] == sig[step:]).sum(1) >= AGREE) & (DENOMINATOR * np.minimum(p, q) >= NUMERATOR * np.maximum(p, q))
-        if second:
-            ok &= comp[:-step] != comp[step:]
-        elif step > 2:
-            break
-        out += zip(rep[:-step][ok].tolist(), rep[step:][ok].tolist(), strict=True)
+    # neighbours in order, by overlapping stretches
+    for a in range(0, m, NEXT):
+        z = a + 2 * NEXT
+        _compare(rep[a:z], n[a:z], comp[a:z], deep[a:z], load[a:z], exact, out)
     if len(deep[0]) >= 2:
         head = [d[:2] for d in deep]
         cut = [0, *(i for i in range(1, m) if head[i] != head[i - 1]), m]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            _compare(rep[a:b], n[a:b], comp[a:b], [d[2:] for d in deep[a:b]], sig[a:b], second, out)
-    else:  # no coordinates left: overlapping blocks along the order
+            _compare(rep[a:b], n[a:b], comp[a:b], [d[2:] for d in deep[a:b]], load[a:b], exact, out)
+    else:  # no coordinates left
         for a in range(0, m, REGION // 2):
-            _compare(rep[a : a + REGION], n[a : a + REGION], comp[a : a + REGION], deep[a : a + REGION], sig[a : a + REGION], second, out)
+            z = a + REGION
+            _compare(rep[a:z], n[a:z], comp[a:z], deep[a:z], load[a:z], exact, out)
 
 
-def candidates(classes: DataFrame, store: Store, second: bool) -> DataFrame:
-    """Pairs (a, b) of class representatives; second: only between different components."""
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def region_edges(trees: DataFrame, exact: bool) -> DataFrame:
+    """Edges (a, b) between class representatives from all regions of all trees."""
+    parts = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held_rows = (16 if exact else 64) * REGION
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -193,10 +222,9 @@ def candidates(classes: DataFrame, store: Store, second: bool) -> DataFrame:
             cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             rep, n, comp = (rows[c].to_numpy() for c in ("rep", "n", "comp"))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if b - a > 1:
+                if b - a > 1 and not (exact and (comp[a:b] == comp[a]).all()):
                     part = rows.slice(a, b - a)
-                    sig = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint8).reshape(-1, HASHES)
-                    _compare(rep[a:b], n[a:b], comp[a:b], part["deep"].to_pylist(), sig, second, out)
+                    _compare(rep[a:b], n[a:b], comp[a:b], part["deep"].to_pylist(), part["load"].to_pylist(), exact, out)
             pairs = sorted({(min(p), max(p)) for p in out if p[0] != p[1]})
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -211,15 +239,15 @@ def candidates(classes: DataFrame, store: Store, second: bool) -> DataFrame:
                 yield done(rows.slice(0, last))
             held = rows.slice(last).to_batches()
             # a region longer than a task should hold is worked off in overlapping stretches of its sorted order
-            if len(key) - last > 64 * REGION:
+            if len(key) - last > held_rows:
                 tail = rows.slice(last)
                 yield done(tail)
                 held = tail.slice(len(tail) - REGION).to_batches()
         if held:
             yield done(pa.Table.from_batches(held))
 
-    trees = _tree_rows(classes, store).repartitionByRange(parts, "key", "deep").sortWithinPartitions("key", "deep")
-    return trees.mapInArrow(run, "a long, b long").distinct()
+    dealt = trees.repartitionByRange(parts, "key", "deep").sortWithinPartitions("key", "deep")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def set_bytes(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -248,16 +276,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def values(raw: bytes) -> np.ndarray:
-            wide = np.zeros((len(raw) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            return wide.view("<u8").ravel()
-
         for batch in batches:
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             good = []
             for i in range(batch.num_rows):
-                p, q = values(x[i]), values(y[i])
+                p, q = _values(x[i]), _values(y[i])
                 both = np.concatenate([p, q])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -277,16 +300,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.coalesce("id", F.lit(_NO_ID))
     classes = drawn.filter("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = store.keep(classes, "classes")
-    pairs = store.keep(candidates(classes.withColumn("comp", F.col("rep")), store, False), "pairs")
+    pairs = region_edges(_tree_rows(classes.withColumn("comp", F.col("rep")), "n > 1", "sig"), False)
+    pairs = store.keep(pairs, "pairs")
     active = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     near = store.keep(classes.join(active, "rep", "left_semi"), "near")
     sets = store.keep(set_bytes(docs, near.select("rep", "d1", "d2"), id_col, text_col), "sets")
     links = store.keep(verified(pairs, sets), "links")
     first = components(links, store)
     near = near.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    near = store.keep(near.select("rep", "n", "comp", "sig"), "near2")
-    more = store.keep(candidates(near, store, True).join(pairs, ["a", "b"], "left_anti"), "pairs2")
-    links = store.keep(links.union(verified(more, sets)), "links2")
+    near = store.keep(near.select("rep", "n", "comp", "sig").join(sets, "rep"), "near2")
+    more = region_edges(_tree_rows(near, "lo < hi", "shingles"), True)
+    links = store.keep(links.union(more), "links2")
     store.drop(sets, near)
     found = components(links, store).withColumnRenamed("node", "rep")
     labels = classes.select("d1", "d2", "rep").join(found, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
