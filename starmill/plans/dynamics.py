@@ -1 +1,165 @@
+"""Queries over time integration, orbits, mergers and logs."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import physics
+from ..operators import generators, gravity, merging, steps
+from ..operators.cut import cut
+from ..sources.views import CORE_SQL, DISK_SQL, FRAMES_SQL, core, disk, frames
+from ..streaming.frames import windowed_counts
+from .registry import query
+from .trees import _CORE2, _DIRECT_TERMS, _ENERGY, r_sql, rounded
+
+_PH = ("x", "y", "z", "vx", "vy", "vz")
+DT = 0.0625
+_D = f"WITH d AS MATERIALIZED (SELECT * FROM {DISK_SQL})"
+
+
+@query(f"WITH f AS (SELECT * FROM {FRAMES_SQL}), g AS (SELECT t, e, (e - first(e) OVER w) / first(e) OVER w AS a, coalesce((e - lag(e) OVER w) / first(e) OVER w, 0) AS b FROM f WINDOW w AS (ORDER BY t)) SELECT t, " + ", ".join(r_sql(e, n) for e, n in (("a", "de"), ("b", "dde"), ("max(abs(a)) OVER (ORDER BY t)", "de_max"), ("max(abs(b)) OVER (ORDER BY t)", "dde_max"))) + " FROM g")
+def energy_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(gravity.energy_drift(frames(spark, sf_dir)).select("t", "de", "dde", "de_max", "dde_max"), "de", "dde", "de_max", "dde_max")
+
+
+_PRED = ", ".join([*(f"{c} + v{c} * {DT} + 0.5e0 * a{c} * {DT} * {DT} AS {c}" for c in "xyz"), *(f"v{c} + a{c} * {DT} AS v{c}" for c in "xyz")])
+
+
+@query(_CORE2 + _ENERGY + f", q AS (SELECT c.id, {_PRED} FROM c JOIN a USING (id)) SELECT id, " + ", ".join(r_sql(c, c) for c in _PH) + " FROM q")
+def predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = core(spark, sf_dir)
+    state = p.join(gravity.direct_gravity(p), "id").withColumn("t_beg", F.lit(0.0))
+    return rounded(steps.predict(state, DT).select("id", *_PH), *_PH)
+
+
+_STEP = _CORE2 + _ENERGY + f", q AS MATERIALIZED (SELECT c.id, c.mass, a.ax AS ox, a.ay AS oy, a.az AS oz, {_PRED} FROM c JOIN a USING (id)), t2 AS (SELECT p.id, {_DIRECT_TERMS} FROM q p, q j), n AS (SELECT id, sum(ax) AS ax, sum(ay) AS ay, sum(az) AS az, sum(pot) AS pot FROM t2 GROUP BY 1), e AS (SELECT id, q.mass, x, y, z, n.pot, " + ", ".join(f"v{c} + 0.5e0 * (n.a{c} - o{c}) * {DT} AS v{c}" for c in "xyz") + " FROM q JOIN n USING (id))"
+
+
+@query(_STEP + " SELECT id, " + ", ".join(r_sql(c, c) for c in (*_PH, "pot")) + " FROM e")
+def corrector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = core(spark, sf_dir)
+    state = p.join(gravity.direct_gravity(p), "id").withColumns({"t_beg": F.lit(0.0), "t_end": F.lit(DT)})
+    moved = cut(steps.predict(state, DT))
+    return rounded(steps.correct(moved, gravity.direct_gravity(moved), DT, DT).select("id", *_PH, "pot"), *_PH, "pot")
+
+
+@query(_STEP + f" SELECT CAST({DT} AS DOUBLE) AS t, " + r_sql("sum(0.5e0 * mass * (vx * vx + vy * vy + vz * vz))", "ekin") + ", " + r_sql("sum(0.5e0 * mass * pot)", "epot") + " FROM e")
+def integration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energies after one step of the driving loop."""
+    return rounded(steps.integrate(core(spark, sf_dir), 1, DT)[1].filter("t > 0").select("t", "ekin", "epot"), "ekin", "epot")
+
+
+@query(f"{_D}, t AS (SELECT CAST(id % 8 AS DOUBLE) / 8 + 0.125e0 AS t_end FROM d) SELECT min(t_end) AS t_next, (SELECT count(*) FROM t WHERE t_end = (SELECT min(t_end) FROM t)) AS n_active FROM t")
+def next_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps.next_time(disk(spark, sf_dir).withColumn("t_end", (F.col("id") % 8).cast("double") / 8.0 + 0.125))
+
+
+@query(f"{_D} SELECT id % 97 AS group_id, CAST(max(CAST(id % 8 = 0 AS INTEGER)) AS INTEGER) AS active FROM d GROUP BY 1")
+def active_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = disk(spark, sf_dir).withColumns({"t_end": (F.col("id") % 8).cast("double") / 8.0, "group_id": F.col("id") % 97})
+    return steps.active_groups(p, 0.0)
+
+
+@query(_CORE2 + _ENERGY + ", s AS (SELECT id, sqrt(ax * ax + ay * ay + az * az + 1e-30) AS a FROM a) SELECT id, least(pow(2e0, floor(log2(0.1e0 * sqrt(0.05e0 / a)))), 0.0625e0) AS dt_next FROM s")
+def step_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The criterion that the constant step replaces by default."""
+    return steps.step_criterion(gravity.direct_gravity(core(spark, sf_dir)), DT, fixed=False).select("id", "dt_next")
+
+
+_PAIR = f"{_D}, o AS (SELECT id, x, y, z, vx, vy, vz, mass * 20 AS m FROM d WHERE x * x + y * y > 1)"
+
+
+@query(_PAIR + """, k AS (SELECT *, sqrt(x * x + y * y + z * z) AS r, 0.5e0 * (vx * vx + vy * vy + vz * vz) AS ek, pow(y * vz - z * vy, 2) + pow(z * vx - x * vz, 2) + pow(x * vy - y * vx, 2) AS l2, abs(x * vx + y * vy + z * vz) AS rv FROM o), e AS (SELECT *, ek - m / r AS e FROM k)
+ SELECT id, CASE WHEN e > 0 THEN 'hyperbolic' WHEN e < 0 THEN 'elliptic' ELSE 'parabolic' END AS orbit, """ + ", ".join(r_sql(e, n, d) for e, n, d in (("l2 / (m + sqrt(greatest(m * m + 2 * e * l2, 0)))", "peri", 6), ("2e0 / 3 * r / sqrt(2 * m / r)", "t_ff", 6))) + " FROM e")
+def orbit_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = disk(spark, sf_dir).filter("x * x + y * y > 1").withColumn("m", F.col("mass") * 20.0)
+    return rounded(steps.orbit_diagnostics(p).select("id", "orbit", "peri", "t_ff"), "peri", "t_ff")
+
+
+@query(_PAIR + f", s AS (SELECT id, 0 AS k, x, y, z, vx, vy, vz, m FROM o WHERE id % 50 = 1)" + "".join(
+    f""", h{i} AS (SELECT id, m, x + vx * {dt} AS x, y + vy * {dt} AS y, z + vz * {dt} AS z, vx, vy, vz FROM {src}), g{i} AS (SELECT *, -m / pow(x * x + y * y + z * z, 1.5e0) * {2 * dt} AS f FROM h{i}), s{i} AS (SELECT id, m, x + (vx + f * x) * {dt} AS x, y + (vy + f * y) * {dt} AS y, z + (vz + f * z) * {dt} AS z, vx + f * x AS vx, vy + f * y AS vy, vz + f * z AS vz FROM g{i})"""
+    for i, (src, dt) in enumerate((("s", 0.005), ("s0", 0.005), ("s1", 0.005)))
+) + " SELECT id, " + ", ".join(r_sql(c, c) for c in _PH) + " FROM s2")
+def kick_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three drift-kick-drift steps of 0.01 in a point potential, as columns."""
+    p = disk(spark, sf_dir).filter("x * x + y * y > 1 AND id % 50 = 1").withColumn("m", F.col("mass") * 20.0)
+    for _ in range(3):
+        p = p.withColumns({c: F.col(c) + F.col(f"v{c}") * 0.005 for c in "xyz"})
+        p = p.withColumn("f", -F.col("m") / F.pow(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"), F.lit(1.5)) * 0.01)
+        p = p.withColumns({f"v{c}": F.col(f"v{c}") + F.col("f") * F.col(c) for c in "xyz"})
+        p = p.withColumns({c: F.col(c) + F.col(f"v{c}") * 0.005 for c in "xyz"})
+    return rounded(p.select("id", *_PH), *_PH)
+
+
+def _merge_sql() -> str:
+    spin = physics.euler(0.3, 0.5, 0.7)
+    com = lambda v: ", ".join(f"sum(mass * {c}) / sum(mass) AS k{c}" for c in _PH) + f", sum(mass) AS mt FROM {v}"
+    turn = ", ".join(f"{' + '.join(f'({m!r}) * ({p}{c} - k{p}{c})' for m, c in zip(row, 'xyz', strict=True))} AS {p}{a}" for p in ("", "v") for a, row in zip("xyz", spin, strict=True))
+    side = "sqrt(0.5e0 * (6e0 - 0.5e0))"
+    orbit = f"SELECT m1, m2, 2 * 0.5e0 - 6e0 AS x, -2 * {side} AS y, {side} * sqrt(2 * (m1 + m2) / 0.5e0) / 6e0 AS vx, 0.5e0 * sqrt(2 * (m1 + m2) / 0.5e0) / 6e0 AS vy"
+    put = lambda mu, s: ", ".join(f"g.{c} * {s} + {mu} * {f'o.{c}' if c[-1] != 'z' else '0'} AS {c}" for c in _PH)
+    return f"""{_D}, a AS (SELECT * FROM d WHERE ptype = 1), b AS (SELECT * FROM d WHERE ptype = 2), ka AS (SELECT {com('a')}), kb AS (SELECT {com('b')}),
+ ga AS (SELECT id, mass, {turn} FROM a, ka), gb AS (SELECT id, mass, {', '.join(f'{c} - k{c} AS {c}' for c in _PH)} FROM b, kb),
+ o AS ({orbit} FROM (SELECT ka.mt AS m1, kb.mt AS m2 FROM ka, kb)),
+ u AS (SELECT id, CAST(1 AS INTEGER) AS galaxy, {put('m2 / (m1 + m2)', '1')} FROM ga g, o UNION ALL SELECT id, 2, {put('(-m1 / (m1 + m2))', '1')} FROM gb g, o) SELECT id, galaxy, """ + ", ".join(r_sql(c, c, 5) for c in _PH) + " FROM u"
+
+
+@query(_merge_sql())
+def merge_galaxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = disk(spark, sf_dir)
+    found = merging.merge(p.filter("ptype = 1"), p.filter("ptype = 2"), 0.5, 6.0, spin_a=(0.3, 0.5, 0.7))
+    return rounded(found.select("id", "galaxy", *_PH), *_PH, digits=5)
+
+
+_GAL = physics.galactic(120.0, -30.0)
+
+
+@query(f"{_D} SELECT id, " + ", ".join(r_sql(" + ".join(f"({m!r}) * {c}" for m, c in zip(row, "xyz", strict=True)), a) for a, row in zip("xyz", _GAL, strict=True)) + " FROM d")
+def rotate_galactic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(merging.rotated(disk(spark, sf_dir), _GAL).select("id", "x", "y", "z"), "x", "y", "z")
+
+
+_EUL = physics.euler(0.2, 1.1, -0.4)
+
+
+@query(f"{_D} SELECT id, " + ", ".join(r_sql(" + ".join(f"({m!r}) * {c}" for m, c in zip(row, "xyz", strict=True)), a) for a, row in zip("xyz", _EUL, strict=True)) + " FROM d")
+def rotate_euler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(merging.rotated(disk(spark, sf_dir), _EUL).select("id", "x", "y", "z"), "x", "y", "z")
+
+
+@query("SELECT CAST(epoch(s.b + INTERVAL (i.range) MINUTE) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, date_trunc('minute', ts) - INTERVAL 4 MINUTE AS b FROM events) s, range(5) i GROUP BY ALL")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding windows over the event table: the batch twin of the streaming operator."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return windowed_counts(e).withColumn("start", F.unix_seconds(F.col("start").cast("timestamp")))
+
+
+@query()
+def plummer_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.plummer(spark, 4096)
+
+
+@query()
+def sphere_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.sphere(spark, 4096)
+
+
+@query()
+def cube_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.cube(spark, 4096)
+
+
+@query()
+def shuffled_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.shuffled_disk(disk(spark, sf_dir)).select("id", *_PH, "mass")
+
+
+@query()
+def dust_ring_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.dust_ring(spark, 2000, 8.0, 0.8, 0.1, 0.2)
+
+
+@query()
+def kepler_orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = disk(spark, sf_dir).filter("x * x + y * y > 1").select("id", *_PH, (F.col("mass") * 20.0).alias("m"))
+    return steps.kepler(p, 0.2, 0.01)
