@@ -71,7 +71,7 @@ def snapshot_name(base: str, t: float, rank: int = 0) -> str:
     return f"{base}_{t:010.4f}-{rank}"
 
 
-GRID_HEAD = struct.Struct("<4i6d")
+GRID_HEAD = "<4i6d"
 
 
 def write_grid(spark: SparkSession, path: str, grids: dict[str, DataFrame], bins: int, time: float = 0.0) -> None:
@@ -86,7 +86,7 @@ def write_grid(spark: SparkSession, path: str, grids: dict[str, DataFrame], bins
     cells[:20, :128, 4] = 0
     for r in grids["polar"].toLocalIterator():
         cells[r["ir"], r["iphi"], 4] = r["ratio"]
-    write_stream(spark, path, [GRID_HEAD.pack(-1, bins, bins, 1, time, 0, 0, 0, 0, 0), cells.tobytes()])
+    write_stream(spark, path, [struct.pack(GRID_HEAD, -1, bins, bins, 1, time, 0, 0, 0, 0, 0), cells.tobytes()])
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
@@ -97,8 +97,8 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
 
         for b in batches:
             for c in b.column(0).to_pylist():
-                _, nx, ny, _, time, *_ = GRID_HEAD.unpack_from(c)
-                cells = np.frombuffer(c, "<f4", nx * ny * 5, GRID_HEAD.size).reshape(ny, nx, 5)
+                _, nx, ny, _, time, *_ = struct.unpack_from(GRID_HEAD, c)
+                cells = np.frombuffer(c, "<f4", nx * ny * 5, struct.calcsize(GRID_HEAD)).reshape(ny, nx, 5)
                 iy, ix = np.indices((ny, nx)).reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(ix), pa.array(iy), pa.array(np.full(nx * ny, time)), *(pa.array(cells[:, :, i].ravel()) for i in range(5))], names=["ix", "iy", "time", "top_mass", "top_v2", "front_mass", "front_v2", "polar"])
 
