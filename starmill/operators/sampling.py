@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .cut import numbered, running_sum
 
@@ -16,7 +16,10 @@ def sample_every(p: DataFrame, k: int, order: str = "id", scale_mass: bool = Tru
     if k == 0:
         return p.limit(0)
     if by:
-        rows = p.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+        # numbers within a value are global numbers less those before it, so a frequent value is not one task's work
+        rows = numbered(p, by, order, name="_n")
+        first = rows.groupBy(by).agg(F.min("_n").alias("_first"))
+        rows = rows.join(F.broadcast(first) if first.limit(10_001).count() <= 10_000 else first, by).withColumn("_rn", F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
     else:
         rows = numbered(p, order, name="_rn")
     kept = rows.filter((F.col("_rn") - phase) % k == 0).drop("_rn")

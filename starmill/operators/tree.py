@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import physics
 from ..functions.sfc import prefix
@@ -46,7 +46,6 @@ def build_nodes(keys: DataFrame, nleaf: int = LEAF, min_nodes: int = MIN_NODES,
         # the shallowest leaf over each deeper node of the stretch closes it
         inside = counts.alias("c")
         for up in range(first, last):
-            hi, lo = (F.shiftright, F.lit(0).cast("long"))
             above = leaf.filter(F.col("level") == up).select(F.col("prefix_hi").alias("u_hi"), F.col("prefix_lo").alias("u_lo"))
             u_hi, u_lo = _ancestor(up)
             inside = inside.join(above, (F.col("level") > up) & (u_hi == F.col("u_hi")) & (u_lo == F.col("u_lo")), "left_anti")
@@ -163,5 +162,5 @@ def runs_of(keyed: DataFrame, level: int) -> DataFrame:
     """keyed (with rn) with head and tail flags of each run of equal prefix."""
     hi, lo = prefix(level)
     tagged = keyed.withColumns({"_hi": hi, "_lo": lo})
-    w = Window.partitionBy("_hi", "_lo")
-    return tagged.withColumns({"head": F.col("rn") == F.min("rn").over(w), "tail": F.col("rn") == F.max("rn").over(w)}).drop("_hi", "_lo")
+    ends = tagged.groupBy("_hi", "_lo").agg(F.min("rn").alias("_a"), F.max("rn").alias("_b"))
+    return tagged.join(ends, ["_hi", "_lo"]).withColumns({"head": F.col("rn") == F.col("_a"), "tail": F.col("rn") == F.col("_b")}).drop("_hi", "_lo", "_a", "_b")
