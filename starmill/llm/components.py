@@ -11,19 +11,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import Store
 
+ROWS = 100_000
+
 
 def components(edges: DataFrame, store: Store, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (smallest node reachable) for every node that occurs in an edge."""
     now = store.keep(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
     state = _state(now)
+    # as many partitions as the edges need: their number never grows
+    parts = 1 + state[0] // ROWS
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = store.keep(large, "large")
+        large = store.keep(large.coalesce(parts), "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        new = store.keep(small, "small")
+        new = store.keep(small.coalesce(parts), "small")
         store.drop(now, large)
         now, old = new, state
         state = _state(now)

@@ -306,11 +306,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = store.keep(classes.join(active, "rep", "left_semi"), "near")
     sets = store.keep(set_bytes(docs, near.select("rep", "d1", "d2"), id_col, text_col), "sets")
     links = store.keep(verified(pairs, sets), "links")
-    first = components(links, store)
+    first = store.keep(components(links, store), "first")
     near = near.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     near = store.keep(near.select("rep", "n", "comp", "sig").join(sets, "rep"), "near2")
     more = region_edges(_tree_rows(near, "lo < hi", "shingles"), True)
-    links = store.keep(links.union(more), "links2")
+    links = store.keep(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "links2")
     store.drop(sets, near)
     found = components(links, store).withColumnRenamed("node", "rep")
     labels = classes.select("d1", "d2", "rep").join(found, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
@@ -322,5 +322,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its group, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("__sm_kept")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["__sm_kept"]), "left_semi")

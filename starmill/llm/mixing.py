@@ -15,7 +15,7 @@ is raked in one task and broadcast; a larger one is raked and joined by shuffles
 
 Defined results: null or empty texts have no tokens and topic 0, and their probability is that of their cell, or one if the cell has no tokens; null source
 or language is a group of its own; repeated rows share their fate; null ids share one number; an empty table gives an empty result; other columns pass
-through.
+through, but one that bears the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ def topic_of(words: Column, topics: int = TOPICS) -> Column:
 
 def with_cells(docs: DataFrame, text_col: str = "text", topic_col: str | None = None) -> DataFrame:
     """docs with _tokens and the cell columns _source, _lang, _topic."""
-    found = docs.withColumn("_words", tokens(F.col(text_col)))
-    topic = F.coalesce(F.col(topic_col).cast("string"), F.lit("")) if topic_col else topic_of(F.col("_words")).cast("string")
-    return found.select(*docs.columns, F.size("_words").cast("long").alias("_tokens"), F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic.alias("_topic"))
+    found = docs.withColumn("__sm_words", tokens(F.col(text_col)))
+    topic = F.coalesce(F.col(topic_col).cast("string"), F.lit("")) if topic_col else topic_of(F.col("__sm_words")).cast("string")
+    return found.select(*docs.columns, F.size("__sm_words").cast("long").alias("_tokens"), F.coalesce("source", F.lit("")).alias("_source"), F.coalesce("lang", F.lit("")).alias("_lang"), topic.alias("_topic"))
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, temper: float = TEMPER, few: bool = True) -> DataFrame:
@@ -91,6 +91,7 @@ def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, keep: float = KEEP, rounds: int = ROUNDS, temper: float = TEMPER, few: int = FEW) -> DataFrame:
     """docs with _topic, _tokens, _weight (of the cell), _probability, _sampled."""
     store = Store(docs.sparkSession, "mix")
+    docs = docs.drop(*[f"_{c}" for c in (*AXES, "tokens", "weight", "probability", "sampled")])
     placed = with_cells(docs, text_col, topic_col)
     axes = [F.col(f"_{a}").alias(a) for a in AXES]
     cells = store.keep(placed.groupBy(*axes).agg(F.sum("_tokens").alias("tokens")), "cells")

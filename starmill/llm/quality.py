@@ -203,6 +203,7 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
     by_pattern, weights = model or fit(docs, id_col, text_col)
     at = np.flatnonzero(weights)
     shared = docs.sparkSession.sparkContext.broadcast((by_pattern, at, weights[at]))
+    docs = docs.drop("_weak", "_score", "_good") if all_columns else docs
     kept = docs.columns if all_columns else [id_col]
     added = ["_weak", "_score", "_good"] if all_columns else ["weak_score", "score", "good"]
 
@@ -219,9 +220,9 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(weak), pa.array(p), pa.array(p >= keep)], names=[*kept, *added])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", {added[0]} double, {added[1]} double, {added[2]} boolean"
-    return docs.select(*kept, F.col(text_col).alias("_text_of_row")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias("__sm_text")).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
     """The rows the classifier does not reject, with all their columns."""
-    return classify(docs, None, id_col, text_col, keep, all_columns=True).filter("_good").select(*docs.columns)
+    return classify(docs, None, id_col, text_col, keep, all_columns=True).filter("_good").drop("_weak", "_score", "_good")

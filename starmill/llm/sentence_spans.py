@@ -12,7 +12,7 @@ left to the skew handling of the join.
 
 Defined results: a null or empty text has no sentences and stays as it is; rows of one id are one occurrence (their equal
 spans are not removed from each other, except later in the same text); a null id comes after all others; repeated
-rows are repeated; an empty table gives an empty result.
+rows are repeated; an empty table gives an empty result; an input column that bears the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -111,8 +111,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(owner)], names=["span", "id"])
 
     first = keyed.mapInArrow(count, "span long, id long, n long").groupBy("span").agg(F.min("id").alias("first"), F.sum("n").alias("n")).filter("n > 1").select("span", "first")
-    marks = keyed.mapInArrow(occur, "span long, id long").join(first, "span").groupBy("id").agg(F.collect_list(F.struct("span", (F.col("id") == F.col("first")).alias("own"))).alias("_marks"))
-    found = docs.withColumn("_id", _key(id_col)).join(marks.withColumnRenamed("id", "_id"), "_id", "left").drop("_id")
+    marks = keyed.mapInArrow(occur, "span long, id long").join(first, "span").groupBy("id").agg(F.collect_list(F.struct("span", (F.col("id") == F.col("first")).alias("own"))).alias("__sm_marks"))
+    docs = docs.drop("_n", "_gone", "_bytes")
+    found = docs.withColumn("__sm_id", _key(id_col)).join(marks.withColumnRenamed("id", "__sm_id"), "__sm_id", "left")
     names = docs.columns
     place = names.index(text_col)
 
@@ -156,4 +157,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([f[i] for f in facts], type=pa.int64()) for i in range(3))], names=[*names, "_n", "_gone", "_bytes"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", _n long, _gone long, _bytes long"
-    return found.select(*names, "_marks").mapInArrow(cut, schema)
+    return found.select(*names, "__sm_marks").mapInArrow(cut, schema)

@@ -17,7 +17,8 @@ A byte goes if it lies in a string of ``length`` bytes that also starts anywhere
 Entries are counted per chunk before they are dealt, so thousands of copies add one count for each task.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; each row is a document of
-its own, so repeated rows repeat each other; a null id is an id like any other; an empty table gives an empty result; extra columns are kept.
+its own, so repeated rows repeat each other; a null id is an id like any other; an empty table gives an empty result; extra
+columns are kept, but one that bears the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -251,8 +252,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("part"), text.alias("text"))
     order = F.pmod(F.xxhash64("id"), F.lit(batches))
     marks = repeated_windows(keyed, SuffixIndex(docs.sparkSession, length, gram), [keyed.filter(order == i) for i in range(batches)], big=big)
-    marks = marks.groupBy("id", "part").agg(F.collect_list(F.struct("a", "b")).alias("_ranges")).withColumnsRenamed({"id": "_id", "part": "_part"})
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_part": F.xxhash64(text)})
+    marks = marks.groupBy("id", "part").agg(F.collect_list(F.struct("a", "b")).alias("__sm_ranges")).withColumnsRenamed({"id": "__sm_id", "part": "__sm_part"})
+    docs = docs.drop("_kept", "_removed")
+    rows = docs.withColumns({"__sm_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__sm_part": F.xxhash64(text)})
     names = docs.columns
     place = names.index(text_col)
 
@@ -277,4 +279,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, type=pa.binary()), pa.array(gone, type=kind)], names=[*names, "_kept", "_removed"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", _kept binary, _removed array<struct<a: long, b: long>>"
-    return rows.join(marks, ["_id", "_part"], "left").select(*names, "_ranges").mapInArrow(cut, schema)
+    return rows.join(marks, ["__sm_id", "__sm_part"], "left").select(*names, "__sm_ranges").mapInArrow(cut, schema)
