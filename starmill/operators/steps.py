@@ -92,6 +92,16 @@ def orbit_diagnostics(pairs: DataFrame) -> DataFrame:
     return out.withColumns({"peri": peri, "t_ff": 2.0 / 3.0 * F.col("r") / F.sqrt(2.0 * F.col("m") / F.col("r")), "t_drift": F.try_divide(F.col("r") * F.col("r"), F.col("rv"))})
 
 
+def drift_kick_drift(pairs: DataFrame, steps: int, dt: float) -> DataFrame:
+    """pairs (id, x, y, z, vx, vy, vz relative, m total) after so many steps of constant dt, as columns."""
+    for _ in range(steps):
+        pairs = pairs.withColumns({c: F.col(c) + F.col(f"v{c}") * (dt / 2) for c in COORDS})
+        pairs = pairs.withColumn("_f", -F.col("m") / F.pow(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"), F.lit(1.5)) * dt)
+        pairs = pairs.withColumns({f"v{c}": F.col(f"v{c}") + F.col("_f") * F.col(c) for c in COORDS})
+        pairs = pairs.withColumns({c: F.col(c) + F.col(f"v{c}") * (dt / 2) for c in COORDS}).drop("_f")
+    return pairs
+
+
 def kepler(pairs: DataFrame, duration: float, eps: float = 1e-3) -> DataFrame:
     """id and relative place and velocity after duration, by drift-kick-drift with steps of eps times the local dynamical time."""
 
