@@ -11,7 +11,7 @@ The benchmark is dealt with in blocks of at most ``BLOCK`` words, each broadcast
 documents; a benchmark of any size is therefore exact, at a pass for each block.  Within a document only seeds are kept, never pairs of
 documents.  Long matches are extended word by word on equal hashes, so a very long document costs its seeds.
 
-Defined results: null texts are empty; items of fewer than ``LEAST`` words are one seed of all their words; empty
+Defined results: null texts are empty; an item of null id is an item like others and has a null id in the result; items of fewer than ``LEAST`` words are one seed of all their words; empty
 items match nothing; repeated rows are repeated; ties between equal tiles go to the earlier place in the item, then in the document; an
 empty benchmark or table gives no matches; extra columns are ignored by ``matches`` and kept by ``keep_clean``.
 """
@@ -76,11 +76,11 @@ def tile(doc: np.ndarray, item: np.ndarray, at: np.ndarray, to: np.ndarray, leas
 class Block:
     """Word hashes and sorted seeds of some benchmark items."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], least: int):
+    def __init__(self, ids: list[int | None], texts: list[str | None], least: int):
         raw = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         w = _words(data, np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64))
-        self.ids = np.array(ids, dtype=np.int64)
+        self.ids = pa.array(ids, type=pa.int64())
         self.items = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         h, at = tn.grams(w, least)
         owner = w.doc[at]
@@ -132,12 +132,10 @@ def _found(block: Block, data: np.ndarray, offsets: np.ndarray, least: int) -> I
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int, limit: int) -> Iterator[Block]:
-    ids: list[int] = []
+    ids: list[int | None] = []
     texts: list[str | None] = []
     size = 0
     for row in benchmark.select(F.col(item_col).cast("long"), text_col).orderBy(item_col, text_col).toLocalIterator():
-        if row[0] is None:
-            continue
         ids.append(row[0])
         texts.append(row[1])
         size += len((row[1] or "").split())
@@ -164,7 +162,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 take = pa.array([r[0] for r in rows], type=pa.int64())
                 share = np.array([r[3] / r[2] for r in rows])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), pa.array(block.ids[[r[1] for r in rows]] if rows else [], type=pa.int64()), *(pa.array([r[i] for r in rows], type=pa.int64()) for i in range(2, 6)), pa.array(share, type=pa.float64()), pa.array(share >= coverage, type=pa.bool_())],
+                    [batch.column(0).take(take), block.ids.take(pa.array([r[1] for r in rows], type=pa.int64())), *(pa.array([r[i] for r in rows], type=pa.int64()) for i in range(2, 6)), pa.array(share, type=pa.float64()), pa.array(share >= coverage, type=pa.bool_())],
                     names=names,
                 )
 

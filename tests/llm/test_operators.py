@@ -115,6 +115,14 @@ def test_decontamination(spark, docs, small, odd, none):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, parts)) and whole
 
 
+def test_decontamination_by_an_item_without_id(spark):
+    items = spark.createDataFrame([(None, "alpha beta gamma delta epsilon zeta eta"), (7, "one two three four five six")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "so alpha beta gamma delta epsilon zeta eta it is"), (2, "clean words")], "doc_id long, text string")
+    found = tiling.matches(df, items).collect()
+    assert [(r["doc_id"], r["item_id"], r["contaminated"]) for r in found] == [(1, None, True)]
+    assert [r["doc_id"] for r in tiling.keep_clean(df, items).collect()] == [2]
+
+
 # 4 near duplicates
 def test_near_duplicates(spark, docs, texts, odd, none):
     extra, rng = dict(texts), random.Random(4)
