@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def col(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def id_key(df: DataFrame, id_col: str) -> Column:
+    """An id to group and order by, nulls last: a long for whole numbers, else (whether null, value)."""
+    if df.schema[id_col].dataType.simpleString() in _WHOLE:
+        return F.coalesce(col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    return F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("value"))
+
+
 class Store:
     """A folder of its own under the shared one."""
 

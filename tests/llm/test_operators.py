@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -194,18 +195,12 @@ def test_posterior_finds_the_accuracies():
 
 # 6 line dedup
 def _line_brute(texts):
-    xxhash = pytest.importorskip("xxhash")
+    """By edit distance alone: none of the operator's keys, hashes or constants but the words of a line and the tenth."""
     import regex
 
     def split(line):
         return [w for w in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if w]
 
-    def sim(w):
-        h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in set(w) if len(x) >= line_dedup.LETTERS]
-        if len(h) < line_dedup.FUZZY_WORDS:
-            return None
-        return sum(1 << (14 * j + i) for j in range(4) for i in range(14) if sum(x >> (16 * j + i) & 1 for x in h) > len(h) // 2)
-
     def edits(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
@@ -215,18 +210,14 @@ def _line_brute(texts):
             row = new
         return row[-1]
 
-    place, classes = [], {}
-    for d, t in sorted(texts.items()):
-        for p, line in enumerate(t.split("\n")):
-            w = split(line)
-            if len(w) >= line_dedup.MIN_WORDS:
-                key = " ".join(w)
-                place.append((d, p, key))
-                classes.setdefault(key, sim(w))
-    u, keys = brute.Union(classes), [k for k in classes if classes[k] is not None]
+    place = [(d, p, " ".join(w)) for d, t in sorted(texts.items()) for p, line in enumerate(t.split("\n")) if len(w := split(line)) >= 3]
+    keys = list(dict.fromkeys(k for _, _, k in place))
+    u, letters = brute.Union(keys), {k: Counter(k) for k in keys}
     for i, a in enumerate(keys):
         for b in keys[:i]:
-            if (classes[a] ^ classes[b]).bit_count() <= line_dedup.DISTANCE and edits(a, b) <= min(max(len(a), len(b)) // 10, line_dedup.EDITS):
+            most = max(len(a), len(b)) // 10
+            # letters too many on either side each need an edit
+            if max((letters[a] - letters[b]).total(), (letters[b] - letters[a]).total()) <= most and edits(a, b) <= most:
                 u.join(a, b)
     gone, seen = {}, set()
     for d, p, key in place:
