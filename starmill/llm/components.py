@@ -7,11 +7,31 @@ A node with very many neighbours is one key of a join whose large side can be sp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import Store
 
-ROWS = 100_000
+ROWS, PART, MAX_BROADCAST = 100_000, 1024, 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it is short."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def across(rows: DataFrame, allowed: Callable[[str, str], Column], part: int = PART) -> DataFrame:
+    """a < b: nodes that share a key but no component. rows: key, node, size, comp; allowed says whether two sizes may be linked.
+
+    Nodes outside the largest component of their key meet the others of the key, dealt by parts of it; what is linked already is never paired."""
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    per = small(per.filter("kinds > 1").select("key", F.col("top.comp").alias("top"), F.ceil(F.col("n") / part).alias("parts")))
+    mixed = rows.join(per, "key")
+    right = mixed.select("key", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.col("node").alias("b"), F.col("size").alias("d"), F.col("comp").alias("e"), (F.col("comp") == F.col("top")).alias("large"))
+    left = mixed.filter("comp <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("a"), F.col("size").alias("c"), F.col("comp").alias("f"))
+    found = left.join(right, ["key", "part"]).filter((F.col("e") != F.col("f")) & (F.col("large") | (F.col("a") < F.col("b"))) & allowed("c", "d"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, store: Store, a: str = "a", b: str = "b") -> DataFrame:

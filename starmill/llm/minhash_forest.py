@@ -15,12 +15,15 @@
   components.  In a second turn the regions that still hold several components get the full sets
   of their classes and return a spanning forest of the links between components.  Neither turn returns more
   edges than it has rows.
+* Regions of more than ``REGION`` classes that still hold several components after that are finished exactly: their classes are joined
+  on the rarest shingles of their full sets, of which two sets at the threshold must share one (prefix filter).
 * Two classes at similarity 0.75 share a region of a tree with probability 0.56, so all
-  sixteen trees miss them with probability 2e-6.
+  sixteen trees miss them with probability 2e-6, however large the regions.
 
-Defined results: a text without words, empty or null has an empty set and is linked with nothing; with fewer than five words the
-whole sequence is its one shingle; rows of equal id are one document and share their component; a null id counts
-as larger than all others; an empty table gives an empty result; extra columns are ignored.
+Shingles are hashes of 64 bits.  Defined results: a text without words, empty or null has an empty set and is linked with nothing; with fewer than
+five words the whole sequence is its one shingle; rows of equal id and text share their component; ids may be of any type that has an
+order, a null id counts as larger than all others, and a component without any other has a null id, of which all rows are kept;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textnp as tn
-from .components import components
-from .store import Store, bit_filter, may_hold
+from .components import across, components, small
+from .store import Store, bit_filter, col, may_hold
 
 SHINGLE, HASHES, TREES, DEPTH, LEAST = 5, 128, 16, 8, 2
 REGION, NEXT, AGREE = 512, 16, 72
 NUMERATOR, DENOMINATOR = 75, 100
-_NO_ID = (1 << 63) - 1
 _ORDER = np.array([[(4 * t + i) % 64 if i < 4 else 64 + (4 * t + i) % 64 for i in range(DEPTH)] for t in range(TREES)])
 
 
@@ -55,6 +57,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return tn.distinct_per_doc(np.concatenate([w.doc[at], few]), np.concatenate([h, tn.mix64(acc + n[few].astype(np.uint64))]))
 
 
+def _id(docs: DataFrame, id_col: str) -> Column:
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int")
+    return col(id_col).cast("long") if whole else col(id_col)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (shingles), d1, d2 (digest of the set), sig (16 bits of each MinHash)."""
     mult = tn.constants(HASHES, 31)
@@ -79,7 +86,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["id", "n", "d1", "d2", "sig"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, d1 long, d2 long, sig binary")
+    kind = docs.select(_id(docs, id_col)).schema[0].dataType.simpleString()
+    return docs.select(_id(docs, id_col).alias("id"), col(text_col)).mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, sig binary")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -95,31 +103,38 @@ def _region_keys(sig: np.ndarray) -> np.ndarray:
     return tn.mix64(out * np.uint64(TREES) + np.arange(TREES, dtype=np.uint64))
 
 
-def _tree_rows(classes: DataFrame, shared_regions: str, payload: str) -> DataFrame:
-    """key, deep (further coordinates, sortable), rep, n, comp, payload of each class in each tree, for the regions that satisfy shared_regions
-    (an expression over n classes, comps from lo to hi)."""
+def _regions(classes: DataFrame) -> DataFrame:
+    """key, n (classes), lo and hi (components) of every region of every tree."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_region_keys(_signatures(batch.column(0))).view(np.int64).ravel()), batch.column(1).take(pa.array(np.repeat(np.arange(batch.num_rows), TREES)))], names=["key", "comp"])
 
-    wanted = classes.select("sig", "comp").mapInArrow(keys, "key long, comp long").groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(shared_regions).select("key")
-    shared = classes.sparkSession.sparkContext.broadcast(bit_filter(wanted, "key"))
+    return classes.select("sig", "comp").mapInArrow(keys, "key long, comp long").groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+
+
+def _tree_rows(classes: DataFrame, wanted: DataFrame, payload: str) -> DataFrame:
+    """key, spread, deep (further coordinates, sortable), rep, n, comp, payload of each class in each tree, for the wanted regions (key, n).
+
+    A large region is dealt by its deeper coordinates (spread), others stay whole."""
+    shared = classes.sparkSession.sparkContext.broadcast((bit_filter(wanted, "key"), bit_filter(wanted.filter(F.col("n") > REGION), "key")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, large = shared.value
         for batch in batches:
             sig = _signatures(batch.column(3))
             key = _region_keys(sig)
-            at, tree = np.nonzero(may_hold(shared.value, key.ravel()).reshape(key.shape))
-            deep = np.take_along_axis(sig[at], _ORDER[tree][:, LEAST:], axis=1).astype(">u2")
+            at, tree = np.nonzero(may_hold(some, key.ravel()).reshape(key.shape))
+            wide = may_hold(large, key[at, tree])
+            deep = [x.tobytes() for x in np.take_along_axis(sig[at], _ORDER[tree][:, LEAST:], axis=1).astype(">u2")]
             take = pa.array(at)
             load = batch.column(4).take(take) if payload != "sig" else pa.array([x.tobytes() for x in (sig[at] & 255).astype(np.uint8)], type=pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[at, tree].view(np.int64)), pa.array([x.tobytes() for x in deep], type=pa.binary()), *(batch.column(i).take(take) for i in range(3)), load],
-                names=["key", "deep", "rep", "n", "comp", "load"],
+                [pa.array(key[at, tree].view(np.int64)), pa.array([d if w else b"" for d, w in zip(deep, wide.tolist(), strict=True)], type=pa.binary()), pa.array(deep, type=pa.binary()), *(batch.column(i).take(take) for i in range(3)), load],
+                names=["key", "spread", "deep", "rep", "n", "comp", "load"],
             )
 
-    return classes.select("rep", "n", "comp", "sig", F.col(payload).alias("load")).mapInArrow(rows, "key long, deep binary, rep long, n long, comp long, load binary")
+    return classes.select("rep", "n", "comp", "sig", F.col(payload).alias("load")).mapInArrow(rows, "key long, spread binary, deep binary, rep long, n long, comp long, load binary")
 
 
 def _agreement(n: np.ndarray, load: list[bytes]) -> np.ndarray:
@@ -133,9 +148,7 @@ def _agreement(n: np.ndarray, load: list[bytes]) -> np.ndarray:
 
 
 def _values(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
 
 
 def _similar(n: np.ndarray, load: list[bytes]) -> np.ndarray:
@@ -246,30 +259,29 @@ def region_edges(trees: DataFrame, exact: bool) -> DataFrame:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    dealt = trees.repartitionByRange(parts, "key", "deep").sortWithinPartitions("key", "deep")
+    dealt = trees.repartitionByRange(parts, "key", "spread").drop("spread").sortWithinPartitions("key", "deep")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def set_bytes(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep, shingles (sorted 48-bit hashes) of the classes whose representative occurs in needed (rep, d1, d2)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(needed.select(F.xxhash64("rep").alias("key")), "key"))
+    """rep, shingles (sorted hashes) of the classes in needed (rep, id, d1, d2); one of a class's documents has that id."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(needed.select(F.xxhash64("id").alias("key")), "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = tn.constants(HASHES, 31)
         for batch in batches:
-            ok = may_hold(shared.value, batch.column(1).to_numpy().view(np.uint64))
+            ok = may_hold(shared.value, batch.column(0).to_numpy().view(np.uint64))
             some = batch.filter(pa.array(ok))
-            for a, b, data, offsets in tn.chunks(some.column(2)):
+            for a, b, data, offsets in tn.chunks(some.column(1)):
                 doc, h = shingle_sets(data, offsets)
                 cut = np.searchsorted(doc, np.arange(b - a + 1))
                 live = [i for i in range(b - a) if cut[i] < cut[i + 1]]
                 d = [[int(tn.mix64(h[cut[i] : cut[i + 1]] ^ m).sum(dtype=np.uint64).view(np.int64)) for i in live] for m in mult[:2]]
-                raw = [np.unique(h[cut[i] : cut[i + 1]] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i in live]
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array([a + i for i in live], type=pa.int64())), *(pa.array(x, type=pa.int64()) for x in d), pa.array(raw, type=pa.binary())], names=["rep", "d1", "d2", "shingles"])
+                raw = [h[cut[i] : cut[i + 1]].astype("<u8").tobytes() for i in live]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, type=pa.int64()) for x in d), pa.array(raw, type=pa.binary())], names=["d1", "d2", "shingles"])
 
-    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    found = docs.select(ids.alias("rep"), F.xxhash64(ids).alias("key"), text_col).mapInArrow(run, "rep long, d1 long, d2 long, shingles binary")
-    return found.dropDuplicates(["rep", "d1", "d2"]).join(needed, ["rep", "d1", "d2"], "left_semi").select("rep", "shingles")
+    found = docs.select(F.xxhash64(_id(docs, id_col)).alias("key"), col(text_col)).mapInArrow(run, "d1 long, d2 long, shingles binary")
+    return found.join(small(needed.select("d1", "d2", "rep")), ["d1", "d2"]).dropDuplicates(["rep"]).select("rep", "shingles")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -293,34 +305,85 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _sizes(a: str, b: str) -> Column:
+    """Whether the sizes of two sets alone allow the threshold."""
+    return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
+
+
+def large_regions(classes: DataFrame, regions: DataFrame, comps: DataFrame) -> DataFrame:
+    """rep, n, id, d1, d2, comp of the classes in regions of more than REGION classes that hold several components. comps: rep, comp where it isn't rep."""
+    large = regions.filter(F.col("n") > REGION).select("key")
+    shared = classes.sparkSession.sparkContext.broadcast(bit_filter(large, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = _region_keys(_signatures(batch.column(1)))
+            at, tree = np.nonzero(may_hold(shared.value, key.ravel()).reshape(key.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at, tree].view(np.int64)), batch.column(0).take(pa.array(at))], names=["key", "rep"])
+
+    rows = classes.select("rep", "sig").mapInArrow(run, "key long, rep long").join(small(large), "key", "left_semi").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return rows.join(small(mixed), "key", "left_semi").select("rep", "comp").distinct().join(classes.select("rep", "n", "id", "d1", "d2"), "rep")
+
+
+def rare_pairs(some: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components that share one of their rarest shingles: every pair at the threshold does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                h = _values(raw).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), batch.column(0)[i].as_py())), pa.array(h)], names=["rep", "key"])
+
+    tokens = sets.mapInArrow(run, "rep long, key long")
+    often = tokens.groupBy("key").agg(F.count("*").alias("f")).filter("f > 1")
+    order = Window.partitionBy("rep").orderBy("f", "key")
+    # shingles of one set only come first and match nothing
+    prefix = tokens.join(often, "key", "left").withColumn("at", F.row_number().over(order)).join(some.select("rep", "n", "comp"), "rep")
+    least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
+    prefix = prefix.filter((F.col("at") <= F.col("n") - least + 1) & (F.col("f") > 1))
+    return across(prefix.select("key", F.col("rep").alias("node"), F.col("n").alias("size"), "comp"), _sizes)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id) of every row."""
     store = Store(docs.sparkSession, "forest")
     drawn = store.keep(sketches(docs, id_col, text_col), "sketches")
-    key = F.coalesce("id", F.lit(_NO_ID))
-    classes = drawn.filter("n > 0").groupBy("d1", "d2").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = store.keep(classes, "classes")
-    pairs = region_edges(_tree_rows(classes.withColumn("comp", F.col("rep")), "n > 1", "sig"), False)
-    pairs = store.keep(pairs, "pairs")
+    classes = drawn.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # written once, so the number of a class is the same for all readers
+    classes = store.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    alone = classes.withColumn("comp", F.col("rep"))
+    regions = store.keep(_regions(alone).filter("n > 1").select("key", "n"), "regions")
+    pairs = store.keep(region_edges(_tree_rows(alone, regions, "sig"), False), "pairs")
     active = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     near = store.keep(classes.join(active, "rep", "left_semi"), "near")
-    sets = store.keep(set_bytes(docs, near.select("rep", "d1", "d2"), id_col, text_col), "sets")
+    sets = store.keep(set_bytes(docs, near.select("rep", "id", "d1", "d2"), id_col, text_col), "sets")
     links = store.keep(verified(pairs, sets), "links")
     first = store.keep(components(links, store), "first")
     near = near.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     near = store.keep(near.select("rep", "n", "comp", "sig").join(sets, "rep"), "near2")
-    more = region_edges(_tree_rows(near, "lo < hi", "shingles"), True)
+    more = region_edges(_tree_rows(near, store.keep(_regions(near).filter("lo < hi").select("key", "n"), "mixed"), "shingles"), True)
     links = store.keep(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "links2")
     store.drop(sets, near)
-    found = components(links, store).withColumnRenamed("node", "rep")
-    labels = classes.select("d1", "d2", "rep").join(found, "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+    found = store.keep(components(links, store).toDF("rep", "comp"), "second")
+    if not regions.filter(F.col("n") > REGION).isEmpty():
+        some = store.keep(large_regions(classes, regions, found), "large")
+        if not some.isEmpty():
+            sets = store.keep(set_bytes(docs, some.select("rep", "id", "d1", "d2"), id_col, text_col), "sets")
+            links = found.toDF("a", "b").union(verified(store.keep(rare_pairs(some, sets), "rare"), sets))
+            found = store.keep(components(links, store).toDF("rep", "comp"), "third")
+            store.drop(sets)
+    # the smallest id of each component, whatever the numbers of its classes
+    grouped = classes.select("rep", "id", "d1", "d2").join(found, "rep")
+    least = grouped.groupBy("comp").agg(F.min("id").alias("component"))
+    labels = grouped.join(least, "comp").select("d1", "d2", "component")
+    labels = labels.unionByName(classes.join(found, "rep", "left_anti").select("d1", "d2", F.col("id").alias("component")))
     out = drawn.select("id", "n", "d1", "d2").join(labels, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("component") != _NO_ID, F.col("component"))).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    return out.withColumn("kept", col(id_col).eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its group, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).cast(docs.schema[id_col].dataType).alias("__sm_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__sm_kept"]), "left_semi")
+    kept = near_duplicates(docs, id_col, text_col).filter("kept").select(col(id_col).cast(docs.schema[id_col].dataType).alias("__sm_kept")).distinct()
+    return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["__sm_kept"]), "left_semi")

@@ -157,6 +157,32 @@ def test_near_duplicates_large_regions(spark, monkeypatch):
     assert got == brute.near_components(texts)
 
 
+def test_large_regions_are_finished_exactly(spark, monkeypatch):
+    """More classes in every region than are compared whole, most of them unlike: each link is found by the rarest shingles."""
+    monkeypatch.setattr(minhash_forest, "REGION", 4)
+    monkeypatch.setattr(minhash_forest, "NEXT", 1)
+    monkeypatch.setattr(minhash_forest, "LEAST", 1)
+    rng = random.Random(16)
+    base = [f"b{i}" for i in range(100)]
+    texts = {d: " ".join([w for w in base if rng.random() < 0.985] + [f"own{d}_{i}" for i in range(14)]) for d in range(120)}
+    want = brute.near_components(texts)
+    assert 5 < len({c for _, c in want.values()}) < 115
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_forest.near_duplicates(df).collect()} == want
+
+
+def test_near_duplicates_of_null_ids_do_not_meet(spark):
+    """A row without an id is linked by its own text only; ids may be strings."""
+    rows = [(3, "one two three four five six"), (None, "one two three four five six"), (None, "quite another text without any likeness")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in minhash_forest.near_duplicates(df).collect())
+    assert got == [(0, 0, True), (0, 3, False), (3, 3, True)]
+    assert sorted(r["text"][:3] for r in minhash_forest.keep_one(df).collect()) == ["one", "one", "qui"]
+    words = spark.createDataFrame([("b", "one two three"), ("a", "one two three"), ("c", "two"), (None, "two")], "`my.id` string, text string")
+    got = sorted((r["my.id"] or "", r["component_id"]) for r in minhash_forest.near_duplicates(words, "my.id").collect())
+    assert got == [("", "c"), ("a", "a"), ("b", "a"), ("c", "c")]
+
+
 def test_near_duplicates_odd(odd, none):
     rows = minhash_forest.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
