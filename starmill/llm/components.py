@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import Store
 
-ROWS, PART, MAX_BROADCAST = 100_000, 1024, 500_000
+ROWS, PART, MAX_BROADCAST = 100_000, 1024, 1_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
