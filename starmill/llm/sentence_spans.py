@@ -1,8 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
 A text is a row of sentences: words up to one that ends in . ! or ?, or up to a line feed; a sentence of over
-``LONG`` words is also cut after words that end in a comma, semicolon or colon.  From every
-sentence starts one span: the shortest run of at least ``SENTENCES`` sentences and ``WORDS`` words.  Spans are
+``LONG`` words is also cut after words that end in a comma, semicolon or colon, and a piece that still has more than ``PIECE``
+words before each word whose hash is the least of ``PIECE`` consecutive ones.  Where a piece ends so depends on the words around only,
+pieces have at most ``PIECE`` words, and a repeated passage of 50 words holds a whole span wherever it starts and whatever its
+punctuation (at most 10 words up to a cut, at most 29 for the span).  From every
+sentence or piece starts one span: the shortest run of at least ``SENTENCES`` of them and ``WORDS`` words.  Spans are
 hashed (case of A-Z and blanks apart) and joined globally; the first occurrence of a span is
 the one of smallest id and position.  Every sentence that any other occurrence covers is removed.
 
@@ -11,8 +14,8 @@ documents share is a count from each task; the join back to the occurrences is o
 left to the skew handling of the join.
 
 Defined results: a null or empty text has no sentences and stays as it is; rows of one id are one occurrence (their equal
-spans are not removed from each other, except later in the same text); a null id comes after all others; repeated
-rows are repeated; an empty table gives an empty result; an input column that bears the name of a result gives way to it.
+spans are not removed from each other, except later in the same text); a null id comes after all others; ids may be
+of any type that has an order; repeated rows are repeated; an empty table gives an empty result; an input column that bears the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import textnp as tn
+from .store import col, id_key
 
-SENTENCES, WORDS, LONG = 2, 20, 20
+SENTENCES, WORDS, LONG, PIECE = 2, 20, 20, 10
 _STEP = 0x2545F4914F6CDD1D | 1
 _BACK = pow(_STEP, -1, 1 << 64)
 _forth, _back = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -40,7 +45,17 @@ def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _forth[:n], _back[:n]
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray, long: int = LONG) -> tuple[np.ndarray, ...]:
+def _least_of_windows(value: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """Places that hold the least value (the first of equal ones) of some width consecutive places of one owner."""
+    n = len(value) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(owner[:n] == owner[width - 1 :])
+    windows = np.lib.stride_tricks.sliding_window_view(value, width)
+    return np.unique(at + windows[at].argmin(1))
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray, long: int = LONG, piece: int = PIECE) -> tuple[np.ndarray, ...]:
     """document, first byte, end byte, words and hash of each sentence of a chunk."""
     low = tn.lower_ascii(data)
     w = tn.words(low, offsets)
@@ -58,6 +73,11 @@ def sentences(data: np.ndarray, offsets: np.ndarray, long: int = LONG) -> tuple[
     stop |= lengthy & np.isin(data[w.end - 1], [44, 58, 59])
     first = np.concatenate([[0], np.flatnonzero(stop)[:-1] + 1])
     size = np.diff(np.append(first, n))
+    live = np.flatnonzero(np.repeat(size > piece, size))
+    cut = live[_least_of_windows(w.hash[live], np.repeat(np.arange(len(size)), size)[live], piece)]
+    stop[cut[cut > 0] - 1] = True
+    first = np.concatenate([[0], np.flatnonzero(stop)[:-1] + 1])
+    size = np.diff(np.append(first, n))
     code = w.hash * tn.powers(int(size.max()))[np.arange(n) - np.repeat(first, size)]
     return w.doc[first], w.start[first], w.end[first + size - 1], size, tn.mix64(np.add.reduceat(code, first))
 
@@ -81,39 +101,36 @@ def spans(data: np.ndarray, offsets: np.ndarray, least: int = SENTENCES, words:
     return s, at, end, tn.mix64((prefix[end] - prefix[at]) * back[at] + (end - at).astype(np.uint64))
 
 
-def _key(id_col: str):
-    return F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """All columns of docs, the text without repeated spans, and n_sentences, n_removed (sentences), n_removed_bytes."""
-    keyed = docs.select(_key(id_col).alias("id"), F.col(text_col).alias("text"))
+    keyed = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    kind = keyed.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids = batch.column(0)
+            rank = np.empty(batch.num_rows, np.int64)
+            rank[pc.array_sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(batch.num_rows)
             for a, _, data, offsets in tn.chunks(batch.column(1)):
                 s, at, _, h = spans(data, offsets, least, words)
-                owner = ids[a + s[0][at]] if len(at) else np.zeros(0, np.int64)
-                order = np.lexsort((owner, h))
-                h, owner = h[order], owner[order]
+                row = a + s[0][at] if len(at) else np.zeros(0, np.int64)
+                order = np.lexsort((rank[row], h))
+                h, row = h[order], row[order]
                 new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
                 n = np.diff(np.append(new, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(owner[new]), pa.array(n)], names=["span", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), ids.take(pa.array(row[new])), pa.array(n)], names=["span", "id", "n"])
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
             for a, _, data, offsets in tn.chunks(batch.column(1)):
                 s, at, _, h = spans(data, offsets, least, words)
-                owner = ids[a + s[0][at]] if len(at) else np.zeros(0, np.int64)
-                owner, h = tn.distinct_per_doc(owner, h)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(owner)], names=["span", "id"])
+                row, h = tn.distinct_per_doc(a + s[0][at] if len(at) else np.zeros(0, np.int64), h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row))], names=["span", "id"])
 
-    first = keyed.mapInArrow(count, "span long, id long, n long").groupBy("span").agg(F.min("id").alias("first"), F.sum("n").alias("n")).filter("n > 1").select("span", "first")
-    marks = keyed.mapInArrow(occur, "span long, id long").join(first, "span").groupBy("id").agg(F.collect_list(F.struct("span", (F.col("id") == F.col("first")).alias("own"))).alias("__sm_marks"))
+    first = keyed.mapInArrow(count, f"span long, id {kind}, n long").withColumn("id", id_key(keyed, "id")).groupBy("span").agg(F.min("id").alias("first"), F.sum("n").alias("n")).filter("n > 1").select("span", "first")
+    marks = keyed.mapInArrow(occur, f"span long, id {kind}").withColumn("id", id_key(keyed, "id")).join(first, "span").groupBy("id").agg(F.collect_list(F.struct("span", (F.col("id") == F.col("first")).alias("own"))).alias("__sm_marks"))
     docs = docs.drop("_n", "_gone", "_bytes")
-    found = docs.withColumn("__sm_id", _key(id_col)).join(marks.withColumnRenamed("id", "__sm_id"), "__sm_id", "left")
+    found = docs.withColumn("__sm_id", id_key(docs, id_col)).join(marks.withColumnRenamed("id", "__sm_id"), "__sm_id", "left")
     names = docs.columns
     place = names.index(text_col)
 
@@ -157,4 +174,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([f[i] for f in facts], type=pa.int64()) for i in range(3))], names=[*names, "_n", "_gone", "_bytes"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", _n long, _gone long, _bytes long"
-    return found.select(*names, "__sm_marks").mapInArrow(cut, schema)
+    return found.select(*map(col, names), "__sm_marks").mapInArrow(cut, schema)

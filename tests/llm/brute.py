@@ -56,7 +56,20 @@ def repeated_bytes(texts, length):
     return out
 
 
-def sentences(text, long):
+def least_cuts(words, width, value):
+    """Where a row of words is cut: before each that has the least value of width consecutive ones, the first of equals."""
+    return {min(range(i, i + width), key=lambda j: (value(words[j]), j)) for i in range(len(words) - width + 1)}
+
+
+def sentences(text, long, piece=10, value=None):
+    out = []
+    for s in punctuated(text, long):
+        cuts = sorted(least_cuts([w[0] for w in s], piece, value) - {0}) if len(s) > piece else []
+        out += [s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True)]
+    return out
+
+
+def punctuated(text, long):
     spots = [(m.group().encode().translate(LOWER), m.start(), m.end()) for m in re.finditer(r"[^ \t-\r]+", text or "")]
     out, now = [], []
     for i, w in enumerate(spots):
@@ -76,8 +89,8 @@ def sentences(text, long):
     return out
 
 
-def span_removals(texts, least, least_words, long):
-    cut = {d: sentences(t, long) for d, t in texts.items()}
+def span_removals(texts, least, least_words, long, piece, value):
+    cut = {d: sentences(t, long, piece, value) for d, t in texts.items()}
     found, own = defaultdict(list), {}
     for d, s in cut.items():
         own[d] = []

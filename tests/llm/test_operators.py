@@ -1,5 +1,6 @@
 """Each operator against its plain version, and on odd rows and empty tables."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -424,13 +425,35 @@ def test_sentence_spans(spark, docs, texts, odd, none):
         extra[d] = f"Own start of {d}. " + t[: rng.randrange(50, 900)] + f"\nOwn end {d}, with some words."
     df = spark.createDataFrame(list(extra.items()), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: (r["_n"], r["_gone"]) for r in sentence_spans.remove_repeats(df).collect()}
-    want = brute.span_removals(extra, sentence_spans.SENTENCES, sentence_spans.WORDS, sentence_spans.LONG)
+    want = brute.span_removals(extra, sentence_spans.SENTENCES, sentence_spans.WORDS, sentence_spans.LONG, sentence_spans.PIECE, _word_hash)
     assert got == want and any(g for _, g in want.values())
     found = sentence_spans.remove_repeats(odd)
     assert found.count() == len(ODD) and found.filter("doc_id = 1").first()["text"] is None
     assert sentence_spans.remove_repeats(none).isEmpty()
 
 
+@functools.cache
+def _word_hash(word):
+    data = np.frombuffer(word, np.uint8)
+    return int(textnp.words(data, np.array([0, len(data)])).hash[0])
+
+
+def test_every_repeated_passage_of_fifty_words_is_hit(spark):
+    """Passages of 50 words without any punctuation, cut from one long sentence at any place, between words of their own."""
+    rng = random.Random(20)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    source = [word() for _ in range(400)]
+    texts = {0: " ".join(source)}
+    for d in range(1, 120):
+        at = rng.randrange(350)
+        texts[d] = " ".join([word() for _ in range(rng.randrange(30))] + source[at : at + 50] + [word() for _ in range(rng.randrange(30))])
+    got = {r["doc_id"]: r["text"] for r in sentence_spans.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[0] == texts[0]
+    for d in range(1, 120):
+        shared = len(set(texts[d].split()) & set(source))
+        assert len(set(got[d].split()) & set(source)) <= 0.55 * shared
+
+
 def test_output_names_give_way(spark):
     df = spark.createDataFrame([(1, "a line of words here", "s", "en", 1, 2, 3, 4)], "doc_id long, text string, source string, lang string, _n long, _gone long, _kept long, _topic long")
     assert sentence_spans.remove_repeats(df).first()["_gone"] == 0
