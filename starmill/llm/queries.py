@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, line_dedup, minhash_forest, mixing, quality, sentence_spans, suffix_index, tiling, token_counts, toxicity
+from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,8 @@ def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_documents(spark, sf_dir).select("doc_id", "text", "source", "lang"))
-    return found.select("doc_id", "source", "lang", *(F.col(f"_{c}").alias(c) for c in ("topic", "tokens", "weight", "probability", "sampled")))
+    rounded = [(F.round(f"_{c}", 9) + 0.0).alias(c) for c in ("weight", "probability")]
+    return found.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), *rounded, F.col("_sampled").alias("sampled"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +65,9 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"_n": "n_sentences", "_gone": "n_removed", "_bytes": "n_removed_bytes"})
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_tiling, op4_minhash_forest, op5_quality, op6_line_dedup, op7_suffix_index, op8_mixing, op9_fingerprints, op10_sentence_spans)}
-ORACLE_SQL: dict[str, str] = {}
+def check_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9 that SQL can express."""
+    return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_tiling, op4_minhash_forest, op5_quality, op6_line_dedup, op7_suffix_index, op8_mixing, op9_fingerprints, op10_sentence_spans, check_edits)}

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starmill.llm import fingerprints, line_dedup, minhash_forest, mixing, quality, queries, sentence_spans, suffix_index, textnp, tiling, token_counts, toxicity
+from starmill.llm.store import Store
 
 from . import brute
 from .conftest import ODD
@@ -378,9 +379,42 @@ def test_raking_equals_a_plain_loop(spark, docs):
             for k, v in w.items():
                 sums[k[i]] = sums.get(k[i], 0) + v
             w = {k: v * shares[i][k[i]] / sums[k[i]] if sums[k[i]] else 0.0 for k, v in w.items()}
-    for few in (True, False):
-        for r in mixing.rake(cells, few=few).collect():
+    store = Store(spark, "test")
+    for raked in (mixing.rake(cells), mixing._rake_by_sums(cells, None, mixing.ROUNDS, mixing.TEMPER, store)):
+        for r in raked.collect():
             assert r["weight"] == pytest.approx(w[tuple(r[a] for a in mixing.AXES)], abs=1e-9)
+    # the raked marginals are the targets
+    for i in range(3):
+        for x, share in shares[i].items():
+            assert sum(v for k, v in w.items() if k[i] == x) == pytest.approx(share, abs=0.02)
+
+
+def _plain_probabilities(cells, keep):
+    """Water filling by bisection: the scale at which the expected tokens are the budget."""
+    total = sum(t for t, _ in cells)
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        got = sum(min(t, mid * w) for t, w in cells if t)
+        lo, hi = (mid, hi) if got < keep * total else (lo, mid)
+    return [min(1.0, lo * w / t) if t else 1.0 for t, w in cells]
+
+
+def test_calibration_equals_bisection(spark):
+    rng = random.Random(12)
+    for n in (1, 7, 40):
+        rows = [(f"s{i}", "en", "", rng.randrange(0, 900), rng.random() ** 3) for i in range(n)]
+        whole = sum(r[4] for r in rows if r[3]) or 1.0
+        rows = [(*r[:4], r[4] / whole if r[3] else 0.0) for r in rows]
+        raked = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, weight double")
+        want = dict(zip([r[0] for r in rows], _plain_probabilities([r[3:] for r in rows], 0.5), strict=True))
+        for found in (mixing.calibrate(raked, 0.5), mixing._calibrate_by_sums(raked, 0.5, Store(spark, "test"))):
+            assert {r["source"]: r["probability"] for r in found.collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_mixing_of_many_cells_is_that_of_few(spark, docs):
+    few, many = (mixing.mix(docs, few=n).select("doc_id", F.round("_probability", 9).alias("p"), "_sampled").collect() for n in (mixing.FEW, 0))
+    assert sorted(few) == sorted(many)
 
 
 def test_mixing_odd(odd, none):
