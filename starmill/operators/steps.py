@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -103,21 +104,22 @@ def drift_kick_drift(pairs: DataFrame, steps: int, dt: float) -> DataFrame:
 
 
 def kepler(pairs: DataFrame, duration: float, eps: float = 1e-3) -> DataFrame:
-    """id and relative place and velocity after duration, by drift-kick-drift with steps of eps times the local dynamical time."""
+    """id and relative place and velocity after duration, by drift-kick-drift with steps of eps times the local dynamical time.
+
+    All rows of a batch step together; those that have reached the duration rest."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                pos, vel, t = [r.x, r.y, r.z], [r.vx, r.vy, r.vz], 0.0
-                while t < duration:
-                    dt = eps * math.sqrt(sum(c * c for c in pos) ** 1.5 / r.m)
-                    pos = [p + v * dt * 0.5 for p, v in zip(pos, vel, strict=True)]
-                    k = -r.m / sum(c * c for c in pos) ** 1.5 * dt
-                    vel = [v + k * p for p, v in zip(pos, vel, strict=True)]
-                    pos = [p + v * dt * 0.5 for p, v in zip(pos, vel, strict=True)]
-                    t += dt
-                rows.append((r.id, *pos, *vel))
-            yield pd.DataFrame(rows, columns=["id", "x", "y", "z", "vx", "vy", "vz"])
-
-    return pairs.mapInPandas(run, "id long, x double, y double, z double, vx double, vy double, vz double")
+            pos, vel, m = b[["x", "y", "z"]].to_numpy(float), b[["vx", "vy", "vz"]].to_numpy(float), b["m"].to_numpy(float)
+            t = np.zeros(len(b))
+            while len(live := np.flatnonzero(t < duration)):
+                r, v = pos[live], vel[live]
+                dt = eps * np.sqrt((r * r).sum(1) ** 1.5 / m[live])
+                r += v * (dt * 0.5)[:, None]
+                v -= r * (m[live] / (r * r).sum(1) ** 1.5 * dt)[:, None]
+                r += v * (dt * 0.5)[:, None]
+                pos[live], vel[live] = r, v
+                t[live] += dt
+            yield pd.DataFrame({"id": b["id"], **{c: pos[:, i] for i, c in enumerate(COORDS)}, **{f"v{c}": vel[:, i] for i, c in enumerate(COORDS)}})
+
+    return pairs.select("id", *COORDS, *[f"v{c}" for c in COORDS], "m").mapInPandas(run, "id long, x double, y double, z double, vx double, vy double, vz double")

@@ -65,10 +65,9 @@ def _solve_sql(rounds: int) -> str:
     return out + " SELECT id, " + r_sql("h", "h") + ", " + r_sql(f"sum(mass * ({_M4}))", "rho") + f", CAST(count(*) AS DOUBLE) AS nnb FROM pr{last} GROUP BY id, h"
 
 
-@query(_solve_sql(3))
+@query(_solve_sql(10))
 def solve_h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds; the operator's default is ten."""
-    found = density.solve_h(_with_h(spark, sf_dir), H, rounds=3).select("id", "h", "rho", "nnb")
+    found = density.solve_h(_with_h(spark, sf_dir), H).select("id", "h", "rho", "nnb")
     return rounded(found, "h", "rho")
 
 
