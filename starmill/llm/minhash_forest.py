@@ -310,6 +310,12 @@ def _sizes(a: str, b: str) -> Column:
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
 
+def _overlap(a: str, b: str, i: str, j: str) -> Column:
+    """Whether sets of a and b shingles whose first common one is the i-th and j-th rarest can still reach the threshold."""
+    least = F.ceil((F.col(a) + F.col(b)) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    return 1 + F.least(F.col(a) - F.col(i), F.col(b) - F.col(j)) >= least
+
+
 def large_regions(classes: DataFrame, regions: DataFrame, comps: DataFrame) -> DataFrame:
     """rep, n, id, d1, d2, comp of the classes in regions of more than REGION classes that hold several components. comps: rep, comp where it isn't rep."""
     large = regions.filter(F.col("n") > REGION).select("key")
@@ -342,7 +348,7 @@ def rare_pairs(some: DataFrame, sets: DataFrame) -> DataFrame:
     prefix = tokens.join(often, "key", "left").withColumn("at", F.row_number().over(order)).join(some.select("rep", "n", "comp"), "rep")
     least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
     prefix = prefix.filter((F.col("at") <= F.col("n") - least + 1) & (F.col("f") > 1))
-    return across(prefix.select("key", F.col("rep").alias("node"), F.col("n").alias("size"), "comp"), _sizes)
+    return across(prefix.select("key", F.col("rep").alias("node"), F.col("n").alias("size"), "comp", "at"), _sizes, at=_overlap)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
