@@ -55,6 +55,17 @@ def morton_inverse(key: Column) -> tuple[Column, Column, Column]:
     return undilate(F.shiftrightunsigned(key, 2)), undilate(F.shiftrightunsigned(key, 1)), undilate(key)
 
 
+def morton_checked(ix: Column, iy: Column, iz: Column) -> Column:
+    """The key of coordinates below 2**21, 63 bits; fails on larger or negative ones."""
+    fits = (F.greatest(ix, iy, iz) < (1 << 21)) & (F.least(ix, iy, iz) >= 0)
+    return F.when(fits, morton(ix, iy, iz)).otherwise(F.raise_error(F.lit("a coordinate does not fit into 21 bits")))
+
+
+def morton_position(key: Column, corner: dict[str, Column], cell: Column) -> dict[str, Column]:
+    """Place of the corner of a key's cell."""
+    return {c: corner[c] + i * cell for c, i in zip("xyz", morton_inverse(key), strict=True)}
+
+
 def octant(key: Column, level: int, levels: int = 20) -> Column:
     """Octal digit of a key of that many levels at a level from 1."""
     return F.shiftright(key, 3 * (levels - level)).bitwiseAND(7).cast("int")

@@ -100,3 +100,27 @@ def energy_drift(history: DataFrame, time: str = "t", energy: str = "e") -> Data
 def interaction_flops(found: DataFrame) -> DataFrame:
     """Totals and means of interactions and the floating-point work they stand for (65 a cell, 23 a body)."""
     return found.agg(F.sum("n_approx").alias("n_approx"), F.sum("n_direct").alias("n_direct"), F.avg("n_approx").alias("mean_approx"), F.avg("n_direct").alias("mean_direct")).withColumn("flops", 65 * F.col("n_approx") + 23 * F.col("n_direct"))
+
+
+def throughput(log: DataFrame) -> DataFrame:
+    """log (seconds, n, n_approx, n_direct: a row a step) with bodies and 10**12 operations a second (65 a cell, 23 a body)."""
+    return log.withColumns({"rate": F.try_divide("n", "seconds"), "tflops": F.try_divide((65 * F.col("n_approx") + 23 * F.col("n_direct")) / 1e12, F.col("seconds"))})
+
+
+def load_statistics(log: DataFrame, step: str = "step", seconds: str = "seconds") -> DataFrame:
+    """step, longest and mean time over the parts of each step, and the first over the second."""
+    per = log.groupBy(step).agg(F.max(seconds).alias("longest"), F.avg(seconds).alias("mean"))
+    return per.withColumn("imbalance", F.try_divide("longest", "mean"))
+
+
+def essential_cells(nodes: DataFrame, domains: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
+    """What domains (group_id, centre g*, half size e*) need of a tree: (cells taken whole, leaves whose bodies are sent), one row a domain and node."""
+    return walk(nodes, domains, start)
+
+
+def boundary_is_enough(boundary: DataFrame, domains: DataFrame) -> DataFrame:
+    """group_id, enough: whether a tree cut short (nodes with truncated) answers a domain without finer data: no cut node that isn't a leaf would be opened."""
+    cells = boundary.withColumnsRenamed({"is_leaf": "_leaf"}).withColumn("is_leaf", F.col("truncated"))
+    _, opened = walk(cells, domains, 0)
+    finer = opened.join(boundary.filter("truncated AND NOT is_leaf").select("level", "prefix_hi", "prefix_lo"), ["level", "prefix_hi", "prefix_lo"], "left_semi").select("group_id").distinct().withColumn("_finer", F.lit(True))
+    return domains.join(finer, "group_id", "left").select("group_id", F.col("_finer").isNull().alias("enough"))

@@ -80,6 +80,31 @@ def table_lookup(p: DataFrame, s: str, table: DataFrame, size: int) -> DataFrame
     return rows.withColumn("c", F.col("_v0") + (F.col("_at") - F.col("_i")) * (F.coalesce("_v1", "_v0") - F.col("_v0"))).drop("_at", "_i", "_v0", "_v1")
 
 
+def surface_lookup(p: DataFrame, s: str, t: str, table: DataFrame, width: int, height: int) -> DataFrame:
+    """p with c, the table's value (i, j, v) at s and t in 0..1: bilinear between four entries; the last column and row are only neighbours."""
+    at = {n: F.least(F.greatest(F.col(v), F.lit(0.0)), F.lit(1.0)) * (size - 2) for n, v, size in (("_s", s, width), ("_t", t, height))}
+    rows = p.withColumns(at)
+    rows = rows.withColumns({"_i": F.floor("_s").cast("long"), "_j": F.floor("_t").cast("long")})
+    for a in (0, 1):
+        for b in (0, 1):
+            corner = table.select((F.col("i") - a).alias("_i"), (F.col("j") - b).alias("_j"), F.col("v").alias(f"_v{a}{b}"))
+            rows = rows.join(F.broadcast(corner), ["_i", "_j"])
+    x, y = F.col("_s") - F.col("_i"), F.col("_t") - F.col("_j")
+    c = F.col("_v00") * (1 - x) * (1 - y) + F.col("_v10") * x * (1 - y) + F.col("_v01") * (1 - x) * y + F.col("_v11") * x * y
+    return rows.withColumn("c", c).select(*p.columns, "c")
+
+
+def add_layers(layers: DataFrame) -> DataFrame:
+    """pixel, r, alpha: the plain sums of all layers of a pixel, alpha at most 1."""
+    return layers.groupBy("pixel").agg(F.sum("r").alias("r"), F.least(F.sum("a"), F.lit(1.0)).alias("alpha"))
+
+
+def map_colours(grid: DataFrame, palette: DataFrame, size: int = 256, rows: str = "rho", columns: str = "v2") -> DataFrame:
+    """grid with r, g, b of the palette (i, j, r, g, b) at its two values, cut to whole numbers from 0 to size - 1."""
+    index = {k: F.least(F.greatest(F.col(v).cast("int"), F.lit(0)), F.lit(size - 1)) for k, v in (("i", rows), ("j", columns))}
+    return grid.withColumns(index).join(F.broadcast(palette), ["i", "j"]).drop("i", "j")
+
+
 def star_mass(u: Column, slope: float = -2.35, low: float = STAR_MASSES[-1], high: float = STAR_TOP) -> Column:
     """Mass of a power law between low and high at the quantile u."""
     k = slope + 1.0

@@ -34,8 +34,10 @@ def relative_to(p: DataFrame, where: str, order: str = "id") -> DataFrame:
     return p.crossJoin(F.broadcast(ref)).withColumns({c: F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0.0)) for c in PHASE}).select(*p.columns)
 
 
-def merge(a: DataFrame, b: DataFrame, pericentre: float, separation: float, mass_scale: float = 1.0, size_scale: float = 1.0, speed_scale: float = 1.0, spin_a=None, spin_b=None) -> DataFrame:
-    """Both galaxies, each centred and turned, on a parabola in the frame of their common centre of mass; column galaxy is 1 or 2."""
+def merge(a: DataFrame, b: DataFrame, pericentre: float, separation: float, mass_scale: float = 1.0, size_scale: float = 1.0, speed_scale: float = 1.0, spin_a=None, spin_b=None, new_ids: bool = False) -> DataFrame:
+    """Both galaxies, each centred and turned, on a parabola in the frame of their common centre of mass; column galaxy is 1 or 2.
+
+    With new_ids the second one's ids continue from the largest of the first, in order."""
     m1 = a.agg(F.sum("mass")).first()[0]
     m2 = b.agg(F.sum("mass")).first()[0] * mass_scale
     orbit = parabolic_encounter(m1, m2, pericentre, separation)
@@ -46,7 +48,22 @@ def merge(a: DataFrame, b: DataFrame, pericentre: float, separation: float, mass
         shift = {"x": orbit["x"], "y": orbit["y"], "z": 0.0, "vx": orbit["vx"], "vy": orbit["vy"], "vz": 0.0}
         moved = {c: F.col(c) * (vs if c[0] == "v" else ds) + mu * shift[c] for c in PHASE}
         sides.append(p.withColumns(moved | {"mass": F.col("mass") * ms}).withColumn("galaxy", F.lit(number)))
-    return sides[0].unionByName(sides[1])
+    return renumber(*sides) if new_ids else sides[0].unionByName(sides[1])
+
+
+def merge_tagged(a: DataFrame, b: DataFrame, turn_a: list[list[float]], turn_b: list[list[float]], offset: dict[str, float], sun: str | Column, centre: str | Column, sun_id: int = 29_999_999, centre_id: int = 29_999_998) -> DataFrame:
+    """Two galaxies, each turned, the second moved by offset (x .. vz), all about the common centre of mass; column galaxy is 1 or 2.
+
+    The first row of a (in order of id, before it is turned) that satisfies sun and the first of b that satisfies centre get ids of their own."""
+    one = rotated(tag_first(a, sun, sun_id), turn_a).withColumn("galaxy", F.lit(1))
+    two = rotated(tag_first(b, centre, centre_id), turn_b).withColumns({c: F.col(c) + offset[c] for c in PHASE}).withColumn("galaxy", F.lit(2))
+    return recentre(one.unionByName(two))
+
+
+def attribute_ranges(p: DataFrame, columns: list[str]) -> DataFrame:
+    """name, least, most of each attribute, in one pass."""
+    ends = p.agg(*[f(c).alias(f"{c}_{f.__name__}") for c in columns for f in (F.min, F.max)])
+    return ends.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}_min").cast("double").alias("least"), F.col(f"{c}_max").cast("double").alias("most")) for c in columns])).alias("r")).select("r.*")
 
 
 def renumber(a: DataFrame, b: DataFrame, order: str = "id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.views import COORDS
-from .cut import numbered
+from .cut import numbered, running_sum
 
 
 def range_cuts(keyed: DataFrame, parts: int, key: str = "key_hi") -> DataFrame:
@@ -91,3 +91,35 @@ def visibility(boxes: DataFrame, eye: tuple[float, float, float]) -> DataFrame:
         gap = F.greatest(F.coalesce(F.col(f"low_{c}") - e, F.lit(0.0)), F.coalesce(e - F.col(f"high_{c}"), F.lit(0.0)), F.lit(0.0))
         d2 = d2 + gap * gap
     return boxes.withColumn("d2", d2).select("box", "d2", F.row_number().over(Window.orderBy("d2", "box")).cast("long").alias("place"))
+
+
+def weighted_cuts(keyed: DataFrame, parts: int, weight: str, key: str = "key_hi") -> DataFrame:
+    """part, low: cuts of keyed rows (with rn) into stretches of equal weight; a part begins with the first row before which its share of the weight lies."""
+    rows = running_sum(keyed.select("rn", F.col(key).alias("low"), F.col(weight).alias("_w")), "_w", "_sum").withColumn("_before", F.col("_sum") - F.col("_w"))
+    total = rows.agg(F.sum("_w").alias("_all"))
+    part = F.least(F.floor(F.col("_before") * parts / F.col("_all")).cast("long"), F.lit(parts - 1))
+    placed = rows.crossJoin(F.broadcast(total)).withColumn("part", part)
+    return placed.groupBy("part").agg(F.min(F.struct("rn", "low")).alias("_m")).select("part", F.col("_m.low").alias("low"))
+
+
+def two_stage_cuts(keyed: DataFrame, first: int, second: int, key: str = "key_hi") -> DataFrame:
+    """stage1, stage2, low: keyed rows (with rn) cut into first stretches, and each of those into second ones, all by equal counts."""
+    n = keyed.agg(F.count("*").alias("n"))
+    rows = keyed.sparkSession.range(first * second).crossJoin(F.broadcast(n))
+    a, b = F.floor(F.col("id") / second).cast("long"), F.col("id") % second
+    lo, hi = F.floor(a * F.col("n") / first).cast("long"), F.floor((a + 1) * F.col("n") / first).cast("long")
+    rows = rows.select(a.alias("stage1"), b.alias("stage2"), (lo + F.floor(b * (hi - lo) / second).cast("long") + 1).alias("rn"))
+    return rows.join(keyed.select("rn", F.col(key).alias("low")), "rn").select("stage1", "stage2", "low")
+
+
+def distribute(p: DataFrame, boxes: DataFrame, parts: int | None = None, hfac: float = 2.0) -> DataFrame:
+    """All columns of p (with h) with box and own: every body in each box its ball meets, rows dealt to partitions by box."""
+    placed = replicate_halo(p, boxes, hfac)
+    rows = p.join(placed, "id")
+    return rows.repartition(parts, "box") if parts else rows.repartition("box")
+
+
+def domain_bounds(distributed: DataFrame) -> DataFrame:
+    """box, its own and foreign bodies, and the range of all of them."""
+    own = F.col("own").cast("long")
+    return distributed.groupBy("box").agg(F.sum(own).alias("n_own"), F.sum(1 - own).alias("n_halo"), *[f(c).alias(f"{c}{f.__name__}") for c in COORDS for f in (F.min, F.max)])

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.physics import hash31
 from .cut import numbered, running_sum
 
 
@@ -53,6 +54,12 @@ def exclusive_scan(p: DataFrame, value: str, order: str = "id", name: str = "sca
     return running_sum(rows, value, "_sum", "_rn").withColumn(name, F.col("_sum") - F.col(value)).drop("_sum", "_rn")
 
 
+def shuffled(p: DataFrame, seed: int = 0, order: str = "id") -> DataFrame:
+    """p with place, its number in an order that a hash of the id (and the seed) gives; the same on every run."""
+    mixed = hash31(F.col(order) + seed)
+    return numbered(p.withColumn("_mix", mixed), "_mix", order, name="place").drop("_mix")
+
+
 def admitted(p: DataFrame, cost: str, limit: float, order: str = "id") -> DataFrame:
     """p with admitted: whether the running cost up to the row stays within limit; the first row always is."""
     rows = numbered(p, order, name="_rn")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import physics
-from ..functions.sfc import prefix
+from ..functions.sfc import grid_coordinates, morton, prefix, sfc_keys
 from .cut import cut, numbered, running_sum
 
 LEAF, MIN_NODES, GROUP, DEEPEST = 16, 16, 64, 29
@@ -164,3 +164,41 @@ def runs_of(keyed: DataFrame, level: int) -> DataFrame:
     tagged = keyed.withColumns({"_hi": hi, "_lo": lo})
     ends = tagged.groupBy("_hi", "_lo").agg(F.min("rn").alias("_a"), F.max("rn").alias("_b"))
     return tagged.join(ends, ["_hi", "_lo"]).withColumns({"head": F.col("rn") == F.col("_a"), "tail": F.col("rn") == F.col("_b")}).drop("_hi", "_lo", "_a", "_b")
+
+
+def insertion_tree(p: DataFrame, limit: int = 32) -> DataFrame:
+    """level, prefix_hi, prefix_lo, n, is_leaf of the tree that splits a node as soon as it has limit bodies, on truncated Morton keys of 20 levels. Nodes without bodies have no row."""
+    grid = grid_coordinates(p, 20, exact=True)
+    keys = grid.select("id", morton(F.col("ix"), F.col("iy"), F.col("iz")).alias("key_hi"), F.lit(0).cast("long").alias("key_lo"))
+    return build_nodes(keys, limit - 1, start=-1)
+
+
+def small_nodes(nodes: DataFrame, ncrit: int) -> DataFrame:
+    """The highest nodes of fewer than ncrit bodies: those whose parent, if any, has as many or more."""
+    p_hi, p_lo = parent()
+    up = nodes.filter(F.col("n") >= ncrit).select((F.col("level") + 1).alias("level"), F.col("prefix_hi").alias("u_hi"), F.col("prefix_lo").alias("u_lo"))
+    few = nodes.filter(F.col("n") < ncrit).withColumns({"u_hi": p_hi, "u_lo": p_lo})
+    return few.filter("level = 0").drop("u_hi", "u_lo").unionByName(few.filter("level > 0").join(up, ["level", "u_hi", "u_lo"], "left_semi").drop("u_hi", "u_lo"))
+
+
+def level_list(nodes: DataFrame) -> DataFrame:
+    """level, first and last number of its nodes when all are numbered level by level along the curve."""
+    counts = nodes.groupBy("level").agg(F.count("*").alias("n"))
+    # one row a level
+    before = F.coalesce(F.sum("n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counts.select("level", (before + 1).alias("first"), (before + F.col("n")).alias("last"))
+
+
+def group_tree(boxes: DataFrame, nleaf: int = LEAF, min_nodes: int = 8) -> DataFrame:
+    """Tree over groups (boxes of ``group_boxes`` with their mass and com_*): nodes with mass, centre of mass and the box around the groups' boxes."""
+    centres = boxes.select(F.col("group_id").alias("id"), *[F.col(f"g{c}").alias(c) for c in "xyz"], *[F.col(f"e{c}") for c in "xyz"], "mass", *[F.col(f"com_{c}") for c in "xyz"])
+    keys = cut(sfc_keys(centres))
+    nodes = build_nodes(keys, nleaf, min_nodes)
+    placed = leaf_of(keys, nodes)
+    up = placed.withColumnRenamed("level", "_leaf").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_leaf"))))
+    hi, lo = prefix(F.col("level"))
+    m = F.col("mass")
+    sums = up.withColumns({"prefix_hi": hi, "prefix_lo": lo}).groupBy("level", "prefix_hi", "prefix_lo").agg(
+        F.sum(m).alias("mass"), *[F.try_divide(F.sum(m * F.col(f"com_{c}")), F.sum(m)).alias(f"com_{c}") for c in "xyz"], *[F.min(F.col(c) - F.col(f"e{c}")).alias(f"low_{c}") for c in "xyz"], *[F.max(F.col(c) + F.col(f"e{c}")).alias(f"high_{c}") for c in "xyz"]
+    )
+    return nodes.join(sums, ["level", "prefix_hi", "prefix_lo"])
