@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import dynamics, fields, layout, pictures, shapes, trees  # noqa: F401
+    from . import dynamics, fields, files, layout, pictures, shapes, trees  # noqa: F401
 
     return dict(_queries)
 

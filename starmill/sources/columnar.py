@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids
-from .files import write_stream
+from ..operators.merging import sane_time
+from . import files
+from .files import write_partitions
 
 INFO = struct.Struct("<256sQqi4x")
 VERSION = b"V2".ljust(16, b"\0")
+STEP = 1 << 20
 #: Fields of a population and what they hold.
 FIELDS = {"IDType": ("<u8", 1), "POS:real4": ("<f4", 4), "VEL:float[3]": ("<f4", 3), "RHOH:float[2]": ("<f4", 2)}
 
@@ -32,15 +35,6 @@ def fields(content: bytes) -> tuple[float, dict[str, tuple[int, int, int]]]:
     return struct.unpack_from("<f" if version == b"V1" else "<d", content, at)[0], found
 
 
-def column(content: bytes, info: tuple[int, int, int], kind: str, width: int) -> np.ndarray | None:
-    """The array of a field; None if its element size is not the one asked for."""
-    size, offset, ranks = info
-    if size != np.dtype(kind).itemsize * width:
-        return None
-    n = int(np.frombuffer(content, "<i8", ranks, offset).sum())
-    return np.frombuffer(content, kind, n * width, offset + 8 * ranks).reshape(n, width)
-
-
 def encode(arrays: dict[str, np.ndarray], time: float) -> bytes:
     """One file; raises ValueError on a repeated name (names are compared without their case)."""
     if len({k.lower() for k in arrays}) < len(arrays):
@@ -67,48 +61,125 @@ def list_fields(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, name string, element_size long, rows long")
 
 
-def read_columnar(spark: SparkSession, path: str, reduce: int = 1, reduce_dark: int = 1, reduce_star: int = 1, scale_mass: bool = True) -> DataFrame:
-    """gid, ptype, x .. vz, mass, rho, h, time of both populations; fields that are missing or of another size give NULL.
+def header(path: str) -> tuple[float, dict[str, tuple[int, int, int]]]:
+    """``fields`` of a file on the executor, reading its first bytes and its end only."""
+    with files.open_input(path) as f:
+        at = struct.unpack("<q", f.read_at(8, 0))[0]
+        tail = f.read_at(f.size() - at, at)
+    return fields(struct.pack("<q", 8) + tail)
 
-    Rows 0, k, 2 k ... of each population of a file are kept (0 drops it); their mass is scaled by k unless scale_mass is False."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c in b.column(0).to_pylist():
-                time, found = fields(c)
-                for prefix, k in (("DM:", reduce * reduce_dark), ("Stars:", reduce * reduce_star)):
-                    if k == 0 or prefix + "IDType" not in found:
-                        continue
-                    got = {f: column(c, found[prefix + f], *how) if prefix + f in found else None for f, how in FIELDS.items()}
-                    n = len(range(0, len(got["IDType"]), k))
-                    pick = lambda f, i: pa.nulls(n, pa.float64()) if got[f] is None else pa.array(got[f][::k, i].astype(float))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(got["IDType"][::k, 0].view(np.int64)), *(pick("POS:real4", i) for i in range(3)), *(pick("VEL:float[3]", i) for i in range(3)), pick("POS:real4", 3), *(pick("RHOH:float[2]", i) for i in range(2)), pa.array(np.full(n, float(time))), pa.array(np.full(n, float(k)))], names=["packed", "x", "y", "z", "vx", "vy", "vz", "mass", "rho", "h", "time", "k"])
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "packed long, x double, y double, z double, vx double, vy double, vz double, mass double, rho double, h double, time double, k double")
+def _row_counts(read, info: tuple[int, int, int]) -> int:
+    return int(np.frombuffer(read(info[1], 8 * info[2]), "<i8").sum())
+
+
+def read_columnar(spark: SparkSession, path: str, reduce: int = 1, reduce_dark: int = 1, reduce_star: int = 1, scale_mass: bool = True, step: int = STEP) -> DataFrame:
+    """gid, ptype, x .. vz, mass, rho, h, time of both populations; fields that are missing or of another size give NULL.
+
+    Rows 0, k, 2 k ... of each population of a file are kept (0 drops it); their mass is scaled by k unless scale_mass is False. Where executors
+    can seek, a task reads step rows of each field, however large the file and however many writers it had."""
+    kinds = (("DM:", reduce * reduce_dark), ("Stars:", reduce * reduce_star))
+
+    def rows_of(read, found: dict, prefix: str, k: int, lo: int, hi: int, time: float) -> pa.RecordBatch:
+        lo += -lo % k
+        n = len(range(lo, hi, k))
+
+        def part(name: str) -> np.ndarray | None:
+            kind, width = FIELDS[name]
+            info = found.get(prefix + name)
+            if info is None or info[0] != np.dtype(kind).itemsize * width:
+                return None
+            raw = read(info[1] + 8 * info[2] + lo * info[0], (hi - lo) * info[0]) if hi > lo else b""
+            return np.frombuffer(raw, kind).reshape(-1, width)[::k]
+
+        got = {f: part(f) for f in FIELDS}
+        pick = lambda f, i: pa.nulls(n, pa.float64()) if got[f] is None else pa.array(got[f][:, i].astype(float))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(got["IDType"][:, 0].copy().view(np.int64)), *(pick("POS:real4", i) for i in range(3)), *(pick("VEL:float[3]", i) for i in range(3)), pick("POS:real4", 3), *(pick("RHOH:float[2]", i) for i in range(2)), pa.array(np.full(n, time)), pa.array(np.full(n, float(k)))],
+            names=["packed", "x", "y", "z", "vx", "vy", "vz", "mass", "rho", "h", "time", "k"],
+        )
+
+    schema = "packed long, x double, y double, z double, vx double, vy double, vz double, mass double, rho double, h double, time double, k double"
+    live = [(prefix, k) for prefix, k in kinds if k]
+    if files.direct(path):
+
+        def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for p in b.column(0).to_pylist():
+                    _, found = header(p)
+                    read = lambda at, n: files.read_range(p, at, n)  # noqa: B023, E731
+                    spans = [(p, prefix, k, lo, min(lo + step, n)) for prefix, k in live if prefix + "IDType" in found for n in [_row_counts(read, found[prefix + "IDType"])] for lo in range(0, n, step)]
+                    yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], type=t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["file", "prefix", "k", "lo", "hi"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    time, found = header(r["file"])
+                    yield rows_of(lambda at, n: files.read_range(r["file"], at, n), found, r["prefix"], r["k"], r["lo"], r["hi"], time)  # noqa: B023
+
+        spans = files.file_table(spark, path).select("file").mapInArrow(plan, "file string, prefix string, k long, lo long, hi long")
+        rows = spans.repartition("file", "prefix", "lo").mapInArrow(run, schema)
+    else:
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for c in b.column(0).to_pylist():
+                    time, found = fields(c)
+                    read = lambda at, n: c[at : at + n]  # noqa: B023, E731
+                    for prefix, k in live:
+                        if prefix + "IDType" in found:
+                            yield rows_of(read, found, prefix, k, 0, _row_counts(read, found[prefix + "IDType"]), time)
+
+        rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(whole, schema)
     kind, local = ids.unpack(F.col("packed"))
     gid = local + F.when(kind == 0, F.lit(ids.DARK_BASE)).when(kind == 1, F.lit(ids.BULGE_BASE)).otherwise(F.lit(0).cast("long"))
     mass = F.col("mass") * F.col("k") if scale_mass else F.col("mass")
-    return rows.select(gid.alias("gid"), kind.alias("ptype"), "x", "y", "z", "vx", "vy", "vz", mass.alias("mass"), "rho", "h", "time")
+    return rows.select(gid.alias("gid"), kind.alias("ptype"), "x", "y", "z", "vx", "vy", "vz", mass.alias("mass"), "rho", "h", sane_time(F.col("time")).alias("time"))
 
 
-def write_columnar(p: DataFrame, path: str, time: float = 0.0) -> None:
-    """A folder of files, one for each partition, each with the dark and star populations of its rows."""
-    spark = p.sparkSession
+def write_columnar(p: DataFrame, path: str, time: float = 0.0) -> list[tuple[str, int]]:
+    """A folder of files, one for each partition and written by its task, each with the dark and star populations of its rows; returns names and sizes."""
     rows = p.withColumn("packed", ids.pack(F.col("ptype"), ids.local_id(F.col("gid"))))
     for c in ("rho", "h"):
         rows = rows if c in p.columns else rows.withColumn(c, F.lit(0.0))
 
+    def content(t: pa.Table) -> bytes:
+        dark = t["ptype"].to_numpy() == 0
+        arrays = {}
+        for prefix, ok in (("DM:", dark), ("Stars:", ~dark)):
+            col = lambda *names: np.column_stack([t[c].to_numpy() for c in names]).astype("<f4")[ok]  # noqa: B023, E731
+            arrays |= {prefix + "IDType": t["packed"].to_numpy().view("<u8")[ok], prefix + "POS:real4": col("x", "y", "z", "mass"), prefix + "VEL:float[3]": col("vx", "vy", "vz"), prefix + "RHOH:float[2]": col("rho", "h")}
+        return encode(arrays, time)
+
+    return write_partitions(rows.select("packed", "ptype", "x", "y", "z", "vx", "vy", "vz", "mass", "rho", "h"), path, "part-{:05d}.snap", content)
+
+
+#: A body of a gas dump, packed.
+GAS = np.dtype([*[(n, "<f8") for n in ("x", "y", "z", "am", "hp", "rho", "vx", "vy", "vz", "vxdot", "vydot", "vzdot", "u", "udot", "grpot", "mmu")], ("cc", "<i4"), ("divv", "<f8")])
+GAS_FIELD = "SPH:data:jamieData_t"
+
+
+def read_gas(spark: SparkSession, path: str, reduce: int = 1, step: int = STEP) -> DataFrame:
+    """file, row, packed id (row number of the kept rows, type 1), x, y, z, speed, rho, h of the gas bodies of dump files; every reduce-th row from the first."""
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                info = header(p)[1].get(GAS_FIELD)
+                if info is None or info[0] != GAS.itemsize:
+                    raise ValueError(f"{p} holds no gas bodies")
+                n = _row_counts(lambda at, size: files.read_range(p, at, size), info)  # noqa: B023
+                lows = list(range(0, n, step))
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(lows), type=pa.string()), pa.array(lows, type=pa.int64()), pa.array([min(a + step, n) for a in lows], type=pa.int64()), pa.array([info[1] + 8 * info[2]] * len(lows), type=pa.int64())], names=["file", "lo", "hi", "base"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if whole:
-            t = pa.Table.from_batches(whole)
-            dark = t["ptype"].to_numpy() == 0
-            arrays = {}
-            for prefix, ok in (("DM:", dark), ("Stars:", ~dark)):
-                col = lambda *names: np.column_stack([t[c].to_numpy() for c in names]).astype("<f4")[ok]  # noqa: B023, E731
-                arrays |= {prefix + "IDType": t["packed"].to_numpy().view("<u8")[ok], prefix + "POS:real4": col("x", "y", "z", "mass"), prefix + "VEL:float[3]": col("vx", "vy", "vz"), prefix + "RHOH:float[2]": col("rho", "h")}
-            yield pa.RecordBatch.from_arrays([pa.array([encode(arrays, time)], type=pa.binary())], names=["content"])
-
-    files = rows.select("packed", "ptype", "x", "y", "z", "vx", "vy", "vz", "mass", "rho", "h").mapInArrow(run, "content binary")
-    for i, r in enumerate(files.toLocalIterator()):
-        write_stream(spark, f"{path.rstrip('/')}/part-{i:05d}.snap", [bytes(r["content"])])
+        for b in batches:
+            for r in b.to_pylist():
+                lo = r["lo"] + -r["lo"] % reduce
+                rows = np.frombuffer(files.read_range(r["file"], r["base"] + lo * GAS.itemsize, max(0, r["hi"] - lo) * GAS.itemsize), GAS)[::reduce]
+                speed = np.sqrt(rows["vx"] ** 2 + rows["vy"] ** 2 + rows["vz"] ** 2)
+                yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(rows), type=pa.string()), pa.array(lo // reduce + np.arange(len(rows))), *(pa.array(rows[c].copy()) for c in "xyz"), pa.array(speed), pa.array(rows["rho"].copy()), pa.array(rows["hp"].copy())], names=["file", "row", "x", "y", "z", "speed", "rho", "h"])
+
+    spans = files.file_table(spark, path).select("file").mapInArrow(plan, "file string, lo long, hi long, base long")
+    rows = spans.repartition("file", "lo").mapInArrow(run, "file string, row long, x double, y double, z double, speed double, rho double, h double")
+    return rows.withColumn("packed", ids.pack(F.lit(1), F.col("row")))

@@ -1,17 +1,62 @@
-"""Byte streams to any file system Spark knows."""
+"""Byte ranges and streams of files on any file system that Spark, or on the executors Arrow, knows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from urllib.parse import urlparse
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+
+#: Schemes that executors read and write by themselves; other files pass through Spark's reader whole, and through the driver.
+DIRECT = ("", "file", "hdfs", "s3", "gs")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(address, bytes) of the files of a path, a folder or a glob, by name; hidden ones are left out."""
+    p, system = _hadoop(spark, path)
+    found = []
+    for status in system.globStatus(p) or []:
+        inner = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [(str(s.getPath()), int(s.getLen())) for s in inner if s.isFile() and str(s.getPath().getName())[0] not in "._"]
+    return sorted(found)
+
+
+def direct(path: str) -> bool:
+    return urlparse(path).scheme in DIRECT
+
+
+def open_input(path: str) -> pa.NativeFile:
+    """A file that can seek, on the executor."""
+    system, inner = fs.FileSystem.from_uri(path if urlparse(path).scheme else f"file://{path}")
+    return system.open_input_file(inner)
+
+
+def read_range(path: str, offset: int, size: int) -> bytes:
+    with open_input(path) as f:
+        return f.read_at(size, offset)
+
+
+def file_table(spark: SparkSession, path: str) -> DataFrame:
+    """file, size: a row a file, a task each up to the cluster's cores; raises FileNotFoundError if there is none."""
+    files = list_files(spark, path)
+    if not files:
+        raise FileNotFoundError(path)
+    return spark.createDataFrame(files, "file string, size long").repartition(len(files))
 
 
 def write_stream(spark: SparkSession, path: str, *parts: Iterable[bytes]) -> int:
-    """Write the parts one after another to one file; returns the bytes written."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    """Write the parts one after another to one file, by the driver; returns the bytes written."""
+    target, system = _hadoop(spark, path)
+    out = system.create(target, True)
     total = 0
     try:
         for block in chain(*parts):
@@ -20,3 +65,39 @@ def write_stream(spark: SparkSession, path: str, *parts: Iterable[bytes]) -> int
     finally:
         out.close()
     return total
+
+
+def write_partitions(df: DataFrame, folder: str, name: str, encode: Callable[[pa.Table], bytes]) -> list[tuple[str, int]]:
+    """A file for each partition that has rows, encoded and written where the partition is; returns (address, bytes) of all.
+
+    A task writes under a name of its own; the driver gives the files of the tasks that count their names, so a repeated or lost task leaves
+    no second copy. Only names and sizes reach the driver."""
+    spark, folder = df.sparkSession, folder.rstrip("/")
+    job = uuid.uuid4().hex
+    _hadoop(spark, folder)[1].mkdirs(_hadoop(spark, folder)[0])
+    by_task = direct(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        whole = [b for b in batches if b.num_rows]
+        if not whole:
+            return
+        content = encode(pa.Table.from_batches(whole))
+        number, at = TaskContext.get().partitionId(), f"{folder}/_{job}-{uuid.uuid4().hex}"
+        if by_task:
+            system, inner = fs.FileSystem.from_uri(at if urlparse(at).scheme else f"file://{at}")
+            with system.open_output_stream(inner) as out:
+                out.write(content)
+        yield pa.RecordBatch.from_arrays([pa.array([number], type=pa.int64()), pa.array([at]), pa.array([len(content)], type=pa.int64()), pa.array([None if by_task else content], type=pa.binary())], names=["part", "file", "size", "content"])
+
+    written = []
+    for i, r in enumerate(df.mapInArrow(run, "part long, file string, size long, content binary").orderBy("part").toLocalIterator()):
+        target = f"{folder}/{name.format(i)}"
+        if by_task:
+            p, system = _hadoop(spark, r["file"])
+            system.rename(p, _hadoop(spark, target)[0])
+        else:
+            write_stream(spark, target, [bytes(r["content"])])
+        written.append((target, r["size"]))
+    return written

@@ -35,6 +35,23 @@ def read_ascii(spark: SparkSession, path: str, reduce: int = 1) -> DataFrame:
     return out.withColumn("mass", F.col("mass") * float(reduce))
 
 
+def read_component_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """halo, bulge, disk: the whole numbers of the first line; what follows is not read."""
+    parts = F.split("line", _NUMBERS)
+    return _lines(spark, path).filter("no = 1").select(*[parts[i].cast("long").alias(c) for i, c in enumerate(("halo", "bulge", "disk"))])
+
+
+def organise(p: DataFrame, folder: str, by: str = "time", rows: int = 1_000_000) -> None:
+    """Rows as Parquet, a folder for each value of by and files of at most so many rows."""
+    p.repartition(by).write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(by).parquet(folder)
+
+
+def gather_logs(logs: DataFrame, folder: str, per: int) -> None:
+    """Log lines (rank, line, text) as text, one folder for each row of per ranks, in order of rank and line."""
+    rows = logs.withColumn("row", F.floor(F.col("rank") / per).cast("long"))
+    rows.repartition("row").sortWithinPartitions("row", "rank", "line").select("row", "text").write.mode("overwrite").partitionBy("row").text(folder)
+
+
 def read_density_input(spark: SparkSession, path: str) -> DataFrame:
     """id, x, y, z, h, nnb after a first line of two integers."""
     parts = F.split("line", _NUMBERS)

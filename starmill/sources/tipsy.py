@@ -11,50 +11,84 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import ids
 from ..operators.cut import numbered
 from ..operators.sampling import sample_every
+from ..operators.merging import sane_time
+from . import files
 from .files import write_stream
 
 HEADER = np.dtype([("time", "<f8"), ("n", "<i4"), ("ndim", "<i4"), ("nsph", "<i4"), ("ndark", "<i4"), ("nstar", "<i4"), ("version", "<i4")])
 _COMMON = [("mass", "<f4"), ("pos", "<f4", 3), ("vel", "<f4", 3)]
 DARK_RECORD = np.dtype([*_COMMON, ("id", "<u8")])
 STAR_RECORD = np.dtype([*_COMMON, ("metals", "<f4"), ("tform", "<f4"), ("id", "<u8")])
-FAR = -1e11
+FAR, STEP = -1e11, 1 << 20
 SCHEMA = "file string, pos long, time double, version int, is_dark boolean, raw_id long, x double, y double, z double, vx double, vy double, vz double, mass double"
 
 
-def parse(content: bytes) -> tuple[np.void, np.ndarray, np.ndarray]:
-    """(header, dark records, star records); raises ValueError if the counts do not fit."""
+def parse_header(content: bytes) -> np.void:
+    """The header; raises ValueError if the counts do not fit."""
     head = np.frombuffer(content, HEADER, 1)[0]
     if head["nsph"] != 0 or head["n"] != head["ndark"] + head["nstar"]:
         raise ValueError("gas records or inconsistent counts in a snapshot header")
-    dark = np.frombuffer(content, DARK_RECORD, int(head["ndark"]), HEADER.itemsize)
-    return head, dark, np.frombuffer(content, STAR_RECORD, int(head["nstar"]), HEADER.itemsize + dark.nbytes)
+    return head
 
 
-def _columns(path: str, content: bytes) -> pa.RecordBatch:
-    head, dark, star = parse(content)
-    n = len(dark) + len(star)
-    both = lambda f: np.concatenate([dark[f], star[f]])
-    raw = both("id")
+def _columns(path: str, head: np.void, rows: np.ndarray, first: int, dark: bool) -> pa.RecordBatch:
+    n, raw = len(rows), rows["id"]
     if head["version"] != 2:
         raw = (raw >> np.uint64(32)).astype(np.uint32).astype(np.uint64)  # the second of the two words
-    pos, vel = both("pos").astype(float), both("vel").astype(float)
+    pos, vel = rows["pos"].astype(float), rows["vel"].astype(float)
     return pa.RecordBatch.from_arrays(
-        [pa.array([path] * n), pa.array(np.arange(1, n + 1)), pa.array(np.full(n, head["time"])), pa.array(np.full(n, head["version"])), pa.array(np.arange(n) < len(dark)), pa.array(raw.view(np.int64)), *(pa.array(pos[:, i].copy()) for i in range(3)), *(pa.array(vel[:, i].copy()) for i in range(3)), pa.array(both("mass").astype(float))],
+        [pa.array([path] * n, type=pa.string()), pa.array(np.arange(first, first + n)), pa.array(np.full(n, head["time"])), pa.array(np.full(n, head["version"])), pa.array(np.full(n, dark)), pa.array(raw.view(np.int64)), *(pa.array(pos[:, i].copy()) for i in range(3)), *(pa.array(vel[:, i].copy()) for i in range(3)), pa.array(rows["mass"].astype(float))],
         names=[c.split()[0] for c in SCHEMA.split(", ")],
     )
 
 
-def read_tipsy(spark: SparkSession, path: str, reduce: int = 1, reduce_dark: int | None = None, reduce_star: int | None = None) -> DataFrame:
-    """gid, ptype, x .. vz, mass, time of one file or of a set of files (a glob; one task reads one file).
+def _spans(head: np.void, step: int) -> Iterator[tuple[bool, int, int, int, int]]:
+    """(dark, first row of the file from 1, rows, byte offset, bytes) of stretches of at most step records of one kind."""
+    at, first = HEADER.itemsize, 1
+    for dark, n, record in ((True, int(head["ndark"]), DARK_RECORD), (False, int(head["nstar"]), STAR_RECORD)):
+        for lo in range(0, n, step):
+            count = min(step, n - lo)
+            yield dark, first + lo, count, at + lo * record.itemsize, count * record.itemsize
+        at, first = at + n * record.itemsize, first + n
 
-    Rows with z below -1e11 are dropped. reduce: every k-th row by file position, mass times k; reduce_dark and reduce_star count each kind apart and 0 drops the kind."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(spark: SparkSession, path: str, step: int) -> DataFrame:
+    """All records of all files. Where executors can seek, a task reads a stretch of records, whatever the size of the file."""
+    if not files.direct(path):
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    head = parse_header(content)
+                    for dark, first, count, offset, _ in _spans(head, step):
+                        yield _columns(p, head, np.frombuffer(content, DARK_RECORD if dark else STAR_RECORD, count, offset), first, dark)
+
+        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(whole, SCHEMA)
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield _columns(p, content)
+            for p in batch.column(0).to_pylist():
+                head = files.read_range(p, 0, HEADER.itemsize)
+                spans = list(_spans(parse_header(head), step))
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(spans), type=pa.string()), pa.array([head] * len(spans), type=pa.binary()), *(pa.array([s[i] for s in spans], type=t) for i, t in enumerate((pa.bool_(), *[pa.int64()] * 4)))], names=["file", "head", "dark", "first", "count", "offset", "size"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows = np.frombuffer(files.read_range(r["file"], r["offset"], r["size"]), DARK_RECORD if r["dark"] else STAR_RECORD)
+                if len(rows) != r["count"]:
+                    raise ValueError(f"{r['file']} ends before its last record")
+                yield _columns(r["file"], parse_header(r["head"]), rows, r["first"], r["dark"])
+
+    spans = files.file_table(spark, path).select("file").mapInArrow(plan, "file string, head binary, dark boolean, first long, count long, offset long, size long")
+    return spans.repartition("file", "offset").mapInArrow(read, SCHEMA)
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA).filter(F.col("z") >= FAR)
+
+def read_tipsy(spark: SparkSession, path: str, reduce: int = 1, reduce_dark: int | None = None, reduce_star: int | None = None, step: int = STEP) -> DataFrame:
+    """gid, ptype, x .. vz, mass, time of one file, a folder or a glob; tasks read stretches of at most step records.
+
+    Rows with z below -1e11 are dropped, and absurd times are 0. reduce: every k-th row by file position, mass times k; reduce_dark and reduce_star count each kind apart and 0 drops the kind."""
+    rows = _records(spark, path, step).filter(F.col("z") >= FAR).withColumn("time", sane_time(F.col("time")))
     if reduce > 1:
         rows = rows.filter(F.col("pos") % reduce == 0).withColumn("mass", F.col("mass") * float(reduce))
     if reduce_dark is not None or reduce_star is not None:
@@ -69,6 +103,30 @@ def count_tipsy(spark: SparkSession, path: str) -> DataFrame:
     return read_tipsy(spark, path).groupBy((F.col("ptype") == 0).alias("is_dark")).agg(F.count("*").alias("n"))
 
 
+def _encode(t: pa.Table, time: float, version: int) -> bytes:
+    """One file of the rows of a table: dark ones, then stars, each in their order."""
+    star = t["ptype"].to_numpy() != 0
+    head = np.zeros(1, HEADER)
+    head["time"], head["ndim"], head["version"] = time, 3, version
+    head["ndark"], head["nstar"], head["n"] = (~star).sum(), star.sum(), len(star)
+    out = [head.tobytes()]
+    for ok, record in ((~star, DARK_RECORD), (star, STAR_RECORD)):
+        block = np.zeros(int(ok.sum()), record)
+        raw = t["gid"].to_numpy()[ok].view(np.uint64)
+        block["id"] = raw if version == 2 else raw << np.uint64(32)
+        block["mass"] = t["mass"].to_numpy()[ok]
+        for i, c in enumerate("xyz"):
+            block["pos"][:, i], block["vel"][:, i] = t[c].to_numpy()[ok], t[f"v{c}"].to_numpy()[ok]
+        out.append(block.tobytes())
+    return b"".join(out)
+
+
+def write_tipsy_parts(p: DataFrame, folder: str, time: float = 0.0, version: int = 2) -> list[tuple[str, int]]:
+    """A file for each partition, written by its task; returns names and sizes. Version 1 keeps ids (gid) of 32 bits in the older place."""
+    rows = p.select("gid", "ptype", "mass", "x", "y", "z", "vx", "vy", "vz")
+    return files.write_partitions(rows, folder, "part-{:05d}.tipsy", lambda t: _encode(t, time, version))
+
+
 def write_tipsy(p: DataFrame, path: str, time: float = 0.0) -> None:
     """One version 2 file: dark rows, then star rows, each by id (gid). Partitions are encoded on the executors and appended in order."""
     rows = p.withColumn("_star", (F.col("ptype") != 0).cast("int")).select("_star", "gid", "mass", "x", "y", "z", "vx", "vy", "vz")
