@@ -27,7 +27,7 @@ from .components import small
 from .store import Store, col
 
 ROUNDS, KEEP, TEMPER, FEW = 10, 0.5, 0.5, 50_000
-TOPICS, TOPIC_LETTERS, TOPIC_SHARE, SEED = 8, 8, 0.1, 17
+TOPICS, TOPIC_LETTERS, TOPIC_SHARE, SEED = 8, 10, 0.1, 17
 AXES = ("source", "lang", "topic")
 _MADE = ("topic", "source", "lang", "tokens", "weight", "probability", "sampled")
 
@@ -37,32 +37,32 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
 
 
-def _long_words(words: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) >= TOPIC_LETTERS), lambda w: F.lower(w)))
+def _long_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[^ \t\n\x0B\f\r]{{{TOPIC_LETTERS},}}"), F.lit(0))
 
 
 def topics(placed: DataFrame, number: int = TOPICS, share: float = TOPIC_SHARE) -> DataFrame:
-    """_lang, _named: the topic words of each language, the rarest first. placed: _lang and _long (distinct long words)."""
-    words = placed.select("_lang", F.explode("_long").alias("word")).groupBy("_lang", "word").agg(F.count("*").alias("n"))
+    """_lang, _places, _named: the topic words of each language, the rarest first. placed: _lang and _long (long words)."""
+    words = placed.select("_lang", F.explode(F.array_distinct("_long")).alias("word")).groupBy("_lang", "word").agg(F.count("*").alias("n"))
     words = words.join(small(placed.groupBy("_lang").agg((F.count("*") * share).alias("most"))), "_lang").filter("n <= most")
     place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.desc("n"), "word"))
     top = words.withColumn("place", place).filter(F.col("place") <= number)
     return top.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("place", "word")), asc=False).alias("t")).select("_lang", F.col("t.place").alias("_places"), F.col("t.word").alias("_named"))
 
 
-def with_cells(docs: DataFrame, text_col: str = "text", topic_col: str | None = None) -> DataFrame:
-    """docs with _tokens and the cell columns _source, _lang, _topic."""
+def with_cells(docs: DataFrame, store: Store, text_col: str = "text", topic_col: str | None = None) -> DataFrame:
+    """docs with _tokens and the cell columns _source, _lang, _topic. The topic words are found once and kept."""
     none = F.lit("")
-    found = docs.withColumns({"__sm_words": tokens(col(text_col)), "_source": F.coalesce("source", none), "_lang": F.coalesce("lang", none)})
+    found = docs.withColumns({"_source": F.coalesce("source", none), "_lang": F.coalesce("lang", none)})
     if topic_col:
         topic = F.coalesce(col(topic_col).cast("string"), none)
     else:
-        found = found.withColumn("_long", _long_words(F.col("__sm_words")))
-        found = found.join(small(topics(found)), "_lang", "left")
+        named = store.keep(topics(found.select("_lang", _long_words(col(text_col)).alias("_long"))), "topics")
+        found = found.join(small(named), "_lang", "left")
         # keeps the order of the first
-        first = F.get(F.array_intersect("_named", "_long"), F.lit(0))
+        first = F.get(F.array_intersect("_named", _long_words(col(text_col))), F.lit(0))
         topic = F.coalesce(F.get("_places", (F.array_position("_named", first) - 1).cast("int")), F.lit(0)).cast("string")
-    return found.select(*map(col, docs.columns), F.size("__sm_words").cast("long").alias("_tokens"), "_source", "_lang", topic.alias("_topic"))
+    return found.select(*map(col, docs.columns), F.size(tokens(col(text_col))).cast("long").alias("_tokens"), "_source", "_lang", topic.alias("_topic"))
 
 
 def _total(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -155,7 +155,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, id_
     """docs with _topic, _tokens, _weight (of the cell), _probability, _sampled."""
     store = Store(docs.sparkSession, "mix")
     docs = docs.drop(*[f"_{c}" for c in _MADE])
-    placed = with_cells(docs, text_col, topic_col)
+    placed = with_cells(docs, store, text_col, topic_col)
     axes = [F.col(f"_{a}").alias(a) for a in AXES]
     cells = store.keep(placed.groupBy(*axes).agg(F.sum("_tokens").alias("tokens")), "cells")
     fit = cells.count() <= few

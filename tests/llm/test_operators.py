@@ -362,7 +362,8 @@ def test_mixing_meets_its_targets(spark, docs):
 
 
 def test_raking_equals_a_plain_loop(spark, docs):
-    placed = mixing.with_cells(docs)
+    store = Store(spark, "test")
+    placed = mixing.with_cells(docs, store)
     cells = placed.groupBy(*[F.col(f"_{a}").alias(a) for a in mixing.AXES]).agg(F.sum("_tokens").alias("tokens"))
     rows = [r.asDict() for r in cells.collect()]
     w = {tuple(r[a] for a in mixing.AXES): float(r["tokens"]) for r in rows}
@@ -379,7 +380,6 @@ def test_raking_equals_a_plain_loop(spark, docs):
             for k, v in w.items():
                 sums[k[i]] = sums.get(k[i], 0) + v
             w = {k: v * shares[i][k[i]] / sums[k[i]] if sums[k[i]] else 0.0 for k, v in w.items()}
-    store = Store(spark, "test")
     for raked in (mixing.rake(cells), mixing._rake_by_sums(cells, None, mixing.ROUNDS, mixing.TEMPER, store)):
         for r in raked.collect():
             assert r["weight"] == pytest.approx(w[tuple(r[a] for a in mixing.AXES)], abs=1e-9)
