@@ -83,6 +83,31 @@ def plan_tree(bodies: DataFrame, theta: float = THETA, nleaf: int = tree.LEAF, n
     return props, cut(tree.make_groups(keyed, start, ncrit)), start
 
 
+class TreeForce:
+    """The pull of the tree, for the driving loop: keys, nodes and groups are made anew every rebuild calls, and their moments and boxes at each call."""
+
+    def __init__(self, theta: float = THETA, eps: float = EPS, rebuild: int = 1, nleaf: int = tree.LEAF, ncrit: int = tree.GROUP):
+        self.theta, self.eps, self.rebuild, self.nleaf, self.ncrit = theta, eps, rebuild, nleaf, ncrit
+        self.calls = 0
+
+    def _plan(self, p: DataFrame) -> None:
+        from ..functions.sfc import sfc_keys
+
+        keyed = tree.ordered(sfc_keys(p))
+        self.start = tree.start_level(keyed)
+        self.nodes = tree.build_nodes(keyed, self.nleaf, start=self.start)
+        self.keys = cut(tree.make_groups(keyed, self.start, self.ncrit).select("id", "key_hi", "key_lo", "rn", "group_id"))
+
+    def __call__(self, p: DataFrame) -> DataFrame:
+        """id, ax, ay, az, pot of every body of p (id, x, y, z, mass)."""
+        if self.calls % self.rebuild == 0:
+            self._plan(p)
+        self.calls += 1
+        bodies = cut(p.select("id", *COORDS, "mass").join(self.keys, "id"))
+        props = cut(tree.node_properties(self.nodes, bodies, self.theta))
+        return tree_gravity(bodies, props, bodies, self.start, self.eps).select("id", "ax", "ay", "az", "pot")
+
+
 def energies(p: DataFrame) -> DataFrame:
     """ekin, epot, etot of bodies with mass, velocity and pot."""
     v2 = F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy") + F.col("vz") * F.col("vz")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.views import COORDS
@@ -23,10 +25,15 @@ def weights(load: DataFrame, spare: float = 0.3) -> DataFrame:
 
 
 def domain_of(keyed: DataFrame, cuts: DataFrame, key: str = "key_hi") -> DataFrame:
-    """keyed with part, the last cut at or below the key. Cuts are one row a domain and held in one array."""
-    low = cuts.agg(F.array_sort(F.collect_list(F.struct("low", "part"))).alias("_cuts"))
-    found = F.aggregate("_cuts", F.lit(-1).cast("long"), lambda acc, c: F.when(c["low"] <= F.col(key), c["part"]).otherwise(acc))
-    return keyed.crossJoin(F.broadcast(low)).withColumn("part", found).drop("_cuts")
+    """keyed with part, the last cut at or below the key, -1 below all. Cuts are one row a domain; each key is looked up in their sorted array."""
+    rows = sorted((r["low"], r["part"]) for r in cuts.select("low", "part").collect())
+    low, part = np.array([r[0] for r in rows], np.int64), np.array([-1, *[r[1] for r in rows]], np.int64)
+
+    @F.pandas_udf("long")
+    def place(k: pd.Series) -> pd.Series:
+        return pd.Series(part[np.searchsorted(low, k.to_numpy(), side="right")])
+
+    return keyed.withColumn("part", place(F.col(key)))
 
 
 def exchange_matrix(moved: DataFrame) -> DataFrame:

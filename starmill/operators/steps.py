@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import physics
 from ..sources.views import COORDS
 from . import gravity
 from .cut import cut
@@ -21,10 +22,16 @@ def predict(p: DataFrame, t: float | Column) -> DataFrame:
     return p.withColumns(moved)
 
 
-def correct(p: DataFrame, acc: DataFrame, t: float, dt: float) -> DataFrame:
-    """Predicted rows of p that end at t take the mean of old and new acceleration (acc: id, ax, ay, az, pot); then the step [t, t + dt] begins."""
+def correct(p: DataFrame, acc: DataFrame, t: float, dt: float, counts: DataFrame | None = None, target: float = 32.0) -> DataFrame:
+    """Predicted rows of p that end at t take the mean of old and new acceleration (acc: id, ax, ay, az, pot); then the step [t, t + dt] begins.
+
+    With counts (id, nnb: neighbours within h) the radius h of those rows moves towards target neighbours."""
     new = acc.select("id", *[F.col(f"a{c}").alias(f"_n{c}") for c in COORDS], F.col("pot").alias("_pot"))
     rows = p.join(new, "id")
+    if counts is not None:
+        rows = rows.join(counts.select("id", F.col("nnb").alias("_nnb")), "id", "left")
+        adjusted = physics.adjusted_h(F.col("h"), F.coalesce("_nnb", F.lit(0.0)), target)
+        rows = rows.withColumn("h", F.when(F.col("t_end") == t, adjusted).otherwise(F.col("h")))
     live = F.col("t_end") == t
     step = t - F.col("t_beg")
     kick = {f"v{c}": F.when(live, F.col(f"v{c}") + 0.5 * (F.col(f"_n{c}") - F.col(f"a{c}")) * step).otherwise(F.col(f"v{c}")) for c in COORDS}

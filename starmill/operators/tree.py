@@ -9,7 +9,7 @@ from ..functions.sfc import grid_coordinates, morton, prefix, sfc_keys
 from .cut import cut, numbered, running_sum
 
 LEAF, MIN_NODES, GROUP, DEEPEST = 16, 16, 64, 29
-STRIDE = 5
+STRIDE, BROADCAST_LEAVES = 5, 200_000
 MOMENTS = ("mass", "mx", "my", "mz", "sxx", "syy", "szz", "sxy", "sxz", "syz")
 
 
@@ -79,15 +79,14 @@ def parent(level: str = "level"):
 
 
 def leaf_of(bodies: DataFrame, nodes: DataFrame) -> DataFrame:
-    """bodies (with key_hi, key_lo) with the level and prefix of their leaf: one equi-join for each level that has leaves."""
+    """bodies (with key_hi, key_lo) with the level and prefix of their leaf: one equi-join over the levels that have leaves.
+
+    Leaves hold up to a leaf's bodies each and are broadcast while there are few."""
     leaves = nodes.filter("is_leaf").select("level", "prefix_hi", "prefix_lo")
-    levels = sorted(r[0] for r in leaves.select("level").distinct().collect())
-    out = None
-    for level in levels:
-        hi, lo = prefix(level)
-        here = bodies.withColumns({"prefix_hi": hi, "prefix_lo": lo}).join(leaves.filter(F.col("level") == level), ["prefix_hi", "prefix_lo"])
-        out = here if out is None else out.unionByName(here)
-    return out if out is not None else bodies.withColumns({"prefix_hi": F.lit(0).cast("long"), "prefix_lo": F.lit(0).cast("long"), "level": F.lit(0)})
+    n, first, last = leaves.agg(F.count("*"), F.min("level"), F.max("level")).first()
+    rows = bodies.withColumn("level", F.explode(F.sequence(F.lit(first or 0), F.lit(last or 0))))
+    hi, lo = prefix(F.col("level"))
+    return rows.withColumns({"prefix_hi": hi, "prefix_lo": lo}).join(F.broadcast(leaves) if n <= BROADCAST_LEAVES else leaves, ["level", "prefix_hi", "prefix_lo"])
 
 
 def node_properties(nodes: DataFrame, bodies: DataFrame, theta: float = 0.75) -> DataFrame:
@@ -169,7 +168,7 @@ def runs_of(keyed: DataFrame, level: int) -> DataFrame:
 def insertion_tree(p: DataFrame, limit: int = 32) -> DataFrame:
     """level, prefix_hi, prefix_lo, n, is_leaf of the tree that splits a node as soon as it has limit bodies, on truncated Morton keys of 20 levels. Nodes without bodies have no row."""
     grid = grid_coordinates(p, 20, exact=True)
-    keys = grid.select("id", morton(F.col("ix"), F.col("iy"), F.col("iz")).alias("key_hi"), F.lit(0).cast("long").alias("key_lo"))
+    keys = cut(grid.select("id", morton(F.col("ix"), F.col("iy"), F.col("iz")).alias("key_hi"), F.lit(0).cast("long").alias("key_lo")))
     return build_nodes(keys, limit - 1, start=-1)
 
 

@@ -10,7 +10,7 @@ from ..operators.cut import cut
 from ..sources.views import CORE_SQL, DISK_SQL, FRAMES_SQL, core, disk, frames
 from ..streaming.frames import windowed_counts
 from .registry import query
-from .trees import _CORE2, _DIRECT_TERMS, _ENERGY, r_sql, rounded
+from .trees import _CELL, _CORE2, _CORE_KEYS, _DIRECT_TERMS, _ENERGY, _GROUPS, _LEVELS, _WALK, keys_sql, r_sql, rounded
 
 _PH = ("x", "y", "z", "vx", "vy", "vz")
 DT = 0.0625
@@ -49,6 +49,18 @@ def integration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(steps.integrate(core(spark, sf_dir), 1, DT)[1].filter("t > 0").select("t", "ekin", "epot"), "ekin", "epot")
 
 
+_PULLS = ", ".join(f"sum({c}) AS {c}" for c in ("ax", "ay", "az", "pot"))
+_TREE_FORCE = _LEVELS + _GROUPS + _WALK + ", " + _CELL
+_MOVED = f"(SELECT c.id, c.ptype, c.mass, a.ax AS ox, a.ay AS oy, a.az AS oz, {_PRED} FROM {CORE_SQL} c JOIN ({_CORE_KEYS}{_TREE_FORCE} SELECT id, {_PULLS} FROM terms GROUP BY 1) a USING (id))"
+
+
+@query(keys_sql(_MOVED) + _TREE_FORCE + f", n AS (SELECT id, {_PULLS} FROM terms GROUP BY 1), e AS (SELECT k.mass, n.pot, " + ", ".join(f"k.v{c} + 0.5e0 * (n.a{c} - k.o{c}) * {DT} AS v{c}" for c in "xyz") + f" FROM keys k JOIN n USING (id)) SELECT CAST({DT} AS DOUBLE) AS t, " + r_sql("sum(0.5e0 * mass * (vx * vx + vy * vy + vz * vz))", "ekin") + ", " + r_sql("sum(0.5e0 * mass * pot)", "epot") + " FROM e")
+def tree_integration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energies after a step of the driving loop with the pull of a tree that is built anew."""
+    history = steps.integrate(core(spark, sf_dir), 1, DT, gravity.TreeForce())[1]
+    return rounded(history.filter("t > 0").select("t", "ekin", "epot"), "ekin", "epot")
+
+
 @query(f"{_D}, t AS (SELECT CAST(id % 8 AS DOUBLE) / 8 + 0.125e0 AS t_end FROM d) SELECT min(t_end) AS t_next, (SELECT count(*) FROM t WHERE t_end = (SELECT min(t_end) FROM t)) AS n_active FROM t")
 def next_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.next_time(disk(spark, sf_dir).withColumn("t_end", (F.col("id") % 8).cast("double") / 8.0 + 0.125))

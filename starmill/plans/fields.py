@@ -11,7 +11,7 @@ from ..operators import density, profiles, tree
 from ..operators.imaging import grid_colour
 from ..sources.views import CORE_SQL, DISK_SQL, core, disk
 from .registry import query
-from .trees import _CORE_KEYS, _LEVELS, r_sql, rounded
+from .trees import _CORE_KEYS, _LEVELS, core_keys, r_sql, rounded
 
 H = 0.9
 _C = f"WITH c AS MATERIALIZED (SELECT * FROM {CORE_SQL})"
@@ -73,7 +73,7 @@ def solve_h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CORE_KEYS + _LEVELS + ", s AS (SELECT size FROM cube) SELECT level, prefix AS prefix_hi, n, " + r_sql("m / pow(size / pow(2e0, level), 3)", "rho", 5) + ", " + ", ".join(r_sql(f"com_{c}", c) for c in "xyz") + " FROM nodes, s WHERE is_leaf")
 def leaf_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = sfc.sfc_keys(core(spark, sf_dir))
+    keys = core_keys(spark, sf_dir)
     size = sfc.cube(keys).first()["size"]
     placed = tree.leaf_of(keys, tree.build_nodes(keys))
     out = density.leaf_density(placed, size).select("level", "prefix_hi", "n", "rho", "x", "y", "z")
@@ -82,7 +82,7 @@ def leaf_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CORE_KEYS + _LEVELS + ", s AS (SELECT greatest(xmax - xmin, ymax - ymin, zmax - zmin) / 2 / 1048576e0 AS least FROM (SELECT min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax FROM keys)), v AS (SELECT level, prefix, n, cbrt((2 * hx) * (2 * hy) * (2 * hz)) AS vol FROM nodes WHERE is_leaf) SELECT level, prefix AS prefix_hi, " + r_sql("greatest(CASE WHEN vol > 0 THEN cbrt(42e0 / (n / vol)) ELSE 0 END, least)", "h") + " FROM v, s")
 def initial_h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = sfc.sfc_keys(core(spark, sf_dir))
+    keys = core_keys(spark, sf_dir)
     nodes = tree.node_properties(tree.build_nodes(keys), keys).filter("is_leaf")
     box = sfc.bounding_box(keys)
     least = box.select((F.greatest(*[F.col(f"{c}max") - F.col(f"{c}min") for c in "xyz"]) / 2 / float(1 << 20)).alias("least"))

@@ -10,7 +10,7 @@ from ..functions import geometry, physics, sfc
 from ..operators import gravity, imaging, merging, partition, sampling, steps, tree
 from ..sources.views import CORE_SQL, DISK_SQL, FRAMES_SQL, core, disk, frames
 from .registry import query
-from .trees import _CORE_KEYS, _GROUPS, _LEVELS, _WALK, _props, cube_sql, grid_sql, keys_sql, r_sql, rounded
+from .trees import _CORE_KEYS, _GROUPS, _LEVELS, _WALK, _props, core_keys, cube_sql, grid_sql, keys_sql, r_sql, rounded
 
 _D = f"WITH d AS MATERIALIZED (SELECT * FROM {DISK_SQL})"
 _C = f"WITH c AS MATERIALIZED (SELECT * FROM {CORE_SQL})"
@@ -174,7 +174,7 @@ def small_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CORE_KEYS + _LEVELS + ", k AS (SELECT level, row_number() OVER (ORDER BY level, prefix) AS i FROM nodes) SELECT level, min(i) AS first, max(i) AS last FROM k GROUP BY 1")
 def level_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.level_list(tree.build_nodes(sfc.sfc_keys(core(spark, sf_dir)).select("id", "key_hi", "key_lo")))
+    return tree.level_list(tree.build_nodes(core_keys(spark, sf_dir).select("id", "key_hi", "key_lo")))
 
 
 @query(_CORE_KEYS + _LEVELS + " SELECT level, prefix AS prefix_hi, " + ", ".join(r_sql(a, b) for a, b in (("bx", "cx"), ("by_", "cy"), ("bz", "cz"), ("hx", "hx"), ("hy", "hy"), ("hz", "hz"))) + " FROM nodes WHERE level BETWEEN 1 AND 2")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import sfc
 from ..operators import gravity, tree
+from ..operators.cut import cut
 from ..sources.views import CORE_SQL, DISK_SQL, core, disk
 from .registry import query
 
@@ -74,9 +75,14 @@ _WALK = f""",
 _CORE_KEYS = keys_sql(CORE_SQL)
 
 
+def core_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bodies with their keys, found once: every level of a tree reads them."""
+    return cut(sfc.sfc_keys(core(spark, sf_dir)))
+
+
 @query("SELECT min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax FROM " + DISK_SQL)
 def bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sfc.bounding_box(disk(spark, sf_dir)).withColumnsRenamed({f"{c}{k}": f"{c}{k}" for c in AXES for k in ("min", "max")})
+    return sfc.bounding_box(disk(spark, sf_dir))
 
 
 @query(_CORE_KEYS + " SELECT id, key_hi, key_lo FROM keys")
@@ -114,14 +120,14 @@ def octant_counts_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CORE_KEYS + _LEVELS + " SELECT level, prefix AS prefix_hi, CAST(0 AS BIGINT) AS prefix_lo, n, is_leaf FROM nodes")
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.build_nodes(sfc.sfc_keys(core(spark, sf_dir)).select("id", "key_hi", "key_lo"))
+    return tree.build_nodes(core_keys(spark, sf_dir).select("id", "key_hi", "key_lo"))
 
 
 _PROPS = ["mass", "com_x", "com_y", "com_z", "q11", "q22", "q33", "q12", "q13", "q23"]
 
 
 def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = sfc.sfc_keys(core(spark, sf_dir))
+    keys = core_keys(spark, sf_dir)
     return tree.node_properties(tree.build_nodes(keys), keys)
 
 

@@ -16,7 +16,7 @@ from .files import write_partitions
 
 INFO = struct.Struct("<256sQqi4x")
 VERSION = b"V2".ljust(16, b"\0")
-STEP = 1 << 20
+STEP, ROW_BYTES = 1 << 20, 44
 #: Fields of a population and what they hold.
 FIELDS = {"IDType": ("<u8", 1), "POS:real4": ("<f4", 4), "VEL:float[3]": ("<f4", 3), "RHOH:float[2]": ("<f4", 2)}
 
@@ -118,7 +118,7 @@ def read_columnar(spark: SparkSession, path: str, reduce: int = 1, reduce_dark:
                     yield rows_of(lambda at, n: files.read_range(r["file"], at, n), found, r["prefix"], r["k"], r["lo"], r["hi"], time)  # noqa: B023
 
         spans = files.file_table(spark, path).select("file").mapInArrow(plan, "file string, prefix string, k long, lo long, hi long")
-        rows = spans.repartition("file", "prefix", "lo").mapInArrow(run, schema)
+        rows = files.spread(spans, path, step * ROW_BYTES).mapInArrow(run, schema)
     else:
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,5 +181,5 @@ def read_gas(spark: SparkSession, path: str, reduce: int = 1, step: int = STEP)
                 yield pa.RecordBatch.from_arrays([pa.array([r["file"]] * len(rows), type=pa.string()), pa.array(lo // reduce + np.arange(len(rows))), *(pa.array(rows[c].copy()) for c in "xyz"), pa.array(speed), pa.array(rows["rho"].copy()), pa.array(rows["hp"].copy())], names=["file", "row", "x", "y", "z", "speed", "rho", "h"])
 
     spans = files.file_table(spark, path).select("file").mapInArrow(plan, "file string, lo long, hi long, base long")
-    rows = spans.repartition("file", "lo").mapInArrow(run, "file string, row long, x double, y double, z double, speed double, rho double, h double")
+    rows = files.spread(spans, path, step * GAS.itemsize).mapInArrow(run, "file string, row long, x double, y double, z double, speed double, rho double, h double")
     return rows.withColumn("packed", ids.pack(F.lit(1), F.col("row")))

@@ -53,6 +53,12 @@ def file_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(files, "file string, size long").repartition(len(files))
 
 
+def spread(spans: DataFrame, path: str, size: int) -> DataFrame:
+    """Rows that stand for stretches of about size bytes of the files, dealt to as many partitions as there are stretches; a number, so that rows this small are not put together again."""
+    total = sum(-(-n // max(size, 1)) for _, n in list_files(spans.sparkSession, path))
+    return spans.repartition(max(1, min(100_000, total)))
+
+
 def write_stream(spark: SparkSession, path: str, *parts: Iterable[bytes]) -> int:
     """Write the parts one after another to one file, by the driver; returns the bytes written."""
     target, system = _hadoop(spark, path)

@@ -81,7 +81,7 @@ def _records(spark: SparkSession, path: str, step: int) -> DataFrame:
                 yield _columns(r["file"], parse_header(r["head"]), rows, r["first"], r["dark"])
 
     spans = files.file_table(spark, path).select("file").mapInArrow(plan, "file string, head binary, dark boolean, first long, count long, offset long, size long")
-    return spans.repartition("file", "offset").mapInArrow(read, SCHEMA)
+    return files.spread(spans, path, step * DARK_RECORD.itemsize).mapInArrow(read, SCHEMA)
 
 
 def read_tipsy(spark: SparkSession, path: str, reduce: int = 1, reduce_dark: int | None = None, reduce_star: int | None = None, step: int = STEP) -> DataFrame:

@@ -12,9 +12,14 @@ def frames(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
-def distinct_frames(feed: DataFrame, time: str = "time", key: str = "id", delay: float = 0.0) -> DataFrame:
-    """Without rows that were sent before (same time and id)."""
-    return feed.dropDuplicates([time, key])
+def distinct_frames(feed: DataFrame, time: str = "time", key: str = "id", delay: float | None = None, sent: str = "sent") -> DataFrame:
+    """Without rows that were sent before (same time and id).
+
+    delay: seconds after which a row cannot come again; state older than that is dropped. It needs a timestamp column sent. Without a delay, or
+    on a table, all rows are remembered."""
+    if delay is None or not feed.isStreaming:
+        return feed.dropDuplicates([time, key])
+    return feed.withWatermark(sent, f"{delay} seconds").dropDuplicatesWithinWatermark([time, key])
 
 
 def each_frame(feed: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: int = 1):
@@ -30,14 +35,26 @@ def each_frame(feed: DataFrame, handle: Callable[[DataFrame, int], None], checkp
 
 
 class FirstFrameRange:
-    """Scales a column by the range it has in the first frame, for all frames."""
-
-    def __init__(self, column: str):
-        self.column, self.ends = column, None
+    """Scales a column by the range it has in the first frame, for all frames; place, a folder beside the feed's checkpoint, keeps the range over restarts."""
+
+    def __init__(self, column: str, place: str | None = None):
+        self.column, self.place, self.ends = column, place, None
+
+    def _range(self, batch: DataFrame) -> tuple:
+        spark = batch.sparkSession
+        if self.place:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.place}/_SUCCESS")
+            if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+                return tuple(spark.read.parquet(self.place).select("lo", "hi").first())
+        ends = batch.agg(F.min(self.column).alias("lo"), F.max(self.column).alias("hi"))
+        found = tuple(ends.first())
+        if self.place:
+            spark.createDataFrame([found], ends.schema).coalesce(1).write.mode("overwrite").parquet(self.place)
+        return found
 
     def __call__(self, batch: DataFrame) -> DataFrame:
         if self.ends is None:
-            self.ends = tuple(batch.agg(F.min(self.column), F.max(self.column)).first())
+            self.ends = self._range(batch)
         lo, hi = self.ends
         scaled = F.lit(0.0) if hi == lo else F.least(F.greatest((F.col(self.column) - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
         return batch.withColumn(f"{self.column}_scaled", scaled)

@@ -33,6 +33,23 @@ def test_tipsy_round_trip(spark, bodies, tmp_path):
     assert tipsy.read_tipsy(spark, path, reduce_dark=0, reduce_star=5).filter("ptype = 0").isEmpty()
 
 
+def test_files_are_read_in_stretches(spark, bodies, tmp_path):
+    """Stretches of a few records, from files of several tasks, give the rows of the files; what a task wrote twice counts once."""
+    folder = f"file://{tmp_path}/parts"
+    written = tipsy.write_tipsy_parts(bodies.repartition(3, "id"), folder, 2.5)
+    assert len(written) == 3 and all(size > tipsy.HEADER.itemsize for _, size in written)
+    _same(tipsy.read_tipsy(spark, folder, step=7), bodies)
+    assert len(list((tmp_path / "parts").glob("*.tipsy"))) == 3
+    assert tipsy.read_tipsy(spark, folder, step=7).rdd.getNumPartitions() > 1
+    columnar.write_columnar(bodies.repartition(3, "id"), f"file://{tmp_path}/cols")
+    _same(columnar.read_columnar(spark, f"file://{tmp_path}/cols", step=11), bodies)
+    (tmp_path / "short").write_bytes((tmp_path / "parts" / "part-00000.tipsy").read_bytes()[:-5])
+    with pytest.raises(Exception, match="ends before|multiple"):
+        tipsy.read_tipsy(spark, f"file://{tmp_path}/short").count()
+    with pytest.raises(FileNotFoundError):
+        tipsy.read_tipsy(spark, f"file://{tmp_path}/nothing")
+
+
 def test_tipsy_version_one_and_far_rows(spark, tmp_path):
     head = np.zeros(1, tipsy.HEADER)
     head["n"], head["ndark"], head["nstar"], head["ndim"] = 3, 1, 2, 3
@@ -109,6 +126,23 @@ def test_feed(spark, bodies, tmp_path):
     assert sum(s[1] for s in seen) == 2 * bodies.count() and all(s[2] == 1.0 for s in seen)
 
 
+def test_first_frame_range_outlives_a_restart(spark, tmp_path):
+    place = f"file://{tmp_path}/range"
+    frame = lambda *v: spark.createDataFrame([(x,) for x in v], "mass double")
+    assert FirstFrameRange("mass", place)(frame(0.0, 4.0)).agg(F.max("mass_scaled")).first()[0] == 1.0
+    assert FirstFrameRange("mass", place)(frame(1.0, 2.0)).agg(F.max("mass_scaled")).first()[0] == 0.5
+
+
+def test_frames_sent_late_are_dropped(spark, tmp_path):
+    """With a delay the state is bounded by a watermark; a repeated row within it is dropped."""
+    rows = spark.createDataFrame([(1, 0.0, 10), (1, 0.0, 12), (2, 0.0, 13)], "id long, time double, s long").withColumn("sent", F.timestamp_seconds("s")).drop("s")
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/late")
+    feed = distinct_frames(frames(spark, f"file://{tmp_path}/late", rows.schema), delay=60.0)
+    seen = []
+    each_frame(feed, lambda b, n: seen.append(b.count()), f"file://{tmp_path}/late-ck")
+    assert sum(seen) == 2
+
+
 def test_cadence():
     c = Cadence(0.5)
     assert [c.due(t / 4) for t in range(6)] == [True, False, True, False, True, False]

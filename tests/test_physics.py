@@ -133,3 +133,43 @@ def test_edges(spark):
     assert props and all(r["q11"] == 0 for r in props)
     with pytest.raises(ValueError):
         merging.tag_first(massless, "mass > 1", 5)
+
+
+def test_the_loop_with_a_tree(spark, small):
+    """Tree pulls, rebuilt every second step, keep close to exact ones; the loop stops at its end time and tells each step."""
+    from starmill.operators import gravity, steps
+    from starmill.sources.views import core
+
+    p = core(spark, small)
+    force, seen = gravity.TreeForce(rebuild=2), []
+    _, log = steps.integrate(p, 5, 0.01, force, each=lambda i, t, state: seen.append(i), t_end=0.02)
+    exact = steps.integrate(p, 2, 0.01)[1].orderBy("t").collect()
+    rows = log.orderBy("t").collect()
+    assert [r["t"] for r in rows] == [0.0, 0.01, 0.02] and seen == [1, 2] and force.calls == 3
+    assert all(abs(a["etot"] - b["etot"]) < 0.01 * abs(b["etot"]) for a, b in zip(rows, exact, strict=True))
+
+
+def test_the_corrector_adjusts_radii(spark):
+    from starmill.operators import steps
+
+    zero = {c: 0.0 for c in ("x", "y", "z", "vx", "vy", "vz", "ax", "ay", "az", "pot")}
+    p = spark.createDataFrame([{"id": 1, "h": 1.0, "t_beg": 0.0, "t_end": 0.5, **zero}, {"id": 2, "h": 1.0, "t_beg": 0.0, "t_end": 1.0, **zero}])
+    found = steps.correct(p, p, 0.5, 0.5, spark.createDataFrame([(1, 4.0), (2, 4.0)], "id long, nnb double"))
+    h = {r["id"]: r["h"] for r in found.collect()}
+    assert h[1] > 1.0 and h[2] == 1.0
+
+
+def test_tree_below_the_first_word_of_its_keys(spark):
+    """Bodies so close that leaves lie below level 20, in the second word of the keys: all are found, by their leaf and in the moments."""
+    from starmill.functions import sfc
+    from starmill.operators import tree
+
+    rows = [(i, float(i % 10), float(i // 10 % 10), float(i % 7), 1.0) for i in range(60)]
+    rows += [(100 + i, 5.0 + 1e-8 * (i % 5), 5.0 + 1e-8 * (i // 5 % 5), 3.0 + 1e-8 * (i // 25), 2.0) for i in range(50)]
+    p = sfc.sfc_keys(spark.createDataFrame(rows, "id long, x double, y double, z double, mass double"))
+    nodes = tree.build_nodes(p)
+    leaves = nodes.filter("is_leaf")
+    assert leaves.filter("level > 20 AND prefix_lo <> 0").count() > 0 and leaves.agg({"n": "sum"}).first()[0] == len(rows)
+    assert tree.leaf_of(p, nodes).select("id").distinct().count() == len(rows)
+    root = tree.node_properties(nodes, p).filter("level = 0").first()
+    assert root["mass"] == 60 + 100 and root["n"] == len(rows)
