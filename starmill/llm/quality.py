@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textnp as tn
 from .ftrl import Ftrl
+from .store import col, plain
 
 MIN_WORDS = 8
 MAX_ROWS, PASSES, BITS, KEEP = 12_000, 6, 18, 0.4
@@ -207,6 +208,8 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
     kept = docs.columns if all_columns else [id_col]
     added = ["_weak", "_score", "_good"] if all_columns else ["weak_score", "score", "good"]
 
+    chosen, inner, kinds = plain(docs, kept)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern_p, live, w = shared.value
         table = np.zeros(1 << BITS)
@@ -217,10 +220,10 @@ def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
                 weak[a:b] = pattern_p[pattern(votes(data, offsets))]
                 score[a:b] = [table[0] + (table[i] * v).sum() for i, v in shapes(data, offsets)]
             p = 1 / (1 + np.exp(-np.clip(score, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(weak), pa.array(p), pa.array(p >= keep)], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(weak), pa.array(p), pa.array(p >= keep)], names=[*inner, *added])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept) + f", {added[0]} double, {added[1]} double, {added[2]} boolean"
-    return docs.select(*kept, F.col(text_col).alias("__sm_text")).mapInArrow(run, schema)
+    found = docs.select(*chosen, col(text_col).alias("__sm_text")).mapInArrow(run, f"{kinds}, {added[0]} double, {added[1]} double, {added[2]} boolean")
+    return found.toDF(*kept, *added)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import textnp as tn
-from .store import col, id_key
+from .store import col, id_key, plain
 
 SENTENCES, WORDS, LONG, PIECE = 2, 20, 20, 10
 _STEP = 0x2545F4914F6CDD1D | 1
@@ -133,6 +133,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = docs.withColumn("__sm_id", id_key(docs, id_col)).join(marks.withColumnRenamed("id", "__sm_id"), "__sm_id", "left")
     names = docs.columns
     place = names.index(text_col)
+    chosen, inner, kinds = plain(docs, names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +172,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 facts.append((m, int(gone.sum()), len(raw) - len((text or "").encode())))
             columns = [*batch.columns[: len(names)]]
             columns[place] = pa.array(texts, type=pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([f[i] for f in facts], type=pa.int64()) for i in range(3))], names=[*names, "_n", "_gone", "_bytes"])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([f[i] for f in facts], type=pa.int64()) for i in range(3))], names=[*inner, "_n", "_gone", "_bytes"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", _n long, _gone long, _bytes long"
-    return found.select(*map(col, names), "__sm_marks").mapInArrow(cut, schema)
+    return found.select(*chosen, "__sm_marks").mapInArrow(cut, kinds + ", _n long, _gone long, _bytes long").toDF(*names, "_n", "_gone", "_bytes")

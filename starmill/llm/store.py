@@ -37,6 +37,18 @@ def id_key(df: DataFrame, id_col: str) -> Column:
     return F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("value"))
 
 
+def id_hash(df: DataFrame, id_col: str) -> Column:
+    """An id as a long: itself, or a hash of one that is no whole number; the least long for NULL."""
+    whole = df.schema[id_col].dataType.simpleString() in _WHOLE
+    return F.coalesce(col(id_col).cast("long") if whole else F.when(col(id_col).isNotNull(), F.xxhash64(col(id_col))), F.lit(-(1 << 63)))
+
+
+def plain(df: DataFrame, names: list[str]) -> tuple[list[Column], list[str], str]:
+    """(the columns of those names under plain ones, the plain names, their schema): mapInArrow takes a dot in a name for a field."""
+    inner = [f"__sm_c{i}" for i in range(len(names))]
+    return [col(n).alias(i) for n, i in zip(names, inner, strict=True)], inner, ", ".join(f"{i} {df.schema[n].dataType.simpleString()}" for n, i in zip(names, inner, strict=True))
+
+
 class Store:
     """A folder of its own under the shared one."""
 

@@ -17,7 +17,7 @@ A byte goes if it lies in a string of ``length`` bytes that also starts anywhere
 Entries are counted per chunk before they are dealt, so thousands of copies add one count for each task.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; each row is a document of
-its own, so repeated rows repeat each other; a null id is an id like any other; an empty table gives an empty result; extra
+its own, so repeated rows repeat each other; a null id is an id like any other, and ids may be of any type; an empty table gives an empty result; extra
 columns are kept, but one that bears the name of a result gives way to it.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textnp as tn
-from .store import Store, bit_filter, may_hold
+from .store import Store, bit_filter, col, id_hash, may_hold, plain
 
 LENGTH, GRAM, BATCHES, BIG = 400, 64, 4, 4096
 _PLACE = np.uint64((1 << 30) - 1)
@@ -248,15 +248,16 @@ def repeated_windows(docs: DataFrame, index: SuffixIndex, batches: list[DataFram
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, big: int = BIG) -> DataFrame:
     """All columns of docs and _kept (remaining bytes), _removed (array of {a, b}: maximal removed byte ranges)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("part"), text.alias("text"))
+    text = F.coalesce(col(text_col), F.lit(""))
+    keyed = docs.select(id_hash(docs, id_col).alias("id"), F.xxhash64(text).alias("part"), text.alias("text"))
     order = F.pmod(F.xxhash64("id"), F.lit(batches))
     marks = repeated_windows(keyed, SuffixIndex(docs.sparkSession, length, gram), [keyed.filter(order == i) for i in range(batches)], big=big)
     marks = marks.groupBy("id", "part").agg(F.collect_list(F.struct("a", "b")).alias("__sm_ranges")).withColumnsRenamed({"id": "__sm_id", "part": "__sm_part"})
     docs = docs.drop("_kept", "_removed")
-    rows = docs.withColumns({"__sm_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "__sm_part": F.xxhash64(text)})
+    rows = docs.withColumns({"__sm_id": id_hash(docs, id_col), "__sm_part": F.xxhash64(text)})
     names = docs.columns
     place = names.index(text_col)
+    columns, inner, kinds = plain(docs, names)
 
     def cut(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_rows:
@@ -276,7 +277,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 stay = np.concatenate([[0], b + 1]), np.append(a, len(raw))
                 kept.append(b"".join(raw[x:y] for x, y in zip(*stay, strict=True)))
             kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, type=pa.binary()), pa.array(gone, type=kind)], names=[*names, "_kept", "_removed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, type=pa.binary()), pa.array(gone, type=kind)], names=[*inner, "_kept", "_removed"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names) + ", _kept binary, _removed array<struct<a: long, b: long>>"
-    return rows.join(marks, ["__sm_id", "__sm_part"], "left").select(*names, "__sm_ranges").mapInArrow(cut, schema)
+    found = rows.join(marks, ["__sm_id", "__sm_part"], "left").select(*columns, "__sm_ranges")
+    return found.mapInArrow(cut, kinds + ", _kept binary, _removed array<struct<a: long, b: long>>").toDF(*names, "_kept", "_removed")

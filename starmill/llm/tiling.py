@@ -11,7 +11,7 @@ The benchmark is dealt with in blocks of at most ``BLOCK`` words, each broadcast
 documents; a benchmark of any size is therefore exact, at a pass for each block.  Within a document only seeds are kept, never pairs of
 documents.  Long matches are extended word by word on equal hashes, so a very long document costs its seeds.
 
-Defined results: null texts are empty; an item of null id is an item like others and has a null id in the result; items of fewer than ``LEAST`` words are one seed of all their words; empty
+Defined results: null texts are empty; an item of null id is an item like others and has a null id in the result; ids of either table may be of any type; items of fewer than ``LEAST`` words are one seed of all their words; empty
 items match nothing; repeated rows are repeated; ties between equal tiles go to the earlier place in the item, then in the document; an
 empty benchmark or table gives no matches; extra columns are ignored by ``matches`` and kept by ``keep_clean``.
 """
@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textnp as tn
+from .store import col, plain
 
 LEAST, COVERAGE, BLOCK = 5, 0.6, 100_000
 
@@ -76,11 +78,11 @@ def tile(doc: np.ndarray, item: np.ndarray, at: np.ndarray, to: np.ndarray, leas
 class Block:
     """Word hashes and sorted seeds of some benchmark items."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], least: int):
+    def __init__(self, ids: list, texts: list[str | None], least: int):
         raw = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         w = _words(data, np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64))
-        self.ids = pa.array(ids, type=pa.int64())
+        self.ids = ids
         self.items = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         h, at = tn.grams(w, least)
         owner = w.doc[at]
@@ -131,11 +133,17 @@ def _found(block: Block, data: np.ndarray, offsets: np.ndarray, least: int) -> I
             yield doc, item, len(words), sum(t[2] for t in tiles), len(tiles), max((t[2] for t in tiles), default=0)
 
 
+def _item(benchmark: DataFrame, item_col: str) -> Column:
+    """Item ids: whole numbers as longs, others as they are."""
+    whole = benchmark.schema[item_col].dataType.simpleString() in ("tinyint", "smallint", "int")
+    return col(item_col).cast("long") if whole else col(item_col)
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int, limit: int) -> Iterator[Block]:
-    ids: list[int | None] = []
+    ids: list = []
     texts: list[str | None] = []
     size = 0
-    for row in benchmark.select(F.col(item_col).cast("long"), text_col).orderBy(item_col, text_col).toLocalIterator():
+    for row in benchmark.select(_item(benchmark, item_col).alias("item"), col(text_col).alias("text")).orderBy("item", "text").toLocalIterator():
         ids.append(row[0])
         texts.append(row[1])
         size += len((row[1] or "").split())
@@ -149,8 +157,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int, limi
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = LEAST, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
     """id, item, n_words, n_tiled, n_tiles, longest, coverage, contaminated for every document and item that share a seed."""
     kind = docs.schema[id_col].dataType.simpleString()
+    item_type = benchmark.select(_item(benchmark, item_col)).schema[0].dataType
+    item, arrow = item_type.simpleString(), to_arrow_type(item_type)
     names = [id_col, item_col, "n_words", "n_tiled", "n_tiles", "longest", "coverage", "contaminated"]
-    schema = f"`{id_col}` {kind}, `{item_col}` long, n_words long, n_tiled long, n_tiles long, longest long, coverage double, contaminated boolean"
+    schema = f"`{id_col}` {kind}, `{item_col}` {item}, n_words long, n_tiled long, n_tiles long, longest long, coverage double, contaminated boolean"
     out = None
     for part in _blocks(benchmark, item_col, item_text_col, least, block):
         shared = docs.sparkSession.sparkContext.broadcast(part)
@@ -162,11 +172,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 take = pa.array([r[0] for r in rows], type=pa.int64())
                 share = np.array([r[3] / r[2] for r in rows])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), block.ids.take(pa.array([r[1] for r in rows], type=pa.int64())), *(pa.array([r[i] for r in rows], type=pa.int64()) for i in range(2, 6)), pa.array(share, type=pa.float64()), pa.array(share >= coverage, type=pa.bool_())],
+                    [batch.column(0).take(take), pa.array([block.ids[r[1]] for r in rows], type=arrow), *(pa.array([r[i] for r in rows], type=pa.int64()) for i in range(2, 6)), pa.array(share, type=pa.float64()), pa.array(share >= coverage, type=pa.bool_())],
                     names=names,
                 )
 
-        found = docs.select(id_col, text_col).mapInArrow(run, schema)
+        found = docs.select(col(id_col), col(text_col)).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -175,6 +185,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """The rows of docs that cover no benchmark item, each judged by its own text; no shuffle."""
     names = docs.columns
     place = names.index(text_col)
+    docs = docs.toDF(*plain(docs, names)[1])
     for part in _blocks(benchmark, item_col, item_text_col, least, block):
         shared = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -187,4 +198,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)

@@ -494,3 +494,41 @@ def test_output_names_give_way(spark):
     assert line_dedup.remove_lines(df).first()["_gone"] == 0
     assert bytes(suffix_index.remove_repeats(df).first()["_kept"]) == b"a line of words here"
     assert mixing.mix(df).first()["_sampled"] in (True, False)
+
+
+@pytest.fixture(scope="module")
+def worded(spark):
+    """Ids that are words, and columns with dots in their names."""
+    long = " ".join(f"stone{i}" for i in range(80))
+    rows = [("b", long, "s", "en", 1), ("a", long, "s", "en", 2), (None, long, None, "en", 3), ("c", "quite another line of words here", "t", None, 4), ("d", None, "t", "de", 5)]
+    return spark.createDataFrame(rows, "doc_id string, text string, source string, lang string, `a.b` int")
+
+
+def test_ids_may_be_words(spark, worded):
+    assert {r["doc_id"]: r["_gone"] for r in line_dedup.remove_lines(worded).collect()} == {"a": 0, "b": 1, None: 1, "c": 0, "d": 0}
+    assert {r["doc_id"]: len(bytes(r["_kept"])) for r in suffix_index.remove_repeats(worded).collect()}["b"] == 0
+    assert {r["doc_id"]: bool(r["_gone"]) for r in sentence_spans.remove_repeats(worded).collect()} == {"a": False, "b": True, None: True, "c": False, "d": False}
+    assert {r["doc_id"]: r["component_id"] for r in minhash_forest.near_duplicates(worded).collect()} == {"a": "a", "b": "a", None: "a", "c": "c", "d": "d"}
+    items = spark.createDataFrame([("x.1", "another line of words here")], "item_id string, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in tiling.matches(worded, items).collect()] == [("c", "x.1")]
+    assert mixing.mix(worded).count() == 5
+
+
+def test_columns_may_have_dots(worded):
+    for found in (line_dedup.remove_lines(worded), suffix_index.remove_repeats(worded), sentence_spans.remove_repeats(worded), mixing.mix(worded), minhash_forest.keep_one(worded), quality.classify(worded, all_columns=True), tiling.keep_clean(worded, worded.select("doc_id", "text").limit(0), item_col="doc_id")):
+        assert "a.b" in found.columns and found.filter("`a.b` = 4").count() == 1
+
+
+def test_lines_of_one_passage(spark, monkeypatch):
+    """Many unlike lines that hold one passage: their pairs are not all looked at, and real copies among them are found."""
+    monkeypatch.setattr(line_dedup, "WIDE", 4)
+    rng = random.Random(30)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.choice([3, 4, 5, 6, 8])))
+    passage = [word() for _ in range(30)]
+    texts = {d: " ".join([word() for _ in range(40)] + passage + [word() for _ in range(40)]) for d in range(40)}
+    for d in range(10):
+        w = texts[d].split()
+        w[5] = "changed"
+        texts[100 + d] = " ".join(w)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [d for d, t in got.items() if t == ""] and {d for d, t in got.items() if t == ""} == set(range(100, 110))
