@@ -213,7 +213,7 @@ def gas_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
         for c in _PH:
             rows[c] = t[c].to_numpy()
         rows["rho"], rows["hp"] = t["mass"].to_numpy(), 0.25
-        return columnar.encode({columnar.GAS_FIELD: rows}, 0.0)
+        return columnar.encode({f"{columnar.GAS_FIELD}gas": rows}, 0.0)
 
     files.write_partitions(core(spark, sf_dir).coalesce(1).sortWithinPartitions("id"), folder, "part-{:05d}.gas", encode)
     return rounded(columnar.read_gas(spark, folder, 2, step=111).drop("file"), "speed", digits=9)

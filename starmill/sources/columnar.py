@@ -156,16 +156,16 @@ def write_columnar(p: DataFrame, path: str, time: float = 0.0) -> list[tuple[str
 
 #: A body of a gas dump, packed.
 GAS = np.dtype([*[(n, "<f8") for n in ("x", "y", "z", "am", "hp", "rho", "vx", "vy", "vz", "vxdot", "vydot", "vzdot", "u", "udot", "grpot", "mmu")], ("cc", "<i4"), ("divv", "<f8")])
-GAS_FIELD = "SPH:data:jamieData_t"
+GAS_FIELD = "SPH:data:"
 
 
 def read_gas(spark: SparkSession, path: str, reduce: int = 1, step: int = STEP) -> DataFrame:
-    """file, row, packed id (row number of the kept rows, type 1), x, y, z, speed, rho, h of the gas bodies of dump files; every reduce-th row from the first."""
+    """file, row, packed id (row number of the kept rows, type 1), x, y, z, speed, rho, h of the gas bodies of dump files, whatever their type is called; every reduce-th row from the first."""
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in b.column(0).to_pylist():
-                info = header(p)[1].get(GAS_FIELD)
+                info = next((i for name, i in header(p)[1].items() if name.startswith(GAS_FIELD)), None)
                 if info is None or info[0] != GAS.itemsize:
                     raise ValueError(f"{p} holds no gas bodies")
                 n = _row_counts(lambda at, size: files.read_range(p, at, size), info)  # noqa: B023
