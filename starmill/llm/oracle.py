@@ -31,6 +31,16 @@ EDITS = """WITH n AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text
  SELECT doc_id, c AS n_chars, sha256(substr(t, 1, c - c // 2) || substr(f, 1, c // 2)) AS edited_sha256 FROM e"""
 
 
+FILL_IN_MIDDLE = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h FROM documents),
+ u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS unit, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+  CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
+ c AS (SELECT *, len(unit) AS n, least(h1 % (len(unit) + 1), h2 % (len(unit) + 1)) AS a, greatest(h1 % (len(unit) + 1), h2 % (len(unit) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+ p AS (SELECT doc_id, n, form, text, array_to_string(unit[1:a], '') AS prefix, array_to_string(unit[a + 1:b], '') AS middle, array_to_string(unit[b + 1:n], '') AS suffix FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
 def mixing_sql() -> str:
     """Cells, tempered marginals, every round of raking unrolled, calibration, and the draw."""
     axes = mixing.AXES
@@ -60,4 +70,4 @@ def mixing_sql() -> str:
   CAST('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496e0 < probability AS sampled FROM d JOIN p USING (source, lang, topic)"""
 
 
-ORACLE_SQL = {"op4_minhash_forest": NEAR_DUPLICATES, "op7_suffix_index": REPEATED_BYTES, "op8_mixing": mixing_sql(), "check_edits": EDITS}
+ORACLE_SQL = {"op4_minhash_forest": NEAR_DUPLICATES, "op7_suffix_index": REPEATED_BYTES, "op8_mixing": mixing_sql(), "op13_fill_in_middle": FILL_IN_MIDDLE, "check_edits": EDITS}

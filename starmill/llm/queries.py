@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_dedup, minhash_forest, mixing, quality, sentence_spans, suffix_index, tiling, token_counts, toxicity
+from . import fill_in_middle, fingerprints, line_dedup, minhash_forest, mixing, quality, sentence_spans, suffix_index, tiling, token_counts, toxicity
 from .oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -65,9 +65,15 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"_n": "n_sentences", "_gone": "n_removed", "_bytes": "n_removed_bytes"})
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.transform(_documents(spark, sf_dir).select("doc_id", "text"))
+    restored = fill_in_middle.restored(F.col("_output"), F.col("_form"))
+    return found.select("doc_id", F.col("_n").alias("n"), F.col("_form").alias("form"), F.col("_prefix_chars").alias("prefix_chars"), F.col("_middle_chars").alias("middle_chars"), F.sha2("_output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 def check_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op9 that SQL can express."""
     return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_tiling, op4_minhash_forest, op5_quality, op6_line_dedup, op7_suffix_index, op8_mixing, op9_fingerprints, op10_sentence_spans, check_edits)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_tiling, op4_minhash_forest, op5_quality, op6_line_dedup, op7_suffix_index, op8_mixing, op9_fingerprints, op10_sentence_spans, op13_fill_in_middle, check_edits)}
