@@ -31,6 +31,23 @@ EDITS = """WITH n AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text
  SELECT doc_id, c AS n_chars, sha256(substr(t, 1, c - c // 2) || substr(f, 1, c // 2)) AS edited_sha256 FROM e"""
 
 
+#: CRC-32 bit by bit, the planted periods, equal stretches of six words at every distance, their islands, and what no run repeats.
+PERIODIC_RUNS = r"""WITH t AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ h AS (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h FROM t),
+ g AS (SELECT *, h // 10 AS g, (h // 10) % greatest(n, 1) AS a FROM h),
+ e AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w FROM g),
+ k AS MATERIALIZED (SELECT doc_id, n, i, md5_number(array_to_string(w[i + 1:i + 6], ' ')) AS gram FROM (SELECT doc_id, n, w, unnest(range(0, n - 5)) AS i FROM e)),
+ pair AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.i > a.i AND 2 * (b.i - a.i) <= a.n),
+ island AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pair) GROUP BY doc_id, q, island),
+ run AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM island WHERE length >= greatest(12, 2 * q) GROUP BY 1, 2, 3),
+ per AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256, first({'start': start, 'length': length, 'period': period} ORDER BY length DESC, start, period) AS best FROM run GROUP BY 1),
+ word AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM e),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM documents LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 FILL_IN_MIDDLE = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h FROM documents),
  u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS unit, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
   CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
@@ -70,4 +87,4 @@ def mixing_sql() -> str:
   CAST('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13) AS BIGINT) / 4503599627370496e0 < probability AS sampled FROM d JOIN p USING (source, lang, topic)"""
 
 
-ORACLE_SQL = {"op4_minhash_forest": NEAR_DUPLICATES, "op7_suffix_index": REPEATED_BYTES, "op8_mixing": mixing_sql(), "op13_fill_in_middle": FILL_IN_MIDDLE, "check_edits": EDITS}
+ORACLE_SQL = {"op4_minhash_forest": NEAR_DUPLICATES, "op7_suffix_index": REPEATED_BYTES, "op8_mixing": mixing_sql(), "op12_periodic_runs": PERIODIC_RUNS, "op13_fill_in_middle": FILL_IN_MIDDLE, "check_edits": EDITS}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_in_middle, fingerprints, line_dedup, minhash_forest, mixing, quality, sentence_spans, suffix_index, tiling, token_counts, toxicity
+from . import fill_in_middle, fingerprints, line_dedup, minhash_forest, mixing, periodic_runs, quality, sentence_spans, suffix_index, tiling, token_counts, toxicity
 from .oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -65,6 +65,25 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"_n": "n_sentences", "_gone": "n_removed", "_bytes": "n_removed_bytes"})
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents whose id hashes to a multiple of ten become periodic from a place and with a period drawn from the hash."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"), F.lit(0).alias("n"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    rest = F.expr("slice(flatten(array_repeat(slice(w, int(a) + 1, int(p)), int(ceil((n - a) / p)))), 1, int(n - a))")
+    periodic = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), rest), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted_runs(_documents(spark, sf_dir)))
+    best = periodic_runs.longest(F.col("_runs"))
+    lines = F.array_join(F.transform("_runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("_runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("_kept", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.*", F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_in_middle.transform(_documents(spark, sf_dir).select("doc_id", "text"))
     restored = fill_in_middle.restored(F.col("_output"), F.col("_form"))
@@ -76,4 +95,4 @@ def check_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_tiling, op4_minhash_forest, op5_quality, op6_line_dedup, op7_suffix_index, op8_mixing, op9_fingerprints, op10_sentence_spans, op13_fill_in_middle, check_edits)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_tiling, op4_minhash_forest, op5_quality, op6_line_dedup, op7_suffix_index, op8_mixing, op9_fingerprints, op10_sentence_spans, op12_periodic_runs, op13_fill_in_middle, check_edits)}
