@@ -1,7 +1,7 @@
 """Fill-in-middle transformation over an index of distinct texts.
 
-* Equal texts are grouped by a digest of their content; the group keeps its least and its greatest text, and both must be
-  equal, so a group is one text by comparison of contents and not by the digest alone.
+* Equal texts are grouped by a digest of their content; a group keeps the set of its texts, compared by content, and fails
+  unless that is one text.
 * Documents are joined to their group by the digest.  A text moves once for each group (combined before the shuffle), however
   many documents have it; documents move without their text.  Groups of over ``PART`` documents are dealt to parts of that size.
 * The ends of a text's units (blanks and the word after them, or blanks at the end) are found once for each group and held as
@@ -104,9 +104,8 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     large = max(PART, docs.count() // HOT_GROUPS)
     hot = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > large).select("key", F.ceil(F.col("n") / PART).alias("parts"))
     keyed = keyed.join(F.broadcast(hot), "key", "left").withColumn("part", F.coalesce(F.pmod("salt", "parts"), F.lit(0)))
-    same = F.col("text") == F.col("other")
-    groups = keyed.groupBy("key", "part").agg(F.min("text").alias("text"), F.max("text").alias("other"))
-    groups = groups.select("key", "part", F.when(same, F.col("text")).otherwise(F.raise_error(F.lit("two texts of one digest"))).alias("text"))
+    groups = keyed.groupBy("key", "part").agg(F.collect_set("text").alias("texts"))
+    groups = groups.select("key", "part", F.when(F.size("texts") == 1, F.col("texts")[0]).otherwise(F.raise_error(F.lit("two texts of one digest"))).alias("text"))
     draw = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id")), 256)
     hashes = [F.conv(F.substring(draw, 8 * i + 1, 8), 16, 10).cast("long").alias(f"h{i}") for i in range(4)]
     rows = keyed.select("key", "part", "row", *hashes).join(groups.hint("merge"), ["key", "part"]).select("row", "text", *(f"h{i}" for i in range(4)))
