@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_in_middle, fingerprints, line_dedup, minhash_forest, mixing, periodic_runs, quality, sentence_spans, suffix_index, tiling, token_counts, toxicity
+from . import fill_in_middle, fingerprints, line_dedup, minhash_forest, mixing, packing, periodic_runs, quality, sentence_spans, suffix_index, tiling, token_counts, toxicity
 from .oracle import ORACLE_SQL  # noqa: F401
 
 
@@ -65,6 +65,14 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"_n": "n_sentences", "_gone": "n_removed", "_bytes": "n_removed_bytes"})
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(_documents(spark, sf_dir), tokenizer)
+
+
 def planted_runs(docs: DataFrame) -> DataFrame:
     """Documents whose id hashes to a multiple of ten become periodic from a place and with a period drawn from the hash."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -95,4 +103,4 @@ def check_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_tiling, op4_minhash_forest, op5_quality, op6_line_dedup, op7_suffix_index, op8_mixing, op9_fingerprints, op10_sentence_spans, op12_periodic_runs, op13_fill_in_middle, check_edits)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_tiling, op4_minhash_forest, op5_quality, op6_line_dedup, op7_suffix_index, op8_mixing, op9_fingerprints, op10_sentence_spans, op11_best_fit_packing, op12_periodic_runs, op13_fill_in_middle, check_edits)}
