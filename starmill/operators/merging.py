@@ -51,12 +51,13 @@ def merge(a: DataFrame, b: DataFrame, pericentre: float, separation: float, mass
     return renumber(*sides) if new_ids else sides[0].unionByName(sides[1])
 
 
-def merge_tagged(a: DataFrame, b: DataFrame, turn_a: list[list[float]], turn_b: list[list[float]], offset: dict[str, float], sun: str | Column, centre: str | Column, sun_id: int = 29_999_999, centre_id: int = 29_999_998) -> DataFrame:
+def merge_tagged(a: DataFrame, b: DataFrame, turn_a: list[list[float]], turn_b: list[list[float]], offset: dict[str, float], sun: str | Column, centre: str | Column, sun_id: int = 29_999_999, centre_id: int = 29_999_998, required: bool = True) -> DataFrame:
     """Two galaxies, each turned, the second moved by offset (x .. vz), all about the common centre of mass; column galaxy is 1 or 2.
 
-    The first row of a (in order of id, before it is turned) that satisfies sun and the first of b that satisfies centre get ids of their own."""
-    one = rotated(tag_first(a, sun, sun_id), turn_a).withColumn("galaxy", F.lit(1))
-    two = rotated(tag_first(b, centre, centre_id), turn_b).withColumns({c: F.col(c) + offset[c] for c in PHASE}).withColumn("galaxy", F.lit(2))
+    The first row of a (in order of id, before it is turned) that satisfies sun and the first of b that satisfies centre get ids of their own;
+    with required, ValueError is raised where a set has no such row, otherwise its ids stay."""
+    one = rotated(tag_first(a, sun, sun_id, required=required), turn_a).withColumn("galaxy", F.lit(1))
+    two = rotated(tag_first(b, centre, centre_id, required=required), turn_b).withColumns({c: F.col(c) + offset[c] for c in PHASE}).withColumn("galaxy", F.lit(2))
     return recentre(one.unionByName(two))
 
 
@@ -66,27 +67,31 @@ def attribute_ranges(p: DataFrame, columns: list[str]) -> DataFrame:
     return ends.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"{c}_min").cast("double").alias("least"), F.col(f"{c}_max").cast("double").alias("most")) for c in columns])).alias("r")).select("r.*")
 
 
-def renumber(a: DataFrame, b: DataFrame, order: str = "id") -> DataFrame:
-    """a as it is and b with ids that continue from a's largest, in order."""
+#: Rows of one id are told apart by what else they hold.
+ORDER = ("id", "mass", *PHASE)
+
+
+def renumber(a: DataFrame, b: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """a as it is and b with ids that continue from a's largest, in order; rows alike in all of order take their numbers in any order."""
     top = a.agg(F.max("id").alias("_top"))
-    new = numbered(b, order, name="_rn").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_rn")).select(*b.columns)
+    new = numbered(b, *[c for c in order if c in b.columns], name="_rn").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_rn")).select(*b.columns)
     return a.unionByName(new)
 
 
-def renumber_by_class(a: DataFrame, b: DataFrame, by: str = "ptype", order: str = "id") -> DataFrame:
-    """b's ids continue from a's largest of the same class, in order within the class."""
+def renumber_by_class(a: DataFrame, b: DataFrame, by: str = "ptype", order: tuple[str, ...] = ORDER) -> DataFrame:
+    """b's ids continue from a's largest of the same class, in order within the class; classes are few."""
     top = a.groupBy(by).agg(F.max("id").alias("_top"))
-    rows = numbered(b, by, order, name="_rn")
+    rows = numbered(b, by, *[c for c in order if c in b.columns], name="_rn")
     first = rows.groupBy(by).agg(F.min("_rn").alias("_first"))
     rows = rows.join(F.broadcast(first), by).join(F.broadcast(top), by, "left")
     new = rows.withColumn("id", F.coalesce("_top", F.lit(-1).cast("long")) + F.col("_rn") - F.col("_first") + 1).select(*b.columns)
     return a.unionByName(new)
 
 
-def tag_first(p: DataFrame, where: str | Column, new_id: int, order: str = "id") -> DataFrame:
-    """p with new_id given to the first row in order that satisfies where; raises ValueError if there is none."""
+def tag_first(p: DataFrame, where: str | Column, new_id: int, order: str = "id", required: bool = True) -> DataFrame:
+    """p with new_id given to the first row in order that satisfies where; if there is none, ValueError is raised or, unless required, ids stay."""
     first = p.filter(where).agg(F.min(order).alias("_at"))
-    if first.first()[0] is None:
+    if required and first.first()[0] is None:
         raise ValueError("no row satisfies the condition")
     return p.crossJoin(F.broadcast(first)).withColumn("id", F.when(F.col(order) == F.col("_at"), F.lit(new_id).cast("long")).otherwise(F.col("id"))).drop("_at")
 

@@ -10,11 +10,15 @@ from starmill.plans import registry
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: The size at which queries are held against SQL by others as well.
+MEDIUM = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
-def duck(small):
+def duck():
     c = duckdb.connect()
     for t in TABLES:
-        p = f"{small}/{t}.parquet"
+        p = f"{MEDIUM}/{t}.parquet"
         c.execute(f"create view {t} as select * from '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     return c
 
@@ -26,8 +30,8 @@ def _rows(columns, rows):
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
-def test_query_equals_its_sql(name, spark, small, duck):
-    found = registry.queries()[name](spark, small)
+def test_query_equals_its_sql(name, spark, duck):
+    found = registry.queries()[name](spark, MEDIUM)
     want = duck.sql(registry.oracle_sql()[name])
     assert sorted(found.columns) == sorted(want.columns)
     a, b = _rows(found.columns, [tuple(r) for r in found.collect()]), _rows(want.columns, want.fetchall())
