@@ -17,6 +17,9 @@ KNOWN, LONGEST_KNOWN = 1 << 19, 64
 # The pattern of the byte-level pre-tokenizer, for any text and for ASCII.
 PATTERN = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 ASCII_PATTERN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+# The bytes that stand for themselves in the vocabulary; the others stand for the signs from 256 in their order.
+OWN_SIGN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SIGNS = {b: b for b in OWN_SIGN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(OWN_SIGN)))}
 
 
 class Known(dict):
@@ -24,10 +27,10 @@ class Known(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model = tokenizer.model
 
     def __missing__(self, token: str) -> bytes:
-        ids = packed(self.tokenizer.encode(token, add_special_tokens=False).ids)
+        ids = packed([t.id for t in self.model.tokenize(token.encode().decode("latin-1").translate(SIGNS))])
         if len(token) <= LONGEST_KNOWN:
             if len(self) >= KNOWN:
                 self.clear()
