@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import imaging, profiles
 from ..operators.cut import scratch
-from ..sources import columnar, files, images, text, tipsy
+from ..sources import columnar, files, images, snapshots, text, tipsy
 from ..sources.views import CORE_SQL, DISK_SQL, FRAMES_SQL, core, disk, frames
 from .registry import query
 from .trees import r_sql, rounded
@@ -26,6 +26,27 @@ def tipsy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tipsy.read_tipsy(spark, folder, step=700).select(*_BODY, "time")
 
 
+@query(f"{_D} SELECT gid, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(vz AS FLOAT) AS DOUBLE) AS vz FROM d WHERE ptype <> 0 AND x > 2")
+def columnar_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark's own reader and writer interface: four columns of the stars, by the arrays and the population that hold them."""
+    snapshots.register(spark)
+    folder = scratch(spark, "format")
+    disk(spark, sf_dir).repartition(3, "id").write.format("columnar").mode("append").option("time", 4.0).save(folder)
+    rows = spark.read.format("columnar").schema("gid long, x double, vz double, is_dark boolean").option("step", 700).load(folder)
+    return rows.filter("not is_dark AND x > 2").drop("is_dark")
+
+
+@query(f"{_D} SELECT time, is_dark, count(*) AS n, round(sum(CAST(CAST(mass AS FLOAT) AS DOUBLE)), 3) + 0e0 AS mass FROM (SELECT CAST(id % 4 AS DOUBLE) AS time, ptype = 0 AS is_dark, mass FROM d) WHERE time >= 1 AND time < 3 GROUP BY ALL")
+def tipsy_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four snapshots in one folder; two of them, chosen by the times in their headers."""
+    snapshots.register(spark)
+    folder = scratch(spark, "times")
+    for k in range(4):
+        disk(spark, sf_dir).filter(F.col("id") % 4 == k).repartition(2, "id").write.format("tipsy").mode("append").option("time", float(k)).save(folder)
+    rows = spark.read.format("tipsy").schema("mass double, time double, is_dark boolean").load(folder).filter("time >= 1 AND time < 3")
+    return rounded(rows.groupBy("time", "is_dark").agg(F.count("*").alias("n"), F.sum("mass").alias("mass")), "mass", digits=3)
+
+
 _PLACED = "p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ptype <> 0, gid) AS pos FROM d)"
 
 

@@ -8,15 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import ids
-from ..operators.merging import sane_time
 from . import files
-from .files import write_partitions
+from .snapshots import LATE, SnapshotReader, SnapshotSource, Stretch, arrow_types, base_of, load, write_parts
 
 INFO = struct.Struct("<256sQqi4x")
 VERSION = b"V2".ljust(16, b"\0")
-STEP, ROW_BYTES = 1 << 20, 44
+STEP = 1 << 20
 #: Fields of a population and what they hold.
 FIELDS = {"IDType": ("<u8", 1), "POS:real4": ("<f4", 4), "VEL:float[3]": ("<f4", 3), "RHOH:float[2]": ("<f4", 2)}
 
@@ -49,109 +49,146 @@ def encode(arrays: dict[str, np.ndarray], time: float) -> bytes:
 
 
 def list_fields(spark: SparkSession, path: str) -> DataFrame:
-    """file, name, element_size, rows of every field."""
+    """file, name, element_size, rows of every field; of each file only the ends and the counts are read where executors can seek."""
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def table(path: str, f: pa.NativeFile) -> pa.RecordBatch:
+        rows = [(path, k, info[0], _row_counts(f, info)) for k, info in header_of(f)[1].items()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], type=t) for i, t in enumerate(kinds)], names=["file", "name", "element_size", "rows"])
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                with files.open_input(p) as f:
+                    yield table(p, f)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                _, found = fields(c)
-                rows = [(p, k, s, int(np.frombuffer(c, "<i8", r, o).sum())) for k, (s, o, r) in found.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], type=t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["file", "name", "element_size", "rows"])
+                yield table(p, pa.BufferReader(c))
+
+    schema = "file string, name string, element_size long, rows long"
+    if files.direct(path):
+        return files.file_table(spark, path).select("file").mapInArrow(seek, schema)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(whole, schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, name string, element_size long, rows long")
+
+def header_of(f: pa.NativeFile) -> tuple[float, dict[str, tuple[int, int, int]]]:
+    """``fields`` of an open file, reading its first bytes and its end only."""
+    at = struct.unpack("<q", f.read_at(8, 0))[0]
+    return fields(struct.pack("<q", 8) + f.read_at(f.size() - at, at))
 
 
 def header(path: str) -> tuple[float, dict[str, tuple[int, int, int]]]:
-    """``fields`` of a file on the executor, reading its first bytes and its end only."""
     with files.open_input(path) as f:
-        at = struct.unpack("<q", f.read_at(8, 0))[0]
-        tail = f.read_at(f.size() - at, at)
-    return fields(struct.pack("<q", 8) + tail)
+        return header_of(f)
 
 
-def _row_counts(read, info: tuple[int, int, int]) -> int:
-    return int(np.frombuffer(read(info[1], 8 * info[2]), "<i8").sum())
+def _row_counts(f: pa.NativeFile, info: tuple[int, int, int]) -> int:
+    return int(np.frombuffer(f.read_at(8 * info[2], info[1]), "<i8").sum())
 
 
-def read_columnar(spark: SparkSession, path: str, reduce: int = 1, reduce_dark: int = 1, reduce_star: int = 1, scale_mass: bool = True, step: int = STEP) -> DataFrame:
-    """gid, ptype, x .. vz, mass, rho, h, time of both populations; fields that are missing or of another size give NULL.
+SCHEMA = "gid long, ptype int, x double, y double, z double, vx double, vy double, vz double, mass double, rho double, h double, time double, is_dark boolean, file string, pos long"
+#: Where a column stands: its field and its place in it.
+PLACES = {"gid": ("IDType", 0), "ptype": ("IDType", 0), **{c: ("POS:real4", i) for i, c in enumerate(("x", "y", "z", "mass"))}, **{c: ("VEL:float[3]", i) for i, c in enumerate(("vx", "vy", "vz"))}, "rho": ("RHOH:float[2]", 0), "h": ("RHOH:float[2]", 1)}
+PREFIXES = (("DM:", True), ("Stars:", False))
 
-    Rows 0, k, 2 k ... of each population of a file are kept (0 drops it); their mass is scaled by k unless scale_mass is False. Where executors
-    can seek, a task reads step rows of each field, however large the file and however many writers it had."""
-    kinds = (("DM:", reduce * reduce_dark), ("Stars:", reduce * reduce_star))
 
-    def rows_of(read, found: dict, prefix: str, k: int, lo: int, hi: int, time: float) -> pa.RecordBatch:
-        lo += -lo % k
-        n = len(range(lo, hi, k))
+class Columnar:
+    """How the files are read and written: a named array for each field of each population. pos counts the rows of a population from 0."""
+
+    label, suffix, schema = "columnar", ".snap", SCHEMA
+    types = arrow_types(SCHEMA)
+    wanted = ("gid", "ptype", "x", "y", "z", "vx", "vy", "vz", "mass")
+
+    @staticmethod
+    def head(system, path: str) -> tuple:
+        with system.open_input_file(path) as f:
+            return Columnar.head_of(f)
 
-        def part(name: str) -> np.ndarray | None:
-            kind, width = FIELDS[name]
-            info = found.get(prefix + name)
+    @staticmethod
+    def head_of(f: pa.NativeFile) -> tuple:
+        """(time, fields, rows of each population)."""
+        time, found = header_of(f)
+        return time, found, {dark: _row_counts(f, found[p + "IDType"]) for p, dark in PREFIXES if p + "IDType" in found}
+
+    @staticmethod
+    def time(head: tuple) -> float:
+        return 0.0 if abs(head[0]) > LATE else head[0]
+
+    @staticmethod
+    def populations(head: tuple) -> list[tuple[bool, int, int]]:
+        return [(dark, n, 0) for dark, n in head[2].items()]
+
+    @staticmethod
+    def read(f, part: Stretch, names: set[str]) -> dict:
+        """The named columns; only their arrays are read, and one that is missing or of another size gives none."""
+        prefix, arrays, found = next(p for p, dark in PREFIXES if dark == part.dark), {}, {}
+        for c in names & set(PLACES):
+            field, i = PLACES[c]
+            kind, width = FIELDS[field]
+            info = part.head[1].get(prefix + field)
             if info is None or info[0] != np.dtype(kind).itemsize * width:
-                return None
-            raw = read(info[1] + 8 * info[2] + lo * info[0], (hi - lo) * info[0]) if hi > lo else b""
-            return np.frombuffer(raw, kind).reshape(-1, width)[::k]
-
-        got = {f: part(f) for f in FIELDS}
-        pick = lambda f, i: pa.nulls(n, pa.float64()) if got[f] is None else pa.array(got[f][:, i].astype(float))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(got["IDType"][:, 0].copy().view(np.int64)), *(pick("POS:real4", i) for i in range(3)), *(pick("VEL:float[3]", i) for i in range(3)), pick("POS:real4", 3), *(pick("RHOH:float[2]", i) for i in range(2)), pa.array(np.full(n, time)), pa.array(np.full(n, float(k)))],
-            names=["packed", "x", "y", "z", "vx", "vy", "vz", "mass", "rho", "h", "time", "k"],
-        )
-
-    schema = "packed long, x double, y double, z double, vx double, vy double, vz double, mass double, rho double, h double, time double, k double"
-    live = [(prefix, k) for prefix, k in kinds if k]
-    if files.direct(path):
+                continue
+            if field not in arrays:
+                arrays[field] = np.frombuffer(f.read_at((part.hi - part.lo) * info[0], info[1] + 8 * info[2] + part.lo * info[0]), kind).reshape(-1, width)
+                if len(arrays[field]) != part.hi - part.lo:
+                    raise ValueError(f"{part.path} ends before its last row")
+            found[c] = arrays[field][:, i]
+            if field == "IDType":
+                found[c] = KIND_BASE[np.minimum(found[c] >> np.uint64(ids.ID_BITS), 3)] + (found[c] & np.uint64((1 << ids.ID_BITS) - 1)).astype(np.int64) if c == "gid" else (found[c] >> np.uint64(ids.ID_BITS)).astype(np.int32)
+        return found
 
-        def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for p in b.column(0).to_pylist():
-                    _, found = header(p)
-                    read = lambda at, n: files.read_range(p, at, n)  # noqa: B023, E731
-                    spans = [(p, prefix, k, lo, min(lo + step, n)) for prefix, k in live if prefix + "IDType" in found for n in [_row_counts(read, found[prefix + "IDType"])] for lo in range(0, n, step)]
-                    yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], type=t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["file", "prefix", "k", "lo", "hi"])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in b.to_pylist():
-                    time, found = header(r["file"])
-                    yield rows_of(lambda at, n: files.read_range(r["file"], at, n), found, r["prefix"], r["k"], r["lo"], r["hi"], time)  # noqa: B023
-
-        spans = files.file_table(spark, path).select("file").mapInArrow(plan, "file string, prefix string, k long, lo long, hi long")
-        rows = files.spread(spans, path, step * ROW_BYTES).mapInArrow(run, schema)
-    else:
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for c in b.column(0).to_pylist():
-                    time, found = fields(c)
-                    read = lambda at, n: c[at : at + n]  # noqa: B023, E731
-                    for prefix, k in live:
-                        if prefix + "IDType" in found:
-                            yield rows_of(read, found, prefix, k, 0, _row_counts(read, found[prefix + "IDType"]), time)
-
-        rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(whole, schema)
-    kind, local = ids.unpack(F.col("packed"))
-    gid = local + F.when(kind == 0, F.lit(ids.DARK_BASE)).when(kind == 1, F.lit(ids.BULGE_BASE)).otherwise(F.lit(0).cast("long"))
-    mass = F.col("mass") * F.col("k") if scale_mass else F.col("mass")
-    return rows.select(gid.alias("gid"), kind.alias("ptype"), "x", "y", "z", "vx", "vy", "vz", mass.alias("mass"), "rho", "h", sane_time(F.col("time")).alias("time"))
+    @staticmethod
+    def blocks(batch: pa.RecordBatch, options: dict) -> tuple[np.ndarray, ...]:
+        """The arrays of both populations of some rows."""
+        n = batch.num_rows
+        col = lambda c: batch[c].to_numpy(zero_copy_only=False) if c in batch.schema.names else np.zeros(n)
+        kind, gid = col("ptype").astype(np.int64), col("gid").astype(np.int64)
+        packed = (kind << ids.ID_BITS) | ((gid - base_of(gid)) & ((1 << ids.ID_BITS) - 1))
+        pos, vel, rho = (np.column_stack([col(c) for c in names]).astype("<f4") for names in (("x", "y", "z", "mass"), ("vx", "vy", "vz"), ("rho", "h")))
+        return tuple(a[ok] for ok in (kind == 0, kind != 0) for a in (packed.view("<u8"), pos, vel, rho))
 
+    @staticmethod
+    def encode(groups: list[tuple[np.ndarray, ...]], options: dict) -> Iterator[bytes]:
+        names = [p + f for p, _ in PREFIXES for f in FIELDS]
+        yield encode({n: np.concatenate(g) for n, g in zip(names, groups, strict=True)}, float(options.get("time", 0.0)))
 
-def write_columnar(p: DataFrame, path: str, time: float = 0.0) -> list[tuple[str, int]]:
-    """A folder of files, one for each partition and written by its task, each with the dark and star populations of its rows; returns names and sizes."""
-    rows = p.withColumn("packed", ids.pack(F.col("ptype"), ids.local_id(F.col("gid"))))
-    for c in ("rho", "h"):
-        rows = rows if c in p.columns else rows.withColumn(c, F.lit(0.0))
 
-    def content(t: pa.Table) -> bytes:
-        dark = t["ptype"].to_numpy() == 0
-        arrays = {}
-        for prefix, ok in (("DM:", dark), ("Stars:", ~dark)):
-            col = lambda *names: np.column_stack([t[c].to_numpy() for c in names]).astype("<f4")[ok]  # noqa: B023, E731
-            arrays |= {prefix + "IDType": t["packed"].to_numpy().view("<u8")[ok], prefix + "POS:real4": col("x", "y", "z", "mass"), prefix + "VEL:float[3]": col("vx", "vy", "vz"), prefix + "RHOH:float[2]": col("rho", "h")}
-        return encode(arrays, time)
+class ColumnarSource(SnapshotSource):
+    form = Columnar
+
+
+#: What an id's range starts with, by kind.
+KIND_BASE = np.array([ids.DARK_BASE, ids.BULGE_BASE, 0, 0], dtype=np.int64)
+
+
+def read_columnar(spark: SparkSession, path: str, reduce: int = 1, reduce_dark: int = 1, reduce_star: int = 1, scale_mass: bool = True, step: int = STEP) -> DataFrame:
+    """gid, ptype, x .. vz, mass, rho, h, time of both populations; fields that are missing or of another size give NULL.
+
+    Rows 0, k, 2 k ... of each population of a file are kept (0 drops it); their mass is scaled by k unless scale_mass is False. Where executors
+    can seek, a task reads step rows of each field that is wanted, however large the file and however many writers it had."""
+    names = [n for n in Columnar.types if n not in ("is_dark", "file", "pos")]
+    options = {"reduce": reduce, "reduce_dark": reduce_dark, "reduce_star": reduce_star, "scale_mass": str(scale_mass), "step": step}
+    if files.direct(path):
+        return load(spark, path, Columnar, **options).select(*names)
+    reader = SnapshotReader({"path": path} | {k: str(v) for k, v in options.items()}, StructType.fromDDL(SCHEMA), Columnar)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                head = Columnar.head_of(pa.BufferReader(c))
+                for dark, n, first in Columnar.populations(head):
+                    if reader.every[dark]:
+                        for lo in range(0, n, step):
+                            yield reader.rows_of(pa.BufferReader(c), Stretch(p, head, dark, lo, min(n, lo + step), first))
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(whole, SCHEMA).select(*names)
 
-    return write_partitions(rows.select("packed", "ptype", "x", "y", "z", "vx", "vy", "vz", "mass", "rho", "h"), path, "part-{:05d}.snap", content)
+
+def write_columnar(p: DataFrame, path: str, time: float = 0.0) -> list[tuple[str, int]]:
+    """A folder of files, one for each partition and written by its task, each with the dark and star populations of its rows; returns names and sizes of the folder's files."""
+    return write_parts(p.select(*Columnar.wanted, *[c for c in ("rho", "h") if c in p.columns]), path, Columnar, {"time": str(time)})
 
 
 #: A body of a gas dump, packed.
@@ -165,10 +202,11 @@ def read_gas(spark: SparkSession, path: str, reduce: int = 1, step: int = STEP)
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in b.column(0).to_pylist():
-                info = next((i for name, i in header(p)[1].items() if name.startswith(GAS_FIELD)), None)
-                if info is None or info[0] != GAS.itemsize:
-                    raise ValueError(f"{p} holds no gas bodies")
-                n = _row_counts(lambda at, size: files.read_range(p, at, size), info)  # noqa: B023
+                with files.open_input(p) as f:
+                    info = next((i for name, i in header_of(f)[1].items() if name.startswith(GAS_FIELD)), None)
+                    if info is None or info[0] != GAS.itemsize:
+                        raise ValueError(f"{p} holds no gas bodies")
+                    n = _row_counts(f, info)
                 lows = list(range(0, n, step))
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(lows), type=pa.string()), pa.array(lows, type=pa.int64()), pa.array([min(a + step, n) for a in lows], type=pa.int64()), pa.array([info[1] + 8 * info[2]] * len(lows), type=pa.int64())], names=["file", "lo", "hi", "base"])
 

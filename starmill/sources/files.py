@@ -76,11 +76,12 @@ def write_stream(spark: SparkSession, path: str, *parts: Iterable[bytes]) -> int
 def write_partitions(df: DataFrame, folder: str, name: str, encode: Callable[[pa.Table], bytes]) -> list[tuple[str, int]]:
     """A file for each partition that has rows, encoded and written where the partition is; returns (address, bytes) of all.
 
-    A task writes under a name of its own; the driver gives the files of the tasks that count their names, so a repeated or lost task leaves
-    no second copy. Only names and sizes reach the driver."""
+    A task writes under a name of its own in a folder of the job; the driver gives the files of the tasks that count their names and deletes the folder, so a
+    repeated or lost task leaves no second copy. Only names and sizes reach the driver."""
     spark, folder = df.sparkSession, folder.rstrip("/")
-    job = uuid.uuid4().hex
-    _hadoop(spark, folder)[1].mkdirs(_hadoop(spark, folder)[0])
+    job = f"{folder}/_temporary-{uuid.uuid4().hex}"
+    p, system = _hadoop(spark, job)
+    system.mkdirs(p)
     by_task = direct(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,20 +91,24 @@ def write_partitions(df: DataFrame, folder: str, name: str, encode: Callable[[pa
         if not whole:
             return
         content = encode(pa.Table.from_batches(whole))
-        number, at = TaskContext.get().partitionId(), f"{folder}/_{job}-{uuid.uuid4().hex}"
+        number, at = TaskContext.get().partitionId(), f"{job}/{uuid.uuid4().hex}"
         if by_task:
-            system, inner = fs.FileSystem.from_uri(at if urlparse(at).scheme else f"file://{at}")
-            with system.open_output_stream(inner) as out:
+            target, inner = fs.FileSystem.from_uri(at if urlparse(at).scheme else f"file://{at}")
+            with target.open_output_stream(inner) as out:
                 out.write(content)
         yield pa.RecordBatch.from_arrays([pa.array([number], type=pa.int64()), pa.array([at]), pa.array([len(content)], type=pa.int64()), pa.array([None if by_task else content], type=pa.binary())], names=["part", "file", "size", "content"])
 
+    made = df.mapInArrow(run, "part long, file string, size long, content binary")
     written = []
-    for i, r in enumerate(df.mapInArrow(run, "part long, file string, size long, content binary").orderBy("part").toLocalIterator()):
-        target = f"{folder}/{name.format(i)}"
-        if by_task:
-            p, system = _hadoop(spark, r["file"])
-            system.rename(p, _hadoop(spark, target)[0])
-        else:
-            write_stream(spark, target, [bytes(r["content"])])
-        written.append((target, r["size"]))
+    try:
+        # names and sizes are few; contents come a partition at a time, in the order of partitions
+        for i, r in enumerate(sorted(made.drop("content").collect()) if by_task else made.toLocalIterator()):
+            target = f"{folder}/{name.format(i)}"
+            if by_task:
+                system.rename(_hadoop(spark, r["file"])[0], _hadoop(spark, target)[0])
+            else:
+                write_stream(spark, target, [bytes(r["content"])])
+            written.append((target, r["size"]))
+    finally:
+        system.delete(p, True)
     return written

@@ -8,19 +8,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import ids
 from ..operators.cut import numbered
 from ..operators.sampling import sample_every
-from ..operators.merging import sane_time
 from . import files
 from .files import write_stream
+from .snapshots import LATE, SnapshotSource, Stretch, arrow_types, kind_of, load, write_parts
+from .views import BULGE_BASE, DARK_BASE
 
 HEADER = np.dtype([("time", "<f8"), ("n", "<i4"), ("ndim", "<i4"), ("nsph", "<i4"), ("ndark", "<i4"), ("nstar", "<i4"), ("version", "<i4")])
 _COMMON = [("mass", "<f4"), ("pos", "<f4", 3), ("vel", "<f4", 3)]
 DARK_RECORD = np.dtype([*_COMMON, ("id", "<u8")])
 STAR_RECORD = np.dtype([*_COMMON, ("metals", "<f4"), ("tform", "<f4"), ("id", "<u8")])
 FAR, STEP = -1e11, 1 << 20
-SCHEMA = "file string, pos long, time double, version int, is_dark boolean, raw_id long, x double, y double, z double, vx double, vy double, vz double, mass double"
+#: Bulge ids of old files begin here.
+V1_BULGE = 100_000_000
+SCHEMA = "gid long, ptype int, x double, y double, z double, vx double, vy double, vz double, mass double, time double, is_dark boolean, file string, pos long"
 
 
 def parse_header(content: bytes) -> np.void:
@@ -31,100 +33,134 @@ def parse_header(content: bytes) -> np.void:
     return head
 
 
-def _columns(path: str, head: np.void, rows: np.ndarray, first: int, dark: bool) -> pa.RecordBatch:
-    n, raw = len(rows), rows["id"]
-    if head["version"] != 2:
-        raw = (raw >> np.uint64(32)).astype(np.uint32).astype(np.uint64)  # the second of the two words
-    pos, vel = rows["pos"].astype(float), rows["vel"].astype(float)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([path] * n, type=pa.string()), pa.array(np.arange(first, first + n)), pa.array(np.full(n, head["time"])), pa.array(np.full(n, head["version"])), pa.array(np.full(n, dark)), pa.array(raw.view(np.int64)), *(pa.array(pos[:, i].copy()) for i in range(3)), *(pa.array(vel[:, i].copy()) for i in range(3)), pa.array(rows["mass"].astype(float))],
-        names=[c.split()[0] for c in SCHEMA.split(", ")],
-    )
-
-
-def _spans(head: np.void, step: int) -> Iterator[tuple[bool, int, int, int, int]]:
-    """(dark, first row of the file from 1, rows, byte offset, bytes) of stretches of at most step records of one kind."""
-    at, first = HEADER.itemsize, 1
-    for dark, n, record in ((True, int(head["ndark"]), DARK_RECORD), (False, int(head["nstar"]), STAR_RECORD)):
-        for lo in range(0, n, step):
-            count = min(step, n - lo)
-            yield dark, first + lo, count, at + lo * record.itemsize, count * record.itemsize
-        at, first = at + n * record.itemsize, first + n
+class Tipsy:
+    """How the files are read and written: a header, dark records, star records."""
+
+    label, suffix, schema = "tipsy", ".tipsy", SCHEMA
+    types = arrow_types(SCHEMA)
+    wanted = ("gid", "ptype", "mass", "x", "y", "z", "vx", "vy", "vz")
+
+    @staticmethod
+    def head(system, path: str) -> bytes:
+        with system.open_input_file(path) as f:
+            head = f.read_at(HEADER.itemsize, 0)
+        parse_header(head)
+        return head
+
+    @staticmethod
+    def time(head: bytes) -> float:
+        t = float(parse_header(head)["time"])
+        return 0.0 if abs(t) > LATE else t
+
+    @staticmethod
+    def populations(head: bytes) -> list[tuple[bool, int, int]]:
+        """(dark, rows, position in the file from 1) of each kind."""
+        h = parse_header(head)
+        return [(True, int(h["ndark"]), 1), (False, int(h["nstar"]), 1 + int(h["ndark"]))]
+
+    @staticmethod
+    def read(f, part: Stretch, names: set[str]) -> dict:
+        record = DARK_RECORD if part.dark else STAR_RECORD
+        at = HEADER.itemsize + (0 if part.dark else int(parse_header(part.head)["ndark"]) * DARK_RECORD.itemsize) + part.lo * record.itemsize
+        raw = f.read_at((part.hi - part.lo) * record.itemsize, at)
+        if len(raw) != (part.hi - part.lo) * record.itemsize:
+            raise ValueError(f"{part.path} ends before its last record")
+        return Tipsy.columns(np.frombuffer(raw, record), part.head, part.dark, names)
+
+    @staticmethod
+    def columns(rows: np.ndarray, head: bytes, dark: bool, names: set[str]) -> dict:
+        """The named columns of records."""
+        found = {"mass": rows["mass"].astype(float)} if "mass" in names else {}
+        found |= {f"{v}{c}": rows[kind][:, i].astype(float) for v, kind in (("", "pos"), ("v", "vel")) for i, c in enumerate("xyz") if f"{v}{c}" in names}
+        if names & {"gid", "ptype"}:
+            gid = rows["id"].astype(np.int64)
+            if parse_header(head)["version"] != 2:  # the second of the two words; kinds by the older ranges
+                old = (rows["id"] >> np.uint64(32)).astype(np.int64)
+                gid = old + (DARK_BASE if dark else np.where(old >= V1_BULGE, BULGE_BASE, 0))
+            found |= {"gid": gid, "ptype": kind_of(gid)}
+        return found
+
+    @staticmethod
+    def blocks(batch: pa.RecordBatch, options: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Dark and star records of some rows."""
+        star = batch["ptype"].to_numpy(zero_copy_only=False) != 0
+        found = []
+        for ok, record in ((~star, DARK_RECORD), (star, STAR_RECORD)):
+            block = np.zeros(int(ok.sum()), record)
+            raw = batch["gid"].to_numpy(zero_copy_only=False)[ok].astype(np.int64).view(np.uint64)
+            block["id"] = raw if int(options.get("version", 2)) == 2 else raw << np.uint64(32)
+            block["mass"] = batch["mass"].to_numpy(zero_copy_only=False)[ok]
+            for i, c in enumerate("xyz"):
+                block["pos"][:, i], block["vel"][:, i] = (batch[n].to_numpy(zero_copy_only=False)[ok] for n in (c, f"v{c}"))
+            found.append(block)
+        return tuple(found)
+
+    @staticmethod
+    def encode(groups: list[tuple[np.ndarray, ...]], options: dict) -> Iterator[bytes]:
+        """One file of blocks of dark and of star records."""
+        head = np.zeros(1, HEADER)
+        head["time"], head["ndim"], head["version"] = float(options.get("time", 0.0)), 3, int(options.get("version", 2))
+        head["ndark"], head["nstar"] = (sum(map(len, g)) for g in groups)
+        head["n"] = head["ndark"] + head["nstar"]
+        yield head.tobytes()
+        for g in groups:
+            yield from (b.tobytes() for b in g if len(b))
+
+
+class TipsySource(SnapshotSource):
+    form = Tipsy
 
 
 def _records(spark: SparkSession, path: str, step: int) -> DataFrame:
     """All records of all files. Where executors can seek, a task reads a stretch of records, whatever the size of the file."""
-    if not files.direct(path):
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    head = parse_header(content)
-                    for dark, first, count, offset, _ in _spans(head, step):
-                        yield _columns(p, head, np.frombuffer(content, DARK_RECORD if dark else STAR_RECORD, count, offset), first, dark)
-
-        return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(whole, SCHEMA)
-
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p in batch.column(0).to_pylist():
-                head = files.read_range(p, 0, HEADER.itemsize)
-                spans = list(_spans(parse_header(head), step))
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(spans), type=pa.string()), pa.array([head] * len(spans), type=pa.binary()), *(pa.array([s[i] for s in spans], type=t) for i, t in enumerate((pa.bool_(), *[pa.int64()] * 4)))], names=["file", "head", "dark", "first", "count", "offset", "size"])
+    if files.direct(path):
+        return load(spark, path, Tipsy, step=step)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                rows = np.frombuffer(files.read_range(r["file"], r["offset"], r["size"]), DARK_RECORD if r["dark"] else STAR_RECORD)
-                if len(rows) != r["count"]:
-                    raise ValueError(f"{r['file']} ends before its last record")
-                yield _columns(r["file"], parse_header(r["head"]), rows, r["first"], r["dark"])
+            for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                head = content[: HEADER.itemsize]
+                for dark, n, first in Tipsy.populations(head):
+                    for lo in range(0, n, step):
+                        part = Stretch(p, head, dark, lo, min(n, lo + step), first)
+                        found = Tipsy.read(pa.BufferReader(content), part, set(Tipsy.types)) | {"time": Tipsy.time(head), "is_dark": dark, "file": p, "pos": np.arange(first + lo, first + part.hi)}
+                        yield pa.RecordBatch.from_arrays([pa.array(v) if isinstance(v := found[c], np.ndarray) else pa.repeat(pa.scalar(v, t), part.hi - lo) for c, t in Tipsy.types.items()], names=list(Tipsy.types))
 
-    spans = files.file_table(spark, path).select("file").mapInArrow(plan, "file string, head binary, dark boolean, first long, count long, offset long, size long")
-    return files.spread(spans, path, step * DARK_RECORD.itemsize).mapInArrow(read, SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(whole, SCHEMA)
 
 
 def read_tipsy(spark: SparkSession, path: str, reduce: int = 1, reduce_dark: int | None = None, reduce_star: int | None = None, step: int = STEP) -> DataFrame:
     """gid, ptype, x .. vz, mass, time of one file, a folder or a glob; tasks read stretches of at most step records.
 
     Rows with z below -1e11 are dropped, and absurd times are 0. reduce: every k-th row by file position, mass times k; reduce_dark and reduce_star count each kind apart and 0 drops the kind."""
-    rows = _records(spark, path, step).filter(F.col("z") >= FAR).withColumn("time", sane_time(F.col("time")))
+    rows = _records(spark, path, step).filter(F.col("z") >= FAR)
     if reduce > 1:
         rows = rows.filter(F.col("pos") % reduce == 0).withColumn("mass", F.col("mass") * float(reduce))
     if reduce_dark is not None or reduce_star is not None:
         kinds = [sample_every(rows.filter(F.col("is_dark") == dark).withColumn("_o", F.struct("file", "pos")), 1 if k is None else k, "_o") for dark, k in ((True, reduce_dark), (False, reduce_star))]
         rows = kinds[0].unionByName(kinds[1]).drop("_o")
-    gid = F.when(F.col("version") == 2, F.col("raw_id")).otherwise(ids.v1_to_v2(F.col("raw_id"), F.col("is_dark")))
-    return rows.withColumn("gid", gid).select("gid", ids.type_of(F.col("gid")).alias("ptype"), "x", "y", "z", "vx", "vy", "vz", "mass", "time")
+    return rows.select("gid", "ptype", "x", "y", "z", "vx", "vy", "vz", "mass", "time")
 
 
 def count_tipsy(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of each kind over all files."""
-    return read_tipsy(spark, path).groupBy((F.col("ptype") == 0).alias("is_dark")).agg(F.count("*").alias("n"))
+    """Rows of each kind over all files, by their headers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                counts = Tipsy.populations(files.read_range(p, 0, HEADER.itemsize))
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in counts]), pa.array([n for _, n, _ in counts], pa.int64())], names=["is_dark", "n"])
 
-def _encode(t: pa.Table, time: float, version: int) -> bytes:
-    """One file of the rows of a table: dark ones, then stars, each in their order."""
-    star = t["ptype"].to_numpy() != 0
-    head = np.zeros(1, HEADER)
-    head["time"], head["ndim"], head["version"] = time, 3, version
-    head["ndark"], head["nstar"], head["n"] = (~star).sum(), star.sum(), len(star)
-    out = [head.tobytes()]
-    for ok, record in ((~star, DARK_RECORD), (star, STAR_RECORD)):
-        block = np.zeros(int(ok.sum()), record)
-        raw = t["gid"].to_numpy()[ok].view(np.uint64)
-        block["id"] = raw if version == 2 else raw << np.uint64(32)
-        block["mass"] = t["mass"].to_numpy()[ok]
-        for i, c in enumerate("xyz"):
-            block["pos"][:, i], block["vel"][:, i] = t[c].to_numpy()[ok], t[f"v{c}"].to_numpy()[ok]
-        out.append(block.tobytes())
-    return b"".join(out)
+    if files.direct(path):
+        rows = files.file_table(spark, path).select("file").mapInArrow(run, "is_dark boolean, n long")
+    else:
+        rows = _records(spark, path, STEP).select("is_dark", F.lit(1).cast("long").alias("n"))
+    return rows.groupBy("is_dark").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def write_tipsy_parts(p: DataFrame, folder: str, time: float = 0.0, version: int = 2) -> list[tuple[str, int]]:
-    """A file for each partition, written by its task; returns names and sizes. Version 1 keeps ids (gid) of 32 bits in the older place."""
-    rows = p.select("gid", "ptype", "mass", "x", "y", "z", "vx", "vy", "vz")
-    return files.write_partitions(rows, folder, "part-{:05d}.tipsy", lambda t: _encode(t, time, version))
+    """A file for each partition, written by its task; returns names and sizes of the folder's files. Version 1 keeps ids (gid) of 32 bits in the older place."""
+    return write_parts(p.select(*Tipsy.wanted), folder, Tipsy, {"time": str(time), "version": str(version)})
 
 
 def write_tipsy(p: DataFrame, path: str, time: float = 0.0) -> None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starmill.operators import profiles
-from starmill.sources import columnar, text, tipsy
+from starmill.sources import columnar, files, snapshots, text, tipsy
 from starmill.sources.views import disk
 from starmill.streaming.frames import Cadence, FirstFrameRange, distinct_frames, each_frame, frames
 
@@ -149,3 +149,70 @@ def test_cadence():
     assert not Cadence(0).due(1)
     late = Cadence(0.1)
     assert late.due(5.0) and late.next == 5.0
+
+
+def _names(folder):
+    return sorted(p.name for p in folder.rglob("*") if p.is_file() and not p.name.startswith("."))
+
+
+@pytest.mark.parametrize("form", ["tipsy", "columnar"])
+def test_formats_of_spark(spark, bodies, tmp_path, form):
+    """A file a partition and nothing else; rows, pruned columns and filters as of any source."""
+    snapshots.register(spark)
+    folder = f"file://{tmp_path}/{form}"
+    bodies.repartition(3, "id").write.format(form).mode("append").option("time", 2.5).save(folder)
+    assert len(_names(tmp_path / form)) == 3 and len(list((tmp_path / form).iterdir())) == len(list((tmp_path / form).glob("part-*")))
+    _same(spark.read.format(form).load(folder), bodies)
+    some = spark.read.format(form).schema("x double, gid long").option("step", 9).load(folder)
+    assert some.columns == ["x", "gid"]
+    _same(some, bodies, ("x", "gid"))
+    rows = spark.read.format(form).load(folder)
+    assert rows.filter("time > 3").isEmpty() and rows.filter("time = 2.5 and is_dark").count() == bodies.filter("ptype = 0").count()
+    assert rows.filter("not is_dark and x > 0").count() == bodies.filter("ptype <> 0 and x > 0").count()
+    every = {(r["file"], r["is_dark"], r["pos"]) for r in rows.collect()}
+    assert len(every) == bodies.count()
+    assert {(r["file"], r["is_dark"], r["pos"]) for r in rows.filter("pos >= 5 and pos < 40").collect()} == {e for e in every if 5 <= e[2] < 40}
+    assert {e[2] for e in every if e[2] in (3, 8)} == {r["pos"] for r in rows.filter("pos in (3, 8)").collect()}
+    bodies.limit(7).coalesce(1).write.format(form).mode("append").save(folder)
+    assert spark.read.format(form).load(folder).count() == bodies.count() + 7 and len(_names(tmp_path / form)) == 4
+    bodies.coalesce(1).write.format(form).mode("overwrite").option("maxRecordsPerFile", 30).save(folder)
+    assert len(_names(tmp_path / form)) == -(-bodies.count() // 30)
+    _same(spark.read.format(form).load(folder), bodies)
+    with pytest.raises(Exception, match="needs columns"):
+        bodies.drop("mass").write.format(form).mode("append").save(folder)
+    with pytest.raises(Exception, match="has no columns"):
+        spark.read.format(form).schema("colour int").load(folder).count()
+
+
+@pytest.mark.parametrize("form", ["tipsy", "columnar"])
+def test_a_failed_task_leaves_nothing(spark, bodies, tmp_path, form):
+    snapshots.register(spark)
+    folder = tmp_path / "failed"
+    odd = bodies.repartition(3, "id").withColumn("mass", F.when(F.col("id") == 77, F.raise_error(F.lit("lost"))).otherwise(F.col("mass")))
+    with pytest.raises(Exception, match="lost"):
+        odd.write.format(form).mode("append").save(f"file://{folder}")
+    assert not folder.exists() or snapshots.visible_files(str(folder)) == []
+    with pytest.raises(Exception, match="lost"):
+        files.write_partitions(odd, f"file://{folder}", "part-{:05d}", lambda t: b"x")
+    assert snapshots.visible_files(str(folder)) == []  # a task that outlives its job writes to the job's hidden folder
+
+
+def test_only_wanted_arrays_are_read(bodies, tmp_path):
+    """Two columns of a columnar file take the bytes of their two arrays."""
+    columnar.write_columnar(bodies.coalesce(1), f"file://{tmp_path}/one")
+
+    class Counted:
+        def __init__(self, f):
+            self.f, self.bytes = f, 0
+
+        def read_at(self, n, at):
+            self.bytes += n
+            return self.f.read_at(n, at)
+
+    system, inner = snapshots.system_of(f"{tmp_path}/one/part-00000.snap")
+    head = columnar.Columnar.head(system, inner)
+    n = head[2][False]
+    with system.open_input_file(inner) as f:
+        seen = Counted(f)
+        assert set(columnar.Columnar.read(seen, snapshots.Stretch(inner, head, False, 0, n, 0), {"gid", "vx", "time"})) == {"gid", "vx"}
+    assert seen.bytes == n * (8 + 12)
