@@ -45,10 +45,25 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame
     return local.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 
-def running_sum(df: DataFrame, value: str, name: str, rn: str = "rn", block: int = 1 << 16) -> DataFrame:
-    """df with the sum of value over all rows of number up to its own; blocks of rows are summed first."""
-    blocked = df.withColumn("_block", F.floor((F.col(rn) - 1) / block).cast("long"))
-    sums = blocked.groupBy("_block").agg(F.sum(value).alias("_s"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inner = Window.partitionBy("_block").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
-    return blocked.join(before, "_block").withColumn(name, F.col("_before") + F.sum(value).over(inner)).drop("_block", "_before")
+#: Bits of the row number below a block, a block of blocks and a block of those; the topmost sum sees one row for 2**40.
+LEVELS = (16, 28, 40)
+
+
+def running_sum(df: DataFrame, value: str, name: str, rn: str = "rn") -> DataFrame:
+    """df with the sum of value over all rows of number up to its own.
+
+    A tree of sums: blocks of rows, blocks of blocks and blocks of those; what lies before a block is what lies before its parent and its elder siblings."""
+    at = lambda bits: F.shiftright(F.col(rn).cast("long") - 1, bits)
+    blocked = df.withColumn("_k0", at(LEVELS[0]))
+    sums, down = [blocked.groupBy("_k0").agg(F.sum(value).alias("_s"))], None
+    for i in range(1, len(LEVELS)):
+        sums[-1] = sums[-1].withColumn(f"_k{i}", F.shiftright(f"_k{i - 1}", LEVELS[i] - LEVELS[i - 1]))
+        sums.append(sums[-1].groupBy(f"_k{i}").agg(F.sum("_s").alias("_s")))
+    for i in reversed(range(len(LEVELS))):
+        parent = [f"_k{i + 1}"] if down is not None else []
+        elder = (Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))).orderBy(f"_k{i}").rowsBetween(Window.unboundedPreceding, -1)
+        level = sums[i].withColumn("_e", F.coalesce(F.sum("_s").over(elder), F.lit(0))).drop("_s")
+        level = level.join(down, parent[0]) if parent else level.withColumn("_b", F.lit(0))
+        down = level.select(f"_k{i}", (F.col("_b") + F.col("_e")).alias("_b"))
+    inner = Window.partitionBy("_k0").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
+    return blocked.join(down, "_k0").withColumn(name, F.col("_b") + F.sum(value).over(inner)).drop("_k0", "_b")

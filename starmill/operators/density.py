@@ -11,17 +11,42 @@ from ..sources.views import COORDS
 from .cut import cut
 
 
-def neighbours(p: DataFrame, cell: float) -> DataFrame:
-    """Pairs (id, h, r2, jm) of every body with all bodies within its own radius h, itself included. cell: side of a bucket.
+PART = 1024
 
-    A body asks each bucket its ball overlaps and bodies lie in one bucket, so the join is by equality of buckets whatever the radii."""
-    bucket = {f"b{c}": F.floor(F.col(c) / cell).cast("long") for c in COORDS}
-    asks = p.select("id", "h", *COORDS)
+
+def bucket_pairs(p: DataFrame, cell: float, part: int = PART) -> DataFrame:
+    """(id, h, x, y, z; jd, jx, jy, jz, jm) of bodies and the bodies of the buckets that their balls meet.
+
+    Buckets come in levels of doubled sides, the least ones of side cell; a body asks at the level whose side its radius fills between a half and the
+    whole, so that it meets at most 27 buckets whatever its radius, and a bucket holds the bodies in it at every level that is asked at all. Buckets of more than part bodies, or asked by
+    more, are dealt: parts of the askers meet parts of the bodies, and no pair of parts is larger than part squared."""
+    level = F.greatest(F.ceil(F.log2(F.col("h") / cell)), F.lit(-60)).cast("int")
+    side = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    asks = p.filter("h > 0").select("id", "h", *COORDS, level.alias("level"))
+    # as many as there are doublings between the least and the greatest radius
+    levels = asks.agg(F.collect_set("level").alias("_levels"))
     for c in COORDS:
-        asks = asks.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - F.col("h")) / cell).cast("long"), F.floor((F.col(c) + F.col("h")) / cell).cast("long"))))
-    holds = p.select(F.col("id").alias("jd"), *[F.col(c).alias(f"j{c}") for c in COORDS], F.col("mass").alias("jm"), *[e.alias(b) for b, e in bucket.items()])
+        asks = asks.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - F.col("h")) / side).cast("long"), F.floor((F.col(c) + F.col("h")) / side).cast("long"))))
+    holds = p.select(F.col("id").alias("jd"), *[F.col(c).alias(f"j{c}") for c in COORDS], F.col("mass").alias("jm")).crossJoin(F.broadcast(levels))
+    holds = holds.withColumn("level", F.explode("_levels")).drop("_levels").withColumns({f"b{c}": F.floor(F.col(f"j{c}") / side).cast("long") for c in COORDS})
+    key = ["level", *[f"b{c}" for c in COORDS]]
+    counts = asks.groupBy(*key).agg(F.count("*").alias("_asks")).join(holds.groupBy(*key).agg(F.count("*").alias("_holds")), key)
+    dense = counts.filter((F.col("_asks") > part) | (F.col("_holds") > part)).select(*key, F.ceil(F.col("_asks") / part).alias("_pa"), F.ceil(F.col("_holds") / part).alias("_ph"))
+    one = F.lit(1).cast("long")
+    sides = []
+    for rows, own, other, name in ((asks, "_pa", "_ph", "id"), (holds, "_ph", "_pa", "jd")):
+        rows = rows.join(dense, key, "left").withColumns({"_pa": F.coalesce("_pa", one), "_ph": F.coalesce("_ph", one)})
+        mine, theirs = F.pmod(F.xxhash64(name), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
+        sides.append(rows.withColumn(f"at{own}", mine).withColumn(f"at{other}", theirs).drop("_pa", "_ph"))
+    return sides[0].join(sides[1], [*key, "at_pa", "at_ph"])
+
+
+def neighbours(p: DataFrame, cell: float = 1.0) -> DataFrame:
+    """Pairs (id, h, r2, jm, jd) of every body with all bodies within its own radius h, itself included. cell: side of the least bucket; any gives the same pairs.
+
+    Bodies without a radius above zero have none."""
     r2 = sum(((F.col(c) - F.col(f"j{c}")) * (F.col(c) - F.col(f"j{c}")) for c in COORDS), F.lit(0.0))
-    return asks.join(holds, [*bucket]).withColumn("r2", r2).filter("r2 < h * h").select("id", "h", "r2", "jm", "jd")
+    return bucket_pairs(p, cell).withColumn("r2", r2).filter("r2 < h * h").select("id", "h", "r2", "jm", "jd")
 
 
 def neighbour_density(p: DataFrame, cell: float, kernel: str = "m4") -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.views import COORDS
@@ -69,26 +72,82 @@ def orb_boxes(cut: DataFrame) -> DataFrame:
     return out.select("box", "n", *[f"{s}_{c}" for c in COORDS for s in ("low", "high")])
 
 
-def replicate_halo(p: DataFrame, boxes: DataFrame, hfac: float = 2.0) -> DataFrame:
-    """A row (box, id, own) for every box that a body's ball of hfac h overlaps; own: the body lies in it (low <= x < high).
+MAX_BOXES = 1 << 20
+
+
+class BoxTree:
+    """The boxes of a bisection as slices of x, of y within each, and of z within those; every look-up is by binary search.
+
+    Boxes are one row a domain; ValueError beyond MAX_BOXES."""
+
+    def __init__(self, boxes: DataFrame):
+        rows = boxes.select("box", *[f"{s}_{c}" for c in COORDS for s in ("low", "high")]).limit(MAX_BOXES + 1).toPandas()
+        if len(rows) > MAX_BOXES:
+            raise ValueError(f"more than {MAX_BOXES} boxes")
+        ends = [rows[f"{s}_{c}"].to_numpy(float) for c in COORDS for s in ("low", "high")]
+        for i, e in enumerate(ends):  # an open side has no end
+            e[np.isnan(e)] = np.inf if i % 2 else -np.inf
+        self.box = rows["box"].to_numpy(np.int64)
+        order = np.lexsort((ends[4], ends[3], ends[2], ends[1], ends[0]))
+        self.box, ends = self.box[order], [e[order] for e in ends]
+        # first[k][i]: the boxes of slice i of axis k begin there; a slice ends where its bounds or its parent change
+        new, self.axes = np.zeros(len(order), dtype=bool), []
+        new[:1] = True
+        for low, high in zip(ends[::2], ends[1::2], strict=True):
+            parent = np.cumsum(new) - 1 if self.axes else np.zeros(len(order), dtype=np.int64)
+            new = new.copy()
+            new[1:] |= (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (len(self.axes) == 2)
+            at = np.flatnonzero(new)
+            self.axes.append((low[at], high[at], np.searchsorted(parent[at], np.arange(parent[-1] + 2 if len(at) else 1))))
+
+    def meets(self, low: list[np.ndarray], high: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, index of a box) of every box with low < its high side and high >= its low side, along every axis; row after row."""
+        row, node = np.arange(len(low[0])), np.zeros(len(low[0]), dtype=np.int64)
+        for k, (lows, highs, first) in enumerate(self.axes):
+            a, b = np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.int64)
+            order = np.argsort(node, kind="stable")
+            cuts = np.flatnonzero(np.diff(node[order], prepend=-1, append=-2))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                mine, n = order[i:j], node[order[i]]
+                s = slice(first[n], first[n + 1])
+                a[mine] = first[n] + np.searchsorted(highs[s], low[k][row[mine]], side="right")
+                b[mine] = first[n] + np.searchsorted(lows[s], high[k][row[mine]], side="right")
+            count = np.maximum(b - a, 0)
+            node = np.repeat(a, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            row = np.repeat(row, count)
+        return row, node
+
+
+def _meeting(p: DataFrame, boxes: DataFrame, reach: F.Column) -> DataFrame:
+    """id, box, own of every body and each box that a cube of reach about it meets; bodies that meet none have box NULL."""
+    tree = BoxTree(boxes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *place, r = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(1, 5))
+            row, at = tree.meets([c - r for c in place], [c + r for c in place]) if len(tree.box) else (np.zeros(0, np.int64),) * 2
+            inside = np.ones(len(row), dtype=bool)
+            last, parents = at, []
+            for lows, highs, first in reversed(tree.axes):
+                parents.append((lows[last], highs[last]))
+                last = np.searchsorted(first, last, side="right") - 1
+            for c, (lo, hi) in zip(place, reversed(parents), strict=True):
+                inside &= (c[row] >= lo) & (c[row] < hi)
+            alone = np.setdiff1d(np.arange(batch.num_rows), row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate([row, alone]))), pa.concat_arrays([pa.array(tree.box[at]), pa.nulls(len(alone), pa.int64())]), pa.concat_arrays([pa.array(inside), pa.nulls(len(alone), pa.bool_())])], names=["id", "box", "own"])
+
+    schema = f"id {p.schema['id'].dataType.simpleString()}, box long, own boolean"
+    return p.select("id", *COORDS, reach.cast("double").alias("_r")).mapInArrow(run, schema)
 
-    Boxes are as many as domains, so they are broadcast."""
-    r = F.lit(hfac) * F.col("h")
-    meets = own = F.lit(True)
-    for c in COORDS:
-        lo, hi = F.col(f"low_{c}"), F.col(f"high_{c}")
-        meets = meets & (lo.isNull() | (F.col(c) + r >= lo)) & (hi.isNull() | (F.col(c) - r < hi))
-        own = own & (lo.isNull() | (F.col(c) >= lo)) & (hi.isNull() | (F.col(c) < hi))
-    return p.join(F.broadcast(boxes.drop("n")), meets).select("box", "id", own.alias("own"))
+
+def replicate_halo(p: DataFrame, boxes: DataFrame, hfac: float = 2.0) -> DataFrame:
+    """A row (box, id, own) for every box that a body's ball of hfac h overlaps; own: the body lies in it (low <= x < high)."""
+    return _meeting(p, boxes, F.lit(hfac) * F.col("h")).filter("box IS NOT NULL").select("box", "id", "own")
 
 
 def box_of(p: DataFrame, boxes: DataFrame) -> DataFrame:
     """id, box that holds the body, -1 if none."""
-    inside = F.lit(True)
-    for c in COORDS:
-        lo, hi = F.col(f"low_{c}"), F.col(f"high_{c}")
-        inside = inside & (lo.isNull() | (F.col(c) >= lo)) & (hi.isNull() | (F.col(c) < hi))
-    return p.join(F.broadcast(boxes.drop("n")), inside, "left").select("id", F.coalesce("box", F.lit(-1).cast("long")).alias("box"))
+    return _meeting(p, boxes, F.lit(0.0)).select("id", F.coalesce("box", F.lit(-1).cast("long")).alias("box"))
 
 
 def visibility(boxes: DataFrame, eye: tuple[float, float, float]) -> DataFrame:
@@ -100,6 +159,21 @@ def visibility(boxes: DataFrame, eye: tuple[float, float, float]) -> DataFrame:
     return boxes.withColumn("d2", d2).select("box", "d2", F.row_number().over(Window.orderBy("d2", "box")).cast("long").alias("place"))
 
 
+def visibility_by_splits(boxes: DataFrame, eye: tuple[float, float, float], ny: int, nz: int) -> DataFrame:
+    """box, place: front to back through the splits of a bisection into so many y and z slices.
+
+    Along each axis the slice that holds the eye (or the nearest one) comes first, then those below it downwards, then those above it upwards."""
+    rows = boxes.withColumns({"ix": F.floor(F.col("box") / (ny * nz)), "iy": F.floor(F.col("box") / nz) % ny, "iz": F.col("box") % nz})
+    within: list[str] = []
+    for c, e in zip(COORDS, eye, strict=True):
+        i, below = F.col(f"i{c}"), F.col(f"low_{c}").isNull() | (F.col(f"low_{c}") <= e)
+        ends = rows.groupBy(*within).agg(F.coalesce(F.max(F.when(below, i)), F.min(i)).alias("_eye"))
+        rows = rows.join(ends, within) if within else rows.crossJoin(ends)
+        rows = rows.withColumn(f"k{c}", F.when(i <= F.col("_eye"), F.col("_eye") - i).otherwise(i)).drop("_eye")
+        within.append(f"i{c}")
+    return numbered(rows.select("box", "kx", "ky", "kz"), "kx", "ky", "kz", name="place").select("box", "place")
+
+
 def weighted_cuts(keyed: DataFrame, parts: int, weight: str, key: str = "key_hi") -> DataFrame:
     """part, low: cuts of keyed rows (with rn) into stretches of equal weight; a part begins with the first row before which its share of the weight lies."""
     rows = running_sum(keyed.select("rn", F.col(key).alias("low"), F.col(weight).alias("_w")), "_w", "_sum").withColumn("_before", F.col("_sum") - F.col("_w"))

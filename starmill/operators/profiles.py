@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import physics
 from ..sources.views import BULGE, DARK, DISK
+from .cut import cut
 
 MASS_UNIT, SURFACE_UNIT = 2.33e9, 2300.0
 
@@ -86,26 +91,75 @@ def vertical_extent(p: DataFrame, rmin: float, rmax: float) -> DataFrame:
     return p.withColumn("r", r).filter((F.col("r") >= rmin) & (F.col("r") <= rmax)).agg(F.count("*").alias("n"), F.min("z").alias("zmin"), F.max("z").alias("zmax"))
 
 
-def interpolate_curve(p: DataFrame, curve: DataFrame, bucket: float = 0.25) -> DataFrame:
-    """p (with r) with v_curve, linear between the last curve point below r and the one after the first at or above r; NULL outside the curve.
-
-    An as-of join by radius bucket: each bucket that a body asks for has its own points, the last point before and the next two after it; those come
-    from windows over one row a bucket."""
-    c = curve.groupBy("r").agg(F.avg("v").alias("v")).withColumn("_b", F.floor(F.col("r") / bucket).cast("long"))
-    pts = c.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("r", "v"))).alias("pts"))
-    asked = p.select(F.floor(F.col("r") / bucket).cast("long").alias("_b")).distinct()
-    rows = asked.join(pts, "_b", "full")
-    order = Window.orderBy("_b")
-    later = order.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumns({"before": F.last(F.element_at("pts", -1), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first(F.element_at("pts", 1), ignorenulls=True).over(later)})
-    second = F.when(F.col("pts").isNotNull(), F.coalesce(F.try_element_at("pts", F.lit(2)), F.col("after")))
-    rows = rows.withColumn("after2", F.first(second, ignorenulls=True).over(later))
-    whole = F.filter(F.concat(F.array("before"), F.coalesce("pts", F.array().cast(_POINTS)), F.array("after", "after2")), lambda x: x.isNotNull())
-    rows = p.withColumn("_b", F.floor(F.col("r") / bucket).cast("long")).join(rows.select("_b", whole.alias("_pts")), "_b", "left")
-    i = F.size(F.filter("_pts", lambda x: x["r"] < F.col("r")))
-    lo, up = F.try_element_at("_pts", i), F.try_element_at("_pts", i + 2)
-    v = F.when((i > 0) & (i + 2 <= F.size("_pts")), lo["v"] + (F.col("r") - lo["r"]) * F.try_divide(up["v"] - lo["v"], up["r"] - lo["r"]))
-    return rows.withColumn("v_curve", v).drop("_b", "_pts")
-
-
-_POINTS = "array<struct<r: double, v: double>>"
+def interpolate_curve(p: DataFrame, curve: DataFrame) -> DataFrame:
+    """p (with r) with v_curve, linear between the last curve point below r and the one after the first at or above r; NULL outside the curve, and where r is NULL.
+
+    An as-of join by range: bodies and points are dealt together by radius, a body before a point of its radius; a task walks its stretch in order, and
+    the points it lacks at its ends come from the other stretches' ends, three points each."""
+    points = curve.filter("r IS NOT NULL").groupBy("r").agg(F.avg("v").alias("v"))
+    whole = F.struct(*p.columns)
+    kind = p.select(whole.alias("row")).schema["row"].dataType
+    both = p.select(F.col("r").cast("double").alias("r"), F.lit(False).alias("point"), F.lit(None).cast("double").alias("v"), F.monotonically_increasing_id().alias("tie"), whole.alias("row"))
+    both = both.unionByName(points.select(F.col("r").cast("double").alias("r"), F.lit(True).alias("point"), F.col("v").cast("double").alias("v"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast(kind).alias("row")))
+    order = ("r", "point", "tie")
+    dealt = cut(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())).drop("tie")
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, part = [], None, None
+        for b in batches:
+            part = b.column(2)[0].as_py() if b.num_rows else part
+            r, v = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            first += list(zip(r[: 2 - len(first)].tolist(), v[: 2 - len(first)].tolist(), strict=True)) if len(first) < 2 else []
+            last = (float(r[-1]), float(v[-1])) if len(r) else last
+        if last:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([[x for p in first for x in p]], pa.list_(pa.float64())), pa.array([list(last)], pa.list_(pa.float64()))], names=["part", "first", "last"])
+
+    # a row for each partition that holds points
+    known = sorted(dealt.filter("point").select("r", "v", "part").mapInArrow(ends, "part int, first array<double>, last array<double>").collect())
+    parts = np.array([k["part"] for k in known], np.int64)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # bodies, their radii, the number of points before them
+        rs, vs, seen, part = [], [], 0, None  # points from the last one that a waiting body can need
+
+        def settle(r: np.ndarray, v: np.ndarray, base: int, end: bool) -> Iterator[pa.RecordBatch]:
+            """Bodies whose two next points are known (all at the end); the others wait on."""
+            held, waiting[:] = waiting[:], []
+            for rows, x, before in held:
+                at = before - base  # of r, the place of the first point at or above x
+                ready = len(x) if end else int(np.searchsorted(at, len(r) - 2, side="right"))
+                if ready:
+                    i = at[:ready]
+                    ok = (i > 0) & (i + 1 < len(r)) & ~np.isnan(x[:ready])
+                    lo, up = np.clip(i - 1, 0, max(len(r) - 1, 0)), np.clip(i + 1, 0, max(len(r) - 1, 0))
+                    with np.errstate(all="ignore"):
+                        found = v[lo] + (x[:ready] - r[lo]) * ((v[up] - v[lo]) / (r[up] - r[lo])) if len(r) else np.zeros(ready)
+                    yield pa.RecordBatch.from_arrays([rows[:ready], pa.array(found, mask=~ok)], names=["row", "v_curve"])
+                if ready < len(x):
+                    waiting.append((rows[ready:], x[ready:], before[ready:]))
+
+        base = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r, point, v = b.column(0).to_numpy(zero_copy_only=False).astype(float), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            if part is None:
+                part = b.column(4)[0].as_py()
+                at = int(np.searchsorted(parts, part)) - 1
+                if at >= 0:
+                    rs, vs, seen = [known[at]["last"][0]], [known[at]["last"][1]], 1
+            body = np.flatnonzero(~point)
+            if len(body):
+                waiting.append((b.column(3).take(pa.array(body)), r[body], seen + np.cumsum(point)[body]))
+            rs, vs = [*rs, *r[point].tolist()], [*vs, *v[point].tolist()]
+            seen += int(point.sum())
+            yield from settle(np.array(rs), np.array(vs), base, False)
+            # points before all that wait are done with, but for the last one
+            low = max(base, min([seen, *(int(w[2][0]) for w in waiting)]) - 1)
+            rs, vs, base = rs[low - base :], vs[low - base :], low
+        if part is not None:
+            after = [x for k in known[int(np.searchsorted(parts, part, side="right")) :][:2] for x in k["first"]][:4]
+            yield from settle(np.array([*rs, *after[::2]]), np.array([*vs, *after[1::2]]), base, True)
+
+    found = dealt.select("r", "point", "v", "row", "part").mapInArrow(walk, StructType().add("row", kind).add("v_curve", "double"))
+    return found.select("row.*", "v_curve")

@@ -48,6 +48,18 @@ def nnb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(density.neighbour_statistics(density.neighbour_density(_with_h(spark, sf_dir), H)), "mean", "sigma")
 
 
+_CLUSTERS = f"SELECT id, mass, x / pow(10e0, id % 4) AS x, y / pow(10e0, id % 4) AS y, z / pow(10e0, id % 4) AS z FROM {CORE_SQL}"
+_CLUSTER_H = "(1e0 / pow(10e0, p.id % 4) * (1 + 0.1e0 * (p.id % 5)))"
+
+
+@query(f"WITH c AS MATERIALIZED ({_CLUSTERS}), p AS (SELECT * FROM c), {_pairs_sql(_CLUSTER_H)} SELECT id, " + r_sql("h", "h", 9) + ", " + r_sql(f"sum(mass * ({_M4}))", "rho", 3) + ", CAST(count(*) AS DOUBLE) AS nnb FROM pr GROUP BY id, h")
+def clustered_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters inside one another, with radii over three decades."""
+    ten = F.pow(F.lit(10.0), F.col("id") % 4)
+    p = core(spark, sf_dir).withColumns({c: F.col(c) / ten for c in "xyz"} | {"h": 1.0 / ten * (1 + 0.1 * (F.col("id") % 5))})
+    return rounded(rounded(density.neighbour_density(p, 0.01), "rho", digits=3), "h", digits=9)
+
+
 _ADJ = "h * CASE WHEN nnb > 0 THEN least(greatest(0.5e0 * (1 + cbrt(32e0 / nnb)), {lo}e0), 2e0) ELSE 2e0 END"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import ids, sfc
 from ..operators import merging, partition, sampling, tree
-from ..operators.cut import numbered
+from ..operators.cut import cut, numbered
 from ..sources.views import CORE_SQL, DISK_SQL, FRAMES_SQL, core, disk, frames
 from .registry import query
 from .trees import _CORE_KEYS, r_sql, rounded
@@ -130,6 +130,44 @@ def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.box_of(p, partition.orb_boxes(partition.bisect(p, 3, 2, 2)))
 
 
+_MANY = _ORB.replace(CORE_SQL, DISK_SQL).replace("* 3 //", "* 16 //").replace("* 2 //", "* 16 //").replace("(ix * 2 + iy) * 2", "(ix * 16 + iy) * 16")
+
+
+@query(_MANY + f" SELECT id, coalesce(box, -1) AS box FROM c LEFT JOIN bx ON {_meets('0')}")
+def point_in_many_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every body of the disk in one of up to 4,096 boxes."""
+    p = disk(spark, sf_dir)
+    return partition.box_of(p, partition.orb_boxes(partition.bisect(p, 16, 16, 16)))
+
+
+@query(_MANY + f" SELECT count(*) AS n, sum(({_meets('0')})::BIGINT)::BIGINT AS own, sum(box * (id % 101))::BIGINT AS mixed FROM c, bx WHERE {_meets('2e0 * 0.25e0')}")
+def halo_of_many_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = disk(spark, sf_dir).withColumn("h", F.lit(0.25))
+    found = partition.replicate_halo(p, partition.orb_boxes(partition.bisect(p, 16, 16, 16)))
+    return found.agg(F.count("*").alias("n"), F.sum(F.col("own").cast("long")).alias("own"), F.sum(F.col("box") * (F.col("id") % 101)).alias("mixed"))
+
+
+_EYES = {"outside": (40.0, -30.0, 25.0), "inside": (0.1, -0.2, 0.05)}
+
+
+def _front_sql(name: str, eye: tuple[float, float, float]) -> str:
+    out, within = "", []
+    for k, (c, e) in enumerate(zip("xyz", eye, strict=True)):
+        over = f"PARTITION BY {', '.join(within)}" if within else ""
+        out += f", {name}{k} AS (SELECT *, coalesce(max(CASE WHEN low_{c} IS NULL OR low_{c} <= {e!r}e0 THEN i{c} END) OVER ({over}), min(i{c}) OVER ({over})) AS e{c} FROM {f'{name}{k - 1}' if k else 's0'})"
+        within.append(f"i{c}")
+    key = ", ".join(f"CASE WHEN i{c} <= e{c} THEN e{c} - i{c} ELSE i{c} END" for c in "xyz")
+    return out + f", {name} AS (SELECT '{name}' AS eye, box, row_number() OVER (ORDER BY {key}) AS place FROM {name}2)"
+
+
+@query(_ORB + ", s0 AS (SELECT box, box // 4 AS ix, box // 2 % 2 AS iy, box % 2 AS iz, low_x, low_y, low_z FROM bx)" + "".join(_front_sql(n, e) for n, e in _EYES.items()) + " SELECT * FROM outside UNION ALL SELECT * FROM inside")
+def visibility_by_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes front to back through the splits, from an eye outside them and one inside."""
+    boxes = cut(partition.orb_boxes(partition.bisect(core(spark, sf_dir), 3, 2, 2)))
+    seen = [partition.visibility_by_splits(boxes, e, 2, 2).select(F.lit(n).alias("eye"), "box", "place") for n, e in _EYES.items()]
+    return seen[0].unionByName(seen[1])
+
+
 _GAPS = " + ".join(f"pow(greatest(coalesce(low_{c} - {e}e0, 0), coalesce({e}e0 - high_{c}, 0), 0), 2)" for c, e in zip("xyz", (2.0, -1.0, 0.5), strict=True))
 
 
