@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import physics
-from ..operators import generators, gravity, merging, steps
+from ..operators import generators, gravity, merging, profiles, steps
 from ..operators.cut import cut
 from ..sources.views import CORE_SQL, DISK_SQL, FRAMES_SQL, core, disk, frames
 from ..streaming.frames import windowed_counts
@@ -145,29 +147,62 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(e).withColumn("start", F.unix_seconds(F.col("start").cast("timestamp")))
 
 
-@query()
+def _u(seed: int, k: int) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}:{k}:' || id), 1, 13) AS BIGINT) / 4503599627370496e0)"
+
+
+def _draws(seed: int, n: int) -> str:
+    return f"{_D}, u AS MATERIALIZED (SELECT id, {', '.join(f'{_u(seed, k)} AS u{k}' for k in range(n))} FROM d)"
+
+
+def _way(r: str, u: str, v: str) -> list[str]:
+    flat = f"{r} * sqrt(1 - (1 - 2 * {u}) * (1 - 2 * {u}))"
+    return [f"{flat} * cos({2 * math.pi!r}e0 * {v})", f"{flat} * sin({2 * math.pi!r}e0 * {v})", f"{r} * (1 - 2 * {u})"]
+
+
+_LENGTH = 3 * math.pi / 16
+_TRIED = ", ".join(f"CASE WHEN 0.1e0 * u{6 + 2 * i} < u{5 + 2 * i} * u{5 + 2 * i} * pow(1 - u{5 + 2 * i} * u{5 + 2 * i}, 3.5e0) THEN u{5 + 2 * i} END" for i in range(generators.TRIES))
+_PLUMMER = _draws(19810614, 5 + 2 * generators.TRIES) + f""", r AS (SELECT *, 1 / sqrt(pow(greatest(u0, 1e-10) * {(1 + 100.0**-2) ** -1.5!r}e0, -2e0 / 3) - 1) AS r FROM u),
+ v AS (SELECT *, coalesce({_TRIED}, {math.sqrt(2) / 3!r}e0) * sqrt(2e0) * pow(1 + r * r, -0.25e0) AS v FROM r),
+ p AS MATERIALIZED (SELECT id, {", ".join(f"({e}) * {_LENGTH!r}e0 AS {c}" for c, e in zip("xyz", _way("r", "u1", "u2"), strict=True))}, {", ".join(f"({e}) / {math.sqrt(_LENGTH)!r}e0 AS v{c}" for c, e in zip("xyz", _way("v", "u3", "u4"), strict=True))} FROM v)"""
+
+
+@query(_PLUMMER + " SELECT id, " + ", ".join(r_sql(f"{c} - avg({c}) OVER ()", c, 5) for c in _PH) + ", " + r_sql("1e0 / count(*) OVER ()", "mass", 9) + " FROM p")
 def plummer_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.plummer(spark, 4096)
+    """A Plummer sphere with the ids of the disk."""
+    return rounded(rounded(generators.plummer_over(disk(spark, sf_dir).select("id")), *_PH, digits=5), "mass", digits=9)
 
 
-@query()
+@query(_draws(1, 3) + " SELECT id, " + ", ".join(r_sql(e, c, 9) for c, e in zip("xyz", _way("cbrt(u0)", "u1", "u2"), strict=True)) + ", 0e0 AS vx, 0e0 AS vy, 0e0 AS vz, " + r_sql("1e0 / count(*) OVER ()", "mass", 9) + " FROM u")
 def sphere_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.sphere(spark, 4096)
+    return rounded(generators.sphere_over(disk(spark, sf_dir).select("id")), "x", "y", "z", "mass", digits=9)
 
 
-@query()
+@query(_draws(1, 3) + " SELECT id, " + ", ".join(f"2 * u{k} - 1 AS {c}" for k, c in enumerate("xyz")) + ", 0e0 AS vx, 0e0 AS vy, 0e0 AS vz, " + r_sql("1e6 / (CAST(count(*) OVER () AS DOUBLE) * count(*) OVER ())", "mass", 9) + " FROM u")
 def cube_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.cube(spark, 4096)
+    return rounded(generators.cube_over(disk(spark, sf_dir).select("id")).withColumn("mass", F.col("mass") * 1e6), "mass", digits=9)
 
 
-@query()
+@query(_draws(1, 4) + f", t AS (SELECT d.*, cos({2 * math.pi!r}e0 * u0) AS c, sin({2 * math.pi!r}e0 * u0) AS s, u1, u2, u3 FROM d JOIN u USING (id)) SELECT id, " + ", ".join(r_sql(e, n) for n, e in (("x", "x * c - y * s + (u1 - 0.5e0) * 0.002e0"), ("y", "x * s + y * c + (u2 - 0.5e0) * 0.002e0"), ("z", "z + (u3 - 0.5e0) * 0.002e0"), ("vx", "vx * c - vy * s"), ("vy", "vx * s + vy * c"))) + ", vz, mass FROM t")
 def shuffled_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.shuffled_disk(disk(spark, sf_dir)).select("id", *_PH, "mass")
+    return rounded(generators.shuffled_disk(disk(spark, sf_dir)).select("id", *_PH, "mass"), *_PH[:5])
+
+
+_RING = (6.0, 0.5, 0.1, 0.2)
+_FAR = [(f"sqrt(-2 * ln(greatest(u{1 + 2 * i}, 1e-300)))", f"{2 * math.pi!r}e0 * u{2 + 2 * i}") for i in range(generators.TRIES)]
+_IN_RING = ", ".join(f"CASE WHEN abs({f} * cos({t})) <= 3 AND abs({f} * sin({t})) <= 3 AND {_RING[0]} + {_RING[1]} * {f} * cos({t}) > 0 THEN [{f} * cos({t}), {f} * sin({t})] END" for f, t in _FAR)
+_TILT = physics.axis_angle((math.cos(math.pi / 2), math.sin(math.pi / 2), 0.0), _RING[3])
 
 
-@query()
+@query(_draws(1, 1 + 2 * generators.TRIES) + f""", w AS (SELECT id, {2 * math.pi!r}e0 * u0 AS phi, coalesce({_IN_RING}, [0e0, 0e0]) AS w FROM u), q AS (SELECT id, phi, {_RING[0]} + {_RING[1]} * w[1] AS r, {_RING[2]} * w[2] AS z FROM w),
+ cv AS (SELECT r, avg(v) AS v FROM (SELECT sqrt(x * x + y * y) AS r, sqrt(vx * vx + vy * vy) AS v, vz FROM d WHERE ptype = 2) WHERE 0.01e0 * v > abs(vz) GROUP BY r), c1 AS MATERIALIZED (SELECT r, v, row_number() OVER (ORDER BY r) AS i FROM cv),
+ b AS (SELECT q.*, (SELECT count(*) FROM c1 WHERE c1.r < q.r) AS i FROM q), e AS (SELECT b.id, b.r * cos(phi) AS x, b.r * sin(phi) AS y, b.z, lo.v + (b.r - lo.r) * (up.v - lo.v) / (up.r - lo.r) AS v, phi FROM b JOIN c1 lo ON lo.i = b.i JOIN c1 up ON up.i = b.i + 2),
+ f AS (SELECT id, x, y, z, -v * sin(phi) AS vx, v * cos(phi) AS vy, 0e0 AS vz FROM e) SELECT id, """ + ", ".join(r_sql(" + ".join(f"({k!r}) * {v}{c}" for k, c in zip(row, "xyz", strict=True)), f"{v}{a}", 5) for v in ("", "v") for a, row in zip("xyz", _TILT, strict=True)) + ", 0e0 AS mass FROM f")
 def dust_ring_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.dust_ring(spark, 2000, 8.0, 0.8, 0.1, 0.2)
+    """A ring with the ids of the disk, turning as its velocity curve says."""
+    d = disk(spark, sf_dir)
+    curve = profiles.rotation_curve(d)[0].select("r", "v")
+    return rounded(generators.dust_ring_over(d.select("id"), *_RING, curve=curve), *_PH, digits=5)
 
 
 _KEPLER = _PAIR.replace("WITH d", "WITH RECURSIVE d", 1) + """, k AS (SELECT id, m, 0e0 AS t, x, y, z, vx, vy, vz FROM o
