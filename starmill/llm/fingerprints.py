@@ -19,6 +19,7 @@ ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textnp as tn
+from .store import WHOLE, id_and_text
 
 EQUAL_LANES, LIKE_LANES, RUN = 8, 64, 3
 U64, U16 = np.uint64, np.uint16
@@ -122,42 +124,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             texts = batch.column(1).fill_null("")
             chars = pa.array([len(t) for t in texts.to_pylist()], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), chars, pa.array(encode(*_vectors(texts)), type=pa.string())], names=[id_col, "n_chars", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), chars, pa.array(encode(*_vectors(texts)), type=pa.string())], names=["id", "n_chars", "fingerprint"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_chars long, fingerprint string")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_chars long, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows dealt so that each task sees runs of consecutive ids, each run followed by the row that comes next.
 
-    Ids are cut into ranges at quantiles (as many as there are shuffle partitions); each range gets one guest row, the first of the
-    range below, so a row's successor in descending order is always the next row of its task.
+    Ids are cut into ranges at quantiles (as many as there are shuffle partitions; of ids that are no whole numbers, quantiles of a
+    bounded sample of smallest hash); each range gets one guest row, the first of the range below, so a row's successor in descending
+    order is always the next row of its task.  Ids may be of any type that has an order.
     Columns: part, guest, id, text.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = docs.schema[id_col].dataType.simpleString() in WHOLE
+    docs = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.withColumn("id", F.col("id").cast("long")) if whole else docs
+    kind = docs.schema["id"].dataType.simpleString()
     ranges = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("id", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 20 * ranges)).first()[0]
-    cuts = np.array(sorted({c for c in cuts or [] if c is not None}), dtype=np.int64)
+    if whole:
+        cuts = docs.agg(F.percentile_approx("id", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 20 * ranges)).first()[0]
+        cuts = np.array(sorted({c for c in cuts or [] if c is not None}), dtype=np.int64)
+    else:
+        some = docs.filter("id IS NOT NULL").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(20 * ranges).toArrow()["id"].to_pylist()
+        some.sort()
+        cuts = np.empty(len(set(some[20::20])), dtype=object)
+        cuts[:] = sorted(set(some[20::20]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.iinfo(np.int64).min
         for batch in batches:
-            ids = batch.column(0).fill_null(low).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, ids, side="left")), *batch.columns], names=["part", *batch.schema.names])
-
-    part_of = docs.select("id").mapInArrow(place, "part long, id long").groupBy("part").agg(F.max("id").alias("id"))
-    heads = sorted((r["part"], r["id"]) for r in part_of.collect())  # one row per range
+            if whole:
+                ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                part = np.searchsorted(cuts, ids, side="left")
+            else:
+                part = np.array([0 if i is None else bisect.bisect_left(cuts, i) for i in batch.column(0).to_pylist()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], names=["part", *batch.schema.names])
+
+    part_of = docs.select("id").mapInArrow(place, f"part long, id {kind}").groupBy("part").agg(F.max("id").alias("id"))
+    heads = part_of.orderBy("part").collect()  # one row per range
     if not heads:
         return docs.select(F.lit(0).cast("long").alias("part"), F.lit(False).alias("guest"), "id", "text")
-    below = {heads[i - 1][1]: heads[i][0] for i in range(len(heads))}  # first id of a range -> the range above; the lowest range is followed by the topmost
-    known = [k for k in below if k is not None]
-    wanted = F.col("id").isin(known)
-    host = F.create_map(*[F.lit(x) for k in known for x in (k, below[k])])[F.col("id")] if known else F.lit(None).cast("long")
-    if None in below:
-        wanted, host = wanted | F.col("id").isNull(), F.coalesce(host, F.lit(below[None]))
-    guests = docs.filter(wanted).groupBy("id").agg(F.min("text").alias("text")).select(host.cast("long").alias("part"), "id", "text")
-    rows = docs.mapInArrow(place, "part long, id long, text string").withColumn("guest", F.lit(False))
+    # the first id of a range is a guest of the range above; the topmost is one of the lowest range
+    hosts = spark.createDataFrame([(heads[(i + 1) % len(heads)]["part"], h["id"]) for i, h in enumerate(heads)], f"part long, head {kind}")
+    guests = docs.join(F.broadcast(hosts), F.col("id").eqNullSafe(F.col("head"))).groupBy("part", "id").agg(F.min("text").alias("text")).select("part", "id", "text")
+    rows = docs.mapInArrow(place, f"part long, id {kind}, text string").withColumn("guest", F.lit(False))
     rows = rows.unionByName(guests.withColumn("guest", F.lit(True)))
     return rows.repartition(ranges, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("id"), "text").select("part", "guest", "id", "text")
 
@@ -170,22 +182,23 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         held = None
         for batch in batches:
             part, guest = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ids, texts = batch.column(2), batch.column(3).to_pylist()
             equal, like = _vectors(batch.column(3))
             if held:
-                part, guest, ids, texts = held[0] + part, held[1] + guest, held[2] + ids, held[3] + texts
+                part, guest, ids, texts = held[0] + part, held[1] + guest, pa.concat_arrays([held[2], ids]), held[3] + texts
                 equal, like = np.concatenate([held[4], equal]), np.concatenate([held[5], like])
             held = (part[-1:], guest[-1:], ids[-1:], texts[-1:], equal[-1:], like[-1:])
             at = np.array([i for i in range(len(ids) - 1) if not guest[i]], dtype=np.int64)
             for lo in range(0, len(at), 512):
                 own = at[lo : lo + 512]
-                assert all(part[i] == part[i + 1] for i in own)
+                if any(part[i] != part[i + 1] for i in own):
+                    raise ValueError("a range without a guest")
                 edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in own]
                 eq, li = _vectors(pa.array(edited, type=pa.large_string()))
                 mine = (equal[own], like[own])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[i] for i in own], type=pa.int64()),
+                        ids.take(pa.array(own)),
                         pa.array([len(texts[i]) for i in own], type=pa.int64()),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
                         pa.array(encode(*mine)),
@@ -193,7 +206,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         pa.array(likeness(mine, (eq, li))),
                         pa.array(likeness(mine, (equal[own + 1], like[own + 1]))),
                     ],
-                    names=[id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                    names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
-    return with_next(docs, id_col, text_col).mapInArrow(run, f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = with_next(docs, id_col, text_col)
+    return dealt.mapInArrow(run, f"id {dealt.schema['id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textnp as tn
 from .ftrl import Ftrl
-from .store import col, plain
+from .store import col, id_and_text, plain
 
 MIN_WORDS = 8
 MAX_ROWS, PASSES, BITS, KEEP = 12_000, 6, 18, 0.4
@@ -160,14 +160,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_row
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pattern", "n"])
 
-    seen = docs.select(text_col).mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
+    docs = id_and_text(docs, id_col, text_col)
+    seen = docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     by_pattern = np.full(3 ** len(LABELLERS), np.nan)
     at, n = seen["pattern"].to_numpy(), seen["n"].to_numpy()
     if len(at):
         by_pattern[at] = posterior(at, n)[0]
 
-    chosen = docs.filter(F.col(id_col).isNotNull()).select(id_col).distinct().withColumn("_order", F.xxhash64(F.col(id_col).cast("string"))).orderBy("_order", id_col).limit(max_rows)
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select("_order", text_col)
+    chosen = docs.filter("id IS NOT NULL").select("id").distinct().withColumn("_order", F.xxhash64(F.col("id").cast("string"))).orderBy("_order", "id").limit(max_rows)
+    # of rows of one id the least text, so that there are no more rows than chosen ids
+    sample = docs.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(chosen), "id").groupBy("id", "_order").agg(F.min("text").alias("text")).select("_order", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

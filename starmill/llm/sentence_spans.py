@@ -14,7 +14,8 @@ documents share is a count from each task; the join back to the occurrences is o
 left to the skew handling of the join.
 
 Defined results: a null or empty text has no sentences and stays as it is; rows of one id are one occurrence (their equal
-spans are not removed from each other, except later in the same text); a null id comes after all others; ids may be
+spans are not removed from each other, except later in the same text); rows of null id come after all others, in order of a hash of
+their text, and are one occurrence only where their texts are equal; ids may be
 of any type that has an order; repeated rows are repeated; an empty table gives an empty result; an input column that bears the name of a result gives way to it.
 """
 
@@ -103,34 +104,44 @@ def spans(data: np.ndarray, offsets: np.ndarray, least: int = SENTENCES, words:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """All columns of docs, the text without repeated spans, and n_sentences, n_removed (sentences), n_removed_bytes."""
-    keyed = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    keyed = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("like"))
     kind = keyed.schema["id"].dataType.simpleString()
 
+    def order(rows: DataFrame) -> F.Column:
+        """The place of an occurrence: its id, then, without one, the hash of its text."""
+        return F.struct(id_key(rows, "id").alias("id"), F.when(F.col("id").isNull(), F.col("like")).otherwise(F.lit(0)).alias("like"))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
+            ids, like = batch.column(0), batch.column(2)
+            by_id = pc.rank(ids, null_placement="at_end", tiebreaker="dense").to_numpy()
             rank = np.empty(batch.num_rows, np.int64)
-            rank[pc.array_sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(batch.num_rows)
+            rank[np.lexsort((like.to_numpy(), by_id))] = np.arange(batch.num_rows)
             for a, _, data, offsets in tn.chunks(batch.column(1)):
                 s, at, _, h = spans(data, offsets, least, words)
                 row = a + s[0][at] if len(at) else np.zeros(0, np.int64)
-                order = np.lexsort((rank[row], h))
-                h, row = h[order], row[order]
+                by = np.lexsort((rank[row], h))
+                h, row = h[by], row[by]
                 new = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
                 n = np.diff(np.append(new, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), ids.take(pa.array(row[new])), pa.array(n)], names=["span", "id", "n"])
+                at = pa.array(row[new])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), ids.take(at), like.take(at), pa.array(n)], names=["span", "id", "like", "n"])
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, data, offsets in tn.chunks(batch.column(1)):
                 s, at, _, h = spans(data, offsets, least, words)
                 row, h = tn.distinct_per_doc(a + s[0][at] if len(at) else np.zeros(0, np.int64), h)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row))], names=["span", "id"])
-
-    first = keyed.mapInArrow(count, f"span long, id {kind}, n long").withColumn("id", id_key(keyed, "id")).groupBy("span").agg(F.min("id").alias("first"), F.sum("n").alias("n")).filter("n > 1").select("span", "first")
-    marks = keyed.mapInArrow(occur, f"span long, id {kind}").withColumn("id", id_key(keyed, "id")).join(first, "span").groupBy("id").agg(F.collect_list(F.struct("span", (F.col("id") == F.col("first")).alias("own"))).alias("__sm_marks"))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row))], names=["span", "id", "like"])
+
+    counted = keyed.mapInArrow(count, f"span long, id {kind}, like long, n long")
+    first = counted.select("span", order(counted).alias("at"), "n").groupBy("span").agg(F.min("at").alias("first"), F.sum("n").alias("n")).filter("n > 1").select("span", "first")
+    seen = keyed.mapInArrow(occur, f"span long, id {kind}, like long")
+    # marks belong to a text of an id, so rows that repeat it share one set of its own size
+    marks = seen.select("span", order(seen).alias("at"), id_key(seen, "id").alias("__sm_id"), F.col("like").alias("__sm_like")).join(first, "span")
+    marks = marks.groupBy("__sm_id", "__sm_like").agg(F.collect_set(F.struct("span", (F.col("at") == F.col("first")).alias("own"))).alias("__sm_marks"))
     docs = docs.drop("_n", "_gone", "_bytes")
-    found = docs.withColumn("__sm_id", id_key(docs, id_col)).join(marks.withColumnRenamed("id", "__sm_id"), "__sm_id", "left")
+    found = docs.withColumns({"__sm_id": id_key(docs, id_col), "__sm_like": F.xxhash64(F.coalesce(col(text_col), F.lit("")))}).join(marks, ["__sm_id", "__sm_like"], "left")
     names = docs.columns
     place = names.index(text_col)
     chosen, inner, kinds = plain(docs, names)

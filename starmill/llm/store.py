@@ -10,19 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set (tests on one machine)."""
+    """The cluster's spark.checkpoint.dir; a temporary folder only where none is set and one machine does everything.
+
+    Raises RuntimeError on a cluster without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        sc = spark.sparkContext
+        held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="starmill-")
-            spark.sparkContext.setCheckpointDir(found)
+            sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-_WHOLE = ("tinyint", "smallint", "int", "bigint")
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def col(name: str) -> Column:
@@ -32,14 +37,14 @@ def col(name: str) -> Column:
 
 def id_key(df: DataFrame, id_col: str) -> Column:
     """An id to group and order by, nulls last: a long for whole numbers, else (whether null, value)."""
-    if df.schema[id_col].dataType.simpleString() in _WHOLE:
+    if df.schema[id_col].dataType.simpleString() in WHOLE:
         return F.coalesce(col(id_col).cast("long"), F.lit((1 << 63) - 1))
     return F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("value"))
 
 
 def id_hash(df: DataFrame, id_col: str) -> Column:
     """An id as a long: itself, or a hash of one that is no whole number; the least long for NULL."""
-    whole = df.schema[id_col].dataType.simpleString() in _WHOLE
+    whole = df.schema[id_col].dataType.simpleString() in WHOLE
     return F.coalesce(col(id_col).cast("long") if whole else F.when(col(id_col).isNotNull(), F.xxhash64(col(id_col))), F.lit(-(1 << 63)))
 
 
@@ -49,6 +54,11 @@ def plain(df: DataFrame, names: list[str]) -> tuple[list[Column], list[str], str
     return [col(n).alias(i) for n, i in zip(names, inner, strict=True)], inner, ", ".join(f"{i} {df.schema[n].dataType.simpleString()}" for n, i in zip(names, inner, strict=True))
 
 
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The two columns as id and text, whatever they are called."""
+    return docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+
+
 class Store:
     """A folder of its own under the shared one."""
 

@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import textnp as tn
+from .store import id_and_text
 
 CACHE_PIECES = 1 << 17
 LONGEST_CACHED = 64
@@ -174,7 +175,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             for a, b, data, offsets in tn.chunks(batch.column(1), CHUNK_CHARS):
                 n[a:b] = counter.chunk(data, offsets)
                 size[a:b] = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    found = id_and_text(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return found.withColumnRenamed("id", id_col)

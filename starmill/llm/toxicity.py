@@ -10,7 +10,7 @@ the passes, since FTRL is sequential, and returns the non-zero weights only, whi
 Defined results: a null or empty text scores by the intercept alone; rows with a null label
 and repeated labels are not learnt from twice (the highest label of an id counts); with no
 usable label at all every score is 0.5; repeated rows are repeated; an empty table gives an empty
-result.  Only id and text of documents and id and label of labels are read.
+result; of rows of one id the least text is learnt from.  Only id and text of documents and id and label of labels are read.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textnp as tn
 from .ftrl import Ftrl
+from .store import col, id_and_text
 
 BITS = 20
 BIAS = 0
@@ -69,11 +70,13 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, passes: int = PASSES, usable: Column | None = None) -> np.ndarray:
     """Weights of all 2**BITS coordinates; coordinate 0 is the intercept."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    known = labels.filter(col(label_col).isNotNull() & col(id_col).isNotNull())
     known = known.filter(usable) if usable is not None else known
-    known = known.groupBy(id_col).agg(F.max(label_col).cast("double").alias("_label"))
-    known = known.withColumn("_order", F.xxhash64(F.col(id_col).cast("string"))).orderBy("_order", id_col).limit(max_rows)
-    sample = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(known), id_col).select("_order", "_label", "_text")
+    known = known.select(col(id_col).alias("id"), col(label_col).alias("label")).groupBy("id").agg(F.max("label").cast("double").alias("_label"))
+    known = known.withColumn("_order", F.xxhash64(F.col("id").cast("string"))).orderBy("_order", "id").limit(max_rows)
+    # of rows of one id the least text, so that there are no more rows than labels
+    sample = id_and_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(known), "id")
+    sample = sample.groupBy("id", "_order", "_label").agg(F.min("text").alias("_text")).select("_order", "_label", "_text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +121,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
                 doc, at = tn.distinct_per_doc(np.concatenate(docs_), np.concatenate(at_))
                 total[a:b] += np.bincount(doc, table[at], b - a)
             p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double, predicted int")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)

@@ -532,3 +532,54 @@ def test_lines_of_one_passage(spark, monkeypatch):
         texts[100 + d] = " ".join(w)
     got = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert [d for d, t in got.items() if t == ""] and {d for d, t in got.items() if t == ""} == set(range(100, 110))
+
+
+# ids and names of any kind, for all operators
+def _ways(odd):
+    """Odd rows with ids that are strings, and with dots in the names."""
+    dotted = odd.withColumnsRenamed({"doc_id": "doc.id", "text": "the.text"})
+    return [(odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), "doc_id", "text"), (dotted, "doc.id", "the.text")]
+
+
+def test_ids_and_names_of_any_kind(spark, odd):
+    labels = spark.createDataFrame([("d1", 1), ("d4", 0), ("d6", 1)], "doc_id string, toxic int")
+    for rows, key, text in _ways(odd):
+        known = labels.withColumnRenamed("doc_id", key)
+        known = known.withColumn(key, F.substring(F.col(f"`{key}`"), 2, 9).cast("long")) if key == "doc.id" else known
+        w = toxicity.fit(rows, known, key, text)
+        for found in (toxicity.score(rows, w, key, text), token_counts.count_tokens(rows, BPE, key, text), quality.classify(rows, None, key, text), fingerprints.fingerprints(rows, key, text), fingerprints.compare_with_edits(rows, key, text)):
+            assert key in found.columns and found.count() == len(ODD)
+
+
+def test_edits_of_string_ids_follow_their_order(spark):
+    rows = [(f"k{i:03d}", f"text {i} of some words") for i in range(300)]
+    found = {r["doc_id"]: r for r in fingerprints.compare_with_edits(spark.createDataFrame(rows, "doc_id string, text string").repartition(5)).collect()}
+    texts, ids = dict(rows), sorted(dict(rows), reverse=True)
+    for i, d in enumerate(ids):
+        t, after = texts[d], texts[ids[(i + 1) % len(ids)]]
+        n = len(t)
+        assert found[d]["edited_sha256"] == hashlib.sha256((t[: n - n // 2] + after[: n // 2]).encode()).hexdigest()
+
+
+def test_spans_of_many_rows_without_ids(spark):
+    """Rows of null id are documents of their own: of a shared passage one occurrence stays, and the work grows with the rows."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(200)) + "."
+    rows = [(None, " ".join(word() for _ in range(30)) + ". " + passage + " " + " ".join(word() for _ in range(30)) + ".") for _ in range(400)]
+    found = sentence_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    middle = " ".join(passage.split()[60:140])
+    assert sum(middle in r["text"] for r in found) == 1 and sum(r["_gone"] > 0 for r in found) == 399
+    own = sentence_spans.remove_repeats(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert sum(r["_gone"] for r in own) == sum(r["_gone"] for r in found)
+    one = sentence_spans.remove_repeats(spark.createDataFrame([(7, passage)] * 300, "doc_id long, text string"))
+    assert one.filter("_gone > 0").isEmpty()
+
+
+def test_training_rows_are_bounded(spark):
+    """Rows of one id are one row to learn from, however many there are."""
+    docs = spark.createDataFrame([(1, f"vile words {i % 3}") for i in range(500)] + [(i, "plain words") for i in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 12)], "doc_id long, toxic int")
+    twice = toxicity.fit(docs, labels)
+    once = toxicity.fit(docs.dropDuplicates(["doc_id"]).withColumn("text", F.when(F.col("doc_id") == 1, "vile words 0").otherwise(F.col("text"))), labels)
+    assert np.array_equal(twice, once)
