@@ -8,9 +8,8 @@ from ..functions import physics
 from ..sources.views import COORDS
 from .cut import numbered
 
-# Lower mass limits and colours of the spectral classes, heaviest first; masses start at 150.
-STAR_TOP = 150.0
-STAR_MASSES = (40.0, 18.0, 6.5, 3.2, 2.1, 1.7, 1.29, 1.1, 1.0, 0.93, 0.78, 0.69, 0.47, 0.21, 0.1, 0.05)
+# Mass limits of the spectral classes, heaviest first, each class between a limit and the next, and their colours.
+STAR_MASSES = (150.0, 40.0, 18.0, 6.5, 3.2, 2.1, 1.7, 1.29, 1.1, 1.0, 0.93, 0.78, 0.69, 0.47, 0.21, 0.1, 0.05)
 STAR_COLOURS = (
     (32, 78, 255), (62, 108, 255), (68, 114, 255), (87, 133, 255), (124, 165, 255), (156, 189, 255), (177, 204, 255), (212, 228, 255),
     (237, 244, 255), (253, 254, 255), (255, 246, 233), (255, 233, 203), (255, 203, 145), (255, 174, 98), (255, 138, 56), (240, 0, 0),
@@ -105,17 +104,18 @@ def map_colours(grid: DataFrame, palette: DataFrame, size: int = 256, rows: str
     return grid.withColumns(index).join(F.broadcast(palette), ["i", "j"]).drop("i", "j")
 
 
-def star_mass(u: Column, slope: float = -2.35, low: float = STAR_MASSES[-1], high: float = STAR_TOP) -> Column:
+def star_mass(u: Column, slope: float = -2.35, low: float = STAR_MASSES[-1], high: float = STAR_MASSES[0]) -> Column:
     """Mass of a power law between low and high at the quantile u."""
     k = slope + 1.0
     return F.pow(u * (high**k - low**k) + low**k, F.lit(1.0 / k))
 
 
-def star_class(mass: Column) -> Column:
-    """Index of the spectral class: the first whose lower limit the mass reaches, the last for smaller ones."""
-    out = F.lit(len(STAR_MASSES) - 1)
-    for i in range(len(STAR_MASSES) - 2, -1, -1):
-        out = F.when(mass >= STAR_MASSES[i], i).otherwise(out)
+def star_class(mass: Column, first: int = 0, n: int = len(STAR_COLOURS)) -> Column:
+    """Index of the spectral class between whose limits the mass lies, of n classes from the first; the last of them for smaller masses, the first for larger ones."""
+    last = min(first + n, len(STAR_COLOURS)) - 1
+    out = F.lit(last)
+    for i in range(last - 1, first - 1, -1):
+        out = F.when(mass >= STAR_MASSES[i + 1], i).otherwise(out)
     return out.cast("int")
 
 
@@ -130,6 +130,37 @@ def colour_kind(old: Column, bright: int = 100) -> Column:
     return F.when(old < 40_000_000, disk).when(old < 50_000_000, glow).when(old < 70_000_000, "dust").when(old < 100_000_000, "third").when(old < 200_000_000, "bulge").otherwise("dark")
 
 
+# Where the live picture's kinds of bodies begin among typed ids, and the mass functions of its stars (first class, classes, exponent of the
+# number by mass: the slope of the mass function plus that of light to mass, less one).
+KINDS = (("disk", 0), ("glow", 40_000_000), ("dust", 50_000_000), ("haze", 70_000_000), ("bulge", 2_000_000_000_000_000_000), ("dark", 3_000_000_000_000_000_000))
+STARS = {"bulge": (10, 7, -1.35 + 4.0 - 1), "disk": (2, 15, -1.35 + 3.5 - 1), "glow": (0, 6, -1.35 + 1.0 - 1)}
+GLOWING, DIM = 1024, 0.01
+RGBA = ("red", "green", "blue", "alpha")
+
+
+def live_colours(p: DataFrame, dust: tuple[float, ...], haze: tuple[float, ...], dark: tuple[float, ...], brightness: float = 1.0, glow_alpha: float = 1.0, gid: str = "gid") -> DataFrame:
+    """p with kind, red, green, blue, alpha of the live picture. dust, haze and dark are colours of four numbers.
+
+    Stars draw a mass by a hash of their id from the mass function of their kind and take the colour of its class: disk stars dimmed but one id in 1,024, which glows; glowing
+    ones times brightness; bulge stars dimmed. Dust takes its colour times the hash."""
+    g, u = F.col(gid), physics.uniform(F.col(gid))
+    kind = F.lit(KINDS[0][0])
+    for name, low in KINDS[1:]:
+        kind = F.when(g >= low, name).otherwise(kind)
+    rows = p.drop("kind", *RGBA).withColumns({"kind": kind, "_u": u})
+    for name, (first, n, slope) in STARS.items():
+        mass = star_mass(F.col("_u"), slope, STAR_MASSES[first + n - 1], STAR_MASSES[first])
+        rows = rows.withColumn(f"_{name}", F.array(*star_colour(star_class(mass, first, n))).cast("array<double>"))
+    shade = lambda c, k, a: F.array(*[F.col(c)[i] * k for i in range(3)], F.lit(float(a)))
+    given = lambda c: F.array(*[F.lit(float(v)) for v in c])
+    disk = F.when(g % GLOWING == 0, shade("_glow", 1.0, 1.0)).otherwise(shade("_disk", DIM, 1.0))
+    dusty = F.array(*[F.lit(float(v)) * (F.col("_u") if i < 3 else 1.0) for i, v in enumerate(dust)])
+    by = {"disk": disk, "glow": shade("_glow", brightness, glow_alpha), "dust": dusty, "haze": given(haze), "bulge": shade("_bulge", DIM, 2.0), "dark": given(dark)}
+    colour = F.coalesce(*[F.when(F.col("kind") == k, c) for k, c in by.items()])
+    rows = rows.withColumn("_c", colour)
+    return rows.withColumns({n: F.col("_c")[i] for i, n in enumerate(RGBA)}).drop("_u", "_c", *[f"_{n}" for n in STARS])
+
+
 def grid_colour(grid: DataFrame, value: str, lo: float = 0.0, hi: float = 255.0, log: bool = False) -> DataFrame:
     """grid with c: value (or log(value + 1)) scaled over its own range to lo..hi and clamped."""
     v = F.log(F.col(value) + 1.0) if log else F.col(value)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import physics
 from ..operators import generators, gravity, merging, profiles, steps
-from ..operators.cut import cut
+from ..operators.cut import cut, scratch
 from ..sources.views import CORE_SQL, DISK_SQL, FRAMES_SQL, core, disk, frames
-from ..streaming.frames import windowed_counts
+from ..sources import columnar
+from ..streaming.frames import each_frame, replay, sent_frames, windowed_counts
 from .registry import query
 from .trees import _CELL, _CORE2, _CORE_KEYS, _DIRECT_TERMS, _ENERGY, _GROUPS, _LEVELS, _WALK, keys_sql, r_sql, rounded
 
@@ -147,6 +148,24 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(e).withColumn("start", F.unix_seconds(F.col("start").cast("timestamp")))
 
 
+@query(f"{_D}, l AS (SELECT range AS loop FROM range(2)) SELECT loop, count(*) AS n, " + r_sql("sum(CAST(CAST(mass AS FLOAT) AS DOUBLE))", "mass", 3) + " FROM d, l WHERE ptype <> 0 GROUP BY 1")
+def replayed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots shown twice as a stream, without their dark matter; bodies and mass of each round."""
+    folder, out = scratch(spark, "shown"), scratch(spark, "seen")
+    shown = len(columnar.write_columnar(disk(spark, sf_dir).repartition(3, "id"), folder, 1.0))
+    feed = replay(spark, folder, "mass double, is_dark boolean", loop=2, reduce_dark=0)
+    each_frame(feed, lambda batch, number: batch.write.mode("append").parquet(out), scratch(spark, "ck"))
+    rows = spark.read.parquet(out).groupBy(F.floor(F.col("frame") / shown).alias("loop")).agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
+    return rounded(rows, "mass", digits=3)
+
+
+@query(f"WITH RECURSIVE f AS MATERIALIZED (SELECT t, t % 3 AS producer, 1 + n % 5 AS busy FROM {FRAMES_SQL}), s AS (SELECT producer, min(t) AS t FROM f GROUP BY 1 UNION ALL SELECT s.producer, (SELECT min(g.t) FROM f g WHERE g.producer = s.producer AND g.t >= s.t + f.busy) FROM s JOIN f ON f.producer = s.producer AND f.t = s.t WHERE s.t IS NOT NULL) SELECT producer, t, f.busy FROM s JOIN f USING (producer, t)")
+def frames_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of three producers that never wait for what is under way."""
+    log = frames(spark, sf_dir).select((F.col("t") % 3).alias("producer"), "t", (1 + F.col("n") % 5).alias("busy"))
+    return sent_frames(log, "producer")
+
+
 def _u(seed: int, k: int) -> str:
     return f"(CAST('0x' || substr(md5('{seed}:{k}:' || id), 1, 13) AS BIGINT) / 4503599627370496e0)"
 

@@ -40,7 +40,7 @@ def hash_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _K = -1.35
-_MASSES = "CASE " + " ".join(f"WHEN m >= {v}e0 THEN {i}" for i, v in enumerate(imaging.STAR_MASSES[:-1])) + f" ELSE {len(imaging.STAR_MASSES) - 1} END"
+_MASSES = "CASE " + " ".join(f"WHEN m >= {v}e0 THEN {i}" for i, v in enumerate(imaging.STAR_MASSES[1:-1])) + f" ELSE {len(imaging.STAR_COLOURS) - 1} END"
 _TINTS = [f"[{', '.join(str(c[k]) for c in imaging.STAR_COLOURS)}][cls + 1]" for k in range(3)]
 
 
@@ -57,6 +57,31 @@ def colour_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disk(spark, sf_dir).groupBy(imaging.colour_kind(old).alias("colour")).agg(F.count("*").alias("n"))
 
 
+_LOOKS = {"dust": (80.0, 40.0, 20.0, 0.5), "haze": (160.0, 30.0, 200.0, 1.0), "dark": (20.0, 20.0, 60.0, 0.25)}
+
+
+def _star_sql(first: int, n: int, slope: float, k: int) -> str:
+    low, high, e = imaging.STAR_MASSES[first + n - 1], imaging.STAR_MASSES[first], slope + 1
+    last = min(first + n, len(imaging.STAR_COLOURS)) - 1
+    mass = f"pow(u * ({high**e!r} - {low**e!r}) + {low**e!r}, {1 / e!r})"
+    return "CASE " + " ".join(f"WHEN {mass} >= {imaging.STAR_MASSES[i + 1]}e0 THEN {imaging.STAR_COLOURS[i][k]}" for i in range(first, last)) + f" ELSE {imaging.STAR_COLOURS[last][k]} END"
+
+
+def _live_sql(k: int) -> str:
+    star = {name: _star_sql(*v, k) for name, v in imaging.STARS.items()} if k < 3 else dict.fromkeys(imaging.STARS)
+    if k == 3:
+        return f"CASE kind WHEN 'disk' THEN 1 WHEN 'glow' THEN 0.6e0 WHEN 'bulge' THEN 2 WHEN 'dust' THEN {_LOOKS['dust'][3]} WHEN 'haze' THEN {_LOOKS['haze'][3]} ELSE {_LOOKS['dark'][3]} END"
+    return f"CASE kind WHEN 'disk' THEN CASE WHEN gid % 1024 = 0 THEN {star['glow']} ELSE 0.01e0 * ({star['disk']}) END WHEN 'glow' THEN 0.8e0 * ({star['glow']}) WHEN 'bulge' THEN 0.01e0 * ({star['bulge']}) WHEN 'dust' THEN {_LOOKS['dust'][k]}e0 * u WHEN 'haze' THEN {_LOOKS['haze'][k]}e0 ELSE {_LOOKS['dark'][k]}e0 END"
+
+
+@query(f"{_D}, g AS (SELECT CASE WHEN ptype = 2 THEN (id * 15013) % 100000000 ELSE gid END AS gid FROM d), o AS (SELECT gid, CAST(gid % 4294967296 AS BIGINT) AS o FROM g), h AS (SELECT gid, CAST(xor((o << 13) & 4294967295, o) AS HUGEINT) AS n FROM o), u AS (SELECT gid, {_HASH} / 2147483647e0 AS u, CASE WHEN gid >= 3000000000000000000 THEN 'dark' WHEN gid >= 2000000000000000000 THEN 'bulge' WHEN gid >= 70000000 THEN 'haze' WHEN gid >= 50000000 THEN 'dust' WHEN gid >= 40000000 THEN 'glow' ELSE 'disk' END AS kind FROM h) SELECT gid, kind, " + ", ".join(r_sql(_live_sql(k), n, 5) for k, n in enumerate(imaging.RGBA)) + " FROM u")
+def live_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of every body of the disk as the live picture draws them, its disk ids spread over disk, glowing, dust and haze."""
+    gid = F.when(F.col("ptype") == 2, (F.col("id") * 15013) % 100_000_000).otherwise(F.col("gid"))
+    found = imaging.live_colours(disk(spark, sf_dir).select(gid.alias("gid")), **_LOOKS, brightness=0.8, glow_alpha=0.6)
+    return rounded(found, *imaging.RGBA, digits=5)
+
+
 _SEEN = f"""{_C}, p AS (SELECT *, 10e0 - z AS depth FROM c WHERE 10e0 - z > 0), q AS (SELECT *, (x / depth + 1) * 32 AS px, (y / depth + 1) * 32 AS py, least(sqrt(pow(2e0 * 0.5e0 * 64 / depth, 2) + 0.25e0), 16) AS radius FROM p),
  s AS (SELECT * FROM q WHERE px - radius <= 64 AND px + radius >= 0 AND py - radius <= 64 AND py + radius >= 0)"""
 

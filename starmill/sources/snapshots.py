@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import fnmatch
 import operator
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from . import files
@@ -227,7 +228,7 @@ def kind_of(gid: np.ndarray) -> np.ndarray:
 
 
 class SnapshotSource(DataSource):
-    """A format's class says its columns and how its bytes are read and written."""
+    """A format's class says its columns and how its bytes are read and written. A stream has the number of the frame besides."""
 
     form = None
 
@@ -244,6 +245,10 @@ class SnapshotSource(DataSource):
             raise ValueError(f"a {self.form.label} snapshot has no columns {odd}")
         return SnapshotReader(self.options, schema, self.form)
 
+    def streamReader(self, schema: StructType) -> ReplayReader:
+        self.reader(StructType([f for f in schema if f.name != "frame"]))
+        return ReplayReader(self.options, schema, self.form)
+
     def writer(self, schema: StructType, overwrite: bool) -> SnapshotWriter:
         missing = [c for c in self.form.wanted if c not in schema.names]
         if missing:
@@ -251,6 +256,49 @@ class SnapshotSource(DataSource):
         return SnapshotWriter(self.options, overwrite, self.form)
 
 
+@dataclass
+class Shown(InputPartition):
+    """A stretch of the file that a frame shows."""
+
+    frame: int
+    stretch: Stretch
+
+
+class ReplayReader(DataSourceStreamReader):
+    """Snapshots shown one after the other, over and over: an offset is a number of frames.
+
+    loop: how often the files are gone through; delay: milliseconds from a frame to the next, all at once without one; reduce_dark and reduce_star: every so manieth row of a kind, none for 0.
+    Frames appear as time goes by from start (seconds of the epoch; a query that is to go on after a restart gives it)."""
+
+    def __init__(self, options: dict, schema: StructType, form):
+        self.inner = SnapshotReader(options, StructType([f for f in schema if f.name != "frame"]), form)
+        self.names = schema.names
+        self.delay = float(options.get("delay", 0)) / 1000
+        self.start = float(options.get("start", time.time()))
+        by: dict[str, list[Stretch]] = {}
+        for s in self.inner.partitions():
+            by.setdefault(s.path, []).append(s)
+        # a snapshot without rows of a wanted kind is a frame without rows
+        self.files = [by.get(p, []) for p, _ in visible_files(options["path"])]
+        self.frames = int(options.get("loop", 1)) * len(self.files)
+
+    def initialOffset(self) -> dict:
+        return {"frames": 0}
+
+    def latestOffset(self) -> dict:
+        shown = self.frames if not self.delay else int(max(0.0, time.time() - self.start) / self.delay) + 1
+        return {"frames": min(self.frames, shown)}
+
+    def partitions(self, start: dict, end: dict) -> list[Shown]:
+        found = [Shown(f, s) for f in range(start["frames"], end["frames"]) for s in self.files[f % len(self.files)]]
+        return found or [Shown(0, Stretch("", None, False, 0, 0, 0))]
+
+    def read(self, partition: Shown) -> Iterator[pa.RecordBatch]:
+        for batch in self.inner.read(partition.stretch):
+            frame = pa.repeat(pa.scalar(partition.frame, pa.int64()), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([frame if n == "frame" else batch[n] for n in self.names], names=self.names)
+
+
 def load(spark: SparkSession, path: str, form, **options) -> DataFrame:
     """The files of a path in a format; raises FileNotFoundError if there is none."""
     if not files.list_files(spark, path):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.merging import renderable
+from ..sources import snapshots
 
 
 def frames(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
@@ -12,6 +17,41 @@ def frames(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def replay(spark: SparkSession, path: str, columns: str, form: str = "columnar", loop: int = 1, delay: float = 0, reduce_dark: int = 1, reduce_star: int = 1, start: float | None = None) -> DataFrame:
+    """Snapshots of a path shown loop times one after the other, delay milliseconds apart, as a stream of columns and frame; see ``ReplayReader``."""
+    snapshots.register(spark)
+    options = {"loop": loop, "delay": delay, "reduce_dark": reduce_dark, "reduce_star": reduce_star} | ({} if start is None else {"start": start})
+    return spark.readStream.format(form).schema(f"{columns}, frame long").options(**options).load(path)
+
+
+def _send(pdf: pd.DataFrame, until: float | None, time: str, busy: str) -> tuple[pd.DataFrame, float | None]:
+    """The frames sent of one producer's, in order of time, and until when the last one is under way."""
+    sent = []
+    for i, t, b in pdf.sort_values(time)[[time, busy]].itertuples():
+        if until is None or t >= until:
+            sent.append(i)
+            until = t + b
+    return pdf.loc[sent], until
+
+
+def sent_frames(feed: DataFrame, producer: str, time: str = "t", busy: str = "busy") -> DataFrame:
+    """The frames (a row each) that a feed which never waits sends: one that comes while the producer's last one is still under way, for busy after its time, is dropped.
+
+    On a stream the time until which a producer is busy is kept as its state."""
+    kind = feed.schema
+    if not feed.isStreaming:
+        return feed.groupBy(producer).applyInPandas(lambda pdf: _send(pdf, None, time, busy)[0], kind)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(list(parts), ignore_index=True)
+        rows, until = _send(whole, state.get[0] if state.exists else None, time, busy)
+        if until is not None:
+            state.update((float(until),))
+        yield rows
+
+    return feed.groupBy(producer).applyInPandasWithState(step, kind, "until double", "append", GroupStateTimeout.NoTimeout)
+
+
 def distinct_frames(feed: DataFrame, time: str = "time", key: str = "id", delay: float | None = None, sent: str = "sent") -> DataFrame:
     """Without rows that were sent before (same time and id).
 
@@ -60,6 +100,12 @@ class FirstFrameRange:
         return batch.withColumn(f"{self.column}_scaled", scaled)
 
 
+def live_client(feed: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, column: str = "rho", place: str | None = None, largest: float = 100.0, time: str = "time", key: str = "id"):
+    """A renderer's side of a feed: rows sent before are dropped, of each frame the rows that can be drawn are handed on, with column scaled by its range in the first frame."""
+    scale = FirstFrameRange(column, place)
+    return each_frame(distinct_frames(feed, time, key), lambda batch, number: handle(scale(renderable(batch, largest)), number), checkpoint)
+
+
 class Cadence:
     """Output times: due when the time reaches the next, which then moves on by the step but never behind the time."""
 

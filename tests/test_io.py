@@ -1,13 +1,16 @@
 """Files: round trips of every format, feeds and cadences."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from starmill.operators import profiles
 from starmill.sources import columnar, files, snapshots, text, tipsy
 from starmill.sources.views import disk
-from starmill.streaming.frames import Cadence, FirstFrameRange, distinct_frames, each_frame, frames
+from starmill.streaming.frames import Cadence, FirstFrameRange, distinct_frames, each_frame, frames, live_client, replay, sent_frames
 
 
 @pytest.fixture(scope="module")
@@ -216,3 +219,45 @@ def test_only_wanted_arrays_are_read(bodies, tmp_path):
         seen = Counted(f)
         assert set(columnar.Columnar.read(seen, snapshots.Stretch(inner, head, False, 0, n, 0), {"gid", "vx", "time"})) == {"gid", "vx"}
     assert seen.bytes == n * (8 + 12)
+
+
+def test_replay(spark, bodies, tmp_path):
+    """Every k-th row of each kind, each file as many times as asked for, and frames by the clock."""
+    folder = f"file://{tmp_path}/films"
+    for k in range(2):
+        columnar.write_columnar(bodies.filter(F.col("id") % 2 == k).coalesce(1).sortWithinPartitions("id"), folder, float(k))
+    seen = []
+    feed = replay(spark, folder, "gid long, mass double, time double, is_dark boolean", loop=3, reduce_dark=4, reduce_star=2)
+    each_frame(feed, lambda b, n: seen.extend(b.collect()), f"file://{tmp_path}/films-ck")
+    kind = {(k, d): [r["gid"] for r in bodies.filter((F.col("id") % 2 == k) & ((F.col("ptype") == 0) == d)).orderBy("id").collect()] for k in range(2) for d in (True, False)}
+    for frame in range(6):
+        for d, step in ((True, 4), (False, 2)):
+            assert sorted(r["gid"] for r in seen if r["frame"] == frame and r["is_dark"] == d) == sorted(kind[frame % 2, d][::step])
+    assert {(r["frame"], r["time"]) for r in seen} == {(f, float(f % 2)) for f in range(6)}
+    reader = lambda **o: snapshots.ReplayReader({"path": folder, "loop": "5"} | o, StructType.fromDDL("gid long, frame long"), columnar.Columnar)
+    assert reader().latestOffset() == {"frames": 10}
+    assert reader(delay="1000", start=str(time.time() - 3.5)).latestOffset() == {"frames": 4}
+    assert reader(delay="1000", start=str(time.time() - 999)).latestOffset() == {"frames": 10}
+
+
+def test_frames_are_dropped_while_one_is_under_way(spark, tmp_path):
+    """On a stream, with its state, the same frames as on a table."""
+    rows = spark.createDataFrame([(p, float(t), 2.5 + p) for p in range(3) for t in range(20)], "producer long, t double, busy double")
+    want = {tuple(r) for r in sent_frames(rows, "producer").collect()}
+    assert {t for p, t, _ in want if p == 0} == {0.0, 3.0, 6.0, 9.0, 12.0, 15.0, 18.0}
+    for k in range(4):
+        rows.filter(f"t >= {5 * k} AND t < {5 * k + 5}").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/live")
+        time.sleep(0.05)
+    got = []
+    feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/live")
+    query = sent_frames(feed, "producer").writeStream.foreachBatch(lambda b, n: got.extend(map(tuple, b.collect()))).option("checkpointLocation", f"file://{tmp_path}/live-ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_live_client(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.0, 2.0, 1.0), (2, 0.0, 4.0, 1.0), (3, 0.0, 0.0, 1.0), (4, 0.0, 3.0, 500.0)], "id long, time double, rho double, h double")
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/client")
+    seen = []
+    live_client(frames(spark, f"file://{tmp_path}/client", rows.schema), lambda b, n: seen.extend(b.collect()), f"file://{tmp_path}/client-ck")
+    assert {(r["id"], r["rho_scaled"]) for r in seen} == {(1, 0.0), (2, 1.0)}
