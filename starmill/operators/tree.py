@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import physics
-from ..functions.sfc import grid_coordinates, morton, prefix, sfc_keys
+from ..functions.sfc import grid_coordinates, hilbert, morton, prefix, sfc_keys
 from .cut import cut, numbered, running_sum
 
 LEAF, MIN_NODES, GROUP, DEEPEST = 16, 16, 64, 29
@@ -157,6 +157,24 @@ def boundary_tree(props: DataFrame, limit: int) -> DataFrame:
     return out
 
 
+def boundary_rows(props: DataFrame, bodies: DataFrame, limit: int) -> DataFrame:
+    """What a boundary tree sends: its nodes (kind node: level, prefix, n, truncated, mass, com_*) and the body of every leaf that holds just one (kind body: id, with its mass and place), which need not be asked for."""
+    key = ["level", "prefix_hi", "prefix_lo"]
+    kept = boundary_tree(props, limit)
+    place = {c: f"com_{c}" for c in "xyz"}
+    nodes = kept.select(F.lit("node").alias("kind"), *key, "n", "truncated", F.lit(None).cast("long").alias("id"), "mass", *[F.col(v).alias(c) for c, v in place.items()])
+    single = kept.filter("is_leaf AND n = 1").select(*key)
+    own = leaf_of(bodies, props).join(single, key, "left_semi")
+    return nodes.unionByName(own.select(F.lit("body").alias("kind"), *key, F.lit(1).cast("long").alias("n"), F.lit(True).alias("truncated"), F.col("id").cast("long").alias("id"), "mass", "x", "y", "z"))
+
+
+def top_level_tree(cells: DataFrame, nleaf: int = 8, start: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(nodes, cells with their keys) of a tree over cells (id, x, y, z) that stand for the domains' trees: keys of truncated coordinates, leaves of up to nleaf cells below the start level."""
+    placed = grid_coordinates(cells, exact=True).withColumn("_key", hilbert("ix", "iy", "iz"))
+    keys = cut(placed.select(*cells.columns, "_key.key_hi", "_key.key_lo"))
+    return build_nodes(keys, nleaf, start=start), keys
+
+
 def runs_of(keyed: DataFrame, level: int) -> DataFrame:
     """keyed (with rn) with head and tail flags of each run of equal prefix."""
     hi, lo = prefix(level)

@@ -203,6 +203,25 @@ def boundary_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.boundary_tree(_props(spark, sf_dir), 3).select("level", "prefix_hi", "n", "truncated")
 
 
+_BOUNDARY = """, cutn AS (SELECT *, n_child = 8 OR is_leaf OR level = 6 AS truncated FROM nodes),
+ bt AS MATERIALIZED (SELECT level, prefix, n, truncated, is_leaf, m, com_x, com_y, com_z FROM cutn WHERE level = 0 UNION ALL SELECT c.level, c.prefix, c.n, c.truncated, c.is_leaf, c.m, c.com_x, c.com_y, c.com_z FROM bt JOIN cutn c ON c.level = bt.level + 1 AND c.prefix >> 3 = bt.prefix WHERE NOT bt.truncated)"""
+
+
+@query(_CORE_KEYS + _LEVELS + _BOUNDARY + " SELECT 'node' AS kind, level, prefix AS prefix_hi, n, truncated, NULL::BIGINT AS id, " + r_sql("m", "mass", 9) + ", " + ", ".join(r_sql(f"com_{c}", c, 5) for c in "xyz") + " FROM bt UNION ALL SELECT 'body', bt.level, bt.prefix, 1, true, i.id, " + r_sql("i.mass", "mass", 9) + ", " + ", ".join(r_sql(f"i.{c}", c, 5) for c in "xyz") + " FROM bt JOIN inside i ON i.level = bt.level AND i.prefix = bt.prefix AND i.leaf = i.level WHERE bt.is_leaf AND bt.n = 1")
+def boundary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boundary tree down to level 6, with the bodies of its single leaves."""
+    keys = core_keys(spark, sf_dir)
+    rows = tree.boundary_rows(cut(tree.node_properties(tree.build_nodes(keys), keys)), keys, 6).drop("prefix_lo")
+    return rounded(rounded(rows, "mass", digits=9), "x", "y", "z", digits=5)
+
+
+@query(_CORE_KEYS.replace("round(", "floor(") + """, lev AS MATERIALIZED (SELECT id, l.level, key_hi >> CAST(3 * (20 - l.level) AS BIGINT) AS prefix FROM keys, (SELECT CAST(range AS INTEGER) AS level FROM range(21)) l), cnt AS MATERIALIZED (SELECT level, prefix, count(*) AS n FROM lev GROUP BY ALL),
+ leafat AS MATERIALIZED (SELECT id, min(level) AS leaf FROM lev JOIN cnt USING (level, prefix) WHERE n <= 8 AND level > 1 GROUP BY 1) SELECT level, prefix AS prefix_hi, count(*) AS n, bool_and(level = leaf) AS is_leaf FROM lev JOIN leafat USING (id) WHERE level <= leaf GROUP BY 1, 2""")
+def top_level_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree over cells that the bodies stand for, on truncated keys."""
+    return tree.top_level_tree(core(spark, sf_dir).select("id", "x", "y", "z"))[0].select("level", "prefix_hi", "n", "is_leaf")
+
+
 _CORE2 = f"WITH c AS MATERIALIZED (SELECT * FROM {CORE_SQL})"
 
 
