@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import imaging, profiles
-from ..operators.cut import scratch
+from ..operators.cut import numbered, scratch
 from ..sources import columnar, files, images, snapshots, text, tipsy
 from ..sources.views import CORE_SQL, DISK_SQL, FRAMES_SQL, core, disk, frames
 from .registry import query
@@ -47,15 +47,15 @@ def tipsy_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("time", "is_dark").agg(F.count("*").alias("n"), F.sum("mass").alias("mass")), "mass", digits=3)
 
 
-_PLACED = "p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY ptype <> 0, gid) AS pos FROM d)"
+_PLACED = "p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id // 1000 ORDER BY ptype <> 0, gid) AS pos FROM d)"
 
 
 @query(f"{_D}, {_PLACED} SELECT gid, ptype, {_FLOATS.replace('CAST(CAST(mass AS FLOAT) AS DOUBLE) AS mass', 'CAST(CAST(mass AS FLOAT) AS DOUBLE) * 7 AS mass')} FROM p WHERE pos % 7 = 0")
 def tipsy_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file in order of kind and id, and every seventh row of it."""
-    path = scratch(spark, "one.tipsy")
-    tipsy.write_tipsy(disk(spark, sf_dir), path)
-    return tipsy.read_tipsy(spark, path, reduce=7, step=1000).select(*_BODY)
+    """A file for each thousand ids, in order of kind and id, and every seventh row of each."""
+    folder = scratch(spark, "sampled-tipsy")
+    tipsy.write_tipsy_parts(files.dealt(disk(spark, sf_dir), F.floor(F.col("id") / 1000), F.col("ptype") != 0, "gid"), folder)
+    return tipsy.read_tipsy(spark, folder, reduce=7, step=300).select(*_BODY)
 
 
 _OLD = "(id * 15013) % 250000000"
@@ -85,14 +85,14 @@ def columnar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columnar.read_columnar(spark, folder, step=500).select(*_BODY, "rho", "h", "time")
 
 
-_KINDS = "k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ptype = 0 ORDER BY id) - 1 AS i FROM d)"
+_KINDS = "k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ptype = 0, id // 1000 ORDER BY id) - 1 AS i FROM d)"
 
 
 @query(f"{_D}, {_KINDS}, s AS (SELECT *, CASE WHEN ptype = 0 THEN 6 ELSE 4 END AS f FROM k) SELECT gid, ptype, CAST(CAST(mass AS FLOAT) AS DOUBLE) * f AS mass FROM s WHERE i % f = 0")
 def columnar_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file; every sixth dark body and every fourth star of it."""
+    """A file for each thousand ids; every sixth dark body and every fourth star of each."""
     folder = scratch(spark, "sampled")
-    columnar.write_columnar(disk(spark, sf_dir).coalesce(1).sortWithinPartitions("id"), folder)
+    columnar.write_columnar(files.dealt(disk(spark, sf_dir), F.floor(F.col("id") / 1000), "id"), folder)
     return columnar.read_columnar(spark, folder, 2, 3, 2, step=333).select("gid", "ptype", "mass")
 
 
@@ -112,13 +112,6 @@ def convert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columnar.read_columnar(spark, b).select(*_BODY)
 
 
-def _write_lines(spark: SparkSession, name: str, lines: DataFrame, *head: str) -> str:
-    """Lines (at, value) in order below the head, in one file."""
-    path = scratch(spark, name)
-    files.write_stream(spark, path, [(h + "\n").encode() for h in head], ((r["value"] + "\n").encode() for r in lines.orderBy("at").toLocalIterator()))
-    return path
-
-
 _C = f"WITH c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i FROM {CORE_SQL})"
 
 
@@ -128,44 +121,44 @@ def _numbers(*names: str) -> F.Column:
 
 @query(f"{_C} SELECT i // 3 AS id, " + ", ".join(r_sql(c, c, 9) for c in _PH) + ", " + r_sql("mass * 3", "mass", 12) + " FROM c WHERE i % 3 = 0")
 def ascii_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text lines below two header lines, every third."""
-    path = _write_lines(spark, "bodies.txt", core(spark, sf_dir).select(F.col("id").alias("at"), _numbers("mass", "vx", "vy", "vz", "x", "y", "z").alias("value")), "bodies", "mass vx vy vz x y z")
+    """Files of text lines below two header lines, every third of all."""
+    path = scratch(spark, "bodies")
+    text.write_lines(core(spark, sf_dir).select("id", _numbers("mass", "vx", "vy", "vz", "x", "y", "z").alias("value")), path, "id", "bodies", "mass vx vy vz x y z")
     return rounded(rounded(text.read_ascii(spark, path, 3).select("id", *_PH, "mass"), *_PH, digits=9), "mass", digits=12)
 
 
 @query(f"{_C} SELECT i AS id, " + ", ".join(r_sql(c, c, 9) for c in "xyz") + ", 0.5e0 AS h, CAST(i % 40 AS DOUBLE) AS nnb FROM c")
 def density_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = core(spark, sf_dir).select(F.col("id").alias("at"), "x", "y", "z", F.lit(0.5).alias("h"), (F.row_number().over(_by_id()) - 1).alias("i"))
-    path = _write_lines(spark, "density.txt", rows.withColumn("nnb", F.col("i") % 40).select("at", _numbers("x", "y", "z", "h", "nnb").alias("value")), "0 500")
+    rows = numbered(core(spark, sf_dir).select("id", "x", "y", "z", F.lit(0.5).alias("h")), "id", name="i").withColumn("nnb", (F.col("i") - 1) % 40)
+    path = scratch(spark, "density")
+    text.write_lines(rows.select("id", _numbers("x", "y", "z", "h", "nnb").alias("value")), path, "id", "0 500")
     return rounded(text.read_density_input(spark, path), "x", "y", "z", digits=9)
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("id")
-
-
 @query(f"WITH f AS (SELECT t - min(t) OVER () AS frame FROM {FRAMES_SQL}) SELECT frame, " + ", ".join([*(f"CAST(frame % {5 + i} AS DOUBLE) AS t{c}" for i, c in enumerate("xyz")), *(r_sql(f"-radians(frame * {7 + i} % 360)", f"r{c}", 9) for i, c in enumerate("xyz"))]) + " FROM f")
 def camera_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = frames(spark, sf_dir)
     at = log.crossJoin(F.broadcast(log.agg(F.min("t").alias("_t")))).select((F.col("t") - F.col("_t")).alias("at"))
     line = F.concat_ws(" ", "at", *[F.col("at") % (5 + i) for i in range(3)], *[F.col("at") * (7 + i) % 360 for i in range(3)], F.lit("XYZ"))
-    path = _write_lines(spark, "camera.txt", at.select("at", line.alias("value")), "0 1")
+    path = scratch(spark, "camera")
+    text.write_lines(at.select("at", line.alias("value")), path, "at", "0 1")
     return rounded(text.read_camera(spark, path), "rx", "ry", "rz", digits=9)
 
 
 @query(f"WITH f AS (SELECT t FROM {FRAMES_SQL}) SELECT row_number() OVER (ORDER BY t) * 2 - 1 AS no, 'snap_' || t AS file FROM f")
 def snapshot_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names, a blank line after each."""
-    path = _write_lines(spark, "list.txt", frames(spark, sf_dir).select(F.col("t").alias("at"), F.concat(F.lit("snap_"), F.col("t"), F.lit("\n")).alias("value")))
+    path = scratch(spark, "list")
+    text.write_lines(frames(spark, sf_dir).select("t", F.concat(F.lit("snap_"), F.col("t"), F.lit("\n")).alias("value")), path, "t")
     return text.read_list(spark, path)
 
 
-@query("SELECT 9230::BIGINT AS halo, 194::BIGINT AS bulge, 575::BIGINT AS disk")
+@query(f"{_D} SELECT count(*) FILTER (ptype = 0) AS halo, count(*) FILTER (ptype = 1) AS bulge, count(*) FILTER (ptype = 2) AS disk FROM d")
 def component_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "numbers.txt")
-    files.write_stream(spark, path, [b"9230 194 575\nhalo bulge disk\n1 2 3\n"])
+    """How many bodies of each kind a table has, as the file that says so."""
+    path = scratch(spark, "numbers")
+    counts = disk(spark, sf_dir).agg(*[F.count_if(F.col("ptype") == k).alias(n) for k, n in enumerate(("halo", "bulge", "disk"))])
+    counts.select(F.concat(_numbers("halo", "bulge", "disk"), F.lit("\nhalo bulge disk")).alias("value")).write.text(path)
     return text.read_component_numbers(spark, path)
 
 
@@ -185,8 +178,6 @@ def text_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "dump")
     text.write_dump(disk(spark, sf_dir).withColumns({"rho": F.lit(1.0), "h": F.lit(0.1)}), folder)
     rows = spark.read.csv(folder, sep=" ", schema="gid long, ptype int, mass double, x double, y double, z double, vx double, vy double, vz double, rho double, h double")
-    from ..operators.cut import numbered
-
     return numbered(rows, (F.col("ptype") != 0).cast("int"), "gid", name="place").select("gid", "ptype", "mass", "x", "vz", "place")
 
 
@@ -212,21 +203,25 @@ def grid_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 _COLOUR = "CAST((i * 3 + j) % 256 AS INTEGER) AS r, CAST((i + j * 5) % 256 AS INTEGER) AS g, CAST((i * j) % 256 AS INTEGER) AS b"
 
 
-@query(f"WITH g AS (SELECT CAST(x.range AS BIGINT) AS ix, CAST(y.range AS BIGINT) AS iy, least(greatest(CAST(x.range AS BIGINT) * 5 - 20, 0), 255) AS i, least(greatest(CAST(y.range AS BIGINT) * 7 - 30, 0), 255) AS j FROM range(64) x, range(48) y) SELECT ix, iy, {_COLOUR} FROM g")
+_CELLS = "SELECT CAST(floor((x + 20e0) / 40e0 * 64) AS BIGINT) AS ix, CAST(floor((y + 20e0) / 40e0 * 48) AS BIGINT) AS iy, count(*) AS n FROM d GROUP BY ALL"
+
+
+@query(f"{_D}, n AS ({_CELLS}), g AS (SELECT ix, iy, least(greatest(n * 5 - 20, 0), 255) AS i, least(greatest(n * 7 - 30, 0), 255) AS j FROM n), k AS (SELECT ix, iy, {_COLOUR} FROM g) SELECT CAST(a.range AS BIGINT) AS ix, CAST(o.range AS BIGINT) AS iy, coalesce(k.r, 0) AS r, coalesce(k.g, 0) AS g, coalesce(k.b, 0) AS b FROM range(64) a CROSS JOIN range(48) o LEFT JOIN k ON k.ix = a.range AND k.iy = o.range")
 def picture_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A colour map written and read, cells coloured by it, and the picture written and read."""
-    cells = spark.range(256).select(F.col("id").alias("iy")).crossJoin(F.broadcast(spark.range(256).select(F.col("id").alias("ix"))))
+    """A colour map written and read, the disk's cells coloured by their bodies, and the picture written and read."""
+    cells = spark.range(256 * 256).select(F.floor(F.col("id") / 256).alias("iy"), (F.col("id") % 256).alias("ix"))
     colours = cells.select("ix", "iy", ((F.col("iy") * 3 + F.col("ix")) % 256).alias("r"), ((F.col("iy") + F.col("ix") * 5) % 256).alias("g"), ((F.col("iy") * F.col("ix")) % 256).alias("b"))
     a, b = scratch(spark, "map.bmp"), scratch(spark, "picture.bmp")
     images.write_image(spark, a, colours, 256, 256)
-    grid = spark.range(64).select(F.col("id").alias("ix")).crossJoin(F.broadcast(spark.range(48).select(F.col("id").alias("iy")))).withColumns({"rho": (F.col("ix") * 5 - 20).cast("double"), "v2": (F.col("iy") * 7 - 30).cast("double")})
+    at = [F.floor((F.col(c) + 20.0) / 40.0 * n).alias(f"i{c}") for c, n in (("x", 64), ("y", 48))]
+    grid = disk(spark, sf_dir).groupBy(*at).agg(F.count("*").alias("n")).select("ix", "iy", (F.col("n") * 5 - 20).cast("double").alias("rho"), (F.col("n") * 7 - 30).cast("double").alias("v2"))
     images.write_image(spark, b, imaging.map_colours(grid, images.palette(spark, a)), 64, 48)
     return images.read_image(spark, b).drop("file")
 
 
-@query(f"{_C} SELECT i // 2 AS row, 281474976710656 + i // 2 AS packed, x, y, z, " + r_sql("sqrt(vx * vx + vy * vy + vz * vz)", "speed", 9) + ", mass AS rho, 0.25e0 AS h FROM c WHERE i % 2 = 0")
+@query(f"WITH c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id // 100 ORDER BY id) - 1 AS i FROM {CORE_SQL}) SELECT i // 2 AS row, 281474976710656 + i // 2 AS packed, x, y, z, " + r_sql("sqrt(vx * vx + vy * vy + vz * vz)", "speed", 9) + ", mass AS rho, 0.25e0 AS h FROM c WHERE i % 2 = 0")
 def gas_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dump of gas bodies, every second one of it."""
+    """Dumps of gas bodies, one for each hundred ids; every second one of each."""
     folder = scratch(spark, "gas")
 
     def encode(t) -> bytes:
@@ -236,7 +231,7 @@ def gas_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows["rho"], rows["hp"] = t["mass"].to_numpy(), 0.25
         return columnar.encode({f"{columnar.GAS_FIELD}gas": rows}, 0.0)
 
-    files.write_partitions(core(spark, sf_dir).coalesce(1).sortWithinPartitions("id"), folder, "part-{:05d}.gas", encode)
+    files.write_partitions(files.dealt(core(spark, sf_dir), F.floor(F.col("id") / 100), "id"), folder, "part-{:05d}.gas", encode)
     return rounded(columnar.read_gas(spark, folder, 2, step=111).drop("file"), "speed", digits=9)
 
 

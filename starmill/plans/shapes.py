@@ -283,10 +283,10 @@ def renumber_second(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.renumber(p.filter("ptype = 1"), p.filter("ptype <> 1")).select("id", "x")
 
 
-@query("WITH v(t) AS (VALUES (0e0), (1.5e0), (-3e0), (2e11), (-2e11), (1e11)) SELECT t, CASE WHEN abs(t) > 1e11 THEN 0 ELSE t END AS sane FROM v")
+@query(f"WITH v AS (SELECT t, (t % 5 - 2) * 1e11 AS v FROM {FRAMES_SQL}) SELECT t, CASE WHEN abs(v) > 1e11 THEN 0 ELSE v END AS sane FROM v")
 def sane_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = spark.createDataFrame([(0.0,), (1.5,), (-3.0,), (2e11,), (-2e11,), (1e11,)], "t double")
-    return times.select("t", merging.sane_time(F.col("t")).alias("sane"))
+    """Times about the bound beyond which they are taken for 0."""
+    return frames(spark, sf_dir).select("t", merging.sane_time((F.col("t") % 5 - 2) * 1e11).alias("sane"))
 
 
 _LOG = f"WITH f AS (SELECT t, greatest(abs(e), 1e-3) AS seconds, n FROM {FRAMES_SQL})"

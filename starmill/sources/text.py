@@ -3,47 +3,76 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.ids import type_of
 from ..operators.cut import numbered
 from ..operators.merging import relative_to
 from .files import write_stream
+from .views import BULGE_BASE, DARK_BASE
 
 _NUMBERS = r"[ \t]+"
 
 
+def write_lines(rows: DataFrame, folder: str, order: str, *head: str) -> None:
+    """Column value of rows as text, dealt by order to a folder of files whose names sort as their lines do; each begins with the lines of head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for b in batches:
+            if first and b.num_rows and head:
+                yield pa.RecordBatch.from_arrays([pa.array(head, b.schema.field(0).type)], schema=b.schema)
+            first = first and not b.num_rows
+            yield b
+
+    rows.repartitionByRange(order).sortWithinPartitions(order).select("value").mapInArrow(run, "value string").write.mode("overwrite").text(folder)
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, no (1-based) of one text file, blank lines included."""
-    return numbered(spark.read.text(path).withColumn("_at", F.monotonically_increasing_id()), "_at", name="no").select(F.trim("value").alias("line"), "no")
+    """line, at (1-based over all files), no (1-based in its file) of the lines of a file or a folder, by name of the file; blank lines included."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")]
+    rows = numbered(spark.read.text(path).select(F.trim("value").alias("line"), *place), "file", "_block", "_at", name="at")
+    first = rows.groupBy("file").agg(F.min("at").alias("_first"))
+    return rows.join(first, "file").select("line", "at", (F.col("at") - F.col("_first") + 1).alias("no"))
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    """File names of a snapshot list, in order, blank lines skipped."""
-    return _lines(spark, path).filter("line <> ''").select("no", F.col("line").alias("file"))
+    """no (its line over all files) and file names of a snapshot list, in order, blank lines skipped."""
+    return _lines(spark, path).filter("line <> ''").select(F.col("at").alias("no"), F.col("line").alias("file"))
+
 
+def read_ascii(spark: SparkSession, path: str, reduce: int = 1, kind: str | None = None) -> DataFrame:
+    """id, mass, v, x of `mass vx vy vz x y z` lines after two header lines a file; every k-th line from the first, mass times k, ids over kept lines.
 
-def read_ascii(spark: SparkSession, path: str, reduce: int = 1) -> DataFrame:
-    """id, mass, v, x of `mass vx vy vz x y z` lines after two header lines; every k-th line from the first, mass times k, ids over kept lines."""
+    kind (dark, bulge or disk) gives typed ids besides, as gid, and ptype."""
     rows = _lines(spark, path).filter("no > 2 AND line <> ''")
-    rows = numbered(rows, "no", name="_rn").filter((F.col("_rn") - 1) % reduce == 0)
+    rows = numbered(rows, "at", name="_rn").filter((F.col("_rn") - 1) % reduce == 0)
     cols = ["mass", "vx", "vy", "vz", "x", "y", "z"]
     parts = F.split("line", _NUMBERS)
     values = [parts[i].cast("double").alias(c) for i, c in enumerate(cols)]
     out = rows.select(F.floor((F.col("_rn") - 1) / reduce).cast("long").alias("id"), *values)
-    return out.withColumn("mass", F.col("mass") * float(reduce))
+    out = out.withColumn("mass", F.col("mass") * float(reduce))
+    if kind is None:
+        return out
+    base = {"dark": DARK_BASE, "bulge": BULGE_BASE, "disk": 0}[kind]
+    return out.withColumn("gid", F.col("id") + F.lit(base).cast("long")).withColumn("ptype", type_of(F.col("gid")))
 
 
 def read_component_numbers(spark: SparkSession, path: str) -> DataFrame:
     """halo, bulge, disk: the whole numbers of the first line; what follows is not read."""
     parts = F.split("line", _NUMBERS)
-    return _lines(spark, path).filter("no = 1").select(*[parts[i].cast("long").alias(c) for i, c in enumerate(("halo", "bulge", "disk"))])
+    return _lines(spark, path).filter("at = 1").select(*[parts[i].cast("long").alias(c) for i, c in enumerate(("halo", "bulge", "disk"))])
 
 
 def organise(p: DataFrame, folder: str, by: str = "time", rows: int = 1_000_000) -> None:
-    """Rows as Parquet, a folder for each value of by and files of at most so many rows."""
-    p.repartition(by).write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(by).parquet(folder)
+    """Rows as Parquet, a folder for each value of by and files of at most so many rows; the rows of a value are dealt to a task for each so many of them."""
+    sizes = p.groupBy(by).agg(F.ceil(F.count("*") / rows).alias("_parts"))
+    spread = p.withColumn("_spread", F.monotonically_increasing_id()).join(sizes, p[by].eqNullSafe(sizes[by])).drop(sizes[by])
+    spread.withColumn("_spread", F.pmod(F.xxhash64("_spread"), "_parts")).repartition(by, "_spread").drop("_spread", "_parts").write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy(by).parquet(folder)
 
 
 def gather_logs(logs: DataFrame, folder: str, per: int) -> None:
@@ -53,9 +82,10 @@ def gather_logs(logs: DataFrame, folder: str, per: int) -> None:
 
 
 def read_density_input(spark: SparkSession, path: str) -> DataFrame:
-    """id, x, y, z, h, nnb after a first line of two integers."""
+    """id, x, y, z, h, nnb after a first line of two integers a file; ids count the other lines."""
     parts = F.split("line", _NUMBERS)
-    return _lines(spark, path).filter("no > 1 AND line <> ''").select((F.col("no") - 2).alias("id"), *[parts[i].cast("double").alias(c) for i, c in enumerate(("x", "y", "z", "h", "nnb"))])
+    rows = numbered(_lines(spark, path).filter("no > 1 AND line <> ''"), "at", name="_rn")
+    return rows.select((F.col("_rn") - 1).alias("id"), *[parts[i].cast("double").alias(c) for i, c in enumerate(("x", "y", "z", "h", "nnb"))])
 
 
 def read_camera(spark: SparkSession, path: str) -> DataFrame:
@@ -109,9 +139,7 @@ def write_grid(spark: SparkSession, path: str, grids: dict[str, DataFrame], bins
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
     """ix, iy and the five values of every cell, with the file's time."""
 
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in b.column(0).to_pylist():
                 _, nx, ny, _, time, *_ = struct.unpack_from(GRID_HEAD, c)
