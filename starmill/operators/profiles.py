@@ -76,6 +76,21 @@ def radial_profile(p: DataFrame, rmax: float = 30.0, bins: int = 600) -> DataFra
     return full.withColumns({"m": F.try_divide(k2, F.col("sigma")), "q": F.try_divide(F.col("disp_r") * F.col("kappa"), 3.36 * F.col("sigma")), "x": F.try_divide(k2 * F.col("r"), 2 * math.pi * F.col("sigma")) / 4.0})
 
 
+#: The columns of the radial table: of all stars, of the bulge, of the disk.
+TABLE = ("r", "vas", "drs", "das", "dzs", "omg", "kapp", "q", "gam", "mx", "sigs", "mass", "m", "zrms", "n")
+TABLE_PART = ("r", "vas", "drs", "das", "dzs", "sigs", "mass")
+
+
+def radial_table(profile: DataFrame, velocity: float = 1.0, time: float = 1.0, surface: float = SURFACE_UNIT, mass: float = MASS_UNIT) -> DataFrame:
+    """bin and the 29 values of the radial table: a row a bin of ``radial_profile``, TABLE of all stars, TABLE_PART of bulge (_b) and disk (_d).
+
+    Speeds and kappa are scaled by velocity, Omega divided by time, surface densities and masses (those inside the bin's outer edge) scaled to their units."""
+    v, n = (lambda c: F.col(c) * velocity), F.col
+    values = {"r": n("r"), "vas": v("mean_phi"), "drs": v("disp_r"), "das": v("disp_phi"), "dzs": v("disp_z"), "omg": n("omega") / time, "kapp": v("kappa"), "q": n("q"), "gam": n("gamma"), "mx": n("x"), "sigs": n("sigma") * surface, "mass": n("mass_cum") * mass, "m": n("m"), "zrms": n("z_rms"), "n": n("n").cast("double")}
+    one = lambda pop, names, end: [F.max(F.when(F.col("pop") == pop, values[c])).alias(c + end) for c in names]
+    return profile.groupBy("bin").agg(*one("all", TABLE, ""), *one("bulge", TABLE_PART, "_b"), *one("disk", TABLE_PART, "_d"))
+
+
 def rotation_curve(p: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(r, v of disk bodies in nearly flat motion; one row: n, mass, angular momentum by mass lx, ly, lz, rmin, rmax)."""
     v = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))

@@ -90,19 +90,20 @@ def leaf_of(bodies: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def node_properties(nodes: DataFrame, bodies: DataFrame, theta: float = 0.75) -> DataFrame:
-    """nodes with n_child, mass, centre of mass, central second moments per unit mass, tight box and squared opening radius.
+    """nodes with n_child, mass, centre of mass, central second moments per unit mass, tight box, squared opening radius and, where bodies have a softening eps, the largest of it.
 
     Bodies are summed into leaves once; leaves, far fewer, are then summed into all their ancestors in one aggregation."""
     placed = leaf_of(bodies, nodes)
     m = F.col("mass")
     sums = {"mass": m} | {f"m{c}": m * F.col(c) for c in "xyz"} | {f"s{a}{b}": m * F.col(a) * F.col(b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")}
-    boxes = [f(c).alias(f"{c}{f.__name__}") for c in "xyz" for f in (F.min, F.max)]
+    soft = [F.max("eps").alias("eps")] if "eps" in bodies.columns else []
+    boxes = [f(c).alias(f"{c}{f.__name__}") for c in "xyz" for f in (F.min, F.max)] + soft
     leaves = placed.groupBy("level", "prefix_hi", "prefix_lo").agg(*[F.sum(v).alias(k) for k, v in sums.items()], *boxes)
     up = leaves.withColumnRenamed("level", "_leaf").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_leaf"))))
     shift = F.lit(3) * (F.least(F.col("_leaf"), F.lit(20)) - F.least(F.col("level"), F.lit(20)))
     lo = F.when(F.col("level") <= 20, F.lit(0).cast("long")).otherwise(F.call_function("shiftright", F.col("prefix_lo"), F.lit(3) * (F.col("_leaf") - F.col("level"))))
     up = up.withColumns({"prefix_hi": F.call_function("shiftright", F.col("prefix_hi"), shift), "prefix_lo": lo})
-    merged = up.groupBy("level", "prefix_hi", "prefix_lo").agg(*[F.sum(k).alias(k) for k in MOMENTS], *[f(f"{c}{f.__name__}").alias(f"{c}{f.__name__}") for c in "xyz" for f in (F.min, F.max)])
+    merged = up.groupBy("level", "prefix_hi", "prefix_lo").agg(*[F.sum(k).alias(k) for k in MOMENTS], *[f(f"{c}{f.__name__}").alias(f"{c}{f.__name__}") for c in "xyz" for f in (F.min, F.max)], *soft)
     p_hi, p_lo = parent()
     children = nodes.filter("level > 0").select((F.col("level") - 1).alias("level"), p_hi.alias("prefix_hi"), p_lo.alias("prefix_lo")).groupBy("level", "prefix_hi", "prefix_lo").agg(F.count("*").alias("n_child"))
     key = ["level", "prefix_hi", "prefix_lo"]
@@ -113,7 +114,7 @@ def node_properties(nodes: DataFrame, bodies: DataFrame, theta: float = 0.75) ->
     out = out.withColumns(q | {f"c{c}": 0.5 * (F.col(f"{c}min") + F.col(f"{c}max")) for c in "xyz"} | {f"h{c}": 0.5 * (F.col(f"{c}max") - F.col(f"{c}min")) for c in "xyz"})
     gap2 = sum(((F.col(f"c{c}") - F.col(f"com_{c}")) * (F.col(f"c{c}") - F.col(f"com_{c}")) for c in "xyz"), F.lit(0.0))
     out = out.withColumn("open2", physics.opening_radius2(F.col("mass"), F.col("n"), {c: F.col(f"h{c}") for c in "xyz"}, gap2, theta))
-    return out.select(*key, "n", "is_leaf", "n_child", "mass", *com, *q, "cx", "cy", "cz", "hx", "hy", "hz", "open2")
+    return out.select(*key, "n", "is_leaf", "n_child", "mass", *com, *q, "cx", "cy", "cz", "hx", "hy", "hz", "open2", *(["eps"] if soft else []))
 
 
 def ordered(keys: DataFrame) -> DataFrame:

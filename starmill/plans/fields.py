@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import physics, sfc
-from ..operators import density, profiles, tree
+from ..operators import density, profiles, steps, tree
 from ..operators.imaging import grid_colour
 from ..sources.views import CORE_SQL, DISK_SQL, core, disk
 from .registry import query
@@ -69,6 +69,14 @@ def h_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(d.select("id", physics.adjusted_h(F.col("h"), F.col("nnb")).alias("h")), "h")
 
 
+@query(f"{_C}, p AS (SELECT * FROM c), {_pairs_sql(_ROW_H)}, n AS (SELECT id, h, CAST(count(*) AS DOUBLE) AS nnb FROM pr GROUP BY 1, 2) SELECT id, " + r_sql(f"CASE WHEN id % 3 = 0 THEN h ELSE {_ADJ.format(lo='0.5')} END", "h") + ", CAST(CASE WHEN id % 3 = 0 THEN 0.5e0 ELSE 0.35e0 END AS DOUBLE) AS t_end FROM n")
+def corrector_h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrector moves the radii of bodies whose step ends towards their wanted neighbours; the others wait."""
+    p = _with_h(spark, sf_dir).withColumns({c: F.lit(0.0) for c in ("ax", "ay", "az", "pot", "t_beg")} | {"t_end": F.when(F.col("id") % 3 == 0, 0.5).otherwise(0.25)})
+    counts = density.neighbour_density(p, H).select("id", "nnb")
+    return rounded(steps.correct(p, p.select("id", "ax", "ay", "az", "pot"), 0.25, 0.1, counts).select("id", "h", "t_end"), "h")
+
+
 def _solve_sql(rounds: int) -> str:
     out = f"{_C}, p AS (SELECT * FROM c), " + _pairs_sql(_ROW_H).replace("pr AS", "pr0 AS") + ", n0 AS MATERIALIZED (SELECT id, h, CAST(count(*) AS DOUBLE) AS nnb FROM pr0 GROUP BY 1, 2)"
     for i in range(1, rounds):
@@ -153,6 +161,27 @@ def toomre_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profiles.radial_profile(disk(spark, sf_dir)).select("pop", "bin", "m", "q", "x"), "m", "q", "x", digits=4)
 
 
+_TABLE = {"r": "r", "vas": "mean_phi * 0.5e0", "drs": "disp_r * 0.5e0", "das": "disp_phi * 0.5e0", "dzs": "disp_z * 0.5e0", "omg": "omega / 2e0", "kapp": "kappa * 0.5e0", "q": "CASE WHEN sigma <> 0 THEN disp_r * kappa / (3.36e0 * sigma) END", "gam": "gamma", "mx": "CASE WHEN sigma <> 0 THEN kappa * kappa * r / (2 * pi() * sigma) / 4 END",
+ "sigs": "sigma * 2300e0", "mass": "mass_cum * 2.33e9 / 1e9", "m": "CASE WHEN sigma <> 0 THEN kappa * kappa / sigma END", "zrms": "z_rms", "n": "n"}
+
+
+def _digits(c: str) -> int:
+    return 4 if c in ("q", "gam", "mx", "m") else 8
+
+
+def _table_sql(pop: str, names: tuple[str, ...], end: str) -> str:
+    return ", ".join(r_sql(f"max(CASE WHEN pop = '{pop}' THEN {_TABLE[c]} END)", c + end, _digits(c)) for c in names)
+
+
+@query(_PROFILE + f" SELECT bin, {_table_sql('all', profiles.TABLE, '')}, {_table_sql('bulge', profiles.TABLE_PART, '_b')}, {_table_sql('disk', profiles.TABLE_PART, '_d')} FROM k1 GROUP BY bin")
+def radial_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 29 values a bin of the radial table, masses in thousand millions of suns."""
+    found = profiles.radial_table(profiles.radial_profile(disk(spark, sf_dir)), velocity=0.5, time=2.0, mass=profiles.MASS_UNIT / 1e9)
+    for digits in (4, 8):
+        found = rounded(found, *[c for c in found.columns if c != "bin" and _digits(c.split("_")[0]) == digits], digits=digits)
+    return found
+
+
 _CURVE = f"{_D}, cv0 AS (SELECT id, mass, x, y, z, vx, vy, vz, sqrt(x * x + y * y) AS r, sqrt(vx * vx + vy * vy) AS v FROM d WHERE ptype = 2), cv AS (SELECT * FROM cv0 WHERE 0.01e0 * v > abs(vz))"
 
 

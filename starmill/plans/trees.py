@@ -203,6 +203,13 @@ def boundary_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.boundary_tree(_props(spark, sf_dir), 3).select("level", "prefix_hi", "n", "truncated")
 
 
+@query(_CORE_KEYS + _LEVELS + " SELECT level, prefix AS prefix_hi, max(0.01e0 * (1 + id % 7)) AS eps FROM inside GROUP BY 1, 2")
+def node_softening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest softening of the bodies of every node."""
+    keys = core_keys(spark, sf_dir).withColumn("eps", 0.01 * (1 + F.col("id") % 7))
+    return tree.node_properties(tree.build_nodes(keys), keys).select("level", "prefix_hi", "eps")
+
+
 _BOUNDARY = """, cutn AS (SELECT *, n_child = 8 OR is_leaf OR level = 6 AS truncated FROM nodes),
  bt AS MATERIALIZED (SELECT level, prefix, n, truncated, is_leaf, m, com_x, com_y, com_z FROM cutn WHERE level = 0 UNION ALL SELECT c.level, c.prefix, c.n, c.truncated, c.is_leaf, c.m, c.com_x, c.com_y, c.com_z FROM bt JOIN cutn c ON c.level = bt.level + 1 AND c.prefix >> 3 = bt.prefix WHERE NOT bt.truncated)"""
 

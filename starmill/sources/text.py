@@ -18,8 +18,8 @@ from .views import BULGE_BASE, DARK_BASE
 _NUMBERS = r"[ \t]+"
 
 
-def write_lines(rows: DataFrame, folder: str, order: str, *head: str) -> None:
-    """Column value of rows as text, dealt by order to a folder of files whose names sort as their lines do; each begins with the lines of head."""
+def write_lines(rows: DataFrame, folder: str, order: str, *head: str, parts: int | None = None) -> None:
+    """Column value of rows as text, dealt by order to a folder of files (so many, if parts is given) whose names sort as their lines do; each begins with the lines of head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = True
@@ -29,7 +29,8 @@ def write_lines(rows: DataFrame, folder: str, order: str, *head: str) -> None:
             first = first and not b.num_rows
             yield b
 
-    rows.repartitionByRange(order).sortWithinPartitions(order).select("value").mapInArrow(run, "value string").write.mode("overwrite").text(folder)
+    dealt = rows.repartitionByRange(parts, order) if parts else rows.repartitionByRange(order)
+    dealt.sortWithinPartitions(order).select("value").mapInArrow(run, "value string").write.mode("overwrite").text(folder)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -114,6 +115,16 @@ def profile_lines(profile: DataFrame) -> DataFrame:
     return profile.orderBy("pop", "bin").select(F.concat_ws(" ", "pop", *[F.format_string("%.6e", F.col(c).cast("double")) for c in cols]).alias("value"))
 
 
+def write_radial_table(table: DataFrame, folder: str, time: float) -> None:
+    """The table of ``profiles.radial_table`` as one text file: two comment lines, then 29 numbers with six digits a bin; as many lines as there are bins, whatever the bodies."""
+    cols = [c for c in table.columns if c != "bin"]
+    names = [[c.split("_")[0] for c in cols if c.endswith(end) and (end or "_" not in c)] for end in ("", "_b", "_d")]
+    head = [f"# T = {time:.6e} (Gyr)", "#" + " ".join(n for part in names for n in part)]
+    # a number that has none (of an empty bin) is written as nan
+    numbers = F.concat_ws("  ", *[F.format_string("%.6e", F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))) for c in cols])
+    write_lines(table.select("bin", F.regexp_replace(numbers, "NaN", "nan").alias("value")), folder, "bin", *head, parts=1)
+
+
 def snapshot_name(base: str, t: float, rank: int = 0) -> str:
     return f"{base}_{t:010.4f}-{rank}"
 

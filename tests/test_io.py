@@ -261,3 +261,15 @@ def test_live_client(spark, tmp_path):
     seen = []
     live_client(frames(spark, f"file://{tmp_path}/client", rows.schema), lambda b, n: seen.extend(b.collect()), f"file://{tmp_path}/client-ck")
     assert {(r["id"], r["rho_scaled"]) for r in seen} == {(1, 0.0), (2, 1.0)}
+
+
+def test_radial_table(spark, small, tmp_path):
+    """Two comment lines, then 29 numbers a bin."""
+    table = profiles.radial_table(profiles.radial_profile(disk(spark, small)))
+    text.write_radial_table(table, f"file://{tmp_path}/radial", 1.5)
+    lines = [line for p in sorted((tmp_path / "radial").glob("part-*.txt")) for line in p.read_text().splitlines()]
+    assert lines[0].startswith("# T = 1.5") and len(lines) == 602 and len(lines[1][1:].split()) == 29
+    assert all(len(line.split()) == 29 for line in lines[2:])
+    first = [float(v) for v in lines[2].split()]
+    row = table.orderBy("bin").first()
+    assert first[0] == pytest.approx(row["r"]) and first[14] == row["n"]
