@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import physics
@@ -10,7 +12,7 @@ from . import tree
 from .cut import cut
 
 EPS, THETA = 0.05, 0.75
-BROADCAST_BODIES = 100_000
+BROADCAST_BODIES, SOURCES = 100_000, 4096
 QUADRUPOLE = ("q11", "q22", "q33", "q12", "q13", "q23")
 
 
@@ -55,21 +57,47 @@ def walk(nodes: DataFrame, groups: DataFrame, start: int) -> tuple[DataFrame, Da
     return union(accepted), union(opened)
 
 
+def _pull(eps: float):
+    """The function that sums the pull of the sources of a group (mass, place, moments, which are 0 for bodies) on its members."""
+
+    def run(sources: pa.Table, members: pa.Table) -> pa.Table:
+        target = [members[c].to_numpy()[:, None] for c in COORDS]
+        total = np.zeros((4, members.num_rows))
+        for lo in range(0, sources.num_rows if members.num_rows else 0, SOURCES):
+            part = sources.slice(lo, SOURCES)
+            col = {c: part[c].to_numpy()[None] for c in ("mass", *COORDS, *QUADRUPOLE)}
+            d = [t - col[c] for t, c in zip(target, COORDS, strict=True)]
+            r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] + eps * eps
+            d0 = col["mass"] / np.sqrt(r2)
+            d1 = -d0 / r2
+            d2 = -3.0 * d1 / r2
+            d3 = -5.0 * d2 / r2
+            u = [sum(col[q] * x for q, x in zip(row, d, strict=True)) for row in (("q11", "q12", "q13"), ("q12", "q22", "q23"), ("q13", "q23", "q33"))]
+            w = d[0] * u[0] + d[1] * u[1] + d[2] * u[2]
+            trace = col["q11"] + col["q22"] + col["q33"]
+            radial = d1 + 0.5 * (d2 * trace + d3 * w)
+            for k in range(3):
+                total[k] += (radial * d[k] + d2 * u[k]).sum(1)
+            total[3] -= (d0 + 0.5 * (d1 * trace + d2 * w)).sum(1)
+        cells = int(np.count_nonzero(sources["cell"].to_numpy(zero_copy_only=False)))
+        counts = [pa.array(np.full(members.num_rows, n)) for n in (cells, sources.num_rows - cells)]
+        return pa.table([members["id"], *(pa.array(t) for t in total), *counts], names=["id", "ax", "ay", "az", "pot", "n_approx", "n_direct"])
+
+    return run
+
+
 def tree_gravity(bodies: DataFrame, nodes: DataFrame, grouped: DataFrame, start: int, eps: float = EPS) -> DataFrame:
-    """id, ax, ay, az, pot, n_approx, n_direct. nodes: with properties; grouped: bodies with keys and group_id."""
+    """id, ax, ay, az, pot, n_approx, n_direct. nodes: with properties; grouped: bodies with keys and group_id.
+
+    Cells and bodies are sent once to a group of bodies, whose members sum them together: rows go by groups and not by pairs of bodies."""
     accepted, opened = walk(nodes, tree.group_boxes(grouped), start)
     key = ["level", "prefix_hi", "prefix_lo"]
-    members = grouped.select("group_id", "id", *COORDS)
-    cells = accepted.join(nodes.select(*key, "mass", "com_x", "com_y", "com_z", *QUADRUPOLE), key)
-    pairs = cells.join(members, "group_id")
-    approx = physics.body_cell({c: F.col(c) - F.col(f"com_{c}") for c in COORDS}, F.col("mass"), {q: F.col(q) for q in QUADRUPOLE}, eps)
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    approx_rows = pairs.select("id", *[v.alias(k) for k, v in approx.items()], one.alias("n_approx"), none.alias("n_direct"))
-    leafy = tree.leaf_of(grouped, nodes).select(*key, *[F.col(c).alias(f"j{c}") for c in COORDS], F.col("mass").alias("jm"))
-    pairs = opened.join(leafy, key).join(members, "group_id")
-    direct = physics.body_body({c: F.col(f"j{c}") - F.col(c) for c in COORDS}, F.col("jm"), eps)
-    direct_rows = pairs.select("id", *[v.alias(k) for k, v in direct.items()], none.alias("n_approx"), one.alias("n_direct"))
-    return approx_rows.unionByName(direct_rows).groupBy("id").agg(*[F.sum(c).alias(c) for c in ("ax", "ay", "az", "pot", "n_approx", "n_direct")])
+    cells = nodes.select(*key, F.lit(True).alias("cell"), "mass", *[F.col(f"com_{c}").alias(c) for c in COORDS], *QUADRUPOLE)
+    leafy = tree.leaf_of(grouped, nodes).select(*key, F.lit(False).alias("cell"), "mass", *COORDS, *[F.lit(0.0).alias(q) for q in QUADRUPOLE])
+    sources = accepted.join(cells, key).drop(*key).unionByName(opened.join(leafy, key).drop(*key))
+    members = grouped.select(F.col("group_id").alias("member_of"), "id", *COORDS)
+    schema = f"id {grouped.schema['id'].dataType.simpleString()}, ax double, ay double, az double, pot double, n_approx long, n_direct long"
+    return sources.groupBy("group_id").cogroup(members.groupBy("member_of")).applyInArrow(_pull(eps), schema)
 
 
 def plan_tree(bodies: DataFrame, theta: float = THETA, nleaf: int = tree.LEAF, ncrit: int = tree.GROUP) -> tuple[DataFrame, DataFrame, int]:

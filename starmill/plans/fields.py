@@ -48,6 +48,16 @@ def nnb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(density.neighbour_statistics(density.neighbour_density(_with_h(spark, sf_dir), H)), "mean", "sigma")
 
 
+_DISK_H = "(0.35e0 + 0.01e0 * (p.id % 11))"
+
+
+@query(f"{_D}, c AS (SELECT id, x, y, z, mass FROM d), p AS (SELECT * FROM c), " + _pairs_sql(_DISK_H).replace("FROM p, c j WHERE ", "FROM p, c j WHERE j.x BETWEEN p.x - 0.5e0 AND p.x + 0.5e0 AND ") + " SELECT id, " + r_sql("h", "h") + ", " + r_sql(f"sum(mass * ({_M4}))", "rho") + ", CAST(count(*) AS DOUBLE) AS nnb FROM pr GROUP BY id, h")
+def disk_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density at every body of the disk."""
+    p = disk(spark, sf_dir).withColumn("h", 0.35 + 0.01 * (F.col("id") % 11))
+    return rounded(density.neighbour_density(p, 0.45), "h", "rho")
+
+
 _CLUSTERS = f"SELECT id, mass, x / pow(10e0, id % 4) AS x, y / pow(10e0, id % 4) AS y, z / pow(10e0, id % 4) AS z FROM {CORE_SQL}"
 _CLUSTER_H = "(1e0 / pow(10e0, p.id % 4) * (1 + 0.1e0 * (p.id % 5)))"
 

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starmill.operators import cut, density, partition, profiles
+from starmill.operators import cut, density, gravity, partition, profiles
+from starmill.plans import registry
+from starmill.sources.views import disk
 
 
 def _plan(df) -> str:
@@ -78,3 +80,18 @@ def test_dense_buckets_are_dealt(spark):
     largest = pairs.groupBy("level", "bx", "by", "bz", "at_pa", "at_ph").count().agg(F.max("count")).first()[0]
     assert largest <= (3 * 16) ** 2
     assert density.bucket_pairs(p.withColumn("h", F.lit(0.0)), 1.0).isEmpty()
+
+
+def test_disk_gravity_is_near_the_direct_sum(spark):
+    """The tree's pull on the disk of the small tables within a hundredth of the exact one, for nearly all bodies."""
+    found = {r["id"]: r for r in registry.queries()["disk_gravity"](spark, "/root/testdata/sf0.001").collect()}
+    p = disk(spark, "/root/testdata/sf0.001").select("id", "x", "y", "z", "mass").toPandas()
+    place, mass = p[["x", "y", "z"]].to_numpy(), p["mass"].to_numpy()
+    d = place[None] - place[:, None]
+    r2 = (d * d).sum(2) + gravity.EPS**2
+    exact = (mass[None, :, None] * d / (r2 * np.sqrt(r2))[..., None]).sum(1)
+    got = np.array([[found[i][f"a{c}"] for c in "xyz"] for i in p["id"]])
+    error = np.linalg.norm(got - exact, axis=1) / np.linalg.norm(exact, axis=1)
+    assert len(found) == len(p) and np.quantile(error, 0.95) < 0.01
+    pot = np.array([found[i]["pot"] for i in p["id"]])
+    assert np.allclose(pot, -(mass / np.sqrt(r2)).sum(1), rtol=5e-3)
