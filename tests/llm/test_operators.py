@@ -583,3 +583,31 @@ def test_training_rows_are_bounded(spark):
     twice = toxicity.fit(docs, labels)
     once = toxicity.fit(docs.dropDuplicates(["doc_id"]).withColumn("text", F.when(F.col("doc_id") == 1, "vile words 0").otherwise(F.col("text"))), labels)
     assert np.array_equal(twice, once)
+
+
+def test_likeness_estimates_shared_runs(spark):
+    """Against exact counts of three-word runs: one minus the squared length of the difference over the sum of squared lengths."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base = [word() for _ in range(400)]
+    texts = []
+    for k in range(40):
+        own = list(base)
+        for i in rng.sample(range(400), 10 * k):
+            own[i] = word()
+        texts.append(" ".join(own))
+
+    def runs(t):
+        w = t.split()
+        return Counter(zip(w, w[1:], w[2:], strict=False))
+
+    equal, like = fingerprints._vectors(fingerprints.pa.array(texts))
+    exact, found = [], []
+    for k in range(1, 40):
+        a, b = runs(texts[0]), runs(texts[k])
+        gap = sum((a[g] - b[g]) ** 2 for g in a.keys() | b.keys())
+        exact.append(1 - gap / (sum(v * v for v in a.values()) + sum(v * v for v in b.values())))
+        found.append(fingerprints.likeness((equal[:1], like[:1]), (equal[k : k + 1], like[k : k + 1]))[0])
+    error = np.abs(np.clip(exact, 0, 1) - np.array(found))
+    assert error.mean() < 0.12 and error.max() < 0.45
+    assert np.corrcoef(exact, found)[0, 1] > 0.85
