@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textnp as tn
-from .store import col, plain
+from .store import plain
 
 BATCH_BYTES = 8 << 20
 RESULT = ("_runs", "_kept")
