@@ -299,6 +299,24 @@ def test_line_dedup_finds_edited_words(spark, n):
     assert sum(got[1000 + d] == "" for d in range(150)) >= 147
 
 
+def test_line_dedup_finds_mistyped_lines(spark):
+    """One letter wrong in many words: at least nine of ten copies that obey the rule are found in lines of any length, and no other line goes."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(5, 9)))
+    texts, cells = {}, {}
+    for n, k in ((5, 2), (8, 3), (12, 6), (20, 4), (20, 6), (20, 8), (40, 8), (40, 12), (100, 32), (700, 100)):
+        for _ in range(10 if n == 700 else 40):
+            line = [word() for _ in range(n)]
+            copy = [w[:i] + "0" + w[i + 1 :] if at < k else w for at, w, i in zip(rng.sample(range(n), n), line, [2] * n, strict=True)]
+            if 10 * k <= len(" ".join(line)):
+                cells.setdefault((n, k), []).append(len(texts))
+                texts |= {len(texts): " ".join(line), len(texts) + 1: " ".join(copy)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    gone = {r["doc_id"] for r in line_dedup.remove_lines(df).filter("_gone > 0").collect()}
+    assert all(d % 2 for d in gone)
+    assert {c: True for c in cells} == {c: sum(d + 1 in gone for d in ds) >= 0.9 * len(ds) for c, ds in cells.items()}
+
+
 def test_line_dedup_odd(odd, none):
     rows = line_dedup.remove_lines(odd).collect()
     assert len(rows) == len(ODD)
