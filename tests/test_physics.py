@@ -173,3 +173,13 @@ def test_tree_below_the_first_word_of_its_keys(spark):
     assert tree.leaf_of(p, nodes).select("id").distinct().count() == len(rows)
     root = tree.node_properties(nodes, p).filter("level = 0").first()
     assert root["mass"] == 60 + 100 and root["n"] == len(rows)
+
+
+def test_angles_on_diagonals_are_the_nearest_doubles(spark):
+    """acos of a cosine a few units from that of 45 or 135 degrees, as the C library has it: on a diagonal a unit decides the bin."""
+    near = [s * v for s in (1, -1) for v in (0.707106781186547, 0.7071067811865474, 0.7071067811865475, 0.7071067811865476, 0.7071067811865477)] + [0.5, -0.25, 1.0]
+    rows = spark.createDataFrame([(v,) for v in near], "v double").select("v", physics.arc_cosine(F.col("v")).alias("a")).collect()
+    assert [r["a"] for r in rows] == [math.acos(v) for v in near]
+    x, y = -1.6259999999999994, 1.6260000000000012
+    phi = spark.range(1).select(physics.polar(F.lit(x), F.lit(y))[1].alias("p")).first()["p"]
+    assert math.floor((phi + 180.0) / 2.8125) == math.floor((math.degrees(math.acos(x / math.sqrt(x * x + y * y))) + 180.0) / 2.8125) == 112
