@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import physics
@@ -10,10 +12,13 @@ from .cut import cut
 
 
 PART = 1024
+#: Bodies of a part of a bucket where pairs are summed in place, rows that a task takes at once, and pairs of a tile.
+SUMMED_PART, ROWS, TILE = 16_384, 50_000, 1 << 16
+KEY = ("level", *[f"b{c}" for c in COORDS], "at_pa", "at_ph")
 
 
-def bucket_pairs(p: DataFrame, cell: float, part: int = PART) -> DataFrame:
-    """(id, h, x, y, z; jd, jx, jy, jz, jm) of bodies and the bodies of the buckets that their balls meet.
+def _dealt(p: DataFrame, cell: float, part: int) -> tuple[DataFrame, DataFrame]:
+    """(askers: id, h, x, y, z; bodies: jd, jx, jy, jz, jm), both with KEY: the bucket and the part of it in which they meet.
 
     Buckets come in levels of doubled sides, the least ones of side cell; a body asks at the level whose side its radius fills between a half and the
     whole, so that it meets at most 27 buckets whatever its radius, and a bucket holds the bodies in it at every level that is asked at all. Buckets of more than part bodies, or asked by
@@ -27,7 +32,7 @@ def bucket_pairs(p: DataFrame, cell: float, part: int = PART) -> DataFrame:
         asks = asks.withColumn(f"b{c}", F.explode(F.sequence(F.floor((F.col(c) - F.col("h")) / side).cast("long"), F.floor((F.col(c) + F.col("h")) / side).cast("long"))))
     holds = p.select(F.col("id").alias("jd"), *[F.col(c).alias(f"j{c}") for c in COORDS], F.col("mass").alias("jm")).crossJoin(F.broadcast(levels))
     holds = holds.withColumn("level", F.explode("_levels")).drop("_levels").withColumns({f"b{c}": F.floor(F.col(f"j{c}") / side).cast("long") for c in COORDS})
-    key = ["level", *[f"b{c}" for c in COORDS]]
+    key = list(KEY[:4])
     counts = asks.groupBy(*key).agg(F.count("*").alias("_asks")).join(holds.groupBy(*key).agg(F.count("*").alias("_holds")), key)
     dense = counts.filter((F.col("_asks") > part) | (F.col("_holds") > part)).select(*key, F.ceil(F.col("_asks") / part).alias("_pa"), F.ceil(F.col("_holds") / part).alias("_ph"))
     one = F.lit(1).cast("long")
@@ -36,7 +41,13 @@ def bucket_pairs(p: DataFrame, cell: float, part: int = PART) -> DataFrame:
         rows = rows.join(dense, key, "left").withColumns({"_pa": F.coalesce("_pa", one), "_ph": F.coalesce("_ph", one)})
         mine, theirs = F.pmod(F.xxhash64(name), F.col(own)), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))
         sides.append(rows.withColumn(f"at{own}", mine).withColumn(f"at{other}", theirs).drop("_pa", "_ph"))
-    return sides[0].join(sides[1], [*key, "at_pa", "at_ph"])
+    return sides[0], sides[1]
+
+
+def bucket_pairs(p: DataFrame, cell: float, part: int = PART) -> DataFrame:
+    """(id, h, x, y, z; jd, jx, jy, jz, jm) of bodies and the bodies of the buckets that their balls meet."""
+    asks, holds = _dealt(p, cell, part)
+    return asks.join(holds, list(KEY))
 
 
 def neighbours(p: DataFrame, cell: float = 1.0) -> DataFrame:
@@ -47,15 +58,73 @@ def neighbours(p: DataFrame, cell: float = 1.0) -> DataFrame:
     return bucket_pairs(p, cell).withColumn("r2", r2).filter("r2 < h * h").select("id", "h", "r2", "jm", "jd")
 
 
+def _sums(kernel: str):
+    """The function that sums what the bodies of the buckets of a group add to its askers."""
+    m4_norm, quartic_norm = physics.M4_NORM, physics.QUARTIC_NORM
+
+    def parts(t: pa.Table) -> tuple[np.ndarray, dict[tuple, tuple[int, int]]]:
+        """(order that brings the rows of a bucket's part together, from and to of each)."""
+        key = np.stack([t[c].to_numpy().astype(np.int64) for c in KEY])
+        order = np.lexsort(key)
+        key = key[:, order]
+        new = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]) if t.num_rows else np.zeros(0, int)
+        return order, dict(zip(map(tuple, key[:, new].T.tolist()), zip(new.tolist(), np.append(new, t.num_rows)[1:].tolist(), strict=True), strict=True))
+
+    def m4(r2: np.ndarray, h: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, None]:
+        """Terms of the density; every neighbour counts as one."""
+        q = np.sqrt(r2) / h
+        rest = 1.0 - q
+        return mass * (m4_norm / (h * h * h) * np.where(q < 0.5, 1.0 - 6.0 * q * q * rest, 2.0 * rest * rest * rest)), None
+
+    def quartic(r2: np.ndarray, h: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the number density and of the smoothed count."""
+        near = np.maximum(1.0 - r2 / (h * h), 0.0)
+        return quartic_norm / (h * h * h) * near * near * near * near, np.ceil(near * near)
+
+    terms = m4 if kernel == "m4" else quartic
+
+    def run(asks: pa.Table, holds: pa.Table) -> pa.Table:
+        order, mine = parts(asks)
+        at, theirs = parts(holds)
+        place, h = [asks[c].to_numpy()[order] for c in COORDS], asks["h"].to_numpy()[order]
+        other, mass = [holds[f"j{c}"].to_numpy()[at] for c in COORDS], holds["jm"].to_numpy()[at]
+        rho, nnb, met = np.zeros(len(h)), np.zeros(len(h)), np.zeros(len(h), bool)
+        for key in mine.keys() & theirs.keys():
+            (lo, hi), (a, b) = mine[key], theirs[key]
+            width = min(b - a, TILE)
+            for i in range(lo, hi, max(1, TILE // width)):
+                rows = slice(i, min(hi, i + max(1, TILE // width)))
+                for j in range(a, b, width):
+                    cols = slice(j, min(b, j + width))
+                    d = [t[rows, None] - o[None, cols] for t, o in zip(place, other, strict=True)]
+                    r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+                    of, by = np.nonzero(r2 < (h[rows] * h[rows])[:, None])
+                    if not len(of):
+                        continue
+                    term, count = terms(r2[of, by], h[rows][of], mass[cols][by])
+                    n = rows.stop - rows.start
+                    found = np.bincount(of, minlength=n)
+                    rho[rows] += np.bincount(of, term, n)
+                    nnb[rows] += found if count is None else np.bincount(of, count, n)
+                    met[rows] |= found > 0
+        return pa.table([asks["id"].take(pa.array(order[met])), pa.array(h[met]), pa.array(rho[met]), pa.array(nnb[met])], names=["id", "h", "rho", "nnb"])
+
+    return run
+
+
 def neighbour_density(p: DataFrame, cell: float, kernel: str = "m4") -> DataFrame:
-    """id, h, rho, nnb. m4: mass density and number of neighbours; quartic: number density and its smoothed neighbour count."""
-    found = neighbours(p, cell)
-    if kernel == "m4":
-        term, count = F.col("jm") * physics.m4(F.sqrt("r2"), F.col("h")), F.lit(1.0)
-    else:
-        near = F.greatest(1.0 - F.col("r2") / (F.col("h") * F.col("h")), F.lit(0.0))
-        term, count = physics.quartic(F.col("r2"), F.col("h")), F.ceil(near * near).cast("double")
-    return found.groupBy("id", "h").agg(F.sum(term).alias("rho"), F.sum(count).alias("nnb"))
+    """id, h, rho, nnb. m4: mass density and number of neighbours; quartic: number density and its smoothed neighbour count.
+
+    Parts of buckets are summed where they meet, so rows go by bodies and buckets and not by pairs."""
+    asks, holds = _dealt(p.withColumns({c: F.col(c).cast("double") for c in (*COORDS, "h")} | {"mass": F.coalesce(F.col("mass").cast("double"), F.lit(0.0))}), cell, SUMMED_PART)
+    holds = holds.dropna(subset=list(KEY))
+    groups = 1 + (asks.count() + holds.count()) // ROWS
+    group = F.pmod(F.xxhash64(*KEY), F.lit(groups)).cast("int")
+    # a task a group: they are few bytes and much work
+    sides = [rows.withColumn("_g", group).repartition(groups, "_g").groupBy("_g") for rows in (asks, holds)]
+    schema = f"id {p.schema['id'].dataType.simpleString()}, h double, rho double, nnb double"
+    found = sides[0].cogroup(sides[1]).applyInArrow(_sums(kernel), schema)
+    return found.groupBy("id", "h").agg(F.sum("rho").alias("rho"), F.sum("nnb").alias("nnb"))
 
 
 def solve_h(p: DataFrame, cell: float, target: float = 32.0, rounds: int = 10, lo: float = 0.8, hi: float = 2.0) -> DataFrame:

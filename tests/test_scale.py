@@ -95,3 +95,49 @@ def test_disk_gravity_is_near_the_direct_sum(spark):
     assert len(found) == len(p) and np.quantile(error, 0.95) < 0.01
     pot = np.array([found[i]["pot"] for i in p["id"]])
     assert np.allclose(pot, -(mass / np.sqrt(r2)).sum(1), rtol=5e-3)
+
+
+def test_direct_gravity_by_parts(spark, monkeypatch):
+    """Parts and tiles far smaller than the bodies: the plain sum, and no join of pairs in the plan."""
+    monkeypatch.setattr(gravity, "SIDE", (16, 16))
+    monkeypatch.setattr(gravity, "TILE", (5, 7))
+    rng = np.random.default_rng(7)
+    place, mass = rng.normal(size=(90, 3)), rng.random(90)
+    rows = [(i, *map(float, x), float(m)) for i, (x, m) in enumerate(zip(place, mass, strict=True))]
+    p = spark.createDataFrame([*rows, (90, 0.1, 0.2, 0.3, None), (91, None, 0.0, 0.0, 1.0)], "id long, x double, y double, z double, mass double").repartition(3)
+    for own in (False, True):
+        found = gravity.direct_gravity(p, 0.1, exclude_self=own)
+        assert "Cartesian" not in _plan(found) and "NestedLoop" not in _plan(found)
+        got = {r["id"]: r for r in found.collect()}
+        assert set(got) == set(range(92)) and got[91]["ax"] is None and got[91]["pot"] is None
+        d = place[None] - place[:, None]
+        w = 1 / np.sqrt((d * d).sum(2) + 0.01)
+        if own:
+            np.fill_diagonal(w, 0)
+        assert np.allclose([got[i]["pot"] for i in range(90)], -(w @ mass), rtol=1e-12)
+        want = ((w**3 * mass)[..., None] * d).sum(1)
+        assert np.allclose([[got[i][f"a{c}"] for c in "xyz"] for i in range(90)], want, rtol=1e-9, atol=1e-12)
+
+
+def test_density_by_parts(spark, monkeypatch):
+    """Parts, groups and tiles far smaller than the bodies of a bucket: the plain sums, and no row for each pair."""
+    monkeypatch.setattr(density, "SUMMED_PART", 16)
+    monkeypatch.setattr(density, "ROWS", 100)
+    monkeypatch.setattr(density, "TILE", 12)
+    rng = np.random.default_rng(8)
+    place = np.concatenate([rng.random((80, 3)) * 0.2, rng.random((80, 3)) * 3])
+    h, mass = np.where(np.arange(160) % 9 == 0, 0.0, 0.1 + rng.random(160)), rng.random(160)
+    p = spark.createDataFrame([(i, *map(float, x), float(m), float(k)) for i, (x, m, k) in enumerate(zip(place, mass, h, strict=True))], "id long, x double, y double, z double, mass double, h double")
+    r2 = ((place[:, None] - place[None]) ** 2).sum(2)
+    near = r2 < (h * h)[:, None]
+    k = np.where(h > 0, h, 1.0)[:, None]
+    q, u = np.sqrt(r2) / k, np.maximum(1 - r2 / (k * k), 0)
+    m4 = np.where(near, 8 / np.pi / k**3 * np.where(q < 0.5, 1 - 6 * q * q * (1 - q), 2 * (1 - q) ** 3) * mass, 0).sum(1)
+    quartic = np.where(near, 3465 / (512 * np.pi) / k**3 * u**4, 0).sum(1)
+    for kernel, rho, nnb in (("m4", m4, near.sum(1)), ("quartic", quartic, np.where(near, np.ceil(u * u), 0).sum(1))):
+        found = density.neighbour_density(p, 0.3, kernel)
+        # the pairs themselves are no join any more
+        assert "CoGroup" in _plan(found).replace("Cogroup", "CoGroup")
+        got = {r["id"]: r for r in found.collect()}
+        assert set(got) == set(np.flatnonzero(h > 0).tolist())
+        assert all(np.isclose(r["rho"], rho[i], rtol=1e-10) and r["nnb"] == nnb[i] and r["h"] == h[i] for i, r in got.items())
