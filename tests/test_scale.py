@@ -1,6 +1,7 @@
 """Operators whose plans must hold at any size, at sizes where their levels, parts and stretches all come into play."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,24 @@ def test_direct_gravity_by_parts(spark, monkeypatch):
         assert np.allclose([[got[i][f"a{c}"] for c in "xyz"] for i in range(90)], want, rtol=1e-9, atol=1e-12)
 
 
+def test_two_parts_pull_each_other_at_once(monkeypatch):
+    """A group of two parts gives the sums of both, so a pair is not found twice; bodies without mass are pulled and pull nothing."""
+    monkeypatch.setattr(gravity, "TILE", (5, 7))
+    rng = np.random.default_rng(9)
+    place, mass = rng.normal(size=(60, 3)), rng.random(60)
+    mass[[3, 40]] = np.nan
+    cols = {c: place[:, k] for k, c in enumerate("xyz")} | {"mass": mass}
+    part = lambda rows, name, a, b: pa.table({name: np.arange(60)[rows]} | {c: pa.array(v[rows], from_pandas=True) for c, v in cols.items()} | {"_a": np.full(60, a)[rows], "_b": np.full(60, b)[rows]})
+    found = gravity._direct(0.1, False)(part(slice(0, 25), "id", 0, 1), part(slice(25, 60), "jd", 0, 1)).to_pydict()
+    assert found["id"] == list(range(60))
+    d = place[None] - place[:, None]
+    w = 1 / np.sqrt((d * d).sum(2) + 0.01) * np.nan_to_num(mass)
+    w[:25, :25] = w[25:, 25:] = 0
+    assert np.allclose(found["pot"], -w.sum(1), rtol=1e-12)
+    w *= 1 / ((d * d).sum(2) + 0.01)
+    assert np.allclose(np.stack([found[f"a{c}"] for c in "xyz"], 1), (w[..., None] * d).sum(1), rtol=1e-9, atol=1e-12)
+
+
 def test_density_by_parts(spark, monkeypatch):
     """Parts, groups and tiles far smaller than the bodies of a bucket: the plain sums, and no row for each pair."""
     monkeypatch.setattr(density, "SUMMED_PART", 16)
