@@ -22,7 +22,7 @@ _FLOATS = ", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE) AS {c}" for c in (*_PH,
 def tipsy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file a partition, written by its task and read back in stretches of records."""
     folder = scratch(spark, "tipsy")
-    tipsy.write_tipsy_parts(disk(spark, sf_dir).repartition(3, "id"), folder, 1.5)
+    tipsy.write_tipsy_parts(files.spread_rows(disk(spark, sf_dir), "id", 3), folder, 1.5)
     return tipsy.read_tipsy(spark, folder, step=700).select(*_BODY, "time")
 
 
@@ -31,7 +31,7 @@ def columnar_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spark's own reader and writer interface: four columns of the stars, by the arrays and the population that hold them."""
     snapshots.register(spark)
     folder = scratch(spark, "format")
-    disk(spark, sf_dir).repartition(3, "id").write.format("columnar").mode("append").option("time", 4.0).save(folder)
+    files.spread_rows(disk(spark, sf_dir), "id", 3).write.format("columnar").mode("append").option("time", 4.0).save(folder)
     rows = spark.read.format("columnar").schema("gid long, x double, vz double, is_dark boolean").option("step", 700).load(folder)
     return rows.filter("not is_dark AND x > 2").drop("is_dark")
 
@@ -42,7 +42,7 @@ def tipsy_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshots.register(spark)
     folder = scratch(spark, "times")
     for k in range(4):
-        disk(spark, sf_dir).filter(F.col("id") % 4 == k).repartition(2, "id").write.format("tipsy").mode("append").option("time", float(k)).save(folder)
+        files.spread_rows(disk(spark, sf_dir).filter(F.col("id") % 4 == k), "id", 2).write.format("tipsy").mode("append").option("time", float(k)).save(folder)
     rows = spark.read.format("tipsy").schema("mass double, time double, is_dark boolean").load(folder).filter("time >= 1 AND time < 3")
     return rounded(rows.groupBy("time", "is_dark").agg(F.count("*").alias("n"), F.sum("mass").alias("mass")), "mass", digits=3)
 
@@ -66,14 +66,14 @@ def tipsy_version_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with ids of 32 bits."""
     folder = scratch(spark, "old")
     p = disk(spark, sf_dir).withColumn("gid", (F.col("id") * 15013) % 250_000_000)
-    tipsy.write_tipsy_parts(p.repartition(2, "id"), folder, version=1)
+    tipsy.write_tipsy_parts(files.spread_rows(p, "id", 2), folder, version=1)
     return tipsy.read_tipsy(spark, folder).select("gid")
 
 
 @query(f"{_D} SELECT ptype = 0 AS is_dark, count(*) AS n FROM d GROUP BY 1")
 def tipsy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "counts")
-    tipsy.write_tipsy_parts(disk(spark, sf_dir).repartition(4, "id"), folder)
+    tipsy.write_tipsy_parts(files.spread_rows(disk(spark, sf_dir), "id", 4), folder)
     return tipsy.count_tipsy(spark, folder)
 
 
@@ -81,7 +81,7 @@ def tipsy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def columnar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "columnar")
     p = disk(spark, sf_dir).withColumns({"rho": F.col("mass") * 3, "h": F.lit(0.1)})
-    columnar.write_columnar(p.repartition(3, "id"), folder, 2.0)
+    columnar.write_columnar(files.spread_rows(p, "id", 3), folder, 2.0)
     return columnar.read_columnar(spark, folder, step=500).select(*_BODY, "rho", "h", "time")
 
 
@@ -99,7 +99,7 @@ def columnar_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_D}, k AS (SELECT CASE WHEN ptype = 0 THEN 'DM:' ELSE 'Stars:' END AS p, count(*) AS n FROM d GROUP BY 1) SELECT p || f AS name, CAST(s AS BIGINT) AS element_size, n::BIGINT AS rows FROM k, (VALUES ('IDType', 8), ('POS:real4', 16), ('VEL:float[3]', 12), ('RHOH:float[2]', 8)) v(f, s)")
 def columnar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "fields")
-    columnar.write_columnar(disk(spark, sf_dir).repartition(3, "id"), folder)
+    columnar.write_columnar(files.spread_rows(disk(spark, sf_dir), "id", 3), folder)
     return columnar.list_fields(spark, folder).groupBy("name", "element_size").agg(F.sum("rows").alias("rows"))
 
 
@@ -107,7 +107,7 @@ def columnar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def convert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tipsy files made columnar, through both readers."""
     a, b = scratch(spark, "from"), scratch(spark, "to")
-    tipsy.write_tipsy_parts(disk(spark, sf_dir).repartition(2, "id"), a)
+    tipsy.write_tipsy_parts(files.spread_rows(disk(spark, sf_dir), "id", 2), a)
     columnar.write_columnar(tipsy.read_tipsy(spark, a), b)
     return columnar.read_columnar(spark, b).select(*_BODY)
 

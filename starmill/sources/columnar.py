@@ -187,8 +187,8 @@ def read_columnar(spark: SparkSession, path: str, reduce: int = 1, reduce_dark:
 
 
 def write_columnar(p: DataFrame, path: str, time: float = 0.0) -> list[tuple[str, int]]:
-    """A folder of files, one for each partition and written by its task, each with the dark and star populations of its rows; returns names and sizes of the folder's files."""
-    return write_parts(p.select(*Columnar.wanted, *[c for c in ("rho", "h") if c in p.columns]), path, Columnar, {"time": str(time)})
+    """A folder of files, one for each partition or group (``files.dealt``) and written by its task, each with the dark and star populations of its rows; returns names and sizes of the folder's files."""
+    return write_parts(p.select(*Columnar.wanted, *[c for c in ("rho", "h", files.GROUP) if c in p.columns]), path, Columnar, {"time": str(time)})
 
 
 #: A body of a gas dump, packed.

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 from urllib.parse import urlparse
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Schemes that executors read and write by themselves; other files pass through Spark's reader whole, and through the driver.
 DIRECT = ("", "file", "hdfs", "s3", "gs")
+#: The column of the group of rows that are to be in a file of their own, and how many groups a task writes.
+GROUP, GROUPS_A_TASK = "_group", 64
+#: Rows of a file where nothing else says how many.
+ROWS_A_FILE = 1 << 18
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -60,10 +65,17 @@ def spread(spans: DataFrame, path: str, size: int) -> DataFrame:
 
 
 def dealt(rows: DataFrame, group: Column, *order: str | Column) -> DataFrame:
-    """rows with a partition for each group (a whole number from 0), each in order."""
-    placed = rows.withColumn("_group", group.cast("int"))
-    parts = placed.agg(F.coalesce(F.max("_group"), F.lit(0))).first()[0] + 1
-    return placed.repartitionById(parts, "_group").sortWithinPartitions(*order).drop("_group")
+    """rows with their group (a whole number from 0) as GROUP, a group's rows together and in order; a partition has GROUPS_A_TASK groups."""
+    placed = rows.withColumn(GROUP, group.cast("int"))
+    groups = placed.agg(F.coalesce(F.max(GROUP), F.lit(0))).first()[0] + 1
+    each = max(1, min(GROUPS_A_TASK, groups // rows.sparkSession.sparkContext.defaultParallelism))
+    part = F.floor(F.col(GROUP) / each).cast("int")
+    return placed.withColumn("_part", part).repartitionById(-(-groups // each), "_part").sortWithinPartitions(GROUP, *order).drop("_part")
+
+
+def spread_rows(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """rows dealt by a key to a partition for each ROWS_A_FILE of them, and to least at least."""
+    return rows.repartition(max(least, -(-rows.count() // ROWS_A_FILE)), key)
 
 
 def write_stream(spark: SparkSession, path: str, *parts: Iterable[bytes]) -> int:
@@ -81,7 +93,7 @@ def write_stream(spark: SparkSession, path: str, *parts: Iterable[bytes]) -> int
 
 
 def write_partitions(df: DataFrame, folder: str, name: str, encode: Callable[[pa.Table], bytes]) -> list[tuple[str, int]]:
-    """A file for each partition that has rows, encoded and written where the partition is; returns (address, bytes) of all.
+    """A file for each partition that has rows or, of rows with GROUP, for each group, encoded and written where the partition is; returns (address, bytes) of all.
 
     A task writes under a name of its own in a folder of the job; the driver gives the files of the tasks that count their names and deletes the folder, so a
     repeated or lost task leaves no second copy. Only names and sizes reach the driver."""
@@ -97,15 +109,20 @@ def write_partitions(df: DataFrame, folder: str, name: str, encode: Callable[[pa
         whole = [b for b in batches if b.num_rows]
         if not whole:
             return
-        content = encode(pa.Table.from_batches(whole))
-        number, at = TaskContext.get().partitionId(), f"{job}/{uuid.uuid4().hex}"
-        if by_task:
-            target, inner = fs.FileSystem.from_uri(at if urlparse(at).scheme else f"file://{at}")
-            with target.open_output_stream(inner) as out:
-                out.write(content)
-        yield pa.RecordBatch.from_arrays([pa.array([number], type=pa.int64()), pa.array([at]), pa.array([len(content)], type=pa.int64()), pa.array([None if by_task else content], type=pa.binary())], names=["part", "file", "size", "content"])
-
-    made = df.mapInArrow(run, "part long, file string, size long, content binary")
+        table, number = pa.Table.from_batches(whole), TaskContext.get().partitionId()
+        ends = [0, table.num_rows]
+        if GROUP in table.schema.names:
+            group = table[GROUP].to_numpy()
+            ends[1:1] = (np.flatnonzero(group[1:] != group[:-1]) + 1).tolist()
+        for place, (lo, hi) in enumerate(pairwise(ends)):
+            content, at = encode(table.slice(lo, hi - lo)), f"{job}/{uuid.uuid4().hex}"
+            if by_task:
+                target, inner = fs.FileSystem.from_uri(at if urlparse(at).scheme else f"file://{at}")
+                with target.open_output_stream(inner) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([number], type=pa.int64()), pa.array([place], type=pa.int64()), pa.array([at]), pa.array([len(content)], type=pa.int64()), pa.array([None if by_task else content], type=pa.binary())], names=["part", "place", "file", "size", "content"])
+
+    made = df.mapInArrow(run, "part long, place long, file string, size long, content binary")
     written = []
     try:
         # names and sizes are few; contents come a partition at a time, in the order of partitions

@@ -1,11 +1,11 @@
 """Both snapshot formats as Spark data sources: ``spark.read.format("tipsy")``, ``df.write.format("columnar")``.
 
 After ``register(spark)`` a path (a file, a folder or a glob on a file system that Arrow opens) is read in stretches of
-records, each a task that seeks to its bytes.  Only the columns of the schema that a reader is given are made, so
+records; a task takes short ones together and seeks to their bytes.  Only the columns of the schema that a reader is given are made, so
 ``.schema("gid long, x double")`` reads two of a columnar file's arrays.  Filters on time, is_dark, pos and file reach the plan of
 stretches: files and populations that they rule out are never opened beyond their header.
 
-Writers encode a partition as it comes, a file for at most ``maxRecordsPerFile`` rows, under a folder of the job; a commit gives
+Writers encode a partition as it comes, a file for at most ``maxRecordsPerFile`` rows (and, where rows have a group, for the rows of one), under a folder of the job; a commit gives
 the files of the tasks that count their names, and deletes the folder with whatever failed or repeated tasks have left there.
 """
 
@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import groupby, pairwise
 from urllib.parse import urlparse
 
 import numpy as np
@@ -32,6 +33,8 @@ from . import files
 from .views import BULGE_BASE, DARK_BASE
 
 STEP, RECORDS, THREADS = 1 << 20, 1 << 22, 32
+#: Records and files from which a task takes no further stretch, and tasks among which fewer records are dealt.
+TASK, TASK_FILES, TASKS = 1 << 16, 256, 32
 #: Times beyond this are taken for 0.
 LATE = 1e11
 PLACED = ("time", "is_dark", "pos", "file")
@@ -64,7 +67,7 @@ def visible_files(path: str) -> list[tuple[str, int]]:
 
 
 @dataclass
-class Stretch(InputPartition):
+class Stretch:
     """Rows lo to hi (from 0) of one population of a file."""
 
     path: str
@@ -75,6 +78,27 @@ class Stretch(InputPartition):
     first: int
 
 
+@dataclass
+class Task(InputPartition):
+    """Stretches that are read one after another."""
+
+    stretches: list[Stretch]
+
+
+def bundled(stretches: list[Stretch]) -> list[Task]:
+    """Stretches in tasks of at most about TASK records and TASK_FILES files, however short the stretches and files are."""
+    most = min(TASK, -(-sum(s.hi - s.lo for s in stretches) // TASKS))
+    found, rows, files = [], 0, 0
+    for s in stretches:
+        if not found or rows + s.hi - s.lo > most or (files == TASK_FILES and s.path != found[-1].stretches[-1].path):
+            found.append(Task([]))
+            rows = files = 0
+        files += not found[-1].stretches or s.path != found[-1].stretches[-1].path
+        rows += s.hi - s.lo
+        found[-1].stretches.append(s)
+    return found
+
+
 class SnapshotReader(DataSourceReader):
     """Plans stretches of files whose headers are read side by side; formats say what a header holds and how rows are read."""
 
@@ -99,7 +123,10 @@ class SnapshotReader(DataSourceReader):
     def _keeps(self, name: str, value: object) -> bool:
         return all(_COMPARE[kind](value, wanted) for n, kind, wanted in self.held if n == name)
 
-    def partitions(self) -> list[Stretch]:
+    def partitions(self) -> list[Task]:
+        return bundled(self.stretches()) or [Task([])]
+
+    def stretches(self) -> list[Stretch]:
         files = [(p, n) for p, n in visible_files(self.root)]
         if not files:
             raise FileNotFoundError(self.root)
@@ -116,13 +143,14 @@ class SnapshotReader(DataSourceReader):
                     if self.every[dark] and self._keeps("is_dark", dark):
                         lo, hi = max(0, low - first), min(rows, high - first + 1)
                         found += [Stretch(path, head, dark, a, min(a + self.step, hi), first) for a in range(lo, hi, self.step)]
-        return found or [Stretch("", None, False, 0, 0, 0)]
+        return found
 
-    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
-        if partition.hi > partition.lo:
-            system, _ = system_of(self.root)
-            with system.open_input_file(partition.path) as f:
-                yield self.rows_of(f, partition)
+    def read(self, partition: Task) -> Iterator[pa.RecordBatch]:
+        system, _ = system_of(self.root)
+        for path, held in groupby(partition.stretches, lambda s: s.path):
+            with system.open_input_file(path) as f:
+                for s in held:
+                    yield self.rows_of(f, s)
 
     def rows_of(self, f: pa.NativeFile, partition: Stretch) -> pa.RecordBatch:
         """The rows of a stretch of an open file."""
@@ -148,6 +176,19 @@ def _column(value: object, keep: np.ndarray, whole: bool, n: int, kind: pa.DataT
     return pa.array(value if whole else value[keep]).cast(kind)
 
 
+def _by_group(rows: pa.RecordBatch) -> Iterator[tuple[int | None, pa.RecordBatch]]:
+    """(group, rows) of each stretch of rows of one group; all of them where rows have none."""
+    if not rows.num_rows:
+        return
+    if files.GROUP not in rows.schema.names:
+        yield None, rows
+        return
+    group = rows[files.GROUP].to_numpy()
+    ends = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), rows.num_rows]
+    for lo, hi in pairwise(ends):
+        yield int(group[lo]), rows.slice(lo, hi - lo)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     part: int
@@ -180,15 +221,21 @@ class SnapshotWriter(DataSourceArrowWriter):
                     size += len(block)
             files.append((at, size))
 
-        for batch in iterator:
-            for lo in range(0, batch.num_rows, self.records):
-                piece = batch.slice(lo, self.records)
-                if held and rows + piece.num_rows > self.records:
+        group = None
+        for whole in iterator:
+            for of, batch in _by_group(whole):
+                if held and of != group:
                     flush()
                     held, rows = [], 0
-                # encoded at once, so that a task holds its records as they go to the file and no table beside them
-                held.append(self.form.blocks(piece, self.options))
-                rows += piece.num_rows
+                group = of
+                for lo in range(0, batch.num_rows, self.records):
+                    piece = batch.slice(lo, self.records)
+                    if held and rows + piece.num_rows > self.records:
+                        flush()
+                        held, rows = [], 0
+                    # encoded at once, so that a task holds its records as they go to the file and no table beside them
+                    held.append(self.form.blocks(piece, self.options))
+                    rows += piece.num_rows
         if rows:
             flush()
         return Written(part, files)
@@ -258,10 +305,10 @@ class SnapshotSource(DataSource):
 
 @dataclass
 class Shown(InputPartition):
-    """A stretch of the file that a frame shows."""
+    """Stretches of the file that a frame shows."""
 
     frame: int
-    stretch: Stretch
+    task: Task
 
 
 class ReplayReader(DataSourceStreamReader):
@@ -276,7 +323,7 @@ class ReplayReader(DataSourceStreamReader):
         self.delay = float(options.get("delay", 0)) / 1000
         self.start = float(options.get("start", time.time()))
         by: dict[str, list[Stretch]] = {}
-        for s in self.inner.partitions():
+        for s in self.inner.stretches():
             by.setdefault(s.path, []).append(s)
         # a snapshot without rows of a wanted kind is a frame without rows
         self.files = [by.get(p, []) for p, _ in visible_files(options["path"])]
@@ -290,11 +337,11 @@ class ReplayReader(DataSourceStreamReader):
         return {"frames": min(self.frames, shown)}
 
     def partitions(self, start: dict, end: dict) -> list[Shown]:
-        found = [Shown(f, s) for f in range(start["frames"], end["frames"]) for s in self.files[f % len(self.files)]]
-        return found or [Shown(0, Stretch("", None, False, 0, 0, 0))]
+        found = [Shown(f, t) for f in range(start["frames"], end["frames"]) for t in bundled(self.files[f % len(self.files)])]
+        return found or [Shown(0, Task([]))]
 
     def read(self, partition: Shown) -> Iterator[pa.RecordBatch]:
-        for batch in self.inner.read(partition.stretch):
+        for batch in self.inner.read(partition.task):
             frame = pa.repeat(pa.scalar(partition.frame, pa.int64()), batch.num_rows)
             yield pa.RecordBatch.from_arrays([frame if n == "frame" else batch[n] for n in self.names], names=self.names)
 
@@ -308,7 +355,7 @@ def load(spark: SparkSession, path: str, form, **options) -> DataFrame:
 
 
 def write_parts(rows: DataFrame, folder: str, form, options: dict[str, str]) -> list[tuple[str, int]]:
-    """Write rows in a format, a file for each partition; returns (address, bytes) of the folder's files."""
+    """Write rows in a format, a file for each partition or, of rows that ``files.dealt`` has grouped, for each group; returns (address, bytes) of the folder's files."""
     spark = rows.sparkSession
     if files.direct(folder):
         register(spark)

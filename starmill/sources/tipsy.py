@@ -159,8 +159,8 @@ def count_tipsy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tipsy_parts(p: DataFrame, folder: str, time: float = 0.0, version: int = 2) -> list[tuple[str, int]]:
-    """A file for each partition, written by its task; returns names and sizes of the folder's files. Version 1 keeps ids (gid) of 32 bits in the older place."""
-    return write_parts(p.select(*Tipsy.wanted), folder, Tipsy, {"time": str(time), "version": str(version)})
+    """A file for each partition or group (``files.dealt``), written by its task; returns names and sizes of the folder's files. Version 1 keeps ids (gid) of 32 bits in the older place."""
+    return write_parts(p.select(*Tipsy.wanted, *[c for c in (files.GROUP,) if c in p.columns]), folder, Tipsy, {"time": str(time), "version": str(version)})
 
 
 def write_tipsy(p: DataFrame, path: str, time: float = 0.0) -> None:

@@ -273,3 +273,19 @@ def test_radial_table(spark, small, tmp_path):
     first = [float(v) for v in lines[2].split()]
     row = table.orderBy("bin").first()
     assert first[0] == pytest.approx(row["r"]) and first[14] == row["n"]
+
+
+def test_short_stretches_share_tasks(spark, tmp_path, monkeypatch):
+    """Tasks go by records and files, not by stretches or groups: a file for each group, many of them a task, and the rows stay."""
+    monkeypatch.setattr(files, "GROUPS_A_TASK", 50)
+    rows = spark.range(3000).select(F.col("id").alias("gid"), F.lit(2).alias("ptype"), *[F.col("id").cast("double").alias(c) for c in ("x", "y", "z", "vx", "vy", "vz", "mass")])
+    grouped = files.dealt(rows, F.floor(F.col("gid") / 10), F.desc("gid"))
+    assert grouped.rdd.getNumPartitions() <= 300 // 50
+    for write, read in ((tipsy.write_tipsy_parts, tipsy.read_tipsy), (columnar.write_columnar, columnar.read_columnar)):
+        folder = f"file://{tmp_path}/{read.__name__}"
+        assert len(write(grouped, folder)) == 300
+        found = read(spark, folder, step=3)
+        assert found.rdd.getNumPartitions() <= 2 * snapshots.TASKS
+        assert sorted(r["gid"] for r in found.collect()) == list(range(3000))
+        # in order within each file: Tipsy rows are counted from 1 and columnar ones from 0
+        assert sorted(r["gid"] for r in read(spark, folder, 10, step=3).collect()) == list(range(0 if read is tipsy.read_tipsy else 9, 3000, 10))
