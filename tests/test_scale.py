@@ -160,3 +160,25 @@ def test_density_by_parts(spark, monkeypatch):
         got = {r["id"]: r for r in found.collect()}
         assert set(got) == set(np.flatnonzero(h > 0).tolist())
         assert all(np.isclose(r["rho"], rho[i], rtol=1e-10) and r["nnb"] == nnb[i] and r["h"] == h[i] for i, r in got.items())
+
+
+def test_bodies_of_leaves_take_no_moments(monkeypatch):
+    """Of sources that are bodies nothing is worked out for moments they lack; with cells among them the sums are those of the expansion."""
+    monkeypatch.setattr(gravity, "SOURCES", 7)
+    rng = np.random.default_rng(11)
+    cell = np.arange(40) % 3 == 0
+    sources = {"mass": rng.random(40)} | {c: rng.normal(size=40) for c in "xyz"} | {q: np.where(cell, rng.random(40), np.nan) for q in gravity.QUADRUPOLE}
+    place = rng.normal(size=(9, 3))
+    members = pa.table({"id": np.arange(9)} | {c: place[:, k] for k, c in enumerate("xyz")})
+    found = gravity._pull(0.1)(pa.table(sources | {"cell": cell}), members)
+    d = place[:, None] - np.stack([sources[c] for c in "xyz"], 1)[None]
+    r2 = (d * d).sum(2) + 0.01
+    q = [[np.nan_to_num(sources[n]) for n in row] for row in (("q11", "q12", "q13"), ("q12", "q22", "q23"), ("q13", "q23", "q33"))]
+    u = np.einsum("kls,msl->msk", np.array(q), d)
+    w, trace = (d * u).sum(2), q[0][0] + q[1][1] + q[2][2]
+    d0 = sources["mass"] / np.sqrt(r2)
+    d1, d2, d3 = -d0 / r2, 3 * d0 / r2**2, -15 * d0 / r2**3
+    want = ((d1 + 0.5 * (d2 * trace + d3 * w))[..., None] * d + d2[..., None] * u).sum(1)
+    assert np.allclose(np.stack([found[f"a{c}"].to_numpy() for c in "xyz"], 1), want, rtol=1e-9)
+    assert np.allclose(found["pot"].to_numpy(), -(d0 + 0.5 * (d1 * trace + d2 * w)).sum(1), rtol=1e-9)
+    assert set(found["n_approx"].to_pylist()) == {14} and set(found["n_direct"].to_pylist()) == {26}
