@@ -70,18 +70,20 @@ def _sums(kernel: str):
         new = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]) if t.num_rows else np.zeros(0, int)
         return order, dict(zip(map(tuple, key[:, new].T.tolist()), zip(new.tolist(), np.append(new, t.num_rows)[1:].tolist(), strict=True), strict=True))
 
-    def m4(r2: np.ndarray, h: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, None]:
-        """Terms of the density; every neighbour counts as one."""
+    def m4(r2: np.ndarray, h: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """Terms of the density."""
         q = np.sqrt(r2) / h
         rest = 1.0 - q
-        return mass * (m4_norm / (h * h * h) * np.where(q < 0.5, 1.0 - 6.0 * q * q * rest, 2.0 * rest * rest * rest)), None
+        return mass * (m4_norm / (h * h * h) * np.where(q < 0.5, 1.0 - 6.0 * q * q * rest, 2.0 * rest * rest * rest))
 
-    def quartic(r2: np.ndarray, h: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the number density and of the smoothed count."""
-        near = np.maximum(1.0 - r2 / (h * h), 0.0)
-        return quartic_norm / (h * h * h) * near * near * near * near, np.ceil(near * near)
-
-    terms = m4 if kernel == "m4" else quartic
+    def quartic(r2: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number density and smoothed count of each row of distances; what is farther than h adds nothing to either."""
+        near = r2 / (h * h)[:, None]
+        np.subtract(1.0, near, out=near)
+        np.maximum(near, 0.0, out=near)
+        np.multiply(near, near, out=near)
+        count = np.ceil(near).sum(1)
+        return quartic_norm / (h * h * h) * np.einsum("ij,ij->i", near, near), count
 
     def run(asks: pa.Table, holds: pa.Table) -> pa.Table:
         order, mine = parts(asks)
@@ -98,22 +100,23 @@ def _sums(kernel: str):
                     cols = slice(j, min(b, j + width))
                     d = [t[rows, None] - o[None, cols] for t, o in zip(place, other, strict=True)]
                     r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-                    of, by = np.nonzero(r2 < (h[rows] * h[rows])[:, None])
-                    if not len(of):
-                        continue
-                    term, count = terms(r2[of, by], h[rows][of], mass[cols][by])
-                    n = rows.stop - rows.start
-                    found = np.bincount(of, minlength=n)
-                    rho[rows] += np.bincount(of, term, n)
-                    nnb[rows] += found if count is None else np.bincount(of, count, n)
+                    near = r2 < (h[rows] * h[rows])[:, None]
+                    found = np.count_nonzero(near, axis=1)
                     met[rows] |= found > 0
+                    if kernel == "quartic":
+                        term, found = quartic(r2, h[rows])
+                        rho[rows] += term
+                    elif kernel == "m4" and found.any():
+                        of, by = np.nonzero(near)
+                        rho[rows] += np.bincount(of, m4(r2[of, by], h[rows][of], mass[cols][by]), rows.stop - rows.start)
+                    nnb[rows] += found
         return pa.table([asks["id"].take(pa.array(order[met])), pa.array(h[met]), pa.array(rho[met]), pa.array(nnb[met])], names=["id", "h", "rho", "nnb"])
 
     return run
 
 
 def neighbour_density(p: DataFrame, cell: float, kernel: str = "m4") -> DataFrame:
-    """id, h, rho, nnb. m4: mass density and number of neighbours; quartic: number density and its smoothed neighbour count.
+    """id, h, rho, nnb. m4: mass density and number of neighbours; quartic: number density and its smoothed neighbour count; count: the number of neighbours alone, rho is 0.
 
     Parts of buckets are summed where they meet, so rows go by bodies and buckets and not by pairs."""
     asks, holds = _dealt(p.withColumns({c: F.col(c).cast("double") for c in (*COORDS, "h")} | {"mass": F.coalesce(F.col("mass").cast("double"), F.lit(0.0))}), cell, SUMMED_PART)
@@ -130,7 +133,7 @@ def neighbour_density(p: DataFrame, cell: float, kernel: str = "m4") -> DataFram
 def solve_h(p: DataFrame, cell: float, target: float = 32.0, rounds: int = 10, lo: float = 0.8, hi: float = 2.0) -> DataFrame:
     """p (with h) after rounds of counting neighbours and adjusting h, with rho and nnb of the last count."""
     for i in range(rounds):
-        found = neighbour_density(p, cell)
+        found = neighbour_density(p, cell, "m4" if i == rounds - 1 else "count")
         if i == rounds - 1:
             return p.drop("h").join(found, "id")
         adjusted = found.select("id", physics.adjusted_h(F.col("h"), F.col("nnb"), target, lo, hi).alias("h"))

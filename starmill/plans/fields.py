@@ -45,7 +45,7 @@ def quartic_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_C}, p AS (SELECT * FROM c), {_pairs_sql(_ROW_H)}, n AS (SELECT id, CAST(count(*) AS DOUBLE) AS nnb FROM pr GROUP BY 1) SELECT count(*) AS rows, min(nnb) AS least, max(nnb) AS most, " + r_sql("avg(nnb)", "mean") + ", " + r_sql("sqrt(greatest(avg(nnb * nnb) - avg(nnb) * avg(nnb), 0))", "sigma") + ", sum(CAST(nnb > 128 AS BIGINT))::BIGINT AS outliers FROM n WHERE nnb >= 3")
 def nnb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(density.neighbour_statistics(density.neighbour_density(_with_h(spark, sf_dir), H)), "mean", "sigma")
+    return rounded(density.neighbour_statistics(density.neighbour_density(_with_h(spark, sf_dir), H, "count")), "mean", "sigma")
 
 
 _DISK_H = "(0.35e0 + 0.01e0 * (p.id % 11))"
@@ -75,7 +75,7 @@ _ADJ = "h * CASE WHEN nnb > 0 THEN least(greatest(0.5e0 * (1 + cbrt(32e0 / nnb))
 
 @query(f"{_C}, p AS (SELECT * FROM c), {_pairs_sql(_ROW_H)}, n AS (SELECT id, h, CAST(count(*) AS DOUBLE) AS nnb FROM pr GROUP BY 1, 2) SELECT id, " + r_sql(_ADJ.format(lo="0.5"), "h") + " FROM n")
 def h_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = density.neighbour_density(_with_h(spark, sf_dir), H)
+    d = density.neighbour_density(_with_h(spark, sf_dir), H, "count")
     return rounded(d.select("id", physics.adjusted_h(F.col("h"), F.col("nnb")).alias("h")), "h")
 
 
@@ -83,7 +83,7 @@ def h_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corrector_h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corrector moves the radii of bodies whose step ends towards their wanted neighbours; the others wait."""
     p = _with_h(spark, sf_dir).withColumns({c: F.lit(0.0) for c in ("ax", "ay", "az", "pot", "t_beg")} | {"t_end": F.when(F.col("id") % 3 == 0, 0.5).otherwise(0.25)})
-    counts = density.neighbour_density(p, H).select("id", "nnb")
+    counts = density.neighbour_density(p, H, "count").select("id", "nnb")
     return rounded(steps.correct(p, p.select("id", "ax", "ay", "az", "pot"), 0.25, 0.1, counts).select("id", "h", "t_end"), "h")
 
 

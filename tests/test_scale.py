@@ -120,6 +120,17 @@ def test_direct_gravity_by_parts(spark, monkeypatch):
         assert np.allclose([[got[i][f"a{c}"] for c in "xyz"] for i in range(90)], want, rtol=1e-9, atol=1e-12)
 
 
+def test_neighbours_are_counted_without_a_kernel(spark, monkeypatch):
+    """Where only the number is asked, it equals that of the density's, and no density is worked out."""
+    rng = np.random.default_rng(12)
+    rows = [(i, *map(float, x), 1.0, 0.3 + 0.1 * (i % 4)) for i, x in enumerate(rng.random((150, 3)) * 2)]
+    p = spark.createDataFrame([*rows, (150, 50.0, 50.0, 50.0, 1.0, 0.2)], "id long, x double, y double, z double, mass double, h double")
+    want = {r["id"]: r["nnb"] for r in density.neighbour_density(p, 0.3).collect()}
+    got = density.neighbour_density(p, 0.3, "count").collect()
+    assert {r["id"]: r["nnb"] for r in got} == want and want[150] == 1
+    assert all(r["rho"] == 0 for r in got)
+
+
 def test_two_parts_pull_each_other_at_once(monkeypatch):
     """A group of two parts gives the sums of both, so a pair is not found twice; bodies without mass are pulled and pull nothing."""
     monkeypatch.setattr(gravity, "TILE", (5, 7))
