@@ -193,3 +193,14 @@ def test_bodies_of_leaves_take_no_moments(monkeypatch):
     assert np.allclose(np.stack([found[f"a{c}"].to_numpy() for c in "xyz"], 1), want, rtol=1e-9)
     assert np.allclose(found["pot"].to_numpy(), -(d0 + 0.5 * (d1 * trace + d2 * w)).sum(1), rtol=1e-9)
     assert set(found["n_approx"].to_pylist()) == {14} and set(found["n_direct"].to_pylist()) == {26}
+
+
+def test_bodies_are_sent_by_blocks(spark, monkeypatch):
+    """An asker goes to one block, and a body besides to the blocks whose rims it lies at: rows do not go by the buckets that a ball meets."""
+    counted = lambda asks, holds: pa.table({"id": [0], "h": [0.0], "rho": [float(holds.num_rows)], "nnb": [float(asks.num_rows)]})
+    monkeypatch.setattr(density, "_sums", lambda kernel: counted)
+    rng = np.random.default_rng(13)
+    rows = [(i, *map(float, x), 1.0, 0.35 + 0.01 * (i % 11)) for i, x in enumerate(rng.random((3000, 3)) * [30, 30, 2])]
+    p = spark.createDataFrame(rows, "id long, x double, y double, z double, mass double, h double")
+    found = density.neighbour_density(p, 0.45).first()
+    assert found["nnb"] == 3000 and found["rho"] < 2 * 3000
