@@ -204,3 +204,48 @@ def test_bodies_are_sent_by_blocks(spark, monkeypatch):
     p = spark.createDataFrame(rows, "id long, x double, y double, z double, mass double, h double")
     found = density.neighbour_density(p, 0.45).first()
     assert found["nnb"] == 3000 and found["rho"] < 2 * 3000
+
+
+def _all_of_one_block(place, h, mass):
+    """The tables that a task gets of bodies of one block."""
+    key = {k: np.zeros(len(h), int) for k in density.KEY}
+    cols = {c: place[:, k] for k, c in enumerate("xyz")}
+    return pa.table(key | {"id": np.arange(len(h)), "h": h} | cols), pa.table(key | {f"j{c}": v for c, v in cols.items()} | {"jm": mass})
+
+
+def test_what_lies_wholly_within_is_not_compared(monkeypatch):
+    """Bodies all within half of every radius are counted and summed without a comparison of pairs."""
+    rng = np.random.default_rng(14)
+    place, h, mass = rng.random((400, 3)) * 0.2, 0.9 + 0.01 * (np.arange(400) % 7), rng.random(400)
+    q = np.sqrt(((place[:, None] - place[None]) ** 2).sum(2)) / h[:, None]
+    want = 8 / np.pi / h**3 * ((1 - 6 * q * q * (1 - q)) * mass).sum(1)
+
+    def compared(*_, **__):
+        raise AssertionError("pairs are compared")
+
+    monkeypatch.setattr(density.np, "count_nonzero", compared)
+    for kernel, rho in (("count", np.zeros(400)), ("m4", want)):
+        found = density._sums(kernel)(*_all_of_one_block(place, h, mass)).to_pandas().sort_values("id")
+        assert (found["nnb"] == 400).all() and np.allclose(found["rho"], rho, rtol=1e-11)
+
+
+def test_cells_near_far_and_within(monkeypatch):
+    """Cells out of reach, partly and wholly within, within half, masses that are no number and bodies exactly on a radius: the plain sums."""
+    rng = np.random.default_rng(15)
+    place = np.concatenate([rng.normal(size=(300, 3)) * 0.05, rng.random((500, 3)) * 2, [[0.0, 0.0, 3.0], [0.5, 0.0, 3.0], [1.0, 0.0, 3.0], [9.0, 9.0, 9.0]]])
+    n = len(place)
+    h, mass = np.where(np.arange(n) >= n - 4, 0.5, 0.5 + 0.05 * (np.arange(n) % 8)), rng.random(n)
+    d = place[:, None] - place[None]
+    r2 = d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+    near = r2 < (h * h)[:, None]
+    q = np.sqrt(r2) / h[:, None]
+    m4 = 8 / np.pi / (h**3)[:, None] * np.where(q < 0.5, 1 - 6 * q * q * (1 - q), 2 * (1 - q) ** 3)
+    for tile in (64, 1 << 15):
+        monkeypatch.setattr(density, "TILE", tile)
+        for kernel in ("count", "m4"):
+            for last in (0.3, np.nan):
+                mass[-2] = last
+                found = density._sums(kernel)(*_all_of_one_block(place, h, mass)).to_pandas().sort_values("id")
+                assert found["nnb"].tolist() == near.sum(1).tolist()
+                rho = np.where(near, m4 * mass, 0).sum(1) if kernel == "m4" else np.zeros(n)
+                assert np.allclose(found["rho"], rho, rtol=1e-9, equal_nan=True)
