@@ -16,6 +16,8 @@ PART = 1024
 PARTS, LEAST_PART, SUMMED_PART, WIDEST, ROWS = 12, 2048, 262_144, 8, 50_000
 #: Bodies of a cell, askers that look up cells together, and pairs of a tile.
 CELL, ASKERS, TILE = 16, 128, 1 << 15
+#: Bodies of a part of a bucket, and pairs of a tile, where radii differ much.
+BUCKET_PART, BUCKET_TILE = 16_384, 1 << 16
 KEY = ("level", *[f"b{c}" for c in COORDS], "at_pa", "at_ph")
 
 
@@ -277,10 +279,82 @@ def neighbour_density(p: DataFrame, cell: float, kernel: str = "m4") -> DataFram
     return found.groupBy("id", "h").agg(F.sum("rho").alias("rho"), F.sum("nnb").alias("nnb"))
 
 
+def _bucket_sums(kernel: str):
+    """The function that sums what the bodies of the buckets of a group add to its askers."""
+    m4_norm, quartic_norm = physics.M4_NORM, physics.QUARTIC_NORM
+
+    def parts(t: pa.Table) -> tuple[np.ndarray, dict[tuple, tuple[int, int]]]:
+        """(order that brings the rows of a bucket's part together, from and to of each)."""
+        key = np.stack([t[c].to_numpy().astype(np.int64) for c in KEY])
+        order = np.lexsort(key)
+        key = key[:, order]
+        new = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]) if t.num_rows else np.zeros(0, int)
+        return order, dict(zip(map(tuple, key[:, new].T.tolist()), zip(new.tolist(), np.append(new, t.num_rows)[1:].tolist(), strict=True), strict=True))
+
+    def m4(r2: np.ndarray, h: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """Terms of the density."""
+        q = np.sqrt(r2) / h
+        rest = 1.0 - q
+        return mass * (m4_norm / (h * h * h) * np.where(q < 0.5, 1.0 - 6.0 * q * q * rest, 2.0 * rest * rest * rest))
+
+    def quartic(r2: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number density and smoothed count of each row of distances; what is farther than h adds nothing to either."""
+        near = r2 / (h * h)[:, None]
+        np.subtract(1.0, near, out=near)
+        np.maximum(near, 0.0, out=near)
+        np.multiply(near, near, out=near)
+        count = np.ceil(near).sum(1)
+        return quartic_norm / (h * h * h) * np.einsum("ij,ij->i", near, near), count
+
+    def run(asks: pa.Table, holds: pa.Table) -> pa.Table:
+        order, mine = parts(asks)
+        at, theirs = parts(holds)
+        place, h = [asks[c].to_numpy()[order] for c in COORDS], asks["h"].to_numpy()[order]
+        other, mass = [holds[f"j{c}"].to_numpy()[at] for c in COORDS], holds["jm"].to_numpy()[at]
+        rho, nnb, met = np.zeros(len(h)), np.zeros(len(h)), np.zeros(len(h), bool)
+        for key in mine.keys() & theirs.keys():
+            (lo, hi), (a, b) = mine[key], theirs[key]
+            width = min(b - a, BUCKET_TILE)
+            for i in range(lo, hi, max(1, BUCKET_TILE // width)):
+                rows = slice(i, min(hi, i + max(1, BUCKET_TILE // width)))
+                for j in range(a, b, width):
+                    cols = slice(j, min(b, j + width))
+                    d = [t[rows, None] - o[None, cols] for t, o in zip(place, other, strict=True)]
+                    r2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+                    near = r2 < (h[rows] * h[rows])[:, None]
+                    found = np.count_nonzero(near, axis=1)
+                    met[rows] |= found > 0
+                    if kernel == "quartic":
+                        term, found = quartic(r2, h[rows])
+                        rho[rows] += term
+                    elif kernel == "m4" and found.any():
+                        of, by = np.nonzero(near)
+                        rho[rows] += np.bincount(of, m4(r2[of, by], h[rows][of], mass[cols][by]), rows.stop - rows.start)
+                    nnb[rows] += found
+        return pa.table([asks["id"].take(pa.array(order[met])), pa.array(h[met]), pa.array(rho[met]), pa.array(nnb[met])], names=["id", "h", "rho", "nnb"])
+
+    return run
+
+
+def bucket_density(p: DataFrame, cell: float, kernel: str = "m4") -> DataFrame:
+    """As neighbour_density, for radii that differ much: an asker goes to the buckets that its ball meets.
+
+    Parts of buckets are summed where they meet, so rows go by bodies and buckets and not by pairs."""
+    asks, holds = _dealt(p.withColumns({c: F.col(c).cast("double") for c in (*COORDS, "h")} | {"mass": F.coalesce(F.col("mass").cast("double"), F.lit(0.0))}), cell, BUCKET_PART)
+    holds = holds.dropna(subset=list(KEY))
+    groups = 1 + (asks.count() + holds.count()) // ROWS
+    group = F.pmod(F.xxhash64(*KEY), F.lit(groups)).cast("int")
+    # a task a group: they are few bytes and much work
+    sides = [rows.withColumn("_g", group).repartition(groups, "_g").groupBy("_g") for rows in (asks, holds)]
+    schema = f"id {p.schema['id'].dataType.simpleString()}, h double, rho double, nnb double"
+    found = sides[0].cogroup(sides[1]).applyInArrow(_bucket_sums(kernel), schema)
+    return found.groupBy("id", "h").agg(F.sum("rho").alias("rho"), F.sum("nnb").alias("nnb"))
+
+
 def solve_h(p: DataFrame, cell: float, target: float = 32.0, rounds: int = 10, lo: float = 0.8, hi: float = 2.0) -> DataFrame:
     """p (with h) after rounds of counting neighbours and adjusting h, with rho and nnb of the last count."""
     for i in range(rounds):
-        found = neighbour_density(p, cell, "m4" if i == rounds - 1 else "count")
+        found = bucket_density(p, cell, "m4" if i == rounds - 1 else "count")
         if i == rounds - 1:
             return p.drop("h").join(found, "id")
         adjusted = found.select("id", physics.adjusted_h(F.col("h"), F.col("nnb"), target, lo, hi).alias("h"))

@@ -67,7 +67,7 @@ def clustered_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters inside one another, with radii over three decades."""
     ten = F.pow(F.lit(10.0), F.col("id") % 4)
     p = core(spark, sf_dir).withColumns({c: F.col(c) / ten for c in "xyz"} | {"h": 1.0 / ten * (1 + 0.1 * (F.col("id") % 5))})
-    return rounded(rounded(density.neighbour_density(p, 0.01), "rho", digits=3), "h", digits=9)
+    return rounded(rounded(density.bucket_density(p, 0.01), "rho", digits=3), "h", digits=9)
 
 
 _ADJ = "h * CASE WHEN nnb > 0 THEN least(greatest(0.5e0 * (1 + cbrt(32e0 / nnb)), {lo}e0), 2e0) ELSE 2e0 END"
